@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from strandlake.llm.bpe import op6_bpe
 from strandlake.llm.substring_dedup import op7_substring_dedup
 from strandlake.llm.url_filter import OP1_SQL, op1_url_filters
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op6_bpe": op6_bpe,
     "op7_substring_dedup": op7_substring_dedup,
 }
 ORACLE_SQL = {"op1_url_filters": OP1_SQL}
