@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from strandlake.llm.bpe import op6_bpe
+from strandlake.llm.simhash import op5_simhash
 from strandlake.llm.substring_dedup import op7_substring_dedup
 from strandlake.llm.url_filter import OP1_SQL, op1_url_filters
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
     "op7_substring_dedup": op7_substring_dedup,
 }
