@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strandlake.llm.bpe import op6_bpe
+from strandlake.llm.language_id import op8_language_id
 from strandlake.llm.simhash import op5_simhash
 from strandlake.llm.substring_dedup import op7_substring_dedup
 from strandlake.llm.url_filter import OP1_SQL, op1_url_filters
@@ -12,5 +13,6 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_language_id": op8_language_id,
 }
 ORACLE_SQL = {"op1_url_filters": OP1_SQL}

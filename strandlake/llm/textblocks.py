@@ -46,6 +46,14 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal neighbours."""
+    if not len(keys):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return starts, np.r_[starts[1:], len(keys)]
+
+
 class Words:
     """Word boundaries of a slice of texts. Word i of text d has first[d] <= i < first[d + 1]."""
 
