@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.textblocks import LOWER, Words, mix64, runs, slices
+from strandlake.llm.textblocks import Words, runs, slices, word_grams
 
 FEATURES = 1 << 16
 ORDERS = (2, 3, 4)
@@ -91,26 +91,12 @@ class Graded:
         self.script[has] = _SCRIPT[np.searchsorted(_FROM, cp[first[has]], "right") - 1]
         self.size = np.where(has, words.ends - words.starts, 0)
 
-    def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each order: hashed features at the byte positions of lettered words, and which apply."""
+    def grams(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each order: hashed features at the byte places of lettered words, and which apply."""
+        self.kept = kept = np.flatnonzero(self.script >= 0)
         words = self.words
-        kept = np.flatnonzero(self.script >= 0)
-        length = words.ends[kept] - words.starts[kept] + 1  # and the space that follows
-        total = int(length.sum())
-        begin = np.cumsum(length) - length
-        place = np.arange(total) - np.repeat(begin, length)
-        code = np.full(total + 3, 32, np.uint64)
-        source = np.minimum(np.repeat(words.starts[kept], length) + place, len(words.data) - 1)
-        text = LOWER[words.data][source]
-        text[begin + length - 1] = 32
-        code[3:] = text
-        self.begin, self.kept = begin, kept
-        run = code[3:].copy()
-        for order in range(2, max(ORDERS) + 1):
-            run += code[3 - order + 1 : total + 3 - order + 1] << np.uint64(8 * (order - 1))
-            if order in ORDERS:
-                # the first gram of a word starts with the space before it
-                yield (mix64(run + np.uint64(order << 56)) & np.uint64(FEATURES - 1)).astype(np.int64), place >= order - 2
+        self.begin, found = word_grams(words.data, words.starts[kept], words.ends[kept], ORDERS, FEATURES)
+        return found
 
 
 def held_out(doc_id: Column) -> Column:

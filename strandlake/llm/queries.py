@@ -6,6 +6,7 @@ from strandlake.llm.bpe import op6_bpe
 from strandlake.llm.language_id import op8_language_id
 from strandlake.llm.simhash import op5_simhash
 from strandlake.llm.substring_dedup import op7_substring_dedup
+from strandlake.llm.toxicity import op9_toxicity
 from strandlake.llm.url_filter import OP1_SQL, op1_url_filters
 
 QUERIES = {
@@ -14,5 +15,6 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_language_id": op8_language_id,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLE_SQL = {"op1_url_filters": OP1_SQL}

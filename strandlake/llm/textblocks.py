@@ -106,3 +106,28 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int
         to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         yield row, to, data[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row]
         row = to
+
+
+def word_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, orders: tuple[int, ...], features: int):
+    """Hashed byte n-grams of words, bounded by one space on each side, A-Z lower-cased.
+
+    Returns the first place of each word and, for each order, the feature at each
+    place (where a gram ends) with whether the gram lies within its word.
+    """
+    length = ends - starts + 1  # and the space that follows
+    total = int(length.sum())
+    begin = np.cumsum(length) - length
+    place = np.arange(total) - np.repeat(begin, length)
+    code = np.full(total + max(orders), 32, np.uint64)
+    text = LOWER[data][np.minimum(np.repeat(starts, length) + place, max(0, len(data) - 1))]
+    text[begin + length - 1] = 32
+    pad = max(orders)
+    code[pad:] = text
+    run = code[pad:].copy()
+    found = []
+    for order in range(2, max(orders) + 1):
+        run += code[pad - order + 1 : total + pad - order + 1] << np.uint64(8 * (order - 1))
+        if order in orders:
+            feature = (mix64(run + np.uint64(order << 56)) & np.uint64(features - 1)).astype(np.int64)
+            found.append((feature, place >= order - 2))  # the first gram starts with the space before the word
+    return begin, found
