@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strandlake.llm.bpe import op6_bpe
+from strandlake.llm.html_text import op10_html_text
 from strandlake.llm.language_id import op8_language_id
 from strandlake.llm.simhash import op5_simhash
 from strandlake.llm.substring_dedup import op7_substring_dedup
@@ -16,5 +17,6 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
+    "op10_html_text": op10_html_text,
 }
 ORACLE_SQL = {"op1_url_filters": OP1_SQL}
