@@ -8,12 +8,43 @@ task. Each round is written to the shared folder; nothing is collected but count
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.storage import materialize
 
 
+class Forest:
+    """Union-find over positions; keeps the links that joined two trees."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+        self.links: list[tuple[int, int]] = []
+
+    def _roots(self, x: np.ndarray) -> np.ndarray:
+        up = self.up
+        while True:
+            y = up[x]
+            if (y == x).all():
+                return x
+            x = y
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Hook the larger root of each link under the smaller, round by round."""
+        while len(a):
+            ra, rb = self._roots(a), self._roots(b)
+            apart = ra != rb
+            if not apart.any():
+                return
+            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+            low, high = np.minimum(ra, rb), np.maximum(ra, rb)
+            _, one = np.unique(high, return_index=True)
+            self.up[high[one]] = low[one]
+            self.links += zip(a[one].tolist(), b[one].tolist(), strict=True)
+            self.up[high[one]] = self._roots(low[one])
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of ``edges`` (a, b); component is the least node reachable.
 

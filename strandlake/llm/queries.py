@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strandlake.llm.bpe import op6_bpe
+from strandlake.llm.hnsw import op3_hnsw
 from strandlake.llm.html_text import op10_html_text
 from strandlake.llm.language_id import op8_language_id
 from strandlake.llm.simhash import op5_simhash
@@ -12,6 +13,7 @@ from strandlake.llm.url_filter import OP1_SQL, op1_url_filters
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op3_hnsw": op3_hnsw,
     "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
     "op7_substring_dedup": op7_substring_dedup,
