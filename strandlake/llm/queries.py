@@ -6,6 +6,7 @@ from strandlake.llm.bpe import op6_bpe
 from strandlake.llm.hnsw import op3_hnsw
 from strandlake.llm.html_text import op10_html_text
 from strandlake.llm.language_id import op8_language_id
+from strandlake.llm.order_minhash import op2_order_minhash
 from strandlake.llm.simhash import op5_simhash
 from strandlake.llm.substring_dedup import op7_substring_dedup
 from strandlake.llm.toxicity import op9_toxicity
@@ -13,6 +14,7 @@ from strandlake.llm.url_filter import OP1_SQL, op1_url_filters
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_order_minhash": op2_order_minhash,
     "op3_hnsw": op3_hnsw,
     "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
