@@ -6,6 +6,7 @@ from strandlake.llm.bpe import op6_bpe
 from strandlake.llm.hnsw import op3_hnsw
 from strandlake.llm.html_text import op10_html_text
 from strandlake.llm.language_id import op8_language_id
+from strandlake.llm.mixing import op4_mixing
 from strandlake.llm.order_minhash import op2_order_minhash
 from strandlake.llm.simhash import op5_simhash
 from strandlake.llm.substring_dedup import op7_substring_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_order_minhash": op2_order_minhash,
     "op3_hnsw": op3_hnsw,
+    "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
     "op7_substring_dedup": op7_substring_dedup,
