@@ -1,4 +1,374 @@
-"""The registered queries, and the DuckDB SQL that gives the same rows."""
+"""The registered queries, and the DuckDB SQL that gives the same rows.
+
+The driver tables stand in for biological ones: ``documents`` for sequences (their
+letters as residues, ``source`` as family), ``embeddings`` for pooled vectors with
+their true clusters, ``benchmark`` for a bounded set of reference sequences, and the
+first characters of a text's lines for aligned columns.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandlake.functions import sequences as S
+from strandlake.functions import vectors as V
+from strandlake.operators import alignments, clusters, duplicates, kmers, ordering
+from strandlake.plans.strategy import plans
+from strandlake.storage import materialize
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+DIGITS = 6
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _residues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("id"), "source", S.letters(F.col("text")).alias("seq"))
+
+
+SEQ = "upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))"
+VEC = "list_transform(embedding, lambda x: x::DOUBLE)"
+
+
+# --- functions over sequences -------------------------------------------------
+
+
+@query(f"""
+SELECT doc_id, length(s)::BIGINT AS n, CASE WHEN length(s) > 0 THEN length(regexp_replace(s, '[ACDEFGHIKLMNPQRSTVWY]', '', 'g')) / length(s)::DOUBLE ELSE 0 END AS unusual,
+  md5(reverse(translate(s, 'ACGTUacgtu', 'TGCAAtgcaa'))) AS reverse_complement, md5(translate(s, 'ADKERNTSQYFLIVMCWHGP', 'ADKKKNTTTYYLIIICWHGP')) AS reduced,
+  md5(regexp_replace(s, '[^ACDEFGHIKLMNPQRSTVWY-]', 'X', 'g')) AS sanitized
+FROM (SELECT doc_id, {SEQ} AS s FROM documents)
+""")
+def residue_projections(spark, sf_dir):
+    rows = _residues(spark, sf_dir)
+    seq = F.col("seq")
+    return rows.select(
+        F.col("id").alias("doc_id"), F.length(seq).cast("long").alias("n"), S.unusual_share(seq).alias("unusual"),
+        F.md5(S.reverse_complement(seq).cast("binary")).alias("reverse_complement"), F.md5(S.reduced(seq).cast("binary")).alias("reduced"),
+        F.md5(S.sanitize(seq).cast("binary")).alias("sanitized"),
+    )
+
+
+@query(f"""
+SELECT doc_id, CASE WHEN length(s) = 0 THEN 'other' WHEN (length(s) - length(regexp_replace(s, '[ACGTUN]', '', 'g'))) / length(s)::DOUBLE < 0.95 THEN 'protein'
+  WHEN length(s) - length(regexp_replace(s, 'U', '', 'g')) > length(s) - length(regexp_replace(s, 'T', '', 'g')) THEN 'rna' ELSE 'dna' END AS kind
+FROM (SELECT doc_id, {SEQ} AS s FROM documents)
+""")
+def residue_kind(spark, sf_dir):
+    return _residues(spark, sf_dir).select(F.col("id").alias("doc_id"), S.residue_kind(F.col("seq")).alias("kind"))
+
+
+@query(f"""
+SELECT doc_id, coalesce(list_sum(list_filter(list_transform(list_filter(string_split(s, ''), lambda c: c <> ''), lambda c: instr('{S.RESIDUES}', c) - 1), lambda x: x >= 0)), 0)::BIGINT AS code_sum
+FROM (SELECT doc_id, {SEQ} AS s FROM documents)
+""")
+def residue_code_sum(spark, sf_dir):
+    total = F.aggregate(S.codes(F.col("seq")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return _residues(spark, sf_dir).select(F.col("id").alias("doc_id"), total.alias("code_sum"))
+
+
+# --- duplicates, classes, order -----------------------------------------------
+
+
+@query("SELECT min(doc_id) AS representative, count(*) AS n_members FROM documents GROUP BY text")
+def exact_dup_groups(spark, sf_dir):
+    return duplicates.duplicate_groups(_table(spark, sf_dir, "documents"), F.col("text"), "doc_id")
+
+
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS representative FROM documents")
+def dup_expand(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return duplicates.with_representative(docs, F.col("text"), "doc_id").select("doc_id", "representative")
+
+
+_RANKED = "(SELECT doc_id, length(text) AS len, row_number() OVER (ORDER BY length(text) DESC, doc_id) - 1 AS r, count(*) OVER () AS n FROM documents)"
+
+
+@query(f"""
+SELECT doc_id, len::BIGINT AS n_chars, r::BIGINT AS rank FROM (SELECT *, least(floor(log2(n) ** 2)::BIGINT, n - 1) AS seeds FROM {_RANKED})
+WHERE r % (n // seeds) = 0 AND r // (n // seeds) < seeds
+""")
+def length_stride_seeds(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n_chars"))
+    return ordering.stride_seeds(docs, F.col("n_chars"), "doc_id").select("doc_id", "n_chars", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"SELECT doc_id, r::BIGINT AS rank FROM {_RANKED} WHERE r % 3 = 0")
+def every_third_by_length(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("len"))
+    return ordering.global_rank(docs, [F.col("len").desc(), F.col("doc_id").asc()]).where("rank % 3 = 0").select("doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""
+SELECT source, CASE WHEN count(*) < 100 THEN 'small' WHEN count(*) < 1000 THEN 'medium' ELSE 'large' END AS class, count(*) AS n, min(length(text))::BIGINT AS shortest, max(length(text))::BIGINT AS longest
+FROM documents GROUP BY source
+""")
+def family_sizes(spark, sf_dir):
+    n, length = F.count("*"), F.length("text").cast("long")
+    return _table(spark, sf_dir, "documents").groupBy("source").agg(
+        duplicates.size_class(n, 100, 1000).alias("class"), n.alias("n"), F.min(length).alias("shortest"), F.max(length).alias("longest")
+    )
+
+
+@query("""
+SELECT source, doc_id, r::BIGINT AS rank FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS r FROM documents) WHERE r <= 10
+""")
+def longest_per_family(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("source", "doc_id", F.length("text").alias("n"))
+    return duplicates.quota(docs, ["source"], [F.desc("n"), F.asc("doc_id")], 10).select("source", "doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""
+SELECT source, count(*) AS n_rows, max(length(text))::BIGINT AS longest,
+  CASE WHEN max(length(text)) < 3000 AND count(*) < 100 THEN 'local' WHEN max(length(text)) < 1000 AND count(*) < 200 THEN 'local' WHEN count(*) < 200000 THEN 'kmer' WHEN max(length(text)) < 3000 THEN 'alignment' ELSE 'kmer' END AS distance,
+  CASE WHEN max(length(text)) < 3000 AND count(*) < 100 THEN 1000 WHEN max(length(text)) < 1000 AND count(*) < 200 THEN 2 WHEN max(length(text)) < 10000 AND count(*) < 500 THEN 2 ELSE 0 END AS iterations,
+  CASE WHEN max(length(text)) < 3000 AND count(*) < 100 OR max(length(text)) < 1000 AND count(*) < 200 OR max(length(text)) < 10000 AND count(*) < 500 THEN 'full' WHEN count(*) < 20000 THEN 'full, twice' WHEN count(*) < 100000 THEN 'compact, twice' WHEN count(*) < 200000 THEN 'compact, once' ELSE 'parted' END AS tree
+FROM documents GROUP BY source
+""")
+def alignment_plans(spark, sf_dir):
+    return plans(_table(spark, sf_dir, "documents"), "source", F.length("text"))
+
+
+# --- k-mers -------------------------------------------------------------------
+
+_KMERS = f"SELECT doc_id AS id, unnest([substr(s, i, {{k}}) for i in range(1, length(s) - {{k}} + 2)]) AS kmer FROM (SELECT doc_id, {SEQ} AS s FROM documents)"
+
+
+@query(f"SELECT kmer, count(*) AS n, count(DISTINCT id) AS n_docs FROM ({_KMERS.format(k=3)}) GROUP BY kmer")
+def kmer_frequencies(spark, sf_dir):
+    each = kmers.counts(_residues(spark, sf_dir), "id", F.col("seq"), 3)
+    return each.groupBy("kmer").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"))
+
+
+_DISTANCE = f"""
+docs AS (SELECT doc_id AS id, {SEQ} AS seq FROM documents), refs AS (SELECT item_id AS id, {SEQ} AS seq FROM benchmark),
+a AS (SELECT id, kmer, count(*) AS n FROM (SELECT id, unnest([substr(seq, i, 6) for i in range(1, length(seq) - 4)]) AS kmer FROM docs) GROUP BY id, kmer),
+b AS (SELECT id, kmer, count(*) AS n FROM (SELECT id, unnest([substr(seq, i, 6) for i in range(1, length(seq) - 4)]) AS kmer FROM refs) GROUP BY id, kmer),
+common AS (SELECT a.id AS id, b.id AS ref_id, sum(least(a.n, b.n))::BIGINT AS common FROM a JOIN b USING (kmer) GROUP BY a.id, b.id),
+told AS (SELECT c.id, c.ref_id, c.common, (1 - c.common / least(length(d.seq) - 5, length(r.seq) - 5)::DOUBLE) * (1 / (least(length(d.seq), length(r.seq)) / greatest(length(d.seq), length(r.seq))::DOUBLE * 0.1
+  + 10000 / (greatest(length(d.seq), length(r.seq)) + 10000.0)::DOUBLE + 0.01)) AS distance FROM common c JOIN docs d ON c.id = d.id JOIN refs r ON c.ref_id = r.id)
+"""
+
+
+def _reference_distances(spark, sf_dir):
+    refs = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), S.letters(F.col("text")).alias("seq"))
+    return kmers.reference_distances(_residues(spark, sf_dir).select("id", "seq"), refs, 6)
+
+
+@query(f"""WITH {_DISTANCE} SELECT id AS doc_id, ref_id, round(distance, 9) AS distance, common FROM
+(SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(distance, 9), ref_id) AS r FROM told) WHERE r = 1""")
+def kmer_distance_topk(spark, sf_dir):
+    best = kmers.nearest_reference(_reference_distances(spark, sf_dir))
+    return best.select(F.col("id").alias("doc_id"), "ref_id", "distance", "common")
+
+
+@query(f"WITH {_DISTANCE} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT id FROM told WHERE common >= 40)")
+def kmer_uncontaminated(spark, sf_dir):
+    near = _reference_distances(spark, sf_dir).where("common >= 40").select(F.col("id").alias("doc_id")).distinct()
+    return _table(spark, sf_dir, "documents").select("doc_id").join(near, "doc_id", "left_anti")
+
+
+# --- vectors and clusters -----------------------------------------------------
+
+def _vectors(spark, sf_dir):
+    return _table(spark, sf_dir, "embeddings").select("vec_id", "label", V.doubles(F.col("embedding")).alias("v"))
+
+
+def _label_centers(vectors) -> list[tuple[int, list[float]]]:
+    return sorted((r["label"], list(r["center"])) for r in clusters.centers(vectors, "label", "v").collect())  # one row a label
+
+
+_NEAREST = f"""
+cells AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE label IS NOT NULL),
+means AS (SELECT label, i, sum(x) / count(x) AS m FROM cells GROUP BY label, i),
+centers AS (SELECT label AS k, list(m ORDER BY i) AS c FROM means GROUP BY label),
+scored AS (SELECT vec_id, label, k, c, v, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) ** 2)) AS d FROM (SELECT vec_id, label, {VEC} AS v FROM embeddings), centers),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), k) AS r FROM scored) WHERE r = 1)
+"""
+
+
+@query(f"WITH {_NEAREST.split('scored AS')[0].rstrip().rstrip(',')} SELECT k AS label, round(list_sum(c), {DIGITS}) AS total, round(sqrt(list_dot_product(c, c)), {DIGITS}) AS norm FROM centers")
+def label_centers(spark, sf_dir):
+    c = F.col("center")
+    total = F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return clusters.centers(_vectors(spark, sf_dir), "label", "v").select("label", F.round(total, DIGITS).alias("total"), F.round(F.sqrt(V.dot(c, c)), DIGITS).alias("norm"))
+
+
+@query(f"WITH {_NEAREST} SELECT vec_id, k AS cluster, round(round(d, 9), {DIGITS}) AS distance FROM best")
+def nearest_center(spark, sf_dir):
+    vectors = _vectors(spark, sf_dir)
+    best = clusters.nearest(F.col("v"), _label_centers(vectors))
+    return vectors.select("vec_id", best["k"].alias("cluster"), F.round(best["d"], DIGITS).alias("distance"))
+
+
+@query(f"WITH {_NEAREST} SELECT label, k AS cluster, count(*) AS n FROM best GROUP BY label, k")
+def cluster_confusion(spark, sf_dir):
+    vectors = _vectors(spark, sf_dir)
+    best = clusters.nearest(F.col("v"), _label_centers(vectors))["k"]
+    return vectors.select("label", best.alias("cluster")).groupBy("label", "cluster").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_NEAREST} SELECT k AS cluster, count(*) AS n, round(sum(d), 4) AS inertia FROM best GROUP BY k")
+def cluster_inertia(spark, sf_dir):
+    vectors = _vectors(spark, sf_dir)
+    told, _ = clusters.lloyd(vectors, "vec_id", "v", _label_centers(vectors), steps=0)
+    return told.groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.sum("distance"), 4).alias("inertia"))
+
+
+@query(f"""
+WITH {_NEAREST} SELECT vec_id, round(1 - list_dot_product(v, c) / sqrt(list_dot_product(v, v) * list_dot_product(c, c)), {DIGITS}) AS cosine,
+  round(2 * (1 - list_dot_product(v, c) / sqrt(list_dot_product(v, v) * list_dot_product(c, c))), {DIGITS}) AS unit_l2,
+  round(list_sum(list_transform(list_zip(v, c), lambda p: abs(p[1] - p[2]))), {DIGITS}) AS l1, round(1 - exp(-list_sum(list_transform(list_zip(v, c), lambda p: abs(p[1] - p[2])))), {DIGITS}) AS l1_exp
+FROM scored WHERE label = k
+""")
+def center_distances(spark, sf_dir):
+    vectors = _vectors(spark, sf_dir)
+    both = vectors.join(clusters.centers(vectors, "label", "v"), "label")
+    a, b = F.col("v"), F.col("center")
+    return both.select(
+        "vec_id", F.round(V.cosine_distance(a, b), DIGITS).alias("cosine"), F.round(V.unit_squared_distance(a, b), DIGITS).alias("unit_l2"),
+        F.round(V.manhattan(a, b), DIGITS).alias("l1"), F.round(V.saturating_manhattan(a, b), DIGITS).alias("l1_exp"),
+    )
+
+
+@query(f"""
+WITH seeds AS (SELECT vec_id AS seed, {VEC} AS c, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM embeddings WHERE vec_id % 50 = 0)
+SELECT vec_id, seed, round(list_distance({VEC}, c) ** 2, {DIGITS}) AS distance FROM embeddings, seeds
+""")
+def seed_vectors(spark, sf_dir):
+    """Distances of all vectors to a stated set of seeds, the vectors whose id divides by 50, in blocks."""
+    vectors = _vectors(spark, sf_dir)
+    seeds = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("seed"), F.col("v").alias("c"))
+    blocks = 16
+    dealt = vectors.withColumn("block", F.pmod("vec_id", F.lit(blocks)))
+    asked = seeds.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return dealt.join(asked, "block").select("vec_id", "seed", F.round(V.squared_distance(F.col("v"), F.col("c")), DIGITS).alias("distance"))
+
+
+@query()
+def kmeans_lloyd(spark, sf_dir):
+    """Ten Lloyd steps from the first vector of each label."""
+    vectors = materialize(_vectors(spark, sf_dir))
+    first = vectors.where("label is not null").groupBy("label").agg(F.min_by("v", "vec_id").alias("v")).collect()  # one row a label
+    told, _ = clusters.lloyd(vectors, "vec_id", "v", [(r["label"], list(r["v"])) for r in first])
+    return told.select("vec_id", "cluster", F.round("distance", DIGITS).alias("distance"))
+
+
+@query()
+def bisecting_kmeans(spark, sf_dir):
+    return clusters.bisecting(_vectors(spark, sf_dir), "vec_id", "v", 8)
+
+
+@query("""
+SELECT round(corr(n_chars, words), 6) AS pearson, count(*) AS n FROM (SELECT length(text)::DOUBLE AS n_chars, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))::DOUBLE AS words FROM documents)
+""".replace("\\\\", "\\"))
+def length_word_correlation(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(
+        F.length("text").cast("double").alias("n_chars"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("double").alias("words")
+    )
+    return docs.agg(F.round(F.corr("n_chars", "words"), 6).alias("pearson"), F.count("*").alias("n"))
+
+
+# --- aligned columns ----------------------------------------------------------
+
+WIDTH = 64
+_CELLS = f"SELECT source AS family, doc_id AS name, i - 1 AS pos, substr(row, i, 1) AS residue FROM (SELECT source, doc_id, rpad(substr({SEQ}, 1, {WIDTH}), {WIDTH}, '-') AS row FROM documents), range(1, {WIDTH} + 1) t(i)"
+_COUNTED = f"cells AS ({_CELLS}), counted AS (SELECT family, pos, residue, count(*) AS n FROM cells GROUP BY ALL)"
+
+
+def _aligned(spark, sf_dir):
+    """Rows of equal width: the first residues of each text, filled up with gaps."""
+    rows = _residues(spark, sf_dir)
+    return rows.select(F.col("source").alias("family"), F.col("id").alias("name"), F.rpad(F.substring("seq", 1, WIDTH), WIDTH, "-").alias("aseq"))
+
+
+def _cells(spark, sf_dir):
+    return alignments.columns(_aligned(spark, sf_dir))
+
+
+@query(f"WITH {_COUNTED} SELECT family, pos::INT AS pos, residue, n FROM counted")
+def column_composition(spark, sf_dir):
+    return alignments.composition(_cells(spark, sf_dir))
+
+
+@query(f"""WITH {_COUNTED} SELECT family, pos::INT AS pos, residue, n, total::BIGINT AS total FROM
+(SELECT *, sum(n) OVER (PARTITION BY family, pos) AS total, row_number() OVER (PARTITION BY family, pos ORDER BY n DESC, ascii(residue)) AS r FROM counted) WHERE r = 1""")
+def column_consensus(spark, sf_dir):
+    return alignments.consensus(alignments.composition(_cells(spark, sf_dir)))
+
+
+def _within(groups: list[str]) -> str:
+    return " OR ".join(f"len(list_filter(seen, lambda x: instr('{g}', x) = 0)) = 0" for g in groups)
+
+
+@query(f"""WITH {_COUNTED}, sets AS (SELECT family, pos, list(residue) AS seen FROM counted GROUP BY family, pos)
+SELECT family, pos::INT AS pos, CASE WHEN list_contains(seen, '-') THEN ' ' WHEN len(seen) = 1 THEN '*' WHEN {_within(alignments.STRONG)} THEN ':' WHEN {_within(alignments.WEAK)} THEN '.' ELSE ' ' END AS mark FROM sets""")
+def conservation_marks(spark, sf_dir):
+    return alignments.conservation(alignments.composition(_cells(spark, sf_dir)))
+
+
+@query(f"""WITH {_COUNTED}, share AS (SELECT family, pos, sum(CASE WHEN residue = '-' THEN n ELSE 0 END) / sum(n)::DOUBLE AS gap FROM counted GROUP BY family, pos)
+SELECT family, pos::INT AS pos, round(gap, 9) AS gap, round(avg(gap) OVER (PARTITION BY family ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 9) AS mean_gap FROM share""")
+def gap_windows(spark, sf_dir):
+    told = alignments.gap_share(alignments.composition(_cells(spark, sf_dir)), 10)
+    return told.select("family", "pos", F.round("gap", 9).alias("gap"), F.round("mean_gap", 9).alias("mean_gap"))
+
+
+@query(f"""WITH cells AS ({_CELLS}), gaps AS (SELECT *, pos - row_number() OVER (PARTITION BY family, name ORDER BY pos) AS run FROM cells WHERE residue = '-')
+SELECT family, name, min(pos)::INT AS start, count(*) AS length FROM gaps GROUP BY family, name, run""")
+def gap_runs(spark, sf_dir):
+    return alignments.gap_runs(_cells(spark, sf_dir))
+
+
+@query(f"""WITH {_COUNTED}, solid AS (SELECT * FROM cells WHERE residue <> '-'), kinds AS (SELECT family, pos, count(*) AS kinds FROM counted WHERE residue <> '-' GROUP BY family, pos),
+raw AS (SELECT s.family, s.name, sum(1.0::DOUBLE / (k.kinds * c.n)) / count(*) AS raw FROM solid s JOIN kinds k USING (family, pos) JOIN counted c USING (family, pos, residue) GROUP BY s.family, s.name)
+SELECT family, name, round(raw / sum(raw) OVER (PARTITION BY family) * count(*) OVER (PARTITION BY family), {DIGITS}) AS weight FROM raw""")
+def position_weights(spark, sf_dir):
+    return alignments.position_weights(_cells(spark, sf_dir)).select("family", "name", F.round("weight", DIGITS).alias("weight"))
+
+
+@query(f"""WITH {_COUNTED}, vote AS (SELECT family, pos, residue AS vote FROM (SELECT *, row_number() OVER (PARTITION BY family, pos ORDER BY n DESC, ascii(residue)) AS r FROM counted) WHERE r = 1)
+SELECT family, name, round(coalesce(sum(CASE WHEN residue <> '-' AND residue = vote THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN residue <> '-' THEN 1 ELSE 0 END), 0)::DOUBLE, 0), {DIGITS}) AS identity
+FROM cells JOIN vote USING (family, pos) GROUP BY family, name""")
+def consensus_identity(spark, sf_dir):
+    cells = _cells(spark, sf_dir)
+    told = alignments.identity_to_consensus(cells, alignments.consensus(alignments.composition(cells)))
+    return told.select("family", "name", F.round("identity", DIGITS).alias("identity"))
+
+
+# --- records and categories ---------------------------------------------------
+
+
+@query("""
+SELECT conv_id, count(*) AS turns, string_agg(role, '>' ORDER BY turn) AS roles, sum(length(text))::BIGINT AS n_chars FROM conversations GROUP BY conv_id
+""")
+def fold_records(spark, sf_dir):
+    """Rows of one record folded in order."""
+    rows = _table(spark, sf_dir, "conversations")
+    return rows.groupBy("conv_id").agg(
+        F.count("*").alias("turns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda s: s["role"]), ">").alias("roles"),
+        F.sum(F.length("text")).alias("n_chars"),
+    )
+
+
+@query("""
+SELECT quality, toxic, count(*) AS n, round(avg(length(text)), 6) AS mean_chars FROM labels JOIN documents USING (doc_id) GROUP BY quality, toxic
+""")
+def category_means(spark, sf_dir):
+    both = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")), "doc_id")
+    return both.groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.round(F.avg("n"), 6).alias("mean_chars"))
