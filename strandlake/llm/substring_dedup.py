@@ -27,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.textblocks import Words, mix64, slices
+from strandlake.llm.textblocks import Words, mix64, runs, slices
 from strandlake.storage import materialize
 
 WINDOW_WORDS = 13
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Buckets of hashes for each shuffle partition; one bucket is one group.
-BUCKETS_PER_PARTITION = 4
 _BLOCK = "bucket int, hashes binary, docs binary"
+_ANSWER = "target int, hashes binary, docs binary"
 _FOUND = "doc_id long, hashes binary"
+_KEY, _MATCH, _HASHES = "__sd_key", "__sd_match", "__sd_hashes"
 
 
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -80,14 +80,6 @@ class _Slice:
         return starts, where[starts], h
 
 
-def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of equal neighbours."""
-    if not len(keys):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return starts, np.r_[starts[1:], len(keys)]
-
-
 def _pack(found: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pd.DataFrame]:
     """Rows of one bucket each from (hash, doc) pairs, one for each distinct hash with the least doc."""
     if not found:
@@ -100,7 +92,7 @@ def _pack(found: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[
     bucket = (h % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     h, d, bucket = h[order], d[order], bucket[order]
-    cuts, ends = _runs(bucket)
+    cuts, ends = runs(bucket)
     yield pd.DataFrame({
         "bucket": bucket[cuts],
         "hashes": [h[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)],
@@ -108,19 +100,33 @@ def _pack(found: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[
     })
 
 
-def _by_doc(docs: np.ndarray, hashes: np.ndarray) -> pd.DataFrame:
-    """One row for each document with its hashes packed."""
-    order = np.argsort(docs, kind="stable")
-    docs, hashes = docs[order], hashes[order]
-    cuts, ends = _runs(docs)
-    return pd.DataFrame({"doc_id": docs[cuts].astype(np.int64), "hashes": [hashes[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]})
+def _answers(docs: np.ndarray, hashes: np.ndarray, targets: int) -> pd.DataFrame:
+    """Finds packed by the group that gathers those of a document."""
+    target = docs % targets
+    order = np.argsort(target, kind="stable")
+    docs, hashes, target = docs[order], hashes[order], target[order]
+    cuts, ends = runs(target)
+    return pd.DataFrame({
+        "target": target[cuts].astype(np.int32),
+        "hashes": [hashes[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)],
+        "docs": [docs[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)],
+    })
+
+
+def _gather(group: pd.DataFrame) -> pd.DataFrame:
+    """One row for each document of a group, with its finds packed."""
+    h, d = _unpack(group["hashes"]), np.frombuffer(b"".join(group["docs"]), np.int64)
+    order = np.argsort(d, kind="stable")
+    h, d = h[order], d[order]
+    cuts, ends = runs(d)
+    return pd.DataFrame({"doc_id": d[cuts], "hashes": [h[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]})
 
 
 def _unpack(blobs) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in blobs if x is not None), np.uint64)
+    return np.frombuffer(b"".join(blobs), np.uint64)
 
 
-def _resolving(only_later: bool):
+def _resolving(only_later: bool, targets: int):
     """applyInPandas function for one bucket.
 
     For anchors: those that more than one task sent, with the documents that were
@@ -131,7 +137,7 @@ def _resolving(only_later: bool):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         h, d = _unpack(group["hashes"]), np.frombuffer(b"".join(group["docs"]), np.int64)
         if group["bucket"].iloc[0] < 0:
-            return pd.DataFrame({"doc_id": d, "hashes": group["hashes"].to_numpy()})
+            return _answers(d, h, targets)
         order = np.lexsort((d, h))
         h, d = h[order], d[order]
         new = np.r_[True, h[1:] != h[:-1]]
@@ -139,7 +145,7 @@ def _resolving(only_later: bool):
             found = d > d[np.flatnonzero(new)][np.cumsum(new) - 1]
         else:
             found = ~new | np.r_[~new[1:], False]
-        return _by_doc(d[found], h[found])
+        return _answers(d[found], h[found], targets)
 
     return run
 
@@ -155,7 +161,7 @@ def _settle(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _compare(rows, buckets: int, only_later: bool) -> Iterator[pd.DataFrame]:
     """What a task's (hash, doc) pairs show by themselves, then the entries for others.
 
-    Local finds have one document and a bucket below zero.
+    Local finds have a bucket below zero.
     """
     h, d = _settle(*rows)
     if not len(h):
@@ -165,11 +171,9 @@ def _compare(rows, buckets: int, only_later: bool) -> Iterator[pd.DataFrame]:
     first = d[np.flatnonzero(new)]
     found = ~new if only_later else (np.bincount(group)[group] > 1)
     if found.any():
-        local = _by_doc(d[found], h[found])
-        yield pd.DataFrame({
-            "bucket": -1 - local["doc_id"] % buckets, "hashes": local["hashes"],
-            "docs": [np.int64(x).tobytes() for x in local["doc_id"]],
-        })
+        local = _answers(d[found], h[found], buckets).rename(columns={"target": "bucket"})
+        local["bucket"] = -1 - local["bucket"]
+        yield local
     yield from _pack([(h[new], first)], buckets)
 
 
@@ -205,7 +209,7 @@ def _collecting(pairs, buckets: int, only_later: bool):
 
 def _rows(batch: pa.RecordBatch, at: int, to: int) -> tuple[np.ndarray, np.ndarray]:
     """Document ids and which of them are known."""
-    ids = batch.column("_key").slice(at, to - at)
+    ids = batch.column(_KEY).slice(at, to - at)
     return ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_valid().to_numpy(zero_copy_only=False)
 
 
@@ -224,8 +228,8 @@ def _anchor_pairs(n: int):
 
 def _window_pairs(n: int):
     def pairs(batch: pa.RecordBatch):
-        batch = batch.filter(batch.column("hashes").is_valid())
-        packed = batch.column("hashes")
+        batch = batch.filter(batch.column(_HASHES).is_valid())
+        packed = batch.column(_HASHES)
         for at, to, data, offsets in slices(batch.column("text")):
             ids, known = _rows(batch, at, to)
             mine = packed.slice(at, to - at)
@@ -249,13 +253,13 @@ def _among(h: np.ndarray, text: np.ndarray, packed: pa.Array, known: np.ndarray)
     return out
 
 
-def _remove(n: int, keep_text: bool):
+def _remove(n: int, keep_text: bool, kept_columns: list[str]):
     """mapInArrow function: drops covered words; passes the other columns on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept = [], [], []
-            packed = batch.column("hashes")
+            packed = batch.column(_HASHES)
             for at, to, data, offsets in slices(batch.column("text")):
                 _, known = _rows(batch, at, to)
                 one = _Slice(data, offsets, n)
@@ -277,11 +281,10 @@ def _remove(n: int, keep_text: bool):
                     else:
                         joined = b" ".join(w for w, ok in zip(own.split(), left, strict=True) if ok)
                     kept.append(joined if keep_text else hashlib.sha256(joined).hexdigest())
-            rest = [c for c in batch.schema.names if c not in ("hashes", "_key", "text" if not keep_text else "")]
-            columns = {c: batch.column(c) for c in rest}
+            columns = {c: batch.column(c) for c in kept_columns}
             if keep_text:
-                texts = pa.array(kept, pa.binary()).cast(pa.string())
-                columns["text"] = pa.array([None if v is None else t for v, t in zip(batch.column("text").is_valid().to_pylist(), texts.to_pylist(), strict=True)], pa.string()) if batch.column("text").null_count else texts
+                known_text = batch.column("text").is_valid().to_pylist()
+                columns["text"] = pa.array([t.decode() if ok else None for t, ok in zip(kept, known_text, strict=True)], pa.string())
             columns["n_words"] = pa.array(np.concatenate(n_words) if n_words else [], pa.int64())
             columns["n_removed"] = pa.array(n_removed, pa.int64())
             if not keep_text:
@@ -294,36 +297,35 @@ def _remove(n: int, keep_text: bool):
 def _compared(docs: DataFrame, pairs, buckets: int, only_later: bool) -> DataFrame:
     """(doc_id, hashes) of the pairs that are repeated (or not the first), one row for each document."""
     blocks = docs.mapInArrow(_collecting(pairs, buckets, only_later), _BLOCK)
-    return _merge(blocks.groupBy("bucket").applyInPandas(_resolving(only_later), _FOUND))
-
-
-def _merge(found: DataFrame) -> DataFrame:
-    """One row for each document: its finds, joined."""
-    return found.groupBy("doc_id").agg(F.collect_list("hashes").alias("parts")).select(
-        "doc_id", F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x)), "")).alias("hashes")
-    )
+    answers = blocks.groupBy("bucket").applyInPandas(_resolving(only_later, buckets), _ANSWER)
+    return answers.groupBy("target").applyInPandas(_gather, _FOUND)
 
 
 def remove_repeats(docs: DataFrame, n: int = WINDOW_WORDS, keep_text: bool = True) -> DataFrame:
     """``docs`` with the words covered by repeated windows removed from ``text``, plus n_words and n_removed.
 
+    Columns of those names that ``docs`` has are replaced; all others pass through.
+
     With ``keep_text`` a changed text is its kept words joined by one space, and an
     unchanged one stays as it was. Without it, ``text`` gives way to kept_sha256,
     the SHA-256 of the kept words joined by one space.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = BUCKETS_PER_PARTITION * partitions
-    docs = docs.withColumn("_key", F.col("doc_id").cast("long"))
-    candidates = materialize(_compared(docs.select("_key", "text"), _anchor_pairs(n), buckets, False))
+    buckets = partitions  # of hashes, and of documents; each is one group
+    docs = docs.drop("n_words", "n_removed", "kept_sha256").withColumn(_KEY, F.col("doc_id").cast("long"))
+    candidates = materialize(_compared(docs.select(_KEY, "text"), _anchor_pairs(n), buckets, False))
+
+    def beside(found: DataFrame) -> DataFrame:
+        found = found.toDF(_MATCH, _HASHES)
+        return by_doc.join(found, F.col(_KEY) == F.col(_MATCH), "left").drop(_MATCH)
+
     # Both joins read one exchange of the texts: the second level and the removal are one query.
-    by_doc = docs.repartition(partitions, "_key")
-    extended = by_doc.join(candidates.withColumnRenamed("doc_id", "_found"), F.col("_key") == F.col("_found"), "left")
-    repeats = _compared(extended, _window_pairs(n), buckets, True).withColumnRenamed("doc_id", "_found")
-    joined = by_doc.join(repeats, F.col("_key") == F.col("_found"), "left").drop("_found")
-    kept = [f for f in joined.schema.fields if f.name not in ("hashes", "text", "_key")]
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    out += ", text string" * keep_text + ", n_words long, n_removed long" + ", kept_sha256 string" * (not keep_text)
-    return joined.mapInArrow(_remove(n, keep_text), out)
+    by_doc = docs.repartition(partitions, _KEY)
+    joined = beside(_compared(beside(candidates), _window_pairs(n), buckets, True))
+    kept = [f for f in joined.schema.fields if f.name not in (_HASHES, _KEY, "text")]
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", text string" * keep_text
+    out += ", n_words long, n_removed long" + ", kept_sha256 string" * (not keep_text)
+    return joined.mapInArrow(_remove(n, keep_text, [f.name for f in kept]), out)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
