@@ -153,13 +153,10 @@ def vocabulary_file(path: str | None = None) -> bytes:
 
 
 def _mapped(docs: DataFrame, vocabulary: bytes, make, fields: str, drop: list[str]) -> DataFrame:
-    """``docs`` without ``drop``, with columns ``make(codec, texts)`` returns as lists."""
+    """``docs`` without ``drop``, with the columns ``make(codec, batch)`` returns; columns of those names are replaced."""
     file = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    kept = [f for f in docs.schema.fields if f.name not in drop]
-    names = [x.split()[0] for x in fields.split(", ")]
-    clash = {f.name for f in kept} & set(names)
-    if clash:
-        raise ValueError(f"output columns already there: {sorted(clash)}")
+    replaced = {x.split()[0].lower() for x in fields.split(", ")} | {x.lower() for x in drop}
+    kept = [f for f in docs.schema.fields if f.name.lower() not in replaced]
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

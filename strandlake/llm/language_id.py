@@ -257,9 +257,10 @@ def _predicting(model: Model, kept: list[str], spans: bool):
 def identify(docs: DataFrame, model: Model, keep_text: bool = True, spans: bool = False) -> DataFrame:
     """``docs`` plus lang_pred and lang_score, and with ``spans`` lang_spans (first word, words, language).
 
-    Only ``text`` is read for a prediction. Other columns pass through.
+    Only ``text`` is read for a prediction. Columns of the output's names are replaced, others pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x languages floats
+    docs = docs.drop("lang_pred", "lang_score", "lang_spans")
     kept = [f for f in docs.schema.fields if keep_text or f.name != "text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string, lang_score double"])
     schema += ", lang_spans array<struct<first_word:int,n_words:int,lang:string>>" * spans

@@ -164,16 +164,20 @@ def chance(doc_id: Column, seed: int = SEED) -> Column:
 
 
 def sample_mixture(docs: DataFrame, targets: dict[str, dict | None] | None = None, budget: float = BUDGET, max_cells: int = MAX_CELLS) -> DataFrame:
-    """``docs`` (doc_id, text, lang, source) plus mix_topic, mix_tokens, mix_weight, mix_probability and mix_taken."""
+    """``docs`` (doc_id, text, lang, source) plus mix_topic, mix_tokens, mix_weight, mix_probability and mix_taken.
+
+    Columns of those names are replaced; all others pass through.
+    """
+    docs = docs.drop("mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_taken")
     told = docs.withColumn("mix_topic", topic_of(F.col("text"))).withColumn("mix_tokens", tokens_of(F.col("text")))
     cells = materialize(told.groupBy("source", "lang", F.col("mix_topic").alias("topic")).agg(F.sum("mix_tokens").alias("tokens")))
     mixed, small = mix_cells(cells, targets, budget, max_cells)
     mixed = mixed.select(
-        F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"),
+        F.col("source").alias("__s"), F.col("lang").alias("__l"), F.col("topic").alias("__t"),
         F.col("weight").alias("mix_weight"), F.col("probability").alias("mix_probability"),
     )
-    same = F.col("source").eqNullSafe(F.col("_s")) & F.col("lang").eqNullSafe(F.col("_l")) & (F.col("mix_topic") == F.col("_t"))
-    joined = told.join(F.broadcast(mixed) if small else mixed, same, "left").drop("_s", "_l", "_t")
+    same = F.col("source").eqNullSafe(F.col("__s")) & F.col("lang").eqNullSafe(F.col("__l")) & (F.col("mix_topic") == F.col("__t"))
+    joined = told.join(F.broadcast(mixed) if small else mixed, same, "left").drop("__s", "__l", "__t")
     return joined.withColumn("mix_taken", chance(F.col("doc_id")) < F.col("mix_probability"))
 
 

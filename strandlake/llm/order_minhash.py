@@ -161,6 +161,7 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     equal ids follow each other in order of ``columns``; null ids come first.
     """
     spark = docs.sparkSession
+    docs = docs.drop(*[f"next_{c}" for c in columns])
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col(id_col).alias("i"))
     least = ids.agg(F.min("i"), F.count(F.when(F.col("i").isNull(), 1)).alias("nulls")).first()
@@ -176,15 +177,21 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
         F.when(starts_range, F.struct((bucket - 1).alias("bucket"), F.lit(1).alias("guest"))),
         F.when(F.coalesce(first, F.lit(False)), F.struct(F.lit(len(cuts)).alias("bucket"), F.lit(2).alias("guest"))),
     )
-    placed = docs.withColumn("_home", F.explode(F.filter(homes, lambda h: h.isNotNull())))
-    order = Window.partitionBy("_home.bucket").orderBy("_home.guest", F.col(id_col).asc_nulls_first(), *[F.col(c) for c in columns])
+    placed = docs.withColumn("__home", F.explode(F.filter(homes, lambda h: h.isNotNull())))
+    order = Window.partitionBy("__home.bucket").orderBy("__home.guest", F.col(id_col).asc_nulls_first(), *[F.col(c) for c in columns])
     told = placed.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
-    return told.where("_home.guest = 0").drop("_home")
+    return told.where("__home.guest = 0").drop("__home")
+
+
+def with_signatures(docs: DataFrame, text_col: str = "text", **sizes) -> DataFrame:
+    """``docs`` plus its Order MinHash entries and fingerprint; columns of those names are replaced."""
+    signed = docs.drop("order_minhash", "fingerprint").withColumn("order_minhash", signature(F.col(f"`{text_col}`"), **sizes))
+    return signed.withColumn("fingerprint", fingerprint(F.col("order_minhash")))
 
 
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    signed = docs.withColumn("own", signature(F.col("text")))
+    signed = with_signatures(docs).withColumnRenamed("order_minhash", "own").drop("fingerprint")
     paired = with_next(signed, "doc_id", ["text", "own"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")

@@ -318,8 +318,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int
 
 
 def score(docs: DataFrame, net: Network | None, keep_text: bool = True) -> DataFrame:
-    """``docs`` plus toxicity (0 to 1). Only ``text`` is read; other columns pass through."""
+    """``docs`` plus toxicity (0 to 1). Only ``text`` is read; a column toxicity is replaced, others pass through."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a fixed number of parameters
+    docs = docs.drop("toxicity")
     kept = [f for f in docs.schema.fields if keep_text or f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
