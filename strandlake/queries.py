@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import sequences as S
 from strandlake.functions import vectors as V
-from strandlake.operators import alignments, clusters, duplicates, kmers, ordering
+from strandlake.operators import alignments, clusters, duplicates, kmers, ordering, progressive, trees
 from strandlake.plans.strategy import plans
 from strandlake.storage import materialize
 
@@ -372,3 +372,44 @@ SELECT quality, toxic, count(*) AS n, round(avg(length(text)), 6) AS mean_chars
 def category_means(spark, sf_dir):
     both = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")), "doc_id")
     return both.groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.round(F.avg("n"), 6).alias("mean_chars"))
+
+
+# --- alignments and trees of bounded families ---------------------------------
+
+
+@query(f"""WITH {_DISTANCE}, best AS (SELECT id, ref_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(distance, 9), ref_id) AS r FROM told) WHERE r = 1)
+SELECT b.id AS doc_id, b.ref_id, levenshtein(d.seq, r.seq)::BIGINT AS edits FROM best b JOIN docs d ON b.id = d.id JOIN refs r ON b.ref_id = r.id""")
+def nearest_reference_edits(spark, sf_dir):
+    """Edit distance of each text to its nearest reference, a stated pair for each row."""
+    best = kmers.nearest_reference(_reference_distances(spark, sf_dir))
+    refs = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref_id"), S.letters(F.col("text")).alias("ref"))
+    both = best.join(_residues(spark, sf_dir).select("id", "seq"), "id").join(refs, "ref_id")
+    return both.select(F.col("id").alias("doc_id"), "ref_id", F.levenshtein("seq", "ref").cast("long").alias("edits"))
+
+
+def _center_distances(spark, sf_dir) -> DataFrame:
+    centers = clusters.centers(_vectors(spark, sf_dir), "label", "v")
+    a, b = centers.select(F.col("label").alias("i"), F.col("center").alias("a")), centers.select(F.col("label").alias("j"), F.col("center").alias("b"))
+    # one row a label: a bounded table against itself
+    return a.join(b, F.col("i") > F.col("j")).select(F.lit("centers").alias("family"), "i", "j", F.round(V.squared_distance(F.col("a"), F.col("b")), 9).alias("dist"))
+
+
+@query()
+def center_tree(spark, sf_dir):
+    """The average-linkage tree over the label centers."""
+    return trees.build(_center_distances(spark, sf_dir)).select(
+        "step", "a", "b", "node", *[F.round(c, DIGITS).alias(c) for c in ("len_a", "len_b", "height")]
+    )
+
+
+@query()
+def center_tree_weights(spark, sf_dir):
+    return trees.leaf_weights(trees.build(_center_distances(spark, sf_dir))).select("leaf", F.round("weight", DIGITS).alias("weight"))
+
+
+@query()
+def reference_alignment(spark, sf_dir):
+    """The reference set aligned in families of ten."""
+    refs = _table(spark, sf_dir, "benchmark")
+    rows = refs.select((F.col("item_id") / 10).cast("long").alias("family"), F.col("item_id").alias("name"), S.letters(F.col("text")).alias("seq"))
+    return progressive.align_families(rows)

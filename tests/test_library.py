@@ -175,3 +175,32 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(queries.ORACLE_SQL) <= set(entry.oracle_sql())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_progressive_alignment(spark):
+    from strandlake.operators import progressive
+
+    rows = [("f", 1, "ACGTACGTAC"), ("f", 2, "ACGTCGTAC"), ("f", 3, "ACGTACGGTAC"), ("g", 1, "AAA"), ("h", 1, None), ("h", 2, "AC-G")]
+    got = {(r["family"], r["name"]): r["aseq"] for r in progressive.align_families(spark.createDataFrame(rows, "family string, name int, seq string")).collect()}
+    assert {k: v.replace("-", "") for k, v in got.items()} == {(f, n): (s or "").replace("-", "") for f, n, s in rows}
+    for f in "fgh":
+        assert len({len(v) for k, v in got.items() if k[0] == f}) == 1
+    assert len(got["f", 1]) == 11
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text("ACG", max_size=8), st.text("ACG", max_size=8))
+def test_profile_merge_is_best(a, b):
+    from strandlake.operators.progressive import GAP_EXTEND, GAP_OPEN, MATCH, MISMATCH, Profile, merge
+
+    alphabet = {c: k for k, c in enumerate("ACG")}
+    x, y = merge(Profile([list(a)], alphabet), Profile([list(b)], alphabet)).rows
+    total, state = 0.0, None
+    for p, q in zip(x, y, strict=True):
+        now = "a" if p == "-" else "b" if q == "-" else None
+        if now is None:
+            total += MATCH if p == q else MISMATCH
+        else:
+            total -= GAP_EXTEND + (GAP_OPEN if now != state else 0)
+        state = now
+    assert total == pytest.approx(plain_global(a, b))
