@@ -115,7 +115,7 @@ def _answers(docs: np.ndarray, hashes: np.ndarray, targets: int) -> pd.DataFrame
 
 def _gather(group: pd.DataFrame) -> pd.DataFrame:
     """One row for each document of a group, with its finds packed."""
-    h, d = _unpack(group["hashes"]), np.frombuffer(b"".join(group["docs"]), np.int64)
+    h, d = _settle(_unpack(group["hashes"]), np.frombuffer(b"".join(group["docs"]), np.int64))
     order = np.argsort(d, kind="stable")
     h, d = h[order], d[order]
     cuts, ends = runs(d)
@@ -328,6 +328,52 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW_WORDS, keep_text: bool = Tru
     return joined.mapInArrow(_remove(n, keep_text, [f.name for f in kept]), out)
 
 
+def _doubled_pairs(length: int):
+    """Windows of twice ``length`` words whose halves are both repeated."""
+
+    def pairs(batch: pa.RecordBatch):
+        batch = batch.filter(batch.column(_HASHES).is_valid())
+        packed = batch.column(_HASHES)
+        for at, to, data, offsets in slices(batch.column("text")):
+            ids, known = _rows(batch, at, to)
+            one = _Slice(data, offsets, 2 * length)
+            starts = np.flatnonzero(one.whole)
+            halves = window_hashes(one.hashes, length)
+            text, mine = one.text[starts], packed.slice(at, to - at)
+            both = _among(halves[starts], text, mine, known) & _among(halves[starts + length], text, mine, known)
+            starts = starts[both]
+            yield window_hashes(one.hashes, 2 * length)[starts], ids[one.text[starts]]
+
+    return pairs
+
+
+def repeat_levels(docs: DataFrame, n: int = WINDOW_WORDS) -> DataFrame:
+    """(doc_id, length, n_windows): how many distinct windows of n, 2n, 4n, ... words a document shares with others.
+
+    Only windows whose halves are both repeated at one length are extended to twice
+    that length, and the levels end when none survives.
+    """
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(F.col("doc_id").cast("long").alias(_KEY), "text").repartition(partitions, _KEY)
+
+    def beside(found: DataFrame) -> DataFrame:
+        return docs.join(found.toDF(_MATCH, _HASHES), F.col(_KEY) == F.col(_MATCH), "left").drop(_MATCH)
+
+    found = materialize(_compared(docs, _anchor_pairs(n), partitions, False))
+    found = materialize(_compared(beside(found), _window_pairs(n), partitions, False))
+    levels, length = [], n
+    while not found.isEmpty():
+        levels.append(found.select("doc_id", F.lit(length).alias("length"), (F.length("hashes") / 8).cast("long").alias("n_windows")))
+        found = materialize(_compared(beside(found), _doubled_pairs(length), partitions, False))
+        length *= 2
+    if not levels:
+        return docs.sparkSession.createDataFrame([], "doc_id long, length int, n_windows long")
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs, WINDOW_WORDS, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -344,6 +344,30 @@ def test_substring_dedup(spark, n):
     assert substring_dedup.remove_repeats(docs.where("false"), n).count() == 0
 
 
+def test_repeat_levels(spark):
+    rng = np.random.default_rng(9)
+    long, short = [" ".join(f"{x}{i}" for i in range(k)) for x, k in (("p", 60), ("q", 16))]
+    rows = [(i, " ".join([*rng.choice(["a", "b", "c", "d"], 9), [long, short, ""][i % 3], *rng.choice(["a", "b", "c", "d"], 9)])) for i in range(24)]
+    docs = spark.createDataFrame([(d, t) for d, t in rows], "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], r["length"]): r["n_windows"] for r in substring_dedup.repeat_levels(docs, 5).collect()}
+    want, length = {}, 5
+    while True:
+        seen = {}
+        for d, t in rows:
+            w = WORDS.findall(t)
+            for i in range(len(w) - length + 1):
+                seen.setdefault(tuple(w[i : i + length]), set()).add(d)
+        shared = [ds for ds in seen.values() if len(ds) > 1]
+        if not shared:
+            break
+        for ds in shared:
+            for d in ds:
+                want[d, length] = want.get((d, length), 0) + 1
+        length *= 2
+    assert got == want and length > 20
+    assert substring_dedup.repeat_levels(docs.where("doc_id = 1"), 5).count() == 0
+
+
 # --- 8: language ID
 
 
