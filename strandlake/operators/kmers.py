@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequences import kmers
+from strandlake.storage import materialize
 
 # The length factor for protein-like rows.
 LENGTH_A, LENGTH_B, LENGTH_C, LENGTH_D = 0.01, 10000.0, 10000.0, 0.1
@@ -27,6 +28,10 @@ def distance(common: Column, self_a: Column, self_b: Column, len_a: Column, len_
     return F.when(least > 0, F.lit(scale) * (1.0 - common / least) * length_factor(len_a, len_b)).otherwise(F.lit(scale))
 
 
+#: Reference k-mers up to this number (about 40 bytes each) are sent to every task to drop other k-mers early.
+MAX_BROADCAST_KMERS = 1_000_000
+
+
 def reference_distances(rows: DataFrame, references: DataFrame, k: int) -> DataFrame:
     """(id, ref_id, common, distance) of ``rows`` (id, seq) and a stated reference set (id, seq) that share a k-mer.
 
@@ -34,14 +39,22 @@ def reference_distances(rows: DataFrame, references: DataFrame, k: int) -> DataF
     pair. Both sides are aggregated first, so a k-mer's weight is one row for each
     sequence that has it; the references are a bounded set, not the table itself.
     """
-    a, b = counts(rows, "id", F.col("seq"), k), counts(references, "id", F.col("seq"), k)
+    b = materialize(counts(references, "id", F.col("seq"), k))
+    known = b.select("kmer").distinct()
+    if known.limit(MAX_BROADCAST_KMERS + 1).count() <= MAX_BROADCAST_KMERS:
+        each = rows.select("id", F.explode(kmers(F.col("seq"), k)).alias("kmer")).join(F.broadcast(known), "kmer", "left_semi")
+        a = each.groupBy("id", "kmer").agg(F.count("*").alias("n"))
+    else:
+        a = counts(rows, "id", F.col("seq"), k)
     common = (
         a.join(b.select(F.col("id").alias("ref_id"), "kmer", F.col("n").alias("m")), "kmer")
         .groupBy("id", "ref_id").agg(F.sum(F.least("n", "m")).alias("common"))
     )
+
     def size(df: DataFrame, id_: str, total: str, length: str) -> DataFrame:
         n = F.length("seq")
         return df.select(F.col("id").alias(id_), F.greatest(n - (k - 1), F.lit(0)).alias(total), n.alias(length))
+
     sized = common.join(size(rows, "id", "self_a", "len_a"), "id").join(size(references, "ref_id", "self_b", "len_b"), "ref_id")
     return sized.select("id", "ref_id", F.col("common").cast("long").alias("common"), distance(*map(F.col, ("common", "self_a", "self_b", "len_a", "len_b"))).alias("distance"))
 
