@@ -302,3 +302,16 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, shard_rows: int = S
 
 def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP3_SQL = """
+WITH RECURSIVE unit AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM
+  (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL)
+  WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.label = b.label AND len(a.u) = len(b.u) AND a.vec_id <> b.vec_id AND list_dot_product(a.u, b.u) >= 0.93),
+reach AS (SELECT vec_id, vec_id AS other FROM unit UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.other = links.a),
+least AS (SELECT vec_id, min(other) AS component FROM reach GROUP BY vec_id),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, coalesce(l.component, e.vec_id) AS component_id, e.vec_id = coalesce(l.component, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN counts c ON e.vec_id = c.vec_id LEFT JOIN least l ON e.vec_id = l.vec_id
+"""

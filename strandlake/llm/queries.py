@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from strandlake.llm.bpe import op6_bpe
-from strandlake.llm.hnsw import op3_hnsw
+from strandlake.llm.hnsw import OP3_SQL, op3_hnsw
 from strandlake.llm.html_text import op10_html_text
 from strandlake.llm.language_id import op8_language_id
 from strandlake.llm.mixing import op4_mixing
 from strandlake.llm.order_minhash import op2_order_minhash
 from strandlake.llm.simhash import op5_simhash
-from strandlake.llm.substring_dedup import op7_substring_dedup
+from strandlake.llm.substring_dedup import OP7_SQL, op7_substring_dedup
 from strandlake.llm.toxicity import op9_toxicity
 from strandlake.llm.url_filter import OP1_SQL, op1_url_filters
 
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_html_text": op10_html_text,
 }
-ORACLE_SQL = {"op1_url_filters": OP1_SQL}
+ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op3_hnsw": OP3_SQL, "op7_substring_dedup": OP7_SQL}

@@ -377,3 +377,13 @@ def repeat_levels(docs: DataFrame, n: int = WINDOW_WORDS) -> DataFrame:
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs, WINDOW_WORDS, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP7_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (SELECT row, doc_id, i, array_to_string(words[i:i + 12], ' ') AS w FROM (SELECT *, unnest(range(1, len(words) - 11)) AS i FROM docs)),
+firsts AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w),
+gone AS (SELECT row, list(DISTINCT i + k) AS places FROM windows JOIN firsts USING (w), range(0, 13) t(k) WHERE first < doc_id GROUP BY row),
+left_ AS (SELECT doc_id, words, list_filter(words, lambda x, i: places IS NULL OR NOT list_contains(places, i)) AS kept FROM docs LEFT JOIN gone USING (row))
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - len(kept))::BIGINT AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM left_
+"""
