@@ -66,3 +66,34 @@ def kmers(seq: Column, k: int) -> Column:
         cs, lambda c, i: F.concat(c, *[F.get(cs, i + j) for j in range(1, k)])
     ))[0]
     return F.filter(spelled, lambda x: x.isNotNull() & (F.length(x) == k))
+
+
+# Fixed value: amino acids by codon in T, C, A, G order of the three places.
+CODON_RESIDUES = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+
+
+def kmer_code(kmer: Column, k: int, base: int = 25) -> Column:
+    """The number of a k-mer, least place first; null if a residue is outside the table."""
+    digits = [F.instr(F.lit(RESIDUES), F.substring(kmer, i + 1, 1)) - 1 for i in range(k)]
+    total = sum((d.cast("long") * base**i for i, d in enumerate(digits[1:], 1)), digits[0].cast("long"))
+    return F.when(F.least(*digits) >= 0 if k > 1 else digits[0] >= 0, total)
+
+
+def digits_of(number: Column, k: int, base: int = 25) -> Column:
+    """The ``k`` digits of a number, least place first."""
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(number / F.pow(F.lit(float(base)), i)).cast("long") % base)
+
+
+def one_hot(code: Column, size: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (i == code).cast("int"))
+
+
+def translated(seq: Column) -> Column:
+    """Residues of a nucleotide row, three by three; X where a codon is unknown, an incomplete end is dropped."""
+    place = lambda c: F.instr(F.lit("TCAG"), F.translate(c, "Uu", "TT")) - 1
+
+    def residue(codon: Column) -> Column:
+        a, b, c = (place(F.substring(codon, i, 1)) for i in (1, 2, 3))
+        return F.when(F.least(a, b, c) >= 0, F.substring(F.lit(CODON_RESIDUES), a * 16 + b * 4 + c + 1, F.lit(1))).otherwise("X")
+
+    return F.array_join(F.transform(F.regexp_extract_all(seq, F.lit("(...)"), 1), residue), "")

@@ -413,3 +413,89 @@ def reference_alignment(spark, sf_dir):
     refs = _table(spark, sf_dir, "benchmark")
     rows = refs.select((F.col("item_id") / 10).cast("long").alias("family"), F.col("item_id").alias("name"), S.letters(F.col("text")).alias("seq"))
     return progressive.align_families(rows)
+
+
+# --- more projections, samples and records ------------------------------------
+
+
+@query(f"""
+SELECT code, count(*) AS n FROM (SELECT CASE WHEN least(a, b) >= 0 THEN (a + 25 * b)::BIGINT END AS code FROM
+  (SELECT instr('{S.RESIDUES}', substr(kmer, 1, 1)) - 1 AS a, instr('{S.RESIDUES}', substr(kmer, 2, 1)) - 1 AS b FROM ({_KMERS.format(k=2)}))) GROUP BY code
+""")
+def kmer_codes(spark, sf_dir):
+    each = kmers.counts(_residues(spark, sf_dir), "id", F.col("seq"), 2)
+    return each.groupBy(S.kmer_code(F.col("kmer"), 2).alias("code")).agg(F.sum("n").alias("n"))
+
+
+@query("""
+SELECT family, keep, count(*) AS n FROM (SELECT family, pos, CASE WHEN bool_and(residue = '-') THEN 'all gaps' WHEN bool_or(residue = '-') THEN 'some gaps' ELSE 'solid' END AS keep
+FROM (""" + _CELLS + """) GROUP BY family, pos) GROUP BY family, keep""")
+def column_classes(spark, sf_dir):
+    """How many columns are all gaps, partly gaps or solid."""
+    gap = F.col("residue") == "-"
+    kept = _cells(spark, sf_dir).groupBy("family", "pos").agg(
+        F.when(F.bool_and(gap), "all gaps").when(F.bool_or(gap), "some gaps").otherwise("solid").alias("keep")
+    )
+    return kept.groupBy("family", "keep").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT doc_id, round(key, 9) AS key FROM (SELECT doc_id, -ln((('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT + 1) / 4294967297.0::DOUBLE) / greatest(length(text), 1) AS key FROM documents)
+ORDER BY key, doc_id LIMIT 100
+""")
+def weighted_sample(spark, sf_dir):
+    """A hundred texts drawn without replacement, weighted by length: the least of -ln(u) / weight (a sampling operator)."""
+    u = (F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("double") + 1) / 4294967297.0
+    key = -F.log(u) / F.greatest(F.length("text"), F.lit(1))
+    drawn = _table(spark, sf_dir, "documents").select("doc_id", key.alias("key")).orderBy("key", "doc_id").limit(100)
+    return drawn.select("doc_id", F.round("key", 9).alias("key"))
+
+
+@query("""
+SELECT before, event_type, count(*) AS n FROM (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) GROUP BY before, event_type
+""")
+def event_transitions(spark, sf_dir):
+    """First-order transition counts of each user's ordered events."""
+    from pyspark.sql import Window
+
+    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return _table(spark, sf_dir, "events").select(before.alias("before"), "event_type").groupBy("before", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT event_type, count(*) AS n, sum((props->>'$.k')::BIGINT)::BIGINT AS k_sum, round(avg(value), 6) AS mean_value FROM events GROUP BY event_type
+""")
+def event_properties(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("long")
+    return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("k_sum"), F.round(F.avg("value"), 6).alias("mean_value"))
+
+
+@query("""
+SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL
+""")
+def event_windows(spark, sf_dir):
+    """The batch form of the event-time windows of ``streaming``."""
+    from strandlake.streaming.assign import windowed_counts
+
+    return windowed_counts(_table(spark, sf_dir, "events"), "ts", "event_type").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("""
+SELECT n_nationkey AS nation, c_mktsegment AS segment, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+GROUP BY n_nationkey, c_mktsegment
+""")
+def category_totals(spark, sf_dir):
+    """Facts met with two dimensions and summed by category."""
+    orders = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return orders.join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(
+        F.col("n_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")
+    ).agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query()
+def center_newick(spark, sf_dir):
+    """The tree over the label centers as text."""
+    distances = _center_distances(spark, sf_dir)
+    leaves = distances.select("i").union(distances.select("j")).distinct()
+    names = leaves.select(F.lit("centers").alias("family"), F.col("i").alias("leaf"), F.concat(F.lit("label"), F.col("i").cast("string")).alias("name"))
+    return trees.newick(trees.build(distances), names)

@@ -204,3 +204,19 @@ def test_profile_merge_is_best(a, b):
             total -= GAP_EXTEND + (GAP_OPEN if now != state else 0)
         state = now
     assert total == pytest.approx(plain_global(a, b))
+
+
+def test_residue_functions(spark):
+    from pyspark.sql import functions as F
+
+    from strandlake.functions import sequences as S
+    from strandlake.functions import vectors as V
+
+    row = spark.range(1).select(
+        S.translated(F.lit("ATGGCCTAAxx")).alias("t"), S.kmer_code(F.lit("RA"), 2).alias("c"), S.digits_of(F.lit(1 + 25 * 3), 2).alias("d"),
+        S.one_hot(F.lit(1), 3).alias("o"), S.dealign(F.lit("A-C.G~")).alias("g"), V.kimura(F.lit(0.5)).alias("k"), V.kimura(F.lit(0.95)).alias("far"),
+        S.kmers(F.lit("abcd"), 2).alias("m"), S.kmers(F.lit("a"), 2).alias("none"),
+    ).first()
+    assert (row["t"], row["c"], list(row["d"]), list(row["o"]), row["g"]) == ("MA*", 1, [1, 3], [0, 1, 0], "ACG")
+    assert row["k"] == pytest.approx(-math.log(1 - 0.5 - 0.05)) and row["far"] == 10
+    assert list(row["m"]) == ["ab", "bc", "cd"] and list(row["none"]) == []
