@@ -34,7 +34,7 @@ BUCKETS = 1 << 18
 MAX_WORDS, MAX_GRAMS, LEAST_TEXTS = 8_000, 24_000, 3
 ORDERS = (3, 5, 7)
 WORD_DIM = CHAR_DIM = HIDDEN = 8
-TRAIN_ROWS, TRAIN_BYTES = 2_000, 12_000_000
+TRAIN_ROWS, TRAIN_BYTES = 2_000, 6_000_000
 #: Rounds of choosing windows; in each at least about STEPS steps are taken.
 ROUNDS, STEPS, STEP_SIZE, BATCH, SEED = 8, 60, 0.02, 256, 7
 _WORDY = np.zeros(256, bool)
@@ -61,8 +61,9 @@ class Inputs:
         begin, found = word_grams(data, starts[one], ends[one], ORDERS, BUCKETS)
         lengths = np.diff(np.r_[begin, len(found[0][0])]) if found else np.empty(0, np.int64)
         owner = np.repeat(np.arange(len(one)), lengths)
-        self.gram = np.concatenate([f[ok] for f, ok in found])
-        self.owner = np.concatenate([owner[ok] for _, ok in found])
+        self.gram = np.concatenate([f[ok].astype(np.int32) for f, ok in found])
+        self.owner = np.concatenate([owner[ok].astype(np.int32) for _, ok in found])
+        del found, owner
         order = np.argsort(self.owner, kind="stable")
         self.gram, self.owner = self.gram[order], self.owner[order]
         self.n_grams = np.bincount(self.owner, minlength=len(one))
@@ -212,13 +213,11 @@ class _Adam:
             params[k] -= (self.size * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)).astype(np.float32)
 
 
-def _log_odds(feature: np.ndarray, text: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """By feature: log of its document frequency in toxic texts over that in clean ones, smoothed; 0 if rare."""
-    pair = np.unique(text * BUCKETS + feature)
-    label, feature = toxic[pair // BUCKETS], pair % BUCKETS
-    frequency = [(np.bincount(feature[label == y], minlength=BUCKETS) + 0.5) / ((toxic == y).sum() + 1) for y in (0, 1)]
-    seen = np.bincount(feature, minlength=BUCKETS)
-    return np.where(seen >= LEAST_TEXTS, np.clip(np.log(frequency[1] / frequency[0]), -4, 4) * np.minimum(1, np.log1p(seen) / 3), 0)
+def _log_odds(count: list[np.ndarray], texts: list[int]) -> np.ndarray:
+    """By feature: log of its rate in toxic texts over that in clean ones, smoothed; 0 if rare."""
+    rate = [(c + 0.5) / (n + 1) for c, n in zip(count, texts, strict=True)]
+    seen = count[0] + count[1]
+    return np.where(seen >= LEAST_TEXTS, np.clip(np.log(rate[1] / rate[0]), -4, 4) * np.minimum(1, np.log1p(seen) / 3), 0)
 
 
 def _choose(net: Network, table: str, odds: np.ndarray, most: int) -> None:
@@ -236,13 +235,14 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = SEED) -> Network:
     ((_, _, data, offsets),) = slices(column, 1 << 40)
     inputs = Inputs(data, offsets)
     text_of_word = np.repeat(np.arange(len(texts)), inputs.count)
-    word_odds = _log_odds(inputs.bucket[inputs.word], text_of_word, toxic)
-    pairs = np.unique(np.stack([text_of_word, inputs.word]), axis=1)
-    reps = inputs.n_grams[pairs[1]]
-    begin = np.cumsum(inputs.n_grams) - inputs.n_grams
-    place = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(begin[pairs[1]], reps)
-    char_odds = _log_odds(inputs.gram[place], np.repeat(pairs[0], reps), toxic)
-    del pairs, reps, place
+    # texts that have each distinct word, by class; a gram counts once for each word and text that has it
+    pair = np.unique(text_of_word * len(inputs.hash) + inputs.word)
+    label, word = toxic[pair // max(1, len(inputs.hash))], pair % max(1, len(inputs.hash))
+    of_class = [np.bincount(word[label == y], minlength=len(inputs.hash)) for y in (0, 1)]
+    del pair, label, word
+    sizes = [int((toxic == y).sum()) for y in (0, 1)]
+    word_odds = _log_odds([np.bincount(inputs.bucket, c, BUCKETS) for c in of_class], sizes)
+    char_odds = _log_odds([np.bincount(inputs.gram, c[inputs.owner], BUCKETS) for c in of_class], sizes)
     _choose(net, "word", word_odds, MAX_WORDS)
     _choose(net, "char", char_odds, MAX_GRAMS)
 
