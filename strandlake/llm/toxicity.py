@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.language_id import held_out
 from strandlake.llm.textblocks import Words, slices, word_grams
+from strandlake.storage import materialize
 
 WINDOW, STRIDE = 16, 8
 BUCKETS = 1 << 18
@@ -304,13 +305,16 @@ def _scatter(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> Network | None:
     """Learn from the labelled rows of ``docs`` (doc_id, text) that are not held out."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    learn = docs.select("doc_id", "text").where(F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).join(known, "doc_id")
-    sizes = {r["toxic"]: r for r in learn.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()}
+    learn = docs.where(F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    sized = learn.select("doc_id", F.octet_length("text").alias("bytes")).join(known, "doc_id").where(F.col("toxic").isin(0, 1))
+    sizes = {r["toxic"]: r for r in sized.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).collect()}
     if not {0, 1} <= set(sizes):
         return None
     every = {y: max(1, -(-sizes[y]["n"] // rows), -(-sizes[y]["b"] // (size // 2))) for y in (0, 1)}
     modulus = F.when(F.col("toxic") == 1, every[1]).otherwise(every[0])
-    sample = learn.where(F.col("toxic").isin(0, 1) & (F.pmod(F.xxhash64("doc_id"), modulus) == 0)).select("doc_id", "text", "toxic")
+    chosen = materialize(sized.where(F.pmod(F.xxhash64("doc_id"), modulus) == 0).select("doc_id", "toxic").distinct())
+    few = chosen.limit(4 * rows + 1).count() <= 4 * rows  # texts stay where they are; the chosen ids go to them
+    sample = learn.select("doc_id", "text").join(F.broadcast(chosen) if few else chosen, "doc_id")
     got = sample.toPandas().sort_values(["doc_id", "text"])  # bounded by rows and size
     if got["toxic"].nunique() < 2:
         return None
@@ -327,7 +331,7 @@ def score(docs: DataFrame, net: Network | None, keep_text: bool = True) -> DataF
         net = shared.value
         for batch in batches:
             out = [np.zeros(0, np.float32)]
-            for at, to, data, offsets in slices(batch.column("text"), 1_000_000):
+            for at, to, data, offsets in slices(batch.column("text")):
                 if net is None:
                     out.append(np.zeros(to - at, np.float32))
                 else:
