@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PLAIN_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-MAX_KEPT = 500_000
+MAX_KEPT = 150_000
 MAX_KEPT_CHARS = 40
 _ROWS = 256
 

@@ -32,7 +32,7 @@ TRAIN_ROWS = 2_000
 SWITCH_PENALTY = 12.0
 WORD_LIMIT = 6.0
 UNKNOWN = "und"
-_WORDS_AT_ONCE = 1_000_000
+_WORDS_AT_ONCE = 400_000
 
 # First code points of blocks of scripts; a block lasts to the next start.
 SCRIPT_STARTS = [

@@ -178,7 +178,7 @@ def _compare(rows, buckets: int, only_later: bool) -> Iterator[pd.DataFrame]:
 
 
 #: A task's pairs are settled and sent whenever it holds this many.
-_HOLD = 4_000_000
+_HOLD = 1_500_000
 
 
 def _collecting(pairs, buckets: int, only_later: bool):

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are processed in slices of about this many bytes (one text may be longer).
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
