@@ -3,12 +3,16 @@
 A page becomes a tree of elements with, for each, its characters, link characters,
 tags and link tags. An element's composite density is its characters for each tag,
 scaled down by the share of its text that stands in links; its density sum is the
-sum of its children's densities. Starting from the element with the greatest
-density sum, the path up to the body gives the threshold (the least density on that
-path), and the greatest density sum among elements at or above it is the subtree
-that is returned, without parts that are no running text: elements named as, or
-classed like, menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments.
+sum of its children's densities. The sum favours the container of most paragraphs,
+which can be one section, list or quote of an article. So from the element with the
+greatest density sum the choice is lifted towards the body: over every element that
+adds text mostly outside links, and over the body itself if a block beside the path
+is a heading or has as many characters a tag, links aside, as the thinnest element
+of the path. Blocks beside the path whose text is mostly links are not taken, nor
+are parts that are no running text: elements named as, or classed like, menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
+comments. This departs from the published method, which judges each subtree by the
+composite density alone; that grows with the size of a block and loses short ones.
 
 Defined results: a null or empty page gives the empty string; a page without
 markup is its own text; unclosed and stray tags are repaired as browsers do for
@@ -43,6 +47,7 @@ CLOSES = {
     "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"},
 }
 SCOPE = frozenset("ul ol dl table td th select body html article section main div".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_P = BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup"}
 _BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|menu|nav|navbar|navigation|"
@@ -200,18 +205,61 @@ def _density(node: Node, body_ratio: float) -> float:
     return max(0.0, node.chars / tags * math.log(max(1.0, inner)) / max(1.0, math.log(max(math.e, base))))
 
 
-def _main_subtree(blocks: list[Node]) -> Node:
-    """The greatest density sum among the blocks as dense as the thinnest on its path to the body."""
-    best = max(blocks, key=lambda x: x.total)
-    path, node = [best], best.up
-    while node is not None and node.name not in ("html", "#root"):
-        path.append(node)
-        node = node.up
-    threshold = min(x.density for x in path)
-    return max((x for x in blocks if x.density >= threshold), key=lambda x: x.total)
+def _linked(node: Node) -> bool:
+    """Whether most of an element's characters stand in links."""
+    return node.link_chars * 2 > node.chars
+
+
+def _plainness(node: Node) -> float:
+    """Characters outside links for each tag. Unlike the composite density it doesn't grow with the size of a block."""
+    return (node.chars - node.link_chars) / max(1, node.tags)
+
+
+def _children(node: Node) -> list[Node]:
+    return [x for x in node.parts if isinstance(x, Node) and not x.left_out]
+
+
+def _holds_running_text(node: Node, threshold: float) -> bool:
+    """Whether the block is a heading, or it or one below it passes the threshold."""
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        if x.name in BLOCK and x.chars and not _linked(x) and (x.name in HEADINGS or _plainness(x) >= threshold):
+            return True
+        stack += _children(x)
+    return False
 
 
-def _blocks(top: Node) -> list[str]:
+def _main_subtree(blocks: list[Node]) -> tuple[Node, set[Node]]:
+    """The main block, and the blocks of links in it that are left out.
+
+    From the block of the greatest density sum the choice is lifted: below the body, to
+    each block that adds text mostly outside links; to the body, if a block beside the
+    path passes the threshold, the least plain density on the path, or is a heading.
+    """
+    best = max(blocks, key=lambda x: x.total)
+    path = [best]
+    while path[-1].name != "body" and path[-1].up is not None:
+        path.append(path[-1].up)
+    if path[-1].name != "body" and any(x.name == "body" for x in blocks):  # best stands around or after the body
+        path = [best]
+    threshold = min(_plainness(x) for x in path)
+    top = 0
+    for k in range(1, len(path)):
+        node, under = path[k], path[k - 1]
+        beside = [x for x in _children(node) if x is not under and x.name in BLOCK]
+        if k < len(path) - 1:
+            chars, links = node.chars - under.chars, node.link_chars - under.link_chars
+            lifted = chars > links * 2 or any(_holds_running_text(x, threshold) for x in beside)
+        else:
+            lifted = any(_holds_running_text(x, threshold) for x in beside)
+        if lifted:
+            top = k
+    linked = {x for k in range(1, top + 1) for x in _children(path[k]) if x is not path[k - 1] and x.name in BLOCK and x.chars and _linked(x)}
+    return path[top], linked
+
+
+def _blocks(top: Node, without: set[Node]) -> list[str]:
     """Texts of the blocks below ``top`` in page order, white space collapsed."""
     out, run = [], []
 
@@ -228,7 +276,7 @@ def _blocks(top: Node) -> list[str]:
             close()
         elif isinstance(x, str):
             run.append(x)
-        elif not x.left_out:
+        elif not x.left_out and x not in without:
             if x.name in BLOCK:
                 close()
                 stack.append(None)
@@ -242,7 +290,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     order = _measure(parse(page))
-    return " ".join(_blocks(_main_subtree(order)))
+    return " ".join(_blocks(*_main_subtree(order)))
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

@@ -469,6 +469,30 @@ def test_html_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def _p(letter, size, n):
+    return f"<p>{letter * size}</p>" * n
+
+
+_MENU = "<ul>" + "<li><a href='/x'>menu item</a></li>" * 6 + "</ul>"
+
+
+@pytest.mark.parametrize(
+    "article",
+    [
+        f"<article><h1>{'t' * 40}</h1><section>{_p('a', 200, 8)}</section><section>{_p('b', 200, 6)}</section></article>",
+        f"<div><h1>{'t' * 40}</h1><div>{_p('a', 200, 8)}</div><div>{_p('b', 200, 6)}</div></div>",
+        f"<article>{_p('a', 200, 3)}<ul>{'<li>' + 'b' * 100 + '</li>'}{('<li>' + 'c' * 100 + '</li>') * 29}</ul>{_p('d', 60, 1)}</article>",
+        f"<div>{_p('a', 60, 1)}<blockquote>{_p('b', 300, 9)}</blockquote>{_p('c', 150, 2)}</div>",
+        f"<div>{_p('a', 200, 8)}</div><div>{_p('b', 200, 6)}</div>",
+        f"<h1>{'t' * 40}</h1><div>{_p('a', 200, 8)}</div>",
+    ],
+)
+def test_html_article_of_several_parts(article):
+    want = " ".join(x for x in re.split(r"<[^>]+>", article) if x)
+    for page in (article, f"<body>{article}</body>", f"<body>{_MENU}{article}{_MENU}</body>", f"<body><div>{_MENU}{article}</div></body>"):
+        assert html_text.main_text(page) == want
+
+
 def test_html_pages(spark):
     import html
 
