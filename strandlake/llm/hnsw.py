@@ -2,10 +2,11 @@
 
 Vectors of one label and length are dealt into shards by a hash; each shard becomes
 a graph, written as one row of a table. Every vector then queries every shard of
-its label in blocks. A block starts with a beam of ``BEAM`` and doubles it until two
-things hold: no beam is filled by links alone, and on audited queries, compared
-with all vectors of the shard, the links found reach ``AUDIT_RECALL``. A beam as wide
-as the shard compares everything, so widening ends. Links are verified by cosine in
+its label in blocks. A block starts with a beam of ``BEAM``; queries whose
+beams are filled by links alone are compared with the whole shard, and so are all if
+on audited queries, themselves compared so, the links found miss ``AUDIT_RECALL``.
+Audits count links to other vectors only, and pass on ``AUDIT_LINKS`` true links at
+least: a block with fewer compares everything, by matrix products. Links are verified by cosine in
 double precision, counted, and joined into components.
 
 Exact copies are one node of a graph, with their number. Defined results: vectors
@@ -28,7 +29,7 @@ from strandlake.storage import materialize
 COSINE = 0.93
 SHARD_ROWS, BLOCK_ROWS = 8192, 8192
 LINKS, BUILD_BEAM, BEAM = 12, 48, 64
-AUDIT_ROWS, AUDIT_RECALL = 96, 0.995
+AUDIT_ROWS, AUDIT_RECALL, AUDIT_LINKS = 96, 0.995, 200
 _AT_ONCE = 512
 _OPEN_AT_ONCE = 4
 _INDEX = "label int, dim int, shard int, nodes binary, copies binary, vectors binary, links binary, levels binary"
@@ -205,27 +206,35 @@ def _links_of(graph: Graph, exact: np.ndarray, q: np.ndarray, cosine: float, bea
     return np.concatenate(of_query), np.concatenate(of_vector), full
 
 
-def find_links(graph: Graph, exact: np.ndarray, q: np.ndarray, cosine: float, beam: int = BEAM, recall: float = AUDIT_RECALL):
-    """All links of the queries the audits ask for: pairs, widening beams until they pass."""
+def find_links(graph: Graph, exact: np.ndarray, q: np.ndarray, cosine: float, beam: int = BEAM, recall: float = AUDIT_RECALL, own: np.ndarray | None = None):
+    """All links of the queries the audits ask for: pairs by beams if these pass, else by comparing everything.
+
+    ``own`` is the place of each query among the vectors, -1 for none; an audit doesn't count that pair.
+    """
+    own = np.full(len(q), -1) if own is None else own
     audited = np.unique(np.linspace(0, len(q) - 1, min(AUDIT_ROWS, len(q))).astype(int))
-    truth = [np.flatnonzero(exact @ q[i] >= cosine) for i in audited]
-    open_, pairs = np.arange(len(q)), []
     expected = np.zeros(len(q), np.int64)
-    expected[audited] = [len(t) for t in truth]
+    for i in audited:
+        true = np.flatnonzero(exact @ q[i] >= cosine)
+        expected[i] = (true != own[i]).sum()
     is_audited = np.zeros(len(q), bool)
     is_audited[audited] = True
+    open_, pairs = np.arange(len(q)), []
     while True:
+        if expected[open_].sum() < AUDIT_LINKS:  # no beam could be judged
+            beam = len(exact)
         i, v, full = _links_of(graph, exact, q[open_], cosine, beam)
-        count = np.bincount(i, minlength=len(open_))
+        count = np.bincount(i[v != own[open_[i]]], minlength=len(open_))
         judged = is_audited[open_] & ~full
-        reached = count[judged].sum() >= recall * expected[open_[judged]].sum()
+        true_links = expected[open_[judged]].sum()
+        reached = beam >= len(exact) or (true_links >= AUDIT_LINKS and count[judged].sum() >= recall * true_links)
         closing = ~full if reached else np.zeros(len(open_), bool)
         keep = closing[i]
         pairs.append((open_[i[keep]], v[keep]))
         open_ = open_[~closing]
         if not len(open_):
             return np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs])
-        beam = beam * 2 if beam * 8 < len(exact) else len(exact)  # from a quarter of the shard on, compare everything
+        beam = len(exact)
 
 
 def _query(cosine: float):
@@ -242,7 +251,8 @@ def _query(cosine: float):
             at += len(nodes) * w
         q = _unit(np.stack(queries["embedding"].to_numpy()).astype(np.float32))
         own = queries["node"].to_numpy(np.int64)
-        i, v = find_links(Graph(exact.astype(np.float32), links), exact, q, cosine)
+        place = np.minimum(np.searchsorted(nodes, own), len(nodes) - 1)  # _build sorts nodes
+        i, v = find_links(Graph(exact.astype(np.float32), links), exact, q, cosine, own=np.where(nodes[place] == own, place, -1))
         other = own[i] != nodes[v]
         i, v = i[other], v[other]
         n = np.bincount(i, weights=copies[v], minlength=len(own)).astype(np.int64)

@@ -202,6 +202,35 @@ def test_mixing(spark):
     assert mixing.sample_mixture(odd).count() == 3 and mixing.sample_mixture(odd.where("false")).count() == 0
 
 
+class SelfFinder:
+    """A graph whose beams find the nearest vector alone, unless they are as wide as the graph."""
+
+    def __init__(self, x):
+        self.x = x
+
+    def search(self, q, beam):
+        sims = q @ self.x.T
+        if beam >= len(self.x):
+            return np.broadcast_to(np.arange(len(self.x)), sims.shape), sims
+        ids, out = np.full((len(q), beam), -1), np.full((len(q), beam), -2, np.float32)
+        ids[:, 0], out[:, 0] = sims.argmax(axis=1), sims.max(axis=1)
+        return ids, out
+
+
+@pytest.mark.parametrize("pairs", [3, 200])
+def test_hnsw_audits_need_links(pairs):
+    rng = np.random.default_rng(3)
+    x = hnsw._unit(rng.normal(size=(1000, 32)))
+    audited = np.unique(np.linspace(0, 999, hnsw.AUDIT_ROWS).astype(int))
+    free = np.setdiff1d(np.arange(1000), audited)[: 2 * pairs]
+    x[free[1::2]] = hnsw._unit(x[free[::2]] + 0.001 * rng.normal(size=(pairs, 32)))
+    i, v = hnsw.find_links(SelfFinder(x.astype(np.float32)), x, x, 0.93, own=np.arange(1000))
+    want = {(int(a), int(b)) for a, b in np.argwhere(x @ x.T >= 0.93)}
+    assert set(zip(i.tolist(), v.tolist(), strict=True)) == want and len(want) == 1000 + 2 * pairs
+    i, v = hnsw.find_links(hnsw.Graph(x.astype(np.float32), [np.full((1000, 24), -1, np.int32)]), x, x, 0.93, own=np.arange(1000))
+    assert set(zip(i.tolist(), v.tolist(), strict=True)) == want
+
+
 # --- 5: SimHash
 
 
@@ -274,6 +303,7 @@ def test_components(spark):
     assert components.connected_components(edges.where("false")).count() == 0
 
 
+
 # --- 6: BPE
 
 
