@@ -1,9 +1,12 @@
 """Connected components of an edge table, as rounds of joins and partial minima.
 
-Each round every node takes the least label among its own and its neighbours'
-labels, then the label of that label (pointer jumping), until nothing changes.
-Minima are pre-aggregated before each shuffle, so a hub's edges never meet in one
-task. Each round is written to the shared folder; nothing is collected but counts.
+Each round every label with a lower neighbour is hooked to the least one, hooks are
+followed to their ends by pointer jumping, and links are redrawn between the labels
+that are left, until no link is left. A label that outlives two rounds has taken in
+all its neighbours of the first, so two rounds halve the labels of a component at
+least, and jumps double: both are logarithmic and need no cap. Minima are
+pre-aggregated before each shuffle, so a hub's edges never meet in one task. Each
+round is written to the shared folder; nothing is collected but whether it moved.
 """
 
 from __future__ import annotations
@@ -45,28 +48,36 @@ class Forest:
             self.up[high[one]] = self._roots(low[one])
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _ordered(links: DataFrame) -> DataFrame:
+    """Distinct (low, high) of links (a, b), without loops."""
+    return links.where("a <> b").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct()
+
+
+def _rooted(hooks: DataFrame) -> DataFrame:
+    """(label, root) of hooks (label, root): each followed to its end. Roots are lower than labels, so it has one."""
+    while True:
+        above = hooks.select(F.col("label").alias("root"), F.col("root").alias("above"))
+        after = materialize(
+            hooks.join(above, "root", "left").select("label", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved"))
+        )
+        hooks = after.select("label", "root")
+        if after.where("moved").isEmpty():
+            return hooks
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of ``edges`` (a, b); component is the least node reachable.
 
     Repeated edges, loops and both directions are fine; null ends are ignored. An
     empty table gives an empty table.
     """
-    ends = edges.select("a", "b").dropna().where("a <> b")
-    both = materialize(ends.union(ends.select(F.col("b"), F.col("a"))).distinct().toDF("node", "other"))
-    labels = materialize(both.groupBy("node").agg(F.min(F.least("node", "other")).alias("label")))
-    for _ in range(max_rounds):
-        if labels.isEmpty():
-            break
-        of_other = labels.select(F.col("node").alias("other"), F.col("label").alias("seen"))
-        nearest = both.join(of_other, "other").groupBy("node").agg(F.min("seen").alias("seen"))
-        stepped = labels.join(nearest, "node").select("node", "label", F.least("label", "seen").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("jumped"))
-        after = materialize(
-            stepped.join(jump, "low").select("node", F.least("low", "jumped").alias("label"), (F.least("low", "jumped") < F.col("label")).alias("moved"))
-        )
-        labels = after.select("node", "label")
-        if after.where("moved").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+    links = materialize(_ordered(edges.select("a", "b").dropna()))
+    nodes = links.select(F.explode(F.array("low", "high")).alias("node")).distinct()
+    labels = materialize(nodes.select("node", F.col("node").alias("label")))
+    while not links.isEmpty():
+        up = _rooted(materialize(links.groupBy(F.col("high").alias("label")).agg(F.min("low").alias("root"))))
+        labels = materialize(labels.join(up, "label", "left").select("node", F.coalesce("root", "label").alias("label")))
+        low, high = up.toDF("low", "low_root"), up.toDF("high", "high_root")
+        moved = links.join(high, "high").join(low, "low", "left")  # every high has a lower neighbour, so a root
+        links = materialize(_ordered(moved.select(F.coalesce("low_root", "low").alias("a"), F.col("high_root").alias("b"))))
     return labels.withColumnRenamed("label", "component")

@@ -303,6 +303,13 @@ def test_components(spark):
     assert components.connected_components(edges.where("false")).count() == 0
 
 
+def test_components_of_a_falling_chain(spark):
+    chain = [0, *range(200, 0, -1)]
+    star = [(2000, 1000 + i) for i in range(50)]
+    edges = spark.createDataFrame([*zip(chain, chain[1:], strict=False), *star], "a long, b long")
+    got = {r["node"]: r["component"] for r in components.connected_components(edges).collect()}
+    assert got == {x: 0 for x in chain} | {x: 1000 for x in [2000, *range(1000, 1050)]}
+
 
 # --- 6: BPE
 
