@@ -47,12 +47,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, ids and whether the ids decode to the text."""
-    vocabulary = bpe.vocabulary_file()
-    encoded = bpe.encode(docs.select("doc_id", "source", "lang", "text"), vocabulary)
-    return bpe.decode(encoded, vocabulary).select(
-        "doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids",
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
-    )
+    encoded = bpe.encode_and_check(docs.select("doc_id", "source", "lang", "text"), bpe.vocabulary_file())
+    return encoded.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [
