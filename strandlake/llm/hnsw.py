@@ -2,18 +2,24 @@
 
 Vectors of one label and length are dealt into shards by a hash; each shard becomes
 a graph, written as one row of a table. Every vector then queries every shard of
-its label in blocks. A block starts with a beam of ``BEAM``; queries whose
-beams are filled by links alone are compared with the whole shard, and so are all if
-on audited queries, themselves compared so, the links found miss ``AUDIT_RECALL``.
-Audits count links to other vectors only, and pass on ``AUDIT_LINKS`` true links at
-least: a block with fewer compares everything, by matrix products. Links are verified by cosine in
+its label by beam search; nothing is compared with a whole shard but audits.
+
+Beams are as wide as audits ask. When a graph is built, ``AUDIT_ROWS`` of its
+vectors are turned away until their cosine is just the threshold, and searched for:
+the hardest links there can be, in any number, and no query stands in the graph
+itself. The beam doubles from ``BEAM`` until ``AUDIT_RECALL`` of the true links of
+these queries are found. Where a block of vectors queries the shard, some of them are audited again
+by their own true links, themselves left out, with the same doubling; and a query
+whose beam is filled by links alone goes on with twice the beam until it is not.
+:func:`near_vectors` can return the pooled audits. Links are verified by cosine in
 double precision, counted, and joined into components.
 
 Exact copies are one node of a graph, with their number. Defined results: vectors
 that are null, empty, zero, or hold null or non-finite components, and rows with a
-null label or vec_id, link with nothing; rows that repeat a vec_id are rows of their
-own for n_links. Recall rests on the audits, so links are found with the stated
-recall, never invented.
+null label or vec_id, link with nothing; vectors of different lengths don't link;
+rows that repeat a vec_id are rows of their own for n_links; an empty table gives an
+empty table. Recall rests on the audits, so links are found with the stated recall,
+never invented.
 """
 
 from __future__ import annotations
@@ -27,13 +33,14 @@ from strandlake.llm.components import Forest, connected_components
 from strandlake.storage import materialize
 
 COSINE = 0.93
-SHARD_ROWS, BLOCK_ROWS = 8192, 8192
-LINKS, BUILD_BEAM, BEAM = 12, 48, 64
-AUDIT_ROWS, AUDIT_RECALL, AUDIT_LINKS = 96, 0.995, 200
+#: A shard's graph is sent once for each block of queries, eight times as many as it has vectors.
+SHARD_ROWS, BLOCK_ROWS = 8192, 65536
+LINKS, BUILD_BEAM, BEAM = 12, 48, 32
+AUDIT_ROWS, AUDIT_RECALL = 256, 0.995
 _AT_ONCE = 512
 _OPEN_AT_ONCE = 4
-_INDEX = "label int, dim int, shard int, nodes binary, copies binary, vectors binary, links binary, levels binary"
-_FOUND = "a long, b long, n long"
+_INDEX = "label int, dim int, shard int, nodes binary, copies binary, vectors binary, links binary, levels binary, beam int, expected long, reached long"
+_FOUND = "a long, b long, n long, beam int, expected long, reached long"
 
 
 class Graph:
@@ -63,6 +70,31 @@ class Graph:
                 if here.any():
                     self._connect(new[here], found[here], sims[here], k)
             done = new[-1] + 1
+        self._join_parts()
+
+    def _reached(self) -> np.ndarray:
+        """Which nodes the way in leads to on the lowest level."""
+        seen = np.zeros(len(self.x), bool)
+        front = np.zeros(1, np.int64)
+        while len(front):
+            seen[front] = True
+            near = np.unique(self.links[0][front])
+            front = near[near >= 0][~seen[near[near >= 0]]]
+        return seen
+
+    def _join_parts(self) -> None:
+        """Give nodes that nothing leads to a link from their nearest neighbour that is reached, in a further column."""
+        while True:
+            seen = self._reached()
+            lost, known = np.flatnonzero(~seen), np.flatnonzero(seen)
+            if not len(lost):
+                return
+            lost = lost[:_AT_ONCE]
+            near = known[(self.x[lost] @ self.x[known].T).argmax(axis=1)]
+            near, one = np.unique(near, return_index=True)
+            more = np.full((len(self.x), 1), -1, np.int32)
+            more[near, 0] = lost[one]
+            self.links[0] = np.concatenate([self.links[0], more], axis=1)
 
     def _connect(self, new: np.ndarray, found: np.ndarray, sims: np.ndarray, k: int) -> None:
         """Link a batch to what its beams found and to each other, and back."""
@@ -160,9 +192,7 @@ class Graph:
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """The best ``beam`` found for each query; everything if the beam is as wide as the graph."""
-        if beam >= len(self.x):
-            return np.broadcast_to(np.arange(len(self.x)), (len(q), len(self.x))), q @ self.x.T
+        """The best ``beam`` found for each query: ids (-1: none) and cosines, best first."""
         entry = np.zeros((len(q), 1), np.int64)
         for k in range(len(self.links) - 1, 0, -1):
             found, _ = self._beam(q, entry, 1, k)
@@ -175,29 +205,56 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _build(group: pd.DataFrame) -> pd.DataFrame:
-    """The index row of one shard."""
-    group = group.sort_values("node", kind="stable")
-    vectors = np.stack(group["embedding"].to_numpy()).astype(np.float32)
-    graph = Graph(_unit(vectors).astype(np.float32))
-    return pd.DataFrame([{
-        "label": group["label"].iloc[0], "dim": group["dim"].iloc[0], "shard": group["shard"].iloc[0],
-        "nodes": group["node"].to_numpy(np.int64).tobytes(), "copies": group["copies"].to_numpy(np.int64).tobytes(),
-        "vectors": vectors.tobytes(), "links": b"".join(x.tobytes() for x in graph.links),
-        "levels": np.array([x.shape[1] for x in graph.links], np.int32).tobytes(),
-    }])
+def turned_away(x: np.ndarray, cosine: float, seed: int) -> np.ndarray:
+    """Unit vectors at just above ``cosine`` to those of ``x``, in random directions."""
+    side = np.random.default_rng(seed).normal(size=x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    length = np.sqrt((side * side).sum(axis=1, keepdims=True))
+    side = np.divide(side, length, out=np.zeros_like(side), where=length > 1e-9)  # one dimension has no other direction
+    c = min(1.0, cosine + 1e-6)
+    return _unit(c * x + np.sqrt(1 - c * c) * side)
+
+
+def audited_beam(graph: Graph, exact: np.ndarray, cosine: float, beam: int = BEAM, rows: int = AUDIT_ROWS, recall: float = AUDIT_RECALL) -> tuple[int, int, int]:
+    """The first beam, doubled from ``beam``, that finds ``recall`` of the links of vectors turned away; the links there are, and those it found."""
+    which = np.unique(np.linspace(0, len(exact) - 1, min(rows, len(exact))).astype(int))
+    q = turned_away(exact[which], cosine, len(exact))
+    expected = sum(int((exact @ x >= cosine).sum()) for x in q)
+    while True:
+        beam = min(beam, len(exact))
+        i, _, _ = _links_of(graph, exact, q, cosine, beam)
+        if len(i) >= recall * expected or beam == len(exact):
+            return beam, expected, len(i)
+        beam *= 2
+
+
+def _build_shard(cosine: float):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """The index row of one shard."""
+        group = group.sort_values("node", kind="stable")
+        vectors = np.stack(group["embedding"].to_numpy()).astype(np.float32)
+        exact = _unit(vectors)
+        graph = Graph(exact.astype(np.float32))
+        beam, expected, reached = audited_beam(graph, exact, cosine)
+        return pd.DataFrame([{
+            "label": group["label"].iloc[0], "dim": group["dim"].iloc[0], "shard": group["shard"].iloc[0],
+            "nodes": group["node"].to_numpy(np.int64).tobytes(), "copies": group["copies"].to_numpy(np.int64).tobytes(),
+            "vectors": vectors.tobytes(), "links": b"".join(x.tobytes() for x in graph.links),
+            "levels": np.array([x.shape[1] for x in graph.links], np.int32).tobytes(), "beam": beam, "expected": expected, "reached": reached,
+        }])
+
+    return run
 
 
 def _links_of(graph: Graph, exact: np.ndarray, q: np.ndarray, cosine: float, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, vector) pairs at or above ``cosine`` in double precision, and which beams hold links alone."""
-    of_query, of_vector, full = [], [], np.zeros(len(q), bool)
+    of_query, of_vector, full = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.zeros(len(q), bool)
     single = q.astype(np.float32)
     slack = np.float32(cosine - 1e-4)
     for at in range(0, len(q), _AT_ONCE):
         ids, sims = graph.search(single[at : at + _AT_ONCE], beam)
         near = (sims >= slack) & (ids >= 0)
-        if beam < len(graph.x):
-            full[at : at + _AT_ONCE] = near.all(axis=1)
+        full[at : at + _AT_ONCE] = near.all(axis=1) & (beam < len(graph.x))
         i, j = np.nonzero(near)
         v = ids[i, j]
         sure = np.einsum("id,id->i", q[at + i], exact[v]) >= cosine
@@ -206,41 +263,39 @@ def _links_of(graph: Graph, exact: np.ndarray, q: np.ndarray, cosine: float, bea
     return np.concatenate(of_query), np.concatenate(of_vector), full
 
 
-def find_links(graph: Graph, exact: np.ndarray, q: np.ndarray, cosine: float, beam: int = BEAM, recall: float = AUDIT_RECALL, own: np.ndarray | None = None):
-    """All links of the queries the audits ask for: pairs by beams if these pass, else by comparing everything.
+def find_links(graph: Graph, exact: np.ndarray, q: np.ndarray, cosine: float, beam: int = BEAM, recall: float = AUDIT_RECALL, own: np.ndarray | None = None, rows: int = AUDIT_ROWS):
+    """(query, vector) links by beams that double until audits pass; and beam, true links and found links of the audited queries.
 
-    ``own`` is the place of each query among the vectors, -1 for none; an audit doesn't count that pair.
+    ``own`` is the place of each query among the vectors, -1 for none; audits don't count that pair.
     """
     own = np.full(len(q), -1) if own is None else own
-    audited = np.unique(np.linspace(0, len(q) - 1, min(AUDIT_ROWS, len(q))).astype(int))
+    audited = np.unique(np.linspace(0, len(q) - 1, min(rows, len(q))).astype(int))
     expected = np.zeros(len(q), np.int64)
     for i in audited:
         true = np.flatnonzero(exact @ q[i] >= cosine)
         expected[i] = (true != own[i]).sum()
     is_audited = np.zeros(len(q), bool)
     is_audited[audited] = True
-    open_, pairs = np.arange(len(q)), []
-    while True:
-        if expected[open_].sum() < AUDIT_LINKS:  # no beam could be judged
-            beam = len(exact)
+    open_, pairs, found, beam, first = np.arange(len(q)), [], 0, min(beam, len(exact)), None
+    while len(open_):
         i, v, full = _links_of(graph, exact, q[open_], cosine, beam)
         count = np.bincount(i[v != own[open_[i]]], minlength=len(open_))
         judged = is_audited[open_] & ~full
-        true_links = expected[open_[judged]].sum()
-        reached = beam >= len(exact) or (true_links >= AUDIT_LINKS and count[judged].sum() >= recall * true_links)
+        reached = beam >= len(exact) or count[judged].sum() >= recall * expected[open_[judged]].sum()
         closing = ~full if reached else np.zeros(len(open_), bool)
-        keep = closing[i]
-        pairs.append((open_[i[keep]], v[keep]))
+        if reached:
+            first = first or beam
+            found += int(count[judged & closing].sum())
+        pairs.append((open_[i[closing[i]]], v[closing[i]]))
         open_ = open_[~closing]
-        if not len(open_):
-            return np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs])
-        beam = len(exact)
+        beam = min(2 * beam, len(exact))
+    return np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs]), (first, int(expected.sum()), found)
 
 
 def _query(cosine: float):
     def run(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(index):
-            return pd.DataFrame({"a": [], "b": [], "n": []}).astype("int64")
+            return pd.DataFrame({x.split()[0]: [] for x in _FOUND.split(", ")}).astype("int64")
         row = index.iloc[0]
         nodes, copies = np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["copies"], np.int64)
         exact = _unit(np.frombuffer(row["vectors"], np.float32).reshape(len(nodes), row["dim"]))
@@ -251,8 +306,9 @@ def _query(cosine: float):
             at += len(nodes) * w
         q = _unit(np.stack(queries["embedding"].to_numpy()).astype(np.float32))
         own = queries["node"].to_numpy(np.int64)
-        place = np.minimum(np.searchsorted(nodes, own), len(nodes) - 1)  # _build sorts nodes
-        i, v = find_links(Graph(exact.astype(np.float32), links), exact, q, cosine, own=np.where(nodes[place] == own, place, -1))
+        place = np.minimum(np.searchsorted(nodes, own), len(nodes) - 1)  # nodes are sorted
+        graph = Graph(exact.astype(np.float32), links)
+        i, v, audit = find_links(graph, exact, q, cosine, int(row["beam"]), own=np.where(nodes[place] == own, place, -1))
         other = own[i] != nodes[v]
         i, v = i[other], v[other]
         n = np.bincount(i, weights=copies[v], minlength=len(own)).astype(np.int64)
@@ -262,13 +318,21 @@ def _query(cosine: float):
         a, b = np.array(forest.links, np.int64).reshape(-1, 2).T
         some = n > 0
         counts = pd.DataFrame({"a": own[some], "b": own[some], "n": n[some]})
-        return pd.concat([counts, pd.DataFrame({"a": names[a], "b": names[b], "n": np.zeros(len(a), np.int64)})])
+        links = pd.DataFrame({"a": names[a], "b": names[b], "n": np.zeros(len(a), np.int64)})
+        told = pd.concat([counts, links, pd.DataFrame({"a": [int(row["shard"])], "b": [-1], "n": [-1]})], ignore_index=True)
+        for name, value in zip(("beam", "expected", "reached"), audit, strict=True):
+            told[name] = np.where(told["n"] < 0, value, 0)
+        return told
 
     return run
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """vec_id, n_links, component_id and kept for each row of ``vectors`` (vec_id, embedding, label)."""
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, with_audits: bool = False):
+    """vec_id, n_links, component_id and kept for each row of ``vectors`` (vec_id, embedding, label).
+
+    With ``with_audits`` also a table (stage, beam, expected, reached): one row for each graph built and
+    for each block that queried one, with the beam taken and the audited true links there are and it found.
+    """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("int").alias("label"))
     usable = F.expr(
         "vec_id is not null and label is not null and embedding is not null and size(embedding) > 0 "
@@ -284,7 +348,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, shard_rows: int = S
     )
     dealt = classes.join(sizes, (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d"))).drop("l", "d")
     home = dealt.withColumn("shard", F.pmod("h", "shards").cast("int"))
-    index = materialize(home.groupBy("label", "dim", "shard").applyInPandas(_build, _INDEX), "lz4")
+    index = materialize(home.groupBy("label", "dim", "shard").applyInPandas(_build_shard(cosine), _INDEX), "lz4")
     placed = index.join(sizes, (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d"))).drop("l", "d", "shards")
     placed = placed.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
     queries = (
@@ -304,10 +368,14 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, shard_rows: int = S
         )
     )
     component = F.coalesce("component_id", "vec_id")
-    return rows.join(told, usable & (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")), "left").select(
+    out = rows.join(told, usable & (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")), "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
     )
+    if not with_audits:
+        return out
+    told = ["beam", "expected", "reached"]
+    return out, index.select(F.lit("build").alias("stage"), *told).unionByName(found.where("n < 0").select(F.lit("query").alias("stage"), *told))
 
 
 def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:

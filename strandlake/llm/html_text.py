@@ -3,20 +3,31 @@
 A page becomes a tree of elements with, for each, its characters, link characters,
 tags and link tags. An element's composite density is its characters for each tag,
 scaled down by the share of its text that stands in links; its density sum is the
-sum of its children's densities. The sum favours the container of most paragraphs,
-which can be one section, list or quote of an article. So from the element with the
-greatest density sum the choice is lifted towards the body: over every element that
-adds text mostly outside links, and over the body itself if a block beside the path
-is a heading or has as many characters a tag, links aside, as the thinnest element
-of the path. Blocks beside the path whose text is mostly links are not taken, nor
-are parts that are no running text: elements named as, or classed like, menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments. This departs from the published method, which judges each subtree by the
-composite density alone; that grows with the size of a block and loses short ones.
+sum of its children's densities. From the element with the greatest density sum the
+path to the body gives the threshold, the least number of characters outside links
+for each tag on it; the composite density itself grows with the size of a block, so
+that small blocks would not reach that of the body around them. Each block at or above
+the threshold marks the block of greatest density sum within it, and the marked
+blocks are the page's content. Densities leave out elements that are no running text
+by HTML itself: menus, footers, sidebars, forms, scripts, headers of the page, ...
+
+Two additions, as densities alone lose short blocks and keep long adverts:
+
+- Beside the path from a marked block to the body, blocks are taken too if they are
+  text by name (headings, paragraphs, lists, quotes, ...) and not mostly links, if
+  they hold a heading, or if they stand in the page's ``article`` or ``main``. A
+  marked block apart from the densest is content only if it is or holds such text.
+- A block with a class or id made of words for adverts, notices, comments and the
+  like alone is left out before densities are summed, unless it holds the page's
+  first heading, ``main`` or ``article`` (comments can be articles) or all its text.
+  Words for headers and notices don't count inside ``article`` and ``main``.
 
 Defined results: a null or empty page gives the empty string; a page without
 markup is its own text; unclosed and stray tags are repaired as browsers do for
-paragraphs, list items, table cells and options.
+paragraphs, list items, table cells and options; blocks of equal density sum go to
+the first of the page; repeated rows are judged one by one; an empty table gives an
+empty table; columns named as the output's are replaced. A page is held whole, about
+a kilobyte for each of its tags, in time linear in its size.
 """
 
 from __future__ import annotations
@@ -24,11 +35,14 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from strandlake.llm.textblocks import lean
+
 # Element names by role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe noembed noframes xmp".split())
@@ -47,54 +61,79 @@ CLOSES = {
     "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"},
 }
 SCOPE = frozenset("ul ol dl table td th select body html article section main div".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_P = BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup"}
-_BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|menu|nav|navbar|navigation|"
-    r"breadcrumb|breadcrumbs|sidebar|side-bar|footer|header|masthead|topbar|cookie|cookies|consent|notice|notices|alert|popup|modal|newsletter|"
-    r"subscribe|subscription|signup|login|share|sharing|social|related|recommended|comment|comments|commentlist|comment-list|disqus|respond|"
-    r"widget|toolbar|pagination|pager|skip|copyright)(?:$|[\s_-])"
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT_BLOCKS = HEADINGS | frozenset("p blockquote pre ul ol dl li dd dt figure figcaption table caption address summary details center".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies".split())
+PLACE_WORDS = frozenset("header masthead topbar banner notice notices alert copyright".split())
+BOILERPLATE_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion menu nav navbar navigation breadcrumb "
+    "breadcrumbs sidebar footer cookie cookies consent popup modal newsletter subscribe subscription signup login share sharing social "
+    "related recommended widget widgets toolbar pagination pager skip".split()
+)
+NEUTRAL_WORDS = frozenset(
+    "site page global main post posts list item items box block wrapper wrap container section area bar links link buttons button top bottom "
+    "left right primary secondary inner outer content group unit slot thread form text message".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
+#: A quote delimits a value only right after "=".
 _TAG = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|"
+    r"</?([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$)|[^\s\"'>][^\s>]*+)?|[^=>])*+)(?:>|$)", re.S
 )
 _ATTRIBUTE = re.compile(r"""(?i)(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=\s|/|$)""")
 _SPACE = re.compile(r"\s+")
+_WORD = re.compile(r"[a-z]+")
+
+
+#: What tells content: the name itself, "heading" or "text" for a block of that kind that is not mostly links.
+_TELLING = frozenset("article main h1 heading text".split())
 
 
 class Node:
-    __slots__ = ("name", "parts", "left_out", "up", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("name", "parts", "left_out", "suspect", "up", "chars", "link_chars", "tags", "link_tags", "density", "total", "inside")
 
-    def __init__(self, name: str, up: Node | None, left_out: bool = False):
-        self.name, self.up, self.left_out = name, up, left_out
+    def __init__(self, name: str, up: Node | None, left_out: bool = False, suspect: str = ""):
+        self.name, self.up, self.left_out, self.suspect = name, up, left_out, suspect
         self.parts: list[Node | str] = []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
+        self.inside: set[str] = set()  # which of _TELLING stand in it
+
+
+def _by_class(value: str, inside_article: bool) -> str:
+    """``comments`` or ``other`` for a class or id with a token made of such words and neutral ones, else nothing."""
+    for token in value.split():
+        words = set(_WORD.findall(token))
+        if words & COMMENT_WORDS and words <= COMMENT_WORDS | NEUTRAL_WORDS | BOILERPLATE_WORDS:
+            return "comments"
+        known = BOILERPLATE_WORDS if inside_article else BOILERPLATE_WORDS | PLACE_WORDS
+        if words & known and words <= known | NEUTRAL_WORDS:
+            return "other"
+    return ""
 
 
-def _boilerplate(name: str, attributes: str, inside_article: bool) -> bool:
-    """Whether an element is no running text, by its name, role, class or id."""
-    if name in LEFT_OUT:
-        return True
-    if name == "header" and not inside_article:
-        return True
+def _judged(name: str, attributes: str, inside_article: bool) -> tuple[bool, str]:
+    """Whether an element is no running text by HTML itself, and what its class or id makes it look like."""
+    if name in LEFT_OUT or (name == "header" and not inside_article):
+        return True, ""
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return False, ""
+    suspect = ""
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value in _ROLES):
-            return True
-        if key in ("class", "id") and _BOILERPLATE.search(value):
-            return True
-    return False
+            return True, ""
+        if key in ("class", "id") and suspect != "comments":
+            suspect = _by_class(value, inside_article) or suspect
+    return False, suspect
 
 
 def parse(page: str) -> Node:
     """The element tree of a page; the root stands for the document."""
     root = Node("#root", None)
     here, at, end = root, 0, len(page)
-    articles = 0
+    opened: Counter[str] = Counter()  # elements around ``here`` by name
     while at < end:
         lt = page.find("<", at)
         if lt < 0:
@@ -114,28 +153,31 @@ def parse(page: str) -> Node:
                 here.parts.append(m[0][9:].removesuffix("]]>"))
             continue
         if page[lt + 1] == "/":
-            node = here
-            while node is not root and node.name != name:
-                node = node.up
-            if node is not root:
-                while here is not node.up:
-                    articles -= here.name in ("article", "main")
+            if opened[name]:
+                while here.name != name:
+                    opened[here.name] -= 1
                     here = here.up
+                opened[name] -= 1
+                here = here.up
             elif name == "p":
                 here.parts.append(Node("p", here))
             continue
-        if name in ENDS_P or name in CLOSES:
-            node, wanted = here, CLOSES.get(name, frozenset())
+        wanted = CLOSES.get(name, frozenset())
+        if (name in ENDS_P and opened["p"]) or any(opened[x] for x in wanted):
+            node = here
             while node is not root and node.name not in wanted and not (node.name == "p" and name in ENDS_P):
                 if node.name in SCOPE and node.name not in wanted:
                     node = root
                     break
                 node = node.up
             if node is not root:
-                here = node.up
-                while here.name in wanted:  # a row closes its cell and the row before
+                top = node.up
+                while top.name in wanted:  # a row closes its cell and the row before
+                    top = top.up
+                while here is not top:
+                    opened[here.name] -= 1
                     here = here.up
-        node = Node(name, here, _boilerplate(name, m[2], articles > 0))
+        node = Node(name, here, *_judged(name, m[2], opened["article"] + opened["main"] > 0))
         here.parts.append(node)
         if name in VOID:
             continue
@@ -147,7 +189,7 @@ def parse(page: str) -> Node:
             continue
         if m[2].endswith("/") and name in ("svg", "path", "rect", "circle"):
             continue
-        articles += name in ("article", "main")
+        opened[name] += 1
         here = node
     return root
 
@@ -162,6 +204,7 @@ def _measure(root: Node) -> list[Node]:
     while stack:
         node = stack.pop()
         order.append(node)
+        node.chars = node.link_chars = node.tags = node.link_tags = 0
         stack += [x for x in reversed(node.parts) if isinstance(x, Node) and not x.left_out]
     own = {}
     for node in reversed(order):
@@ -182,6 +225,11 @@ def _measure(root: Node) -> list[Node]:
         if node.name == "a":
             node.link_chars = node.chars
         own[node] = mine
+        node.inside = set().union(*(x.inside for x in _children(node))) if node.parts else set()
+        if node.name in ("article", "main", "h1"):
+            node.inside.add(node.name)
+        if node.name in TEXT_BLOCKS and node.chars and not _linked(node):
+            node.inside |= {"heading", "text"} if node.name in HEADINGS else {"text"}
     body = next((x for x in order if x.name == "body"), root)
     ratio = body.link_chars / max(1, body.chars)
     blocks = [x for x in order if x is root or x.name in BLOCK]
@@ -211,7 +259,7 @@ def _linked(node: Node) -> bool:
 
 
 def _plainness(node: Node) -> float:
-    """Characters outside links for each tag. Unlike the composite density it doesn't grow with the size of a block."""
+    """Characters outside links for each tag."""
     return (node.chars - node.link_chars) / max(1, node.tags)
 
 
@@ -219,48 +267,73 @@ def _children(node: Node) -> list[Node]:
     return [x for x in node.parts if isinstance(x, Node) and not x.left_out]
 
 
-def _holds_running_text(node: Node, threshold: float) -> bool:
-    """Whether the block is a heading, or it or one below it passes the threshold."""
-    stack = [node]
-    while stack:
-        x = stack.pop()
-        if x.name in BLOCK and x.chars and not _linked(x) and (x.name in HEADINGS or _plainness(x) >= threshold):
-            return True
-        stack += _children(x)
-    return False
+def _leave_out_suspects(root: Node) -> bool:
+    """Leave out what looks like adverts, notices or comments by class, but never the page's content with it."""
+    some = False
+    for kind, content in (("other", {"article", "main", "h1"}), ("comments", {"main", "h1"})):
+        stack, left = [root], root.chars
+        while stack:
+            node = stack.pop()
+            if node.suspect == kind and not node.inside & content and node.chars < left:
+                node.left_out = some = True
+                left -= node.chars
+            else:
+                stack += reversed(_children(node))
+    return some
 
 
-def _main_subtree(blocks: list[Node]) -> tuple[Node, set[Node]]:
-    """The main block, and the blocks of links in it that are left out.
-
-    From the block of the greatest density sum the choice is lifted: below the body, to
-    each block that adds text mostly outside links; to the body, if a block beside the
-    path passes the threshold, the least plain density on the path, or is a heading.
-    """
+def marked_blocks(blocks: list[Node]) -> list[Node]:
+    """For each block at or above the body path's threshold, the block of greatest density sum within it."""
     best = max(blocks, key=lambda x: x.total)
-    path = [best]
+    path = _path(best)
+    threshold = min(map(_plainness, path))
+    densest: dict[Node, Node] = {}
+    for node in reversed(blocks):  # from the leaves up
+        within = densest.get(node)
+        own = node if within is None or node.total >= within.total else within
+        densest[node] = own
+        up = node.up
+        while up is not None and up.name not in BLOCK and up.up is not None:
+            up = up.up
+        if up is not None and (up not in densest or own.total >= densest[up].total):
+            densest[up] = own
+    return list(dict.fromkeys(densest[x] for x in blocks if x.chars and _plainness(x) >= threshold))
+
+
+def _path(node: Node) -> list[Node]:
+    """A node and what stands around it, to the body (the whole page without one around it)."""
+    path = [node]
     while path[-1].name != "body" and path[-1].up is not None:
         path.append(path[-1].up)
-    if path[-1].name != "body" and any(x.name == "body" for x in blocks):  # best stands around or after the body
-        path = [best]
-    threshold = min(_plainness(x) for x in path)
-    top = 0
-    for k in range(1, len(path)):
-        node, under = path[k], path[k - 1]
-        beside = [x for x in _children(node) if x is not under and x.name in BLOCK]
-        if k < len(path) - 1:
-            chars, links = node.chars - under.chars, node.link_chars - under.link_chars
-            lifted = chars > links * 2 or any(_holds_running_text(x, threshold) for x in beside)
-        else:
-            lifted = any(_holds_running_text(x, threshold) for x in beside)
-        if lifted:
-            top = k
-    linked = {x for k in range(1, top + 1) for x in _children(path[k]) if x is not path[k - 1] and x.name in BLOCK and x.chars and _linked(x)}
-    return path[top], linked
-
-
-def _blocks(top: Node, without: set[Node]) -> list[str]:
-    """Texts of the blocks below ``top`` in page order, white space collapsed."""
+    return path
+
+
+def _chosen(blocks: list[Node]) -> set[Node | tuple[Node, int]]:
+    """What is kept: whole subtrees, and runs of inline parts (node, index) of their ancestors."""
+    kept: set = set()
+    seen: set[Node] = set()
+    best = max(blocks, key=lambda x: x.total)
+    for marked in marked_blocks(blocks):
+        if marked is not best and "text" not in marked.inside:
+            continue
+        kept.add(marked)
+        under = marked
+        while under.up is not None and under.name != "body" and under.up not in seen:
+            node = under.up
+            seen.add(node)
+            whole = node.name in ("article", "main")
+            for i, x in enumerate(node.parts):
+                if isinstance(x, str) or x.name not in BLOCK:
+                    if (whole or (node is marked.up and node.name != "body" and node.up is not None)) and not (isinstance(x, Node) and x.name == "a"):
+                        kept.add((node, i))
+                elif x is not under and not x.left_out and x.chars and not _linked(x) and (whole or x.name in TEXT_BLOCKS or "heading" in x.inside):
+                    kept.add(x)
+            under = node
+    return kept
+
+
+def _texts(root: Node, kept: set) -> list[str]:
+    """Texts of the kept blocks in page order, white space collapsed."""
     out, run = [], []
 
     def close():
@@ -269,28 +342,33 @@ def _blocks(top: Node, without: set[Node]) -> list[str]:
             out.append(text)
         run.clear()
 
-    stack: list = [top]
+    stack: list = [(root, root in kept)]
     while stack:
-        x = stack.pop()
+        x, taken = stack.pop()
         if x is None:
             close()
         elif isinstance(x, str):
-            run.append(x)
-        elif not x.left_out and x not in without:
+            if taken:
+                run.append(x)
+        elif not x.left_out:
             if x.name in BLOCK:
                 close()
-                stack.append(None)
-            stack += reversed(x.parts)
+                stack.append((None, False))
+            taken = taken or x in kept
+            stack += [(y, taken or (x, i) in kept) for i, y in reversed([*enumerate(x.parts)])]
     close()
     return out
 
 
 def main_text(page: str | None) -> str:
-    """The running text of a page's main subtree."""
+    """The running text of a page."""
     if not page:
         return ""
-    order = _measure(parse(page))
-    return " ".join(_blocks(*_main_subtree(order)))
+    root = parse(page)
+    blocks = _measure(root)
+    if _leave_out_suspects(root):
+        blocks = _measure(root)
+    return " ".join(_texts(root, _chosen(blocks)))
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
@@ -307,7 +385,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{text_col}` string", "n_chars long"]
-    return pages.mapInArrow(run, ", ".join(schema))
+    return pages.mapInArrow(lean(run), ", ".join(schema))
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

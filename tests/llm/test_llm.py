@@ -202,33 +202,67 @@ def test_mixing(spark):
     assert mixing.sample_mixture(odd).count() == 3 and mixing.sample_mixture(odd.where("false")).count() == 0
 
 
-class SelfFinder:
-    """A graph whose beams find the nearest vector alone, unless they are as wide as the graph."""
+class Narrow(hnsw.Graph):
+    """A graph whose beams find nothing unless they are wide enough."""
 
-    def __init__(self, x):
-        self.x = x
+    least = 0
 
     def search(self, q, beam):
-        sims = q @ self.x.T
-        if beam >= len(self.x):
-            return np.broadcast_to(np.arange(len(self.x)), sims.shape), sims
-        ids, out = np.full((len(q), beam), -1), np.full((len(q), beam), -2, np.float32)
-        ids[:, 0], out[:, 0] = sims.argmax(axis=1), sims.max(axis=1)
-        return ids, out
+        ids, sims = super().search(q, beam)
+        return (ids, sims) if beam >= self.least else (np.full_like(ids, -1), np.full_like(sims, -2))
 
 
-@pytest.mark.parametrize("pairs", [3, 200])
-def test_hnsw_audits_need_links(pairs):
+def test_hnsw_beams_double_until_audits_pass():
     rng = np.random.default_rng(3)
     x = hnsw._unit(rng.normal(size=(1000, 32)))
-    audited = np.unique(np.linspace(0, 999, hnsw.AUDIT_ROWS).astype(int))
-    free = np.setdiff1d(np.arange(1000), audited)[: 2 * pairs]
-    x[free[1::2]] = hnsw._unit(x[free[::2]] + 0.001 * rng.normal(size=(pairs, 32)))
-    i, v = hnsw.find_links(SelfFinder(x.astype(np.float32)), x, x, 0.93, own=np.arange(1000))
-    want = {(int(a), int(b)) for a, b in np.argwhere(x @ x.T >= 0.93)}
-    assert set(zip(i.tolist(), v.tolist(), strict=True)) == want and len(want) == 1000 + 2 * pairs
-    i, v = hnsw.find_links(hnsw.Graph(x.astype(np.float32), [np.full((1000, 24), -1, np.int32)]), x, x, 0.93, own=np.arange(1000))
-    assert set(zip(i.tolist(), v.tolist(), strict=True)) == want
+    x[:400:2] = hnsw._unit(x[1:400:2] + 0.001 * rng.normal(size=(200, 32)))
+    graph = Narrow(x.astype(np.float32))
+    graph.least = 100
+    beam, expected, reached = hnsw.audited_beam(graph, x, 0.93)
+    assert beam == 128 and expected >= 256 and reached >= 0.995 * expected
+    i, v, (beam, expected, reached) = hnsw.find_links(graph, x, x, 0.93, own=np.arange(1000))
+    assert beam == 128 and reached == expected > 0  # own vectors aside
+    assert set(zip(i.tolist(), v.tolist(), strict=True)) - {(k, k) for k in range(1000)} == {(int(a), int(b)) for a, b in np.argwhere(x @ x.T >= 0.93) if a != b}
+
+
+def test_hnsw_turned_queries_are_links():
+    x = hnsw._unit(np.random.default_rng(1).normal(size=(50, 8)))
+    assert np.allclose((hnsw.turned_away(x, 0.93, 2) * x).sum(axis=1), 0.93, atol=1e-5)
+    assert np.allclose(hnsw.turned_away(np.ones((3, 1)), 0.93, 1), 1)
+
+
+def test_hnsw_full_beams_go_on():
+    x = hnsw._unit(1 + 0.01 * np.random.default_rng(5).normal(size=(300, 16)))
+    graph = hnsw.Graph(x.astype(np.float32))
+    i, v, _ = hnsw.find_links(graph, x, x, 0.93, own=np.arange(300))
+    assert len(i) == 300 * 300
+
+
+def test_hnsw_graph_is_reached_whole():
+    rng = np.random.default_rng(7)
+    x = np.concatenate([hnsw._unit(rng.normal(size=(1, 8)) + 0.001 * rng.normal(size=(60, 8))) for _ in range(8)])
+    graph = hnsw.Graph(x.astype(np.float32))
+    assert graph._reached().all()
+
+
+def test_hnsw_recall_over_many_shards(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(20_000, 24)).astype(np.float32)
+    x[:3000] = x[3000:6000] + rng.normal(scale=0.25, size=(3000, 24))
+    label = rng.integers(0, 3, 20_000)
+    label[:3000] = label[3000:6000]
+    df = spark.createDataFrame([(i, v, int(y)) for i, (v, y) in enumerate(zip(x.tolist(), label, strict=True))], "vec_id long, embedding array<float>, label int")
+    told, audits = hnsw.near_vectors(df, shard_rows=2500, block_rows=5000, with_audits=True)
+    got = {r["vec_id"]: r["n_links"] for r in told.collect()}
+    unit, want = hnsw._unit(x), np.zeros(20_000, int)
+    for y in range(3):
+        own = np.flatnonzero(label == y)
+        want[own] = (unit[own] @ unit[own].T >= 0.93).sum(axis=1) - 1
+    assert want.sum() > 4000 and all(got[i] <= want[i] for i in got)
+    assert sum(got.values()) >= 0.98 * want.sum()
+    rows = audits.groupBy("stage").agg(F.sum("expected").alias("e"), F.sum("reached").alias("r"), F.max("beam").alias("beam")).collect()
+    assert {r["stage"] for r in rows} == {"build", "query"}
+    assert all(r["e"] > 400 and r["r"] >= 0.99 * r["e"] and r["beam"] < 2500 for r in rows)
 
 
 # --- 5: SimHash
@@ -530,6 +564,122 @@ def test_html_article_of_several_parts(article):
         assert html_text.main_text(page) == want
 
 
+def plain_density(node, ratio):
+    """Composite text density by its formula."""
+    import math
+
+    c, links, t, link_tags = node["c"], node["l"], max(1, node["t"]), max(1, node["lt"])
+    if not c:
+        return 0.0
+    base = math.log(max(math.e, math.log(max(1e-9, c / max(1, c - links) * links + ratio * c + math.e))))
+    return max(0.0, c / t * math.log(max(1, c / max(1, links) * t / link_tags)) / max(1.0, base))
+
+
+def plain_marked(page):
+    """Texts of the marked blocks of a page of div, p and a, by recursion over a plain tree."""
+    at, nodes = 0, []
+
+    def read(name):
+        nonlocal at
+        node = {"name": name, "parts": [], "c": 0, "l": 0, "t": 0, "lt": 0, "own": {"c": 0, "l": 0, "t": 0, "lt": 0}}
+        nodes.append(node)
+        while at < len(page):
+            m = re.compile(r"<(/?)(\w+)[^>]*>|[^<]+").match(page, at)
+            at = m.end()
+            if m[2] and m[1]:
+                break
+            if m[2]:
+                child = read(m[2])
+                node["parts"].append(child)
+                into = node if m[2] != "a" else node["own"]
+                into["c"] += child["c"]
+                into["l"] += child["l"]
+                into["t"] += child["t"] + 1
+                into["lt"] += child["lt"] + (m[2] == "a")
+            else:
+                node["own"]["c"] += len(re.sub(r"\s+", " ", m[0]).strip())
+        for k in "c l t lt".split():
+            node[k] += node["own"][k]
+        if name == "a":
+            node["l"] = node["c"]
+        return node
+
+    root = read("body")
+    ratio = root["l"] / max(1, root["c"])
+    blocks = [x for x in nodes if x["name"] != "a"]
+    for x in blocks:
+        x["sum"] = plain_density(x["own"], ratio) + sum(plain_density(y, ratio) for y in x["parts"] if y["name"] != "a")
+        x["plain"] = (x["c"] - x["l"]) / max(1, x["t"])
+
+    def within(x):
+        return [x, *(z for y in x["parts"] if y["name"] != "a" for z in within(y))]
+
+    best = max(blocks, key=lambda x: x["sum"])
+    threshold = min(x["plain"] for x in blocks if any(y is best for y in within(x)))
+    return [k for k, y in enumerate(nodes) if any(max(within(x), key=lambda z: z["sum"]) is y for x in blocks if x["c"] and x["plain"] >= threshold)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.recursive(
+    st.tuples(st.sampled_from(["p", "div", "a"]), st.integers(0, 300)).map(lambda x: f"<{x[0]}>{'w' * x[1]}</{x[0]}>"),
+    lambda x: st.lists(x, min_size=1, max_size=5).map(lambda y: f"<div>{''.join(y)}</div>"), max_leaves=25,
+))
+def test_html_marks_against_plain_recursion(inner):
+    page = f"<body>{inner}</body>"
+    root = html_text.parse(page)
+    blocks = html_text._measure(root)
+    order, stack = [], [x for x in root.parts if not isinstance(x, str)]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack += [y for y in reversed(x.parts) if not isinstance(y, str)]
+    marked = {id(x) for x in html_text.marked_blocks([x for x in blocks if x is not root])}
+    assert [k for k, x in enumerate(order) if id(x) in marked] == plain_marked(page[6:-7])
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<p class=x">Hello there world</p><p>World "quoted" text goes on</p>', 'Hello there world World "quoted" text goes on'),
+        ('<p title="a > b" id=c>it\'s "so"</p>', 'it\'s "so"'),
+        ("<body><div class='ads-free content'><p>one two</p><p>three</p></div></body>", "one two three"),
+        ("<body><div class='story social-policy'><p>one two</p></div></body>", "one two"),
+        ("<body><div class='widget'><h1>T</h1><p>one two</p></div></body>", "T one two"),
+        ("<article><div class='article-header'>Head</div><div class='notice'>Note</div><p>one two</p></article>", "Head Note one two"),
+        (f"<body><div class='cookie-banner'><p>{'we use ' * 40}</p></div><div><p>one two</p></div></body>", "one two"),
+        (f"<body><main><p>one two</p></main><div id='comments'>{'<article class=comment><p>me too, at length</p></article>' * 9}</div></body>", "one two"),
+        ("<body><h1>Title</h1><div class=c><p>one two three</p><p>four</p></div></body>", "Title one two three four"),
+        ("<body><div>one two</div><div>three four</div></body>", "one two three four"),
+        ("<p>same</p><p>same</p>", "same same"),
+    ],
+)
+def test_html_names_and_quotes(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_html_time_is_linear():
+    import time
+
+    def took(page):
+        began = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - began
+
+    for make in (lambda k: "<p>x" + "<b>" * k + "</i>" * k, lambda k: "<div>" * k + "<p>a<p>b" * k, lambda k: "<p>" + "word " * 10 * k + "</p>"):
+        assert took(make(16_000)) < 16 * max(0.02, took(make(4_000)))
+
+
+def test_html_without_telling_names(spark):
+    """Densities alone: adverts, menus and footers are plain divs, and the article is one too."""
+    same, pages = 0, spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    for page in pages:
+        plain = page["html"].replace('class="ad"', "")
+        for name in ("article", "nav", "footer"):
+            plain = plain.replace(f"<{name}>", "<div>").replace(f"</{name}>", "</div>")
+        same += html_text.main_text(plain) == html_text.main_text(page["html"])
+    assert same >= 0.95 * len(pages)
+
+
 def test_html_pages(spark):
     import html
 
