@@ -1,7 +1,15 @@
-"""Column statistics and scores of aligned rows (family, name, aseq)."""
+"""Column statistics and scores of aligned rows (family, name, aseq).
+
+Rows of a family may end before its longest one: what is missing counts as gaps, by
+arithmetic on the number of rows and without cells of its own.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +35,15 @@ def composition(cells: DataFrame) -> DataFrame:
     return cells.groupBy("family", "pos", "residue").agg(F.count("*").alias("n"))
 
 
+def ragged_composition(rows: DataFrame) -> DataFrame:
+    """(family, pos, residue, n) of rows of any lengths; rows that have ended are gaps."""
+    counted = composition(columns(rows))
+    sizes = rows.groupBy("family").agg(F.count("*").alias("rows"))
+    have = counted.groupBy("family", "pos").agg(F.sum("n").alias("have"))
+    ended = have.join(sizes, "family").where("rows > have").select("family", "pos", F.lit("-").alias("residue"), (F.col("rows") - F.col("have")).alias("n"))
+    return counted.unionByName(ended).groupBy("family", "pos", "residue").agg(F.sum("n").alias("n"))
+
+
 def consensus(counted: DataFrame) -> DataFrame:
     """(family, pos, residue, n, total): the commonest residue (ties: the first in order) of each column."""
     best = F.max(F.struct(F.col("n"), (-F.ascii("residue")).alias("low"), "residue")).alias("best")
@@ -58,31 +75,76 @@ def gap_share(counted: DataFrame, window: int = 100) -> DataFrame:
     return share.withColumn("mean_gap", F.avg("gap").over(frame))
 
 
-def gap_runs(cells: DataFrame) -> DataFrame:
-    """(family, name, start, length) of runs of gaps in a row."""
+def gap_runs(rows: DataFrame) -> DataFrame:
+    """(family, name, start, length) of runs of gaps in a row, the one after its end included."""
     each = Window.partitionBy("family", "name").orderBy("pos")
-    gaps = cells.where(F.col("residue").rlike(GAPS)).withColumn("run", F.col("pos") - F.row_number().over(each))
-    return gaps.groupBy("family", "name", "run").agg(F.min("pos").alias("start"), F.count("*").alias("length")).drop("run")
+    trimmed = rows.withColumn("aseq", F.regexp_replace("aseq", f"{GAPS}+$", ""))
+    gaps = columns(trimmed).where(F.col("residue").rlike(GAPS)).withColumn("run", F.col("pos") - F.row_number().over(each))
+    inner = gaps.groupBy("family", "name", "run").agg(F.min("pos").alias("start"), F.count("*").alias("length")).drop("run")
+    longest = rows.groupBy("family").agg(F.max(F.length("aseq")).alias("longest"))
+    start = F.coalesce(F.length("aseq"), F.lit(0))
+    last = trimmed.select("family", "name", start.alias("start")).join(longest, "family").where("longest > start")
+    return inner.unionByName(last.select("family", "name", "start", (F.col("longest") - F.col("start")).cast("long").alias("length")))
+
 
+#: Values by column and residue (24 bytes each) up to this number are sent to every task; more meet the rows in a join.
+MAX_BROADCAST_VALUES = 4_000_000
 
-def position_weights(cells: DataFrame) -> DataFrame:
-    """(family, name, weight): the sum over columns of 1 / (distinct residues x rows with this one), by ungapped length, scaled to the number of rows."""
-    solid = cells.where(~F.col("residue").rlike(GAPS))
-    counted = solid.groupBy("family", "pos", "residue").agg(F.count("*").alias("n"))
+
+def row_means(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """(family, name, mean): over the residues (not gaps) of each row, the mean of ``values`` (family, pos, residue, value), 0 where there is none.
+
+    Rows without a residue are left out.
+    """
+    values = values.where(~F.col("residue").rlike(GAPS)).select("family", "pos", F.ascii("residue").alias("code"), F.col("value").cast("double").alias("value"))
+    if values.count() > MAX_BROADCAST_VALUES:
+        solid = columns(rows).where(~F.col("residue").rlike(GAPS)).withColumn("code", F.ascii("residue"))
+        return solid.join(values, ["family", "pos", "code"], "left").groupBy("family", "name").agg((F.sum(F.coalesce("value", F.lit(0.0))) / F.count("*")).alias("mean"))
+    table = values.toArrow()
+    key = (table["pos"].to_numpy().astype(np.int64) << 21) | table["code"].to_numpy()
+    family = table["family"].combine_chunks().dictionary_encode()
+    index, value = family.indices.to_numpy(zero_copy_only=False), table["value"].to_numpy()
+    order = np.lexsort((key, index))
+    index, key, value = index[order], key[order], value[order]
+    cuts = np.searchsorted(index, np.arange(len(family.dictionary) + 1))
+    shared = rows.sparkSession.sparkContext.broadcast({f: (key[a:b], value[a:b]) for f, a, b in zip(family.dictionary.to_pylist(), cuts, cuts[1:], strict=False)})
+    gaps = np.array([ord(c) for c in "-._~ "], np.uint32)
+
+    def mean(f, seq: str | None) -> float | None:
+        points = np.frombuffer((seq or "").encode("utf-32-le"), np.uint32)
+        pos = np.flatnonzero(~np.isin(points, gaps))
+        if not len(pos):
+            return None
+        own, of = shared.value.get(f, (np.empty(0, np.int64), np.empty(0)))
+        wanted = (pos << 21) | points[pos]
+        at = np.searchsorted(own, wanted)
+        hit = at < len(own)
+        hit[hit] = own[at[hit]] == wanted[hit]
+        return float(of[at[hit]].sum() / len(pos))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            means = [mean(f, s) for f, s in zip(batch.column("family").to_pylist(), batch.column("aseq").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"family": batch.column("family"), "name": batch.column("name"), "mean": pa.array(means, pa.float64())})
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    told = rows.select("family", "name", "aseq").mapInArrow(run, f"family {kinds['family']}, name {kinds['name']}, mean double")
+    return told.where("mean is not null")
+
+
+def position_weights(rows: DataFrame) -> DataFrame:
+    """(family, name, weight): the mean over a row's residues of 1 / (distinct residues x rows with this one) of their columns, scaled to the number of rows."""
+    counted = composition(columns(rows).where(~F.col("residue").rlike(GAPS)))
     kinds = counted.groupBy("family", "pos").agg(F.count("*").alias("kinds"))
-    share = counted.join(kinds, ["family", "pos"]).select("family", "pos", "residue", (1.0 / (F.col("kinds") * F.col("n"))).alias("w"))
-    raw = solid.join(share, ["family", "pos", "residue"]).groupBy("family", "name").agg((F.sum("w") / F.count("*")).alias("raw"))
-    total = raw.groupBy("family").agg(F.sum("raw").alias("total"), F.count("*").alias("rows"))
-    return raw.join(total, "family").select("family", "name", (F.col("raw") / F.col("total") * F.col("rows")).alias("weight"))
+    share = counted.join(kinds, ["family", "pos"]).select("family", "pos", "residue", (1.0 / (F.col("kinds") * F.col("n"))).alias("value"))
+    raw = row_means(rows, share)
+    total = raw.groupBy("family").agg(F.sum("mean").alias("total"), F.count("*").alias("rows"))
+    return raw.join(total, "family").select("family", "name", (F.col("mean") / F.col("total") * F.col("rows")).alias("weight"))
 
 
-def identity_to_consensus(cells: DataFrame, voted: DataFrame) -> DataFrame:
+def identity_to_consensus(rows: DataFrame, voted: DataFrame) -> DataFrame:
     """(family, name, identity): the share of a row's residues that equal the consensus of their column."""
-    both = cells.join(voted.select("family", "pos", F.col("residue").alias("vote")), ["family", "pos"])
-    solid = ~F.col("residue").rlike(GAPS)
-    return both.groupBy("family", "name").agg(
-        F.coalesce(F.sum(F.when(solid & (F.col("residue") == F.col("vote")), 1).otherwise(0)) / F.nullif(F.sum(F.when(solid, 1).otherwise(0)), F.lit(0)), F.lit(0.0)).alias("identity")
-    )
+    return row_means(rows, voted.select("family", "pos", "residue", F.lit(1.0).alias("value"))).withColumnRenamed("mean", "identity")
 
 
 def residue_columns(rows: DataFrame) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.functions.vectors import squared_distance
 from strandlake.storage import materialize
 
-#: Centers are compared with every vector as literals of the plan, so their number is bounded.
+#: Centers are sent to every task, so their number is bounded (a few MB at most).
 MAX_CENTERS = 4096
+_ROWS_AT_ONCE = 1024
 
 
 def centers(df: DataFrame, group: str, vector: str) -> DataFrame:
@@ -19,13 +23,56 @@ def centers(df: DataFrame, group: str, vector: str) -> DataFrame:
     return means.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("center"))
 
 
-def nearest(vector: Column, rows: list[tuple[int, list[float]]], digits: int = 9) -> Column:
-    """struct<d, k> of the nearest center by squared distance; ties at ``digits`` go to the least key."""
+def collected(table: DataFrame, key: str, vector: str) -> list[tuple[int, list[float]]]:
+    """(key, vector) rows of a table of centers on the driver; more than ``MAX_CENTERS`` are refused before they get there."""
+    rows = table.limit(MAX_CENTERS + 1).collect()
+    if len(rows) > MAX_CENTERS:
+        raise ValueError(f"more than {MAX_CENTERS} centers")
+    return sorted((r[key], list(r[vector])) for r in rows)
+
+
+class _Centers:
+    def __init__(self, rows: list[tuple[int, list[float]]], digits: int):
+        self.keys, self.c, self.digits = np.array([k for k, _ in rows], np.int64), np.array([c for _, c in rows], np.float64), digits
+        self.square = (self.c * self.c).sum(axis=1)
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and squared distances: a matrix product finds the candidates, differences decide."""
+        rough = (x * x).sum(axis=1)[:, None] - 2 * (x @ self.c.T) + self.square
+        i, k = np.nonzero(rough <= rough.min(axis=1, keepdims=True) + 1e-6 * (1 + np.abs(rough).max(axis=1, keepdims=True)))
+        d = np.round(((x[i] - self.c[k]) ** 2).sum(axis=1), self.digits)
+        order = np.lexsort((self.keys[k], d, i))
+        _, first = np.unique(i[order], return_index=True)
+        best = order[first]
+        return self.keys[k[best]], d[best]
+
+
+def nearest(df: DataFrame, vector: str, rows: list[tuple[int, list[float]]], digits: int = 9) -> DataFrame:
+    """``df`` plus ``cluster`` and ``distance`` of the nearest center by squared distance; ties at ``digits`` go to the least key.
+
+    A null vector, or one of another length, has neither. Columns of those names are replaced.
+    """
     if len(rows) > MAX_CENTERS:
         raise ValueError(f"{len(rows)} centers; at most {MAX_CENTERS}")
-    known = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*map(F.lit, c)).alias("c")) for k, c in rows])
-    scored = F.transform(known, lambda s: F.struct(F.round(squared_distance(vector, s["c"]), digits).alias("d"), s["k"].alias("k")))
-    return F.array_min(scored)
+    shared = df.sparkSession.sparkContext.broadcast(_Centers(rows, digits))
+    df = df.drop("cluster", "distance")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centers = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, _ROWS_AT_ONCE):
+                batch = whole.slice(at, _ROWS_AT_ONCE)
+                vectors = [np.array(v, np.float64) if v is not None else np.empty(0) for v in batch.column(vector).to_pylist()]
+                usable = [i for i, v in enumerate(vectors) if len(centers.c) and len(v) == centers.c.shape[1]]
+                key, d = np.zeros(len(vectors), np.int64), np.zeros(len(vectors))
+                if usable:
+                    key[usable], d[usable] = centers.nearest(np.stack([vectors[i] for i in usable]))
+                absent = np.ones(len(vectors), bool)
+                absent[usable] = False
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, mask=absent), pa.array(d, mask=absent)], [*batch.schema.names, "cluster", "distance"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "cluster long, distance double"])
+    return df.mapInArrow(run, schema)
 
 
 def lloyd(df: DataFrame, id_col: str, vector: str, start: list[tuple[int, list[float]]], steps: int = 10, tolerance: float = 1e-4):
@@ -35,15 +82,14 @@ def lloyd(df: DataFrame, id_col: str, vector: str, start: list[tuple[int, list[f
     """
     at = sorted(start)
     for _ in range(steps):
-        told = df.select(id_col, vector, nearest(F.col(vector), at)["k"].alias("cluster"))
+        told = nearest(df.select(id_col, vector), vector, at)
         new = {r["cluster"]: list(r["center"]) for r in centers(told, "cluster", vector).collect()}  # one row a center
         moved = [(k, new.get(k, c)) for k, c in at]
         shift = sum(sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) ** 0.5 for (_, a), (_, b) in zip(at, moved, strict=True))
         at = moved
         if shift * shift < tolerance:
             break
-    best = nearest(F.col(vector), at)
-    return df.select(id_col, best["k"].alias("cluster"), best["d"].alias("distance")), at
+    return nearest(df.select(id_col, vector), vector, at).drop(vector), at
 
 
 def bisecting(df: DataFrame, id_col: str, vector: str, clusters: int, steps: int = 8) -> DataFrame:

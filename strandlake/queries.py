@@ -3,7 +3,7 @@
 The driver tables stand in for biological ones: ``documents`` for sequences (their
 letters as residues, ``source`` as family), ``embeddings`` for pooled vectors with
 their true clusters, ``benchmark`` for a bounded set of reference sequences, and the
-first characters of a text's lines for aligned columns.
+letters of whole texts for rows that are aligned at their start.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from strandlake.functions import sequences as S
 from strandlake.functions import vectors as V
 from strandlake.operators import alignments, clusters, duplicates, kmers, ordering, progressive, trees
 from strandlake.plans.strategy import plans
-from strandlake.storage import materialize
+from strandlake.storage import materialize, spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -151,8 +151,7 @@ _KMERS = f"SELECT doc_id AS id, unnest([substr(s, i, {{k}}) for i in range(1, le
 
 @query(f"SELECT kmer, count(*) AS n, count(DISTINCT id) AS n_docs FROM ({_KMERS.format(k=3)}) GROUP BY kmer")
 def kmer_frequencies(spark, sf_dir):
-    each = kmers.counts(_residues(spark, sf_dir), "id", F.col("seq"), 3)
-    return each.groupBy("kmer").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"))
+    return kmers.frequencies(spread(_residues(spark, sf_dir)), F.col("seq"), 3).withColumnRenamed("n_rows", "n_docs")
 
 
 _DISTANCE = f"""
@@ -165,21 +164,25 @@ told AS (SELECT c.id, c.ref_id, c.common, (1 - c.common / least(length(d.seq) -
 """
 
 
-def _reference_distances(spark, sf_dir):
+def _nearest_references(spark, sf_dir, k: int = 6):
     refs = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), S.letters(F.col("text")).alias("seq"))
-    return kmers.reference_distances(_residues(spark, sf_dir).select("id", "seq"), refs, 6)
+    return kmers.nearest_references(spread(_residues(spark, sf_dir).select("id", "seq")), refs, k)
 
 
 @query(f"""WITH {_DISTANCE} SELECT id AS doc_id, ref_id, round(distance, 9) AS distance, common FROM
 (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(distance, 9), ref_id) AS r FROM told) WHERE r = 1""")
 def kmer_distance_topk(spark, sf_dir):
-    best = kmers.nearest_reference(_reference_distances(spark, sf_dir))
-    return best.select(F.col("id").alias("doc_id"), "ref_id", "distance", "common")
+    return _nearest_references(spark, sf_dir).select(F.col("id").alias("doc_id"), "ref_id", "distance", "common")
 
 
-@query(f"WITH {_DISTANCE} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT id FROM told WHERE common >= 40)")
+@query(f"""WITH docs AS (SELECT doc_id AS id, {SEQ} AS seq FROM documents), refs AS (SELECT item_id AS id, {SEQ} AS seq FROM benchmark),
+b AS (SELECT id, kmer, count(*) AS n FROM (SELECT id, unnest([substr(seq, i, 13) for i in range(1, length(seq) - 11)]) AS kmer FROM refs) GROUP BY id, kmer),
+a AS (SELECT id, kmer, count(*) AS n FROM (SELECT id, unnest([substr(seq, i, 13) for i in range(1, length(seq) - 11)]) AS kmer FROM docs) WHERE kmer IN (SELECT kmer FROM b) GROUP BY id, kmer),
+shares AS (SELECT a.id, sum(least(a.n, b.n)) / (any_value(length(r.seq)) - 12) AS share FROM a JOIN b USING (kmer) JOIN refs r ON r.id = b.id GROUP BY a.id, b.id)
+SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT id FROM shares WHERE share >= 0.5)""")
 def kmer_uncontaminated(spark, sf_dir):
-    near = _reference_distances(spark, sf_dir).where("common >= 40").select(F.col("id").alias("doc_id")).distinct()
+    """Documents that hold less than half of every reference's 13-mers, however long they are."""
+    near = _nearest_references(spark, sf_dir, 13).where("share >= 0.5").select(F.col("id").alias("doc_id")).distinct()
     return _table(spark, sf_dir, "documents").select("doc_id").join(near, "doc_id", "left_anti")
 
 
@@ -190,7 +193,7 @@ def _vectors(spark, sf_dir):
 
 
 def _label_centers(vectors) -> list[tuple[int, list[float]]]:
-    return sorted((r["label"], list(r["center"])) for r in clusters.centers(vectors, "label", "v").collect())  # one row a label
+    return clusters.collected(clusters.centers(vectors, "label", "v"), "label", "center")
 
 
 _NEAREST = f"""
@@ -212,22 +215,21 @@ def label_centers(spark, sf_dir):
 @query(f"WITH {_NEAREST} SELECT vec_id, k AS cluster, round(round(d, 9), {DIGITS}) AS distance FROM best")
 def nearest_center(spark, sf_dir):
     vectors = _vectors(spark, sf_dir)
-    best = clusters.nearest(F.col("v"), _label_centers(vectors))
-    return vectors.select("vec_id", best["k"].alias("cluster"), F.round(best["d"], DIGITS).alias("distance"))
+    return clusters.nearest(vectors, "v", _label_centers(vectors)).select("vec_id", F.col("cluster").cast("int").alias("cluster"), F.round("distance", DIGITS).alias("distance"))
 
 
 @query(f"WITH {_NEAREST} SELECT label, k AS cluster, count(*) AS n FROM best GROUP BY label, k")
 def cluster_confusion(spark, sf_dir):
     vectors = _vectors(spark, sf_dir)
-    best = clusters.nearest(F.col("v"), _label_centers(vectors))["k"]
-    return vectors.select("label", best.alias("cluster")).groupBy("label", "cluster").agg(F.count("*").alias("n"))
+    told = clusters.nearest(vectors, "v", _label_centers(vectors)).select("label", F.col("cluster").cast("int").alias("cluster"))
+    return told.groupBy("label", "cluster").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_NEAREST} SELECT k AS cluster, count(*) AS n, round(sum(d), 4) AS inertia FROM best GROUP BY k")
 def cluster_inertia(spark, sf_dir):
     vectors = _vectors(spark, sf_dir)
     told, _ = clusters.lloyd(vectors, "vec_id", "v", _label_centers(vectors), steps=0)
-    return told.groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.sum("distance"), 4).alias("inertia"))
+    return told.groupBy(F.col("cluster").cast("int").alias("cluster")).agg(F.count("*").alias("n"), F.round(F.sum("distance"), 4).alias("inertia"))
 
 
 @query(f"""
@@ -254,7 +256,7 @@ def seed_vectors(spark, sf_dir):
     """Distances of all vectors to a stated set of seeds, the vectors whose id divides by 50, in blocks."""
     vectors = _vectors(spark, sf_dir)
     seeds = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("seed"), F.col("v").alias("c"))
-    blocks = 16
+    blocks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = vectors.withColumn("block", F.pmod("vec_id", F.lit(blocks)))
     asked = seeds.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     return dealt.join(asked, "block").select("vec_id", "seed", F.round(V.squared_distance(F.col("v"), F.col("c")), DIGITS).alias("distance"))
@@ -264,8 +266,8 @@ def seed_vectors(spark, sf_dir):
 def kmeans_lloyd(spark, sf_dir):
     """Ten Lloyd steps from the first vector of each label."""
     vectors = materialize(_vectors(spark, sf_dir))
-    first = vectors.where("label is not null").groupBy("label").agg(F.min_by("v", "vec_id").alias("v")).collect()  # one row a label
-    told, _ = clusters.lloyd(vectors, "vec_id", "v", [(r["label"], list(r["v"])) for r in first])
+    first = clusters.collected(vectors.where("label is not null").groupBy("label").agg(F.min_by("v", "vec_id").alias("v")), "label", "v")
+    told, _ = clusters.lloyd(vectors, "vec_id", "v", first)
     return told.select("vec_id", "cluster", F.round("distance", DIGITS).alias("distance"))
 
 
@@ -286,30 +288,31 @@ def length_word_correlation(spark, sf_dir):
 
 # --- aligned columns ----------------------------------------------------------
 
-WIDTH = 64
-_CELLS = f"SELECT source AS family, doc_id AS name, i - 1 AS pos, substr(row, i, 1) AS residue FROM (SELECT source, doc_id, rpad(substr({SEQ}, 1, {WIDTH}), {WIDTH}, '-') AS row FROM documents), range(1, {WIDTH} + 1) t(i)"
-_COUNTED = f"cells AS ({_CELLS}), counted AS (SELECT family, pos, residue, count(*) AS n FROM cells GROUP BY ALL)"
+_ROWS = f"(SELECT source, doc_id, {SEQ} AS s FROM documents)"
+_CELLS = f"SELECT source AS family, doc_id AS name, unnest(range(length(s))) AS pos, unnest(string_split(s, '')) AS residue FROM {_ROWS} WHERE length(s) > 0"
+_COUNTED = f"""cells AS ({_CELLS}), solid AS (SELECT family, pos, residue, count(*) AS n FROM cells GROUP BY ALL), sizes AS (SELECT source AS family, count(*) AS n_rows FROM documents GROUP BY source),
+ended AS (SELECT family, pos, '-' AS residue, any_value(n_rows) - sum(n)::BIGINT AS n FROM solid JOIN sizes USING (family) GROUP BY family, pos), counted AS (SELECT * FROM solid UNION ALL SELECT * FROM ended WHERE n > 0)"""
 
 
 def _aligned(spark, sf_dir):
-    """Rows of equal width: the first residues of each text, filled up with gaps."""
-    rows = _residues(spark, sf_dir)
-    return rows.select(F.col("source").alias("family"), F.col("id").alias("name"), F.rpad(F.substring("seq", 1, WIDTH), WIDTH, "-").alias("aseq"))
+    """Whole texts as rows that start together; those that end before the longest of their source count as gaps from there on."""
+    rows = spread(_residues(spark, sf_dir))
+    return rows.select(F.col("source").alias("family"), F.col("id").alias("name"), F.col("seq").alias("aseq"))
 
 
-def _cells(spark, sf_dir):
-    return alignments.columns(_aligned(spark, sf_dir))
+def _composition(spark, sf_dir):
+    return alignments.ragged_composition(_aligned(spark, sf_dir))
 
 
 @query(f"WITH {_COUNTED} SELECT family, pos::INT AS pos, residue, n FROM counted")
 def column_composition(spark, sf_dir):
-    return alignments.composition(_cells(spark, sf_dir))
+    return _composition(spark, sf_dir)
 
 
 @query(f"""WITH {_COUNTED} SELECT family, pos::INT AS pos, residue, n, total::BIGINT AS total FROM
 (SELECT *, sum(n) OVER (PARTITION BY family, pos) AS total, row_number() OVER (PARTITION BY family, pos ORDER BY n DESC, ascii(residue)) AS r FROM counted) WHERE r = 1""")
 def column_consensus(spark, sf_dir):
-    return alignments.consensus(alignments.composition(_cells(spark, sf_dir)))
+    return alignments.consensus(_composition(spark, sf_dir))
 
 
 def _within(groups: list[str]) -> str:
@@ -319,35 +322,34 @@ def _within(groups: list[str]) -> str:
 @query(f"""WITH {_COUNTED}, sets AS (SELECT family, pos, list(residue) AS seen FROM counted GROUP BY family, pos)
 SELECT family, pos::INT AS pos, CASE WHEN list_contains(seen, '-') THEN ' ' WHEN len(seen) = 1 THEN '*' WHEN {_within(alignments.STRONG)} THEN ':' WHEN {_within(alignments.WEAK)} THEN '.' ELSE ' ' END AS mark FROM sets""")
 def conservation_marks(spark, sf_dir):
-    return alignments.conservation(alignments.composition(_cells(spark, sf_dir)))
+    return alignments.conservation(_composition(spark, sf_dir))
 
 
 @query(f"""WITH {_COUNTED}, share AS (SELECT family, pos, sum(CASE WHEN residue = '-' THEN n ELSE 0 END) / sum(n)::DOUBLE AS gap FROM counted GROUP BY family, pos)
 SELECT family, pos::INT AS pos, round(gap, 9) AS gap, round(avg(gap) OVER (PARTITION BY family ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 9) AS mean_gap FROM share""")
 def gap_windows(spark, sf_dir):
-    told = alignments.gap_share(alignments.composition(_cells(spark, sf_dir)), 10)
+    told = alignments.gap_share(_composition(spark, sf_dir), 10)
     return told.select("family", "pos", F.round("gap", 9).alias("gap"), F.round("mean_gap", 9).alias("mean_gap"))
 
 
-@query(f"""WITH cells AS ({_CELLS}), gaps AS (SELECT *, pos - row_number() OVER (PARTITION BY family, name ORDER BY pos) AS run FROM cells WHERE residue = '-')
-SELECT family, name, min(pos)::INT AS start, count(*) AS length FROM gaps GROUP BY family, name, run""")
+@query(f"""SELECT source AS family, doc_id AS name, coalesce(length(s), 0)::INT AS start, longest - coalesce(length(s), 0) AS length FROM (SELECT *, max(length(s)) OVER (PARTITION BY source) AS longest FROM {_ROWS})
+WHERE longest > coalesce(length(s), 0)""")
 def gap_runs(spark, sf_dir):
-    return alignments.gap_runs(_cells(spark, sf_dir))
+    return alignments.gap_runs(_aligned(spark, sf_dir))
 
 
-@query(f"""WITH {_COUNTED}, solid AS (SELECT * FROM cells WHERE residue <> '-'), kinds AS (SELECT family, pos, count(*) AS kinds FROM counted WHERE residue <> '-' GROUP BY family, pos),
-raw AS (SELECT s.family, s.name, sum(1.0::DOUBLE / (k.kinds * c.n)) / count(*) AS raw FROM solid s JOIN kinds k USING (family, pos) JOIN counted c USING (family, pos, residue) GROUP BY s.family, s.name)
+@query(f"""WITH {_COUNTED}, kinds AS (SELECT family, pos, count(*) AS kinds FROM solid GROUP BY family, pos),
+raw AS (SELECT s.family, s.name, sum(1.0::DOUBLE / (k.kinds * c.n)) / count(*) AS raw FROM cells s JOIN kinds k USING (family, pos) JOIN solid c USING (family, pos, residue) GROUP BY s.family, s.name)
 SELECT family, name, round(raw / sum(raw) OVER (PARTITION BY family) * count(*) OVER (PARTITION BY family), {DIGITS}) AS weight FROM raw""")
 def position_weights(spark, sf_dir):
-    return alignments.position_weights(_cells(spark, sf_dir)).select("family", "name", F.round("weight", DIGITS).alias("weight"))
+    return alignments.position_weights(_aligned(spark, sf_dir)).select("family", "name", F.round("weight", DIGITS).alias("weight"))
 
 
 @query(f"""WITH {_COUNTED}, vote AS (SELECT family, pos, residue AS vote FROM (SELECT *, row_number() OVER (PARTITION BY family, pos ORDER BY n DESC, ascii(residue)) AS r FROM counted) WHERE r = 1)
-SELECT family, name, round(coalesce(sum(CASE WHEN residue <> '-' AND residue = vote THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN residue <> '-' THEN 1 ELSE 0 END), 0)::DOUBLE, 0), {DIGITS}) AS identity
-FROM cells JOIN vote USING (family, pos) GROUP BY family, name""")
+SELECT family, name, round(sum(CASE WHEN residue = vote THEN 1 ELSE 0 END) / count(*)::DOUBLE, {DIGITS}) AS identity FROM cells JOIN vote USING (family, pos) GROUP BY family, name""")
 def consensus_identity(spark, sf_dir):
-    cells = _cells(spark, sf_dir)
-    told = alignments.identity_to_consensus(cells, alignments.consensus(alignments.composition(cells)))
+    rows = _aligned(spark, sf_dir)
+    told = alignments.identity_to_consensus(rows, alignments.consensus(_composition(spark, sf_dir)))
     return told.select("family", "name", F.round("identity", DIGITS).alias("identity"))
 
 
@@ -381,16 +383,19 @@ def category_means(spark, sf_dir):
 SELECT b.id AS doc_id, b.ref_id, levenshtein(d.seq, r.seq)::BIGINT AS edits FROM best b JOIN docs d ON b.id = d.id JOIN refs r ON b.ref_id = r.id""")
 def nearest_reference_edits(spark, sf_dir):
     """Edit distance of each text to its nearest reference, a stated pair for each row."""
-    best = kmers.nearest_reference(_reference_distances(spark, sf_dir))
+    best = _nearest_references(spark, sf_dir)
     refs = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref_id"), S.letters(F.col("text")).alias("ref"))
     both = best.join(_residues(spark, sf_dir).select("id", "seq"), "id").join(refs, "ref_id")
     return both.select(F.col("id").alias("doc_id"), "ref_id", F.levenshtein("seq", "ref").cast("long").alias("edits"))
 
 
 def _center_distances(spark, sf_dir) -> DataFrame:
-    centers = clusters.centers(_vectors(spark, sf_dir), "label", "v")
+    known = _label_centers(_vectors(spark, sf_dir))
+    if len(known) > trees.MAX_LEAVES:
+        raise ValueError(f"{len(known)} centers; a tree takes {trees.MAX_LEAVES}")
+    centers = spark.createDataFrame(known, "label int, center array<double>")
     a, b = centers.select(F.col("label").alias("i"), F.col("center").alias("a")), centers.select(F.col("label").alias("j"), F.col("center").alias("b"))
-    # one row a label: a bounded table against itself
+    # at most MAX_LEAVES centers against themselves
     return a.join(b, F.col("i") > F.col("j")).select(F.lit("centers").alias("family"), "i", "j", F.round(V.squared_distance(F.col("a"), F.col("b")), 9).alias("dist"))
 
 
@@ -427,13 +432,12 @@ def kmer_codes(spark, sf_dir):
     return each.groupBy(S.kmer_code(F.col("kmer"), 2).alias("code")).agg(F.sum("n").alias("n"))
 
 
-@query("""
-SELECT family, keep, count(*) AS n FROM (SELECT family, pos, CASE WHEN bool_and(residue = '-') THEN 'all gaps' WHEN bool_or(residue = '-') THEN 'some gaps' ELSE 'solid' END AS keep
-FROM (""" + _CELLS + """) GROUP BY family, pos) GROUP BY family, keep""")
+@query(f"""WITH {_COUNTED} SELECT family, keep, count(*) AS n FROM (SELECT family, pos, CASE WHEN bool_and(residue = '-') THEN 'all gaps' WHEN bool_or(residue = '-') THEN 'some gaps' ELSE 'solid' END AS keep
+FROM counted GROUP BY family, pos) GROUP BY family, keep""")
 def column_classes(spark, sf_dir):
     """How many columns are all gaps, partly gaps or solid."""
-    gap = F.col("residue") == "-"
-    kept = _cells(spark, sf_dir).groupBy("family", "pos").agg(
+    gap = F.col("residue").rlike(alignments.GAPS)
+    kept = _composition(spark, sf_dir).groupBy("family", "pos").agg(
         F.when(F.bool_and(gap), "all gaps").when(F.bool_or(gap), "some gaps").otherwise("solid").alias("keep")
     )
     return kept.groupBy("family", "keep").agg(F.count("*").alias("n"))

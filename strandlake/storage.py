@@ -41,6 +41,12 @@ def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, if a scan gives fewer: for heavy maps over small tables."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def drop_materialized() -> None:
     """Delete the tables :func:`materialize` wrote in this process."""
     while _written:

@@ -10,8 +10,7 @@ from strandlake.operators.clusters import nearest
 
 def assign_stream(stream: DataFrame, id_col: str, vector: str, centers: list[tuple[int, list[float]]]) -> DataFrame:
     """(id, cluster, distance) of each arriving vector; works on a static table alike."""
-    best = nearest(F.col(vector), centers)
-    return stream.select(id_col, best["k"].alias("cluster"), best["d"].alias("distance"))
+    return nearest(stream.select(id_col, vector), vector, centers).drop(vector)
 
 
 def windowed_counts(stream: DataFrame, ts: str, by: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
