@@ -97,3 +97,36 @@ def translated(seq: Column) -> Column:
         return F.when(F.least(a, b, c) >= 0, F.substring(F.lit(CODON_RESIDUES), a * 16 + b * 4 + c + 1, F.lit(1))).otherwise("X")
 
     return F.array_join(F.transform(F.regexp_extract_all(seq, F.lit("(...)"), 1), residue), "")
+
+
+# Nucleotide codes and the letters they stand for.
+AMBIGUOUS = {
+    "A": "A", "C": "C", "G": "G", "T": "T", "U": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC",
+    "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT",
+}
+
+
+def motif_count(seq: Column, motif: str) -> Column:
+    """How often a motif of nucleotide codes occurs in a row of A, C, G and T; occurrences don't overlap."""
+    pattern = "".join(f"[{AMBIGUOUS[c]}]" for c in motif.upper())
+    return F.regexp_count(seq, F.lit(pattern)).cast("long")
+
+
+def is_integer(text: Column) -> Column:
+    """Whether a field is a whole number: decimal with a sign, 0x and hexadecimal digits, or 0 and octal digits."""
+    return text.rlike(r"^\s*[+-]?(0[xX][0-9a-fA-F]+|0[0-7]*|[1-9][0-9]*)\s*$")
+
+
+def is_real(text: Column) -> Column:
+    """Whether a field is a decimal number with an optional exponent."""
+    return text.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$")
+
+
+def shuffled(seq: Column, seed: int = 0) -> Column:
+    """The residues of a row in an order that the seed and their places fix."""
+    keyed = F.transform(F.filter(F.split(seq, ""), lambda c: c != ""), lambda c, i: F.struct(F.md5(F.concat_ws(":", F.lit(seed), i).cast("binary")).alias("k"), c.alias("c")))
+    return F.array_join(F.transform(F.array_sort(keyed), lambda x: x["c"]), "")
+
+
+def lengths_without_gaps(seq: Column) -> Column:
+    return F.length(dealign(seq))

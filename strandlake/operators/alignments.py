@@ -172,3 +172,40 @@ def agreement(predicted: DataFrame, reference: DataFrame) -> DataFrame:
     return real.groupBy("family").agg(
         (F.sum("found") / F.sum(pairs(F.col("size")))).alias("sp"), F.avg(F.when(F.col("most") == F.col("size"), 1.0).otherwise(0.0)).alias("tc")
     )
+
+
+def row_identity(rows: DataFrame, references: DataFrame) -> DataFrame:
+    """(family, name, identity): columns where a row and its family's reference row (family, aseq) have the same residue, over the shorter ungapped length.
+
+    0 if one of the two has no residue.
+    """
+    both = rows.join(references.select("family", F.col("aseq").alias("__ref")), "family")
+    solid = F.lit("-._~ ")
+    same = F.aggregate(
+        F.zip_with(F.split("aseq", ""), F.split("__ref", ""), lambda a, b: F.coalesce(((a == b) & (a != "") & (F.instr(solid, a) == 0)).cast("long"), F.lit(0).cast("long"))),
+        F.lit(0).cast("long"), lambda t, x: t + x,
+    )
+    least = F.least(F.length(F.regexp_replace("aseq", GAPS, "")), F.length(F.regexp_replace("__ref", GAPS, "")))
+    return both.select("family", "name", F.when(least > 0, same / least).otherwise(0.0).alias("identity"))
+
+
+def sum_of_pairs(counted: DataFrame, match: float = 1.0, mismatch: float = -0.5, gap: float = -1.0) -> DataFrame:
+    """(family, matches, mismatches, gap_pairs, score) over all pairs of rows and columns, from column counts (family, pos, residue, n); no pair is made."""
+    is_gap = F.col("residue").rlike(GAPS)
+    n = F.col("n")
+    column = counted.groupBy("family", "pos").agg(
+        F.sum(F.when(is_gap, 0).otherwise(n)).alias("solid"), F.sum(F.when(is_gap, n).otherwise(0)).alias("gaps"),
+        F.sum(F.when(is_gap, 0).otherwise(n * (n - 1) / 2)).alias("same"),
+    )
+    s, g = F.col("solid"), F.col("gaps")
+    total = column.groupBy("family").agg(
+        F.sum("same").cast("long").alias("matches"), F.sum(s * (s - 1) / 2 - F.col("same")).cast("long").alias("mismatches"), F.sum(s * g).cast("long").alias("gap_pairs")
+    )
+    return total.withColumn("score", F.col("matches") * match + F.col("mismatches") * mismatch + F.col("gap_pairs") * gap)
+
+
+def project_columns(rows: DataFrame, keep: DataFrame) -> DataFrame:
+    """(family, name, aseq) with the columns of ``keep`` (family, pos) only, in order; a row that keeps none is left out."""
+    kept = columns(rows).join(keep.select("family", "pos"), ["family", "pos"], "left_semi")
+    cells = F.array_sort(F.collect_list(F.struct("pos", "residue")))  # one row's own residues
+    return kept.groupBy("family", "name").agg(F.array_join(F.transform(cells, lambda c: c["residue"]), "").alias("aseq"))

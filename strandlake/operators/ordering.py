@@ -47,3 +47,19 @@ def stride_seeds(df: DataFrame, length: Column, id_col: str, seeds: int | None =
         return ranked.where("false").drop("__len")
     stride = n // wanted
     return ranked.where((F.col("rank") % stride == 0) & (F.col("rank") / stride < wanted)).drop("__len")
+
+
+def running_total(df: DataFrame, order: list[Column], value: str, name: str = "before") -> DataFrame:
+    """``df`` plus the sum of ``value`` over all rows before it in ``order``, which must be total."""
+    from pyspark.sql import Window
+
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(df.repartitionByRange(partitions, *order).withColumn("__part", F.spark_partition_id()))
+    sums = sorted((r["__part"], r["s"]) for r in placed.groupBy("__part").agg(F.sum(value).alias("s")).collect())  # one row a partition
+    before, at = [], 0
+    for part, s in sums:
+        before += [F.lit(part), F.lit(at)]
+        at += s or 0
+    shift = F.create_map(*before)[F.col("__part")] if before else F.lit(0)
+    own = F.sum(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return placed.withColumn(name, F.coalesce(own, F.lit(0)) + shift).drop("__part")

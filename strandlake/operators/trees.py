@@ -100,6 +100,33 @@ def leaf_weights(edges: DataFrame) -> DataFrame:
     return edges.groupBy("family").applyInPandas(run, "family string, leaf int, weight double")
 
 
+def path_lengths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(family, i, j, path, shared): for stated pairs of leaves (family, i, j), the length of the path between them and the height of their join."""
+
+    def run(group: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        up: dict[int, tuple[int, float]] = {}
+        height: dict[int, float] = {}
+        for a, b, node, la, lb, h in group[["a", "b", "node", "len_a", "len_b", "height"]].itertuples(index=False):
+            up[a], up[b], height[node] = (node, la), (node, lb), h
+
+        def above(leaf: int) -> dict[int, float]:
+            out, far = {leaf: 0.0}, 0.0
+            while leaf in up:
+                leaf, length = up[leaf]
+                far += length
+                out[leaf] = far
+            return out
+
+        rows = []
+        for family, i, j in asked[["family", "i", "j"]].itertuples(index=False):
+            one, other = above(i), above(j)
+            meet = next(x for x in one if x in other)  # dicts keep the order of the path
+            rows.append((family, i, j, one[meet] + other[meet], height.get(meet, 0.0)))
+        return pd.DataFrame(rows, columns=["family", "i", "j", "path", "shared"])
+
+    return edges.groupBy("family").cogroup(pairs.groupBy("family")).applyInPandas(run, "family string, i int, j int, path double, shared double")
+
+
 def newick(edges: DataFrame, names: DataFrame) -> DataFrame:
     """(family, newick) from an edge table and (family, leaf, name)."""
 

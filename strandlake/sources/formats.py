@@ -47,18 +47,88 @@ def write_fasta(rows: DataFrame, path: str, width: int = 60) -> None:
     rows.select(fasta_text(F.col("name"), F.col("seq"), width).alias("value")).write.text(path)
 
 
-def read_newick(spark: SparkSession, path: str) -> DataFrame:
-    """(family, node, parent, name, length) of the trees in files of one tree each."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("family"), "value")
+def newick_nodes(trees: DataFrame) -> DataFrame:
+    """(family, node, parent, name, length) of trees as text (family, newick)."""
 
     def run(batches):
         import pandas as pd
 
         for batch in batches:
-            rows = [(f, *node) for f, text in zip(batch["family"], batch["value"], strict=True) for node in parse_newick(text)]
+            rows = [(f, *node) for f, text in zip(batch["family"], batch["newick"], strict=True) for node in parse_newick(text or "")]
             yield pd.DataFrame(rows, columns=["family", "node", "parent", "name", "length"]).astype({"parent": "Int32"})
 
-    return whole.mapInPandas(run, "family string, node int, parent int, name string, length double")
+    return trees.select("family", "newick").mapInPandas(run, "family string, node int, parent int, name string, length double")
+
+
+def read_newick(spark: SparkSession, path: str) -> DataFrame:
+    """(family, node, parent, name, length) of the trees in files of one tree each."""
+    whole = spark.read.text(path, wholetext=True)
+    return newick_nodes(whole.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("family"), F.col("value").alias("newick")))
+
+
+def alignment_blocks(files: DataFrame) -> DataFrame:
+    """(family, name, aseq, kind) of alignment files as text (family, value): Stockholm, Clustal, MSF or interleaved PHYLIP, told by content.
+
+    A row's pieces are joined in the order of their blocks. Marks, headers, annotation
+    and counts after a piece are left out; MSF rows start after ``//``.
+    """
+    text = F.regexp_replace("value", r"\r\n?", "\n")
+    kind = (
+        F.when(text.rlike(r"^# STOCKHOLM"), "stockholm").when(text.rlike(r"^\s*CLUSTAL"), "clustal")
+        .when(text.rlike(r"(?m)^//"), "msf").when(text.rlike(r"^\s*\d+\s+\d+"), "phylip")
+    )
+    body = F.when(kind == "msf", F.regexp_replace(text, r"(?s)^.*?\n//", "")).when(kind == "phylip", F.regexp_replace(text, r"^\s*\d+\s+\d+[^\n]*", "")).otherwise(
+        F.regexp_replace(text, r"^[^\n]*", "")
+    )
+    rows = F.regexp_extract(text, r"^\s*(\d+)\s+\d+", 1)
+    lines = files.where(kind.isNotNull()).select("family", kind.alias("kind"), F.when(kind == "phylip", rows.cast("int")).alias("rows"), F.posexplode(F.split(body, "\n")).alias("at", "line"))
+    lines = lines.where(F.col("line").rlike(r"\S") & ~F.col("line").rlike(r"^\s*(#|//)") & ((F.col("kind") != "clustal") | ~F.col("line").rlike(r"^\s")))
+    each = Window.partitionBy("family").orderBy("at")
+    lines = lines.withColumn("k", F.row_number().over(each) - 1)
+    words = F.split(F.trim("line"), r"\s+")
+    named = (F.col("kind") != "phylip") | (F.col("k") < F.col("rows"))
+    pieces = lines.select(
+        "family", "kind", "at", F.when(named, F.get(words, F.lit(0))).alias("name"), F.when(F.col("kind") == "phylip", F.pmod("k", "rows")).alias("slot"),
+        F.when(F.col("kind") == "clustal", F.get(words, F.lit(1))).otherwise(F.array_join(F.when(named, F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))).otherwise(words), "")).alias("piece"),
+    )
+    row = Window.partitionBy("family", "slot")
+    pieces = pieces.withColumn("name", F.when(F.col("kind") == "phylip", F.max("name").over(row)).otherwise(F.col("name")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda p: p["piece"]), "")
+    return pieces.groupBy("family", "kind", "name").agg(joined.alias("aseq"))
+
+
+def read_alignment_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`alignment_blocks` of files, one alignment each."""
+    whole = spark.read.text(path, wholetext=True)
+    return alignment_blocks(whole.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("family"), "value"))
+
+
+def alignment_text(rows: DataFrame, kind: str = "clustal", width: int = 60) -> DataFrame:
+    """(family, value): families (family, name, aseq) of equal row lengths as text in blocks of ``width`` columns; kind is clustal, stockholm, msf or phylip."""
+    pieces = rows.select("family", "name", "aseq", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("aseq") / width) - 1, F.lit(0)).cast("int")), lambda i: F.substring(F.col("aseq"), i * width + 1, F.lit(width)))).alias("block", "piece"))
+    bare = (F.col("block") > 0) if kind == "phylip" else F.lit(False)
+    line = F.when(bare, F.col("piece")).otherwise(F.concat(F.rpad(F.col("name").cast("string"), F.greatest(F.length(F.col("name").cast("string")) + 1, F.lit(16)), F.lit(" ")), "piece"))
+    ordered = F.array_sort(F.collect_list(F.struct("block", "name", line.alias("line"))))
+    joined = F.array_join(F.transform(ordered, lambda x, i: F.concat(F.when((i > 0) & (x["block"] != F.get(ordered, i - 1)["block"]), "\n").otherwise(""), x["line"])), "\n")
+    # How files of each kind start and end.
+    head = {
+        "clustal": F.lit("CLUSTAL multiple sequence alignment\n\n"), "stockholm": F.lit("# STOCKHOLM 1.0\n\n"), "msf": F.lit("PileUp\n\n//\n\n"),
+        "phylip": F.concat_ws(" ", F.lit(""), F.countDistinct("name"), F.max(F.length("aseq"))),
+    }[kind]
+    tail = {"stockholm": "\n//\n"}.get(kind, "\n")
+    head = F.concat(head, F.lit("\n")) if kind == "phylip" else head
+    return pieces.groupBy("family").agg(F.concat(head, joined, F.lit(tail)).alias("value"))
+
+
+def substitution_matrix(lines: DataFrame) -> DataFrame:
+    """(a, b, score) from lines (at, value) of a matrix text: a row of letters, then a letter and numbers on each line; # starts a comment."""
+    words = F.split(F.trim("value"), r"\s+")
+    real = lines.where(~F.col("value").rlike(r"^\s*(#|$)")).select("at", words.alias("w"))
+    head = real.groupBy().agg(F.min_by("w", "at").alias("letters"), F.min("at").alias("first"))  # one row
+    body = real.crossJoin(F.broadcast(head)).where(F.col("at") > F.col("first"))
+    return body.select(
+        F.get("w", F.lit(0)).alias("a"), F.posexplode(F.slice("w", 2, F.size("w"))).alias("k", "x"), "letters"
+    ).select("a", F.get("letters", F.col("k")).alias("b"), F.col("x").cast("double").alias("score"))
 
 
 def read_distances(spark: SparkSession, path: str) -> DataFrame:
@@ -80,14 +150,19 @@ def read_cluster_list(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_score_log(spark: SparkSession, path: str) -> DataFrame:
-    """(run, family, sp, tc) from logs that name a file, then its SP score and TC on later lines."""
-    lines = spark.read.text(path).select(
-        F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("run"), F.monotonically_increasing_id().alias("at"),
-        F.regexp_extract("value", r"Now processing file \(\d+/\d+\) : (\S+)", 1).alias("family"),
-        F.expr(r"try_cast(regexp_extract(value, 'SP-score\\s*=\\s*([0-9.]+)', 1) as double)").alias("sp"),
-        F.expr(r"try_cast(regexp_extract(value, '\\bTC\\s*=\\s*([0-9.]+)', 1) as double)").alias("tc"),
+def score_log(files: DataFrame) -> DataFrame:
+    """(run, family, sp, tc) from logs as text (run, value) that name a file, then its SP score and TC on later lines."""
+    lines = files.select("run", F.posexplode(F.split("value", r"\r?\n")).alias("at", "line")).select(
+        "run", "at", F.regexp_extract("line", r"Now processing file \(\d+/\d+\) : (\S+)", 1).alias("family"),
+        F.expr(r"try_cast(regexp_extract(line, 'SP-score\\s*=\\s*([0-9.]+)', 1) as double)").alias("sp"),
+        F.expr(r"try_cast(regexp_extract(line, '\\bTC\\s*=\\s*([0-9.]+)', 1) as double)").alias("tc"),
     )
-    block = Window.partitionBy("run").orderBy("at")
+    block = Window.partitionBy("run").orderBy("at")  # a log is one file, read whole
     told = lines.withColumn("family", F.last(F.when(F.col("family") != "", F.col("family")), ignorenulls=True).over(block))
     return told.where("family is not null").groupBy("run", "family").agg(F.max("sp").alias("sp"), F.max("tc").alias("tc"))
+
+
+def read_score_log(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`score_log` of files."""
+    whole = spark.read.text(path, wholetext=True)
+    return score_log(whole.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("run"), "value"))
