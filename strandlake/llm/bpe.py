@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm.textblocks import lean
+from strandlake.storage import spread
 
 # The byte-level pre-token pattern and the printable stand-ins of
 # bytes are part of the public vocabulary format.
@@ -277,5 +278,5 @@ def encode_and_digest(docs: DataFrame, vocabulary: bytes, text_col: str = "text"
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text")))
     return encode_and_digest(docs, vocabulary_file())

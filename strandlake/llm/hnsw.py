@@ -2,15 +2,17 @@
 
 Vectors of one label and length are dealt into shards by a hash; each shard becomes
 a graph, written as one row of a table. Every vector then queries every shard of
-its label by beam search; nothing is compared with a whole shard but audits.
+its label by beam search.
 
 Beams are as wide as audits ask. When a graph is built, ``AUDIT_ROWS`` of its
 vectors are turned away until their cosine is just the threshold, and searched for:
 the hardest links there can be, in any number, and no query stands in the graph
 itself. The beam doubles from ``BEAM`` until ``AUDIT_RECALL`` of the true links of
 these queries are found. Where a block of vectors queries the shard, some of them are audited again
-by their own true links, themselves left out, with the same doubling; and a query
-whose beam is filled by links alone goes on with twice the beam until it is not.
+by their own true links, themselves left out, with the same doubling. A query whose
+beam is filled by links alone goes on with twice the beam up to ``FULL_BEAM``; what is
+full then stands in a dense group, whose links alone are as many as a comparison with
+the shard, and is compared so: no number of links is a cap.
 :func:`near_vectors` can return the pooled audits. Links are verified by cosine in
 double precision, counted, and joined into components.
 
@@ -29,13 +31,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.components import Forest, connected_components
+from strandlake.operators.components import Forest, connected_components
 from strandlake.storage import materialize
 
 COSINE = 0.93
 #: A shard's graph is sent once for each block of queries, eight times as many as it has vectors.
 SHARD_ROWS, BLOCK_ROWS = 8192, 65536
-LINKS, BUILD_BEAM, BEAM = 12, 48, 32
+LINKS, BUILD_BEAM, BEAM, FULL_BEAM = 12, 48, 32, 128
 AUDIT_ROWS, AUDIT_RECALL = 256, 0.995
 _AT_ONCE = 512
 _OPEN_AT_ONCE = 4
@@ -263,6 +265,16 @@ def _links_of(graph: Graph, exact: np.ndarray, q: np.ndarray, cosine: float, bea
     return np.concatenate(of_query), np.concatenate(of_vector), full
 
 
+def _all_links(exact: np.ndarray, q: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """All (query, vector) links, by matrix products."""
+    of_query, of_vector = [], []
+    for at in range(0, len(q), _AT_ONCE):
+        i, v = np.nonzero(q[at : at + _AT_ONCE] @ exact.T >= cosine)
+        of_query.append(at + i)
+        of_vector.append(v)
+    return np.concatenate(of_query), np.concatenate(of_vector)
+
+
 def find_links(graph: Graph, exact: np.ndarray, q: np.ndarray, cosine: float, beam: int = BEAM, recall: float = AUDIT_RECALL, own: np.ndarray | None = None, rows: int = AUDIT_ROWS):
     """(query, vector) links by beams that double until audits pass; and beam, true links and found links of the audited queries.
 
@@ -288,6 +300,12 @@ def find_links(graph: Graph, exact: np.ndarray, q: np.ndarray, cosine: float, be
             found += int(count[judged & closing].sum())
         pairs.append((open_[i[closing[i]]], v[closing[i]]))
         open_ = open_[~closing]
+        if reached and beam >= FULL_BEAM and len(open_):
+            i, v = _all_links(exact, q[open_], cosine)
+            count = np.bincount(i[v != own[open_[i]]], minlength=len(open_))
+            found += int(count[is_audited[open_]].sum())
+            pairs.append((open_[i], v))
+            break
         beam = min(2 * beam, len(exact))
     return np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs]), (first, int(expected.sum()), found)
 

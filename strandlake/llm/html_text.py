@@ -42,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.llm.textblocks import lean
+from strandlake.storage import spread
 
 # Element names by role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -373,7 +374,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` without its markup, plus the main text of each page and its n_chars."""
-    kept = [f for f in pages.schema.fields if f.name not in (html_col, text_col, "n_chars")]
+    kept = [f for f in pages.schema.fields if f.name.lower() not in (html_col.lower(), text_col.lower(), "n_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -389,4 +390,4 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    return extract(spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")))

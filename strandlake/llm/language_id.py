@@ -11,7 +11,11 @@ a hash of doc_id down to about ``TRAIN_ROWS`` for each language; what reaches th
 driver is one row for each language and hashed n-gram.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter,
-or if nothing was learned; ties go to the language that sorts first.
+or if nothing was learned; ties go to the language that sorts first; a word in a
+script no language was seen in leaves all languages; repeated rows are judged one by
+one; an empty table gives an empty table; columns named as the output's are replaced.
+A text is labelled whole: memory grows with the longest one, about a hundred bytes
+for each of its words and ten for each of its bytes.
 """
 
 from __future__ import annotations
@@ -24,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.textblocks import Words, runs, slices, word_grams
+from strandlake.llm.textblocks import Words, lean, runs, slices, word_grams
+from strandlake.storage import spread
 
 FEATURES = 1 << 16
 ORDERS = (2, 3, 4)
@@ -53,7 +58,7 @@ _letters: list[np.ndarray] = []
 def letter_table() -> np.ndarray:
     """Which code points are letters (Unicode general category L), built once."""
     if not _letters:
-        _letters.append(np.array([unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)]))
+        _letters.append(np.fromiter((unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)), bool, 0x110000))
     return _letters[0]
 
 
@@ -141,7 +146,7 @@ def train(docs: DataFrame, rows_per_lang: int = TRAIN_ROWS) -> Model:
         return Model([], np.zeros((0, FEATURES), np.float32), np.zeros((len(SCRIPTS), 0), bool))
     every = F.create_map(*[F.lit(y) for x in langs for y in (x, max(1, sizes[x] // rows_per_lang))])
     sample = learn.where(F.pmod(F.xxhash64("doc_id"), every[F.col("lang")]) == 0).select("lang", "text")
-    counted = sample.mapInArrow(_counting(langs), "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(lean(_counting(langs)), "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     got = counted.toPandas()  # at most languages x (FEATURES + scripts) rows
     counts = np.zeros((len(langs), FEATURES + len(SCRIPTS)))
     counts[got["lang"], got["feature"]] = got["n"]
@@ -152,7 +157,7 @@ def train(docs: DataFrame, rows_per_lang: int = TRAIN_ROWS) -> Model:
 
 
 def word_scores(model: Model, graded: Graded) -> np.ndarray:
-    """(words, languages): log likelihood below the best candidate's, at most WORD_LIMIT; 0 for words without letters."""
+    """(words, languages): log likelihood below the best candidate's, at most WORD_LIMIT; -inf where the script excludes a language, 0 for words without letters."""
     out = np.zeros((len(graded.words.starts), len(model.langs)), np.float32)
     total = None
     for feature, applies in graded.grams():
@@ -165,8 +170,8 @@ def word_scores(model: Model, graded: Graded) -> np.ndarray:
     fits = model.scripts[graded.script[graded.kept]]
     fits |= ~fits.any(axis=1, keepdims=True)  # a script no language was seen in leaves all
     scores = np.where(fits, scores, -np.inf)
-    scores -= scores.max(axis=1, keepdims=True)
-    out[graded.kept] = np.maximum(scores, -WORD_LIMIT)
+    scores = np.maximum(scores - scores.max(axis=1, keepdims=True), np.float32(-WORD_LIMIT))
+    out[graded.kept] = np.where(fits, scores, -np.inf)  # no span of an excluded language holds the word
     return out
 
 
@@ -269,11 +274,11 @@ def identify(docs: DataFrame, model: Model, keep_text: bool = True, spans: bool
     def run(batches):
         yield from _predicting(shared.value, names, spans)(batches)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
     model = train(docs.select("doc_id", "text", "lang"))
     return identify(docs.select("doc_id", "text"), model, keep_text=False).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score")

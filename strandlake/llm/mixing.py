@@ -6,6 +6,10 @@ hold. A document's sampling probability is its cell's calibrated weight times a
 common scale that makes the expected tokens meet the budget, at most 1; it is taken
 if a hash of its id, read as a number in [0, 1), lies below it.
 
+A topic is a hashed cluster of words: of ``TOPICS`` classes that words of
+``LONG_WORD`` bytes or more fall into by hash, the one that most of a text's
+belong to (ties: the first); ``none`` for a text without such words.
+
 The cell table is an aggregate. Up to ``MAX_CELLS`` cells are raked on the driver;
 beyond that the same steps run as joins of cell tables in Spark. Probabilities reach
 the documents in a join with the cells, broadcast only up to ``MAX_CELLS``.
@@ -13,47 +17,55 @@ the documents in a join with the cells, broadcast only up to ``MAX_CELLS``.
 Targets that are not given come from the corpus: shares in proportion to
 tokens ** ``TEMPER``, which raises small sources, languages and topics. Defined
 results: nulls are categories of their own; a target for an absent category is
-ignored and the others are scaled to 1; a document without tokens has weight and
-probability like its cell; a null doc_id is hashed as 0; rows that repeat an id are
-taken or left together.
+ignored and the others are scaled to 1; targets that contradict each other, as cells
+are missing, have no solution: raking ends when a round no longer changes what is
+off, ``mix_gap`` says by how much the worst marginal of the weights misses its target
+(with ``strict`` it is an error); a document without tokens has weight and probability
+like its cell; a null doc_id is hashed as 0; rows that repeat an id are taken or left
+together; an empty table gives an empty table. A text is read whole, in about a
+hundred bytes for each of its words.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.storage import materialize
+from strandlake.llm.textblocks import Words, lean, slices, unlike
+from strandlake.storage import materialize, spread
 
 DIMENSIONS = ("source", "lang", "topic")
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 BUDGET = 0.4
 MAX_CELLS = 20_000
-ROUNDS, TOLERANCE = 200, 1e-9
+ROUNDS, TOLERANCE, STALL = 1000, 1e-9, 1e-7
+TOPICS, LONG_WORD = 12, 6
 SEED = 11
 
 
-def tokens_of(text: Column) -> Column:
-    """Words divided by white space."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-
-
-def topic_of(text: Column) -> Column:
-    """What kind of text it is, by its form: table, list, noise, verse-like lines or prose."""
-    size = F.greatest(F.length(text), F.lit(1))
+def with_topics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` plus mix_topic and mix_tokens (words divided by white space); columns of those names are replaced."""
+    docs = docs.drop("mix_topic", "mix_tokens")
 
-    def share(mark: str) -> Column:
-        return (F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))) / size
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            topics, tokens = [], []
+            for at, to, data, offsets in slices(batch.column(text_col)):
+                words = Words(data, offsets)
+                long = words.ends - words.starts >= LONG_WORD
+                cls = (words.hashes(lower=True)[long] >> np.uint64(40)).astype(np.int64) % TOPICS
+                n = np.bincount(words.text_of_word()[long] * TOPICS + cls, minlength=(to - at) * TOPICS).reshape(-1, TOPICS)
+                topics += [f"words{k:02d}" if some else "none" for k, some in zip(n.argmax(axis=1).tolist(), n.any(axis=1).tolist(), strict=True)]
+                tokens += words.count.tolist()
+            columns = [*batch.columns, pa.array(topics, pa.string()), pa.array(tokens, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "mix_topic", "mix_tokens"])
 
-    return (
-        F.when(text.isNull() | (text == ""), "empty")
-        .when(share(" | ") > 0.05, "table")
-        .when((share("!!") + share("%%%") + share("###") + share("***") + share("$$$") + share("&&&")) > 0.05, "noise")
-        .when(share("\n") > 0.02, "lines")
-        .when(F.length(text) < 400, "short")
-        .otherwise("prose")
-    )
+    schema = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "mix_topic string, mix_tokens long"]
+    return docs.mapInArrow(lean(run), ", ".join(schema))
 
 
 def _marginal(tokens: np.ndarray, codes: np.ndarray, names: list, given: dict | None, temper: float) -> np.ndarray:
@@ -64,19 +76,25 @@ def _marginal(tokens: np.ndarray, codes: np.ndarray, names: list, given: dict |
     return shares / shares.sum() if shares.sum() else shares
 
 
-def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray]) -> np.ndarray:
-    """Cell weights whose marginals meet the targets, starting from the cells' own share of tokens."""
+def _settled(off: float, before: float) -> bool:
+    """Whether raking is done: targets met, or as near as they will be."""
+    return off < TOLERANCE or abs(before - off) <= STALL * off
+
+
+def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray]) -> tuple[np.ndarray, float]:
+    """Cell weights whose marginals meet the targets, starting from the cells' own share of tokens; and how far the worst is off."""
     weight = tokens / tokens.sum() if tokens.sum() else tokens.astype(float)
+    off = before = np.inf
     for _ in range(ROUNDS):
-        off = 0.0
+        before, off = off, 0.0
         for code, target in zip(codes, targets, strict=True):
             now = np.bincount(code, weight, len(target))
             factor = np.divide(target, now, out=np.zeros_like(target), where=now > 0)
             off = max(off, float(np.abs(now - target).max(initial=0)))
             weight = weight * factor[code]
-        if off < TOLERANCE:
+        if _settled(off, before):
             break
-    return weight
+    return weight, off
 
 
 def scale_to_budget(tokens: np.ndarray, ratio: np.ndarray, budget: float) -> np.ndarray:
@@ -93,7 +111,7 @@ def scale_to_budget(tokens: np.ndarray, ratio: np.ndarray, budget: float) -> np.
     return np.where(ratio > 0, 1.0, 0.0)
 
 
-def _rake_tables(cells: DataFrame, targets: dict[str, dict | None]) -> DataFrame:
+def _rake_tables(cells: DataFrame, targets: dict[str, dict | None]) -> tuple[DataFrame, float]:
     """The steps of :func:`rake` as joins, for more cells than the driver should hold."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     weighted = cells.withColumn("weight", F.col("tokens") / F.lit(float(max(1, total))))
@@ -108,28 +126,26 @@ def _rake_tables(cells: DataFrame, targets: dict[str, dict | None]) -> DataFrame
             of_d = of_d.select(d, F.pow("t", F.lit(TEMPER[d])).alias("share"))
         whole = of_d.agg(F.sum("share")).first()[0] or 1.0
         wanted[d] = materialize(of_d.select(F.col(d).alias("k"), (F.col("share") / whole).alias("target")))
+    off = before = float("inf")
     for _ in range(ROUNDS):
-        before = weighted
+        before, off = off, 0.0
         for d in DIMENSIONS:
             now = weighted.groupBy(F.col(d).alias("k")).agg(F.sum("weight").alias("now"))
-            factor = now.join(wanted[d], now["k"].eqNullSafe(wanted[d]["k"])).select(
-                now["k"], F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(0.0).alias("factor")
-            )
+            factor = materialize(now.join(wanted[d], now["k"].eqNullSafe(wanted[d]["k"])).select(
+                now["k"], F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(0.0).alias("factor"), F.abs(F.col("now") - F.col("target")).alias("off")
+            ))
+            off = max(off, factor.agg(F.max("off")).first()[0] or 0.0)
             weighted = weighted.join(factor, weighted[d].eqNullSafe(factor["k"])).select(
                 *DIMENSIONS, "tokens", (F.col("weight") * F.col("factor")).alias("weight")
             )
         weighted = materialize(weighted)
-        same = [weighted[d].eqNullSafe(F.col(f"b.{d}")) for d in DIMENSIONS]
-        off = weighted.join(before.select(*DIMENSIONS, F.col("weight").alias("old")).alias("b"), same).agg(
-            F.max(F.abs(F.col("weight") - F.col("old")))
-        ).first()[0]
-        if (off or 0) < TOLERANCE:
+        if _settled(off, before):
             break
-    return weighted
+    return weighted, off
 
 
-def mix_cells(cells: DataFrame, targets: dict[str, dict | None] | None = None, budget: float = BUDGET, max_cells: int = MAX_CELLS) -> tuple[DataFrame, bool]:
-    """(source, lang, topic, weight, probability) of each cell, and whether it is small enough to broadcast."""
+def mix_cells(cells: DataFrame, targets: dict[str, dict | None] | None = None, budget: float = BUDGET, max_cells: int = MAX_CELLS) -> tuple[DataFrame, bool, float]:
+    """(source, lang, topic, weight, probability) of each cell, whether it is small enough to broadcast, and how far the worst marginal is off."""
     spark, targets = cells.sparkSession, targets or {}
     some = cells.limit(max_cells + 1).toPandas()
     fields = "source string, lang string, topic string, weight double, probability double"
@@ -139,12 +155,12 @@ def mix_cells(cells: DataFrame, targets: dict[str, dict | None] | None = None, b
         names = [sorted(set(some[d]), key=repr) for d in DIMENSIONS]
         codes = [some[d].map({x: k for k, x in enumerate(n)}.get).to_numpy(np.int64) if len(some) else np.empty(0, np.int64) for d, n in zip(DIMENSIONS, names, strict=True)]
         goal = [_marginal(tokens, c, n, targets.get(d), TEMPER[d]) for d, c, n in zip(DIMENSIONS, codes, names, strict=True)]
-        weight = rake(tokens, codes, goal)
+        weight, off = rake(tokens, codes, goal)
         ratio = np.divide(weight * tokens.sum(), tokens, out=np.zeros_like(tokens), where=tokens > 0)
         probability = scale_to_budget(tokens, ratio, budget * tokens.sum())
         rows = [(*map(some[list(DIMENSIONS)].iloc[k].get, DIMENSIONS), float(weight[k]), float(probability[k])) for k in range(len(some))]
-        return spark.createDataFrame(rows, fields), True
-    weighted = _rake_tables(cells, targets)
+        return spark.createDataFrame(rows, fields), True, off
+    weighted, off = _rake_tables(cells, targets)
     whole = weighted.agg(F.sum("tokens")).first()[0]
     ratio = F.when(F.col("tokens") > 0, F.col("weight") * whole / F.col("tokens")).otherwise(0.0)
     rated = materialize(weighted.withColumn("ratio", ratio))
@@ -155,7 +171,7 @@ def mix_cells(cells: DataFrame, targets: dict[str, dict | None] | None = None, b
     for _ in range(50):
         middle = (low + high) / 2
         low, high = (middle, high) if expected(middle) < budget * whole else (low, middle)
-    return rated.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), F.col("ratio") * high).alias("probability")), False
+    return rated.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), F.col("ratio") * high).alias("probability")), False, off
 
 
 def chance(doc_id: Column, seed: int = SEED) -> Column:
@@ -163,26 +179,29 @@ def chance(doc_id: Column, seed: int = SEED) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.coalesce(doc_id, F.lit(0)), F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def sample_mixture(docs: DataFrame, targets: dict[str, dict | None] | None = None, budget: float = BUDGET, max_cells: int = MAX_CELLS) -> DataFrame:
-    """``docs`` (doc_id, text, lang, source) plus mix_topic, mix_tokens, mix_weight, mix_probability and mix_taken.
+def sample_mixture(docs: DataFrame, targets: dict[str, dict | None] | None = None, budget: float = BUDGET, max_cells: int = MAX_CELLS, strict: bool = False) -> DataFrame:
+    """``docs`` (doc_id, text, lang, source) plus mix_topic, mix_tokens, mix_weight, mix_probability, mix_taken and mix_gap.
 
     Columns of those names are replaced; all others pass through.
     """
-    docs = docs.drop("mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_taken")
-    told = docs.withColumn("mix_topic", topic_of(F.col("text"))).withColumn("mix_tokens", tokens_of(F.col("text")))
-    cells = materialize(told.groupBy("source", "lang", F.col("mix_topic").alias("topic")).agg(F.sum("mix_tokens").alias("tokens")))
-    mixed, small = mix_cells(cells, targets, budget, max_cells)
+    docs = docs.drop("mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_taken", "mix_gap")
+    told = with_topics(docs)
+    cells = materialize(with_topics(docs.select("source", "lang", "text")).groupBy("source", "lang", F.col("mix_topic").alias("topic")).agg(F.sum("mix_tokens").alias("tokens")))
+    mixed, small, off = mix_cells(cells, targets, budget, max_cells)
+    if strict and off > 1e-6:
+        raise ValueError(f"no weights meet all targets: the worst is off by {off:.3g}")
+    source, lang, topic = unlike(told.columns, "__source", "__lang", "__topic")
     mixed = mixed.select(
-        F.col("source").alias("__s"), F.col("lang").alias("__l"), F.col("topic").alias("__t"),
+        F.col("source").alias(source), F.col("lang").alias(lang), F.col("topic").alias(topic),
         F.col("weight").alias("mix_weight"), F.col("probability").alias("mix_probability"),
     )
-    same = F.col("source").eqNullSafe(F.col("__s")) & F.col("lang").eqNullSafe(F.col("__l")) & (F.col("mix_topic") == F.col("__t"))
-    joined = told.join(F.broadcast(mixed) if small else mixed, same, "left").drop("__s", "__l", "__t")
-    return joined.withColumn("mix_taken", chance(F.col("doc_id")) < F.col("mix_probability"))
+    same = F.col("source").eqNullSafe(F.col(source)) & F.col("lang").eqNullSafe(F.col(lang)) & (F.col("mix_topic") == F.col(topic))
+    joined = told.join(F.broadcast(mixed) if small else mixed, same, "left").drop(source, lang, topic)
+    return joined.withColumn("mix_taken", chance(F.col("doc_id")) < F.col("mix_probability")).withColumn("mix_gap", F.lit(float(off if np.isfinite(off) else 0.0)))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
     return sample_mixture(docs).select(
         "doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"),
         F.col("mix_weight").alias("cell_weight"), F.col("mix_probability").alias("probability"), F.col("mix_taken").alias("taken"),

@@ -22,6 +22,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandlake.llm.textblocks import unlike
+from strandlake.storage import spread
+
 K, TUPLE, SKETCHES = 3, 2, 64
 _POSITION_BITS, _HASH_BITS = 25, 38
 _WORDS = r"[ \t\n\x0B\f\r]+"
@@ -177,10 +180,11 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
         F.when(starts_range, F.struct((bucket - 1).alias("bucket"), F.lit(1).alias("guest"))),
         F.when(F.coalesce(first, F.lit(False)), F.struct(F.lit(len(cuts)).alias("bucket"), F.lit(2).alias("guest"))),
     )
-    placed = docs.withColumn("__home", F.explode(F.filter(homes, lambda h: h.isNotNull())))
-    order = Window.partitionBy("__home.bucket").orderBy("__home.guest", F.col(id_col).asc_nulls_first(), *[F.col(c) for c in columns])
+    (home,) = unlike(docs.columns, "__home")
+    placed = docs.withColumn(home, F.explode(F.filter(homes, lambda h: h.isNotNull())))
+    order = Window.partitionBy(f"{home}.bucket").orderBy(f"{home}.guest", F.col(id_col).asc_nulls_first(), *[F.col(c) for c in columns])
     told = placed.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
-    return told.where("__home.guest = 0").drop("__home")
+    return told.where(f"{home}.guest = 0").drop(home)
 
 
 def with_signatures(docs: DataFrame, text_col: str = "text", **sizes) -> DataFrame:
@@ -190,7 +194,7 @@ def with_signatures(docs: DataFrame, text_col: str = "text", **sizes) -> DataFra
 
 
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     signed = with_signatures(docs).withColumnRenamed("order_minhash", "own").drop("fingerprint")
     paired = with_next(signed, "doc_id", ["text", "own"])
     n = F.length("text")

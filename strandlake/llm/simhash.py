@@ -28,22 +28,26 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.components import Forest, connected_components
-from strandlake.llm.textblocks import LOWER, slices
-from strandlake.storage import materialize
+from strandlake.operators.components import Forest, connected_components
+from strandlake.llm.textblocks import LOWER, lean, slices
+from strandlake.storage import materialize, spread
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 3
 SEGMENT = 64 // (MAX_BITS + 1)
 MAX_GROUP = 200_000
 _FAN = 4
 _PAIRS_AT_ONCE = 1 << 20
+_HASHES_AT_ONCE = 1 << 16
 
 
 def fingerprint_bits(hashes: np.ndarray) -> int:
     """The bits that are set in over half of the hashes."""
     if not len(hashes):
         return 0
-    set_in = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    set_in = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _HASHES_AT_ONCE):
+        part = hashes[at : at + _HASHES_AT_ONCE].astype(">u8").view(np.uint8).reshape(-1, 8)
+        set_in += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(set_in * 2 > len(hashes)).tobytes(), "big")
 
 
@@ -54,12 +58,12 @@ def text_fingerprint(lowered: bytes) -> int:
         shingles = [joined(words)] if words else []
     else:
         shingles = map(joined, zip(words, words[1:], words[2:], strict=False))
-    return fingerprint_bits(np.array([digest(s, SEED) for s in shingles], np.uint64))
+    return fingerprint_bits(np.fromiter((digest(s, SEED) for s in shingles), np.uint64))
 
 
 def with_fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without its text, plus ``simhash`` (long, the 64 bits as they are)."""
-    kept = [f for f in docs.schema.fields if f.name != text_col]
+    """``docs`` without its text, plus ``simhash`` (long, the 64 bits as they are); a column of that name is replaced."""
+    kept = [f for f in docs.schema.fields if f.name != text_col and f.name.lower() != "simhash"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,7 +74,7 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns = {f.name: batch.column(f.name) for f in kept}
             yield pa.RecordBatch.from_pydict(columns | {"simhash": pa.array(np.array(out, np.uint64).view(np.int64))})
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "simhash long"]))
+    return docs.mapInArrow(lean(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "simhash long"]))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -215,15 +219,24 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, max_group: int =
 def keep_one_of_each(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` with the least doc_id of their component; one row of those that share it.
 
-    Rows with a null doc_id are kept: nothing tells which of them came first.
+    Rows with a null doc_id are kept: nothing tells which of them came first. Ids decide
+    before texts move: only repeated ids take their texts through an aggregate.
     """
-    kept = near_duplicates(docs, max_bits).where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id is null"))
+    first = F.col("doc_id") == F.col("component_id")
+    ids = materialize(
+        near_duplicates(docs, max_bits).where("doc_id is not null").groupBy("doc_id")
+        .agg(F.bool_or(first).alias("stays"), F.count("*").alias("n")).where("not stays or n > 1")
+    )
+    left = docs.join(ids.where("not stays").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    again = ids.where("stays").select("doc_id")
+    if again.isEmpty():
+        return left
+    repeated = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(repeated)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return near_duplicates(docs).select(
         "doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id"
     )

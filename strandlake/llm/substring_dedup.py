@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.textblocks import Words, mix64, runs, slices
+from strandlake.llm.textblocks import Words, lean, mix64, runs, slices, unlike
 from strandlake.storage import materialize
 
 WINDOW_WORDS = 13
@@ -296,7 +296,7 @@ def _remove(n: int, keep_text: bool, kept_columns: list[str]):
 
 def _compared(docs: DataFrame, pairs, buckets: int, only_later: bool) -> DataFrame:
     """(doc_id, hashes) of the pairs that are repeated (or not the first), one row for each document."""
-    blocks = docs.mapInArrow(_collecting(pairs, buckets, only_later), _BLOCK)
+    blocks = docs.mapInArrow(lean(_collecting(pairs, buckets, only_later)), _BLOCK)
     answers = blocks.groupBy("bucket").applyInPandas(_resolving(only_later, buckets), _ANSWER)
     return answers.groupBy("target").applyInPandas(_gather, _FOUND)
 
@@ -312,7 +312,9 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW_WORDS, keep_text: bool = Tru
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = partitions  # of hashes, and of documents; each is one group
-    docs = docs.drop("n_words", "n_removed", "kept_sha256").withColumn(_KEY, F.col("doc_id").cast("long"))
+    docs = docs.drop("n_words", "n_removed", "kept_sha256")
+    hidden = {c: unlike(docs.columns, c)[0] for c in docs.columns if c.lower() in (_KEY, _MATCH, _HASHES)}
+    docs = docs.withColumnsRenamed(hidden).withColumn(_KEY, F.col("doc_id").cast("long"))
     candidates = materialize(_compared(docs.select(_KEY, "text"), _anchor_pairs(n), buckets, False))
 
     def beside(found: DataFrame) -> DataFrame:
@@ -325,7 +327,8 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW_WORDS, keep_text: bool = Tru
     kept = [f for f in joined.schema.fields if f.name not in (_HASHES, _KEY, "text")]
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", text string" * keep_text
     out += ", n_words long, n_removed long" + ", kept_sha256 string" * (not keep_text)
-    return joined.mapInArrow(_remove(n, keep_text, [f.name for f in kept]), out)
+    told = joined.mapInArrow(lean(_remove(n, keep_text, [f.name for f in kept])), out)
+    return told.withColumnsRenamed({v: k for k, v in hidden.items()})
 
 
 def _doubled_pairs(length: int):

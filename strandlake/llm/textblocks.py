@@ -22,6 +22,17 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def unlike(columns: list[str], *names: str) -> list[str]:
+    """``names``, each lengthened until it is like none of ``columns``, whatever the case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """``run``, giving freed memory back to the system when a task ends.
 

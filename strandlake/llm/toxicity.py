@@ -13,7 +13,10 @@ choice follows the log odds of words and n-grams, which also start one component
 of the embeddings.
 
 Defined results: a null or empty text has one empty window; without labels of both
-classes all scores are 0. A doc_id with several labels counts as toxic if any is.
+classes all scores are 0. A doc_id with several labels counts as toxic if any is;
+repeated rows are scored one by one; an empty table gives an empty table; a column
+toxicity is replaced. A text is scored whole: memory grows with the longest one,
+about three hundred bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm.language_id import held_out
-from strandlake.llm.textblocks import Words, slices, word_grams
-from strandlake.storage import materialize
+from strandlake.llm.textblocks import Words, lean, slices, word_grams
+from strandlake.storage import materialize, spread
 
 WINDOW, STRIDE = 16, 8
 BUCKETS = 1 << 18
@@ -340,11 +343,11 @@ def score(docs: DataFrame, net: Network | None, keep_text: bool = True) -> DataF
             columns = {f.name: batch.column(f.name) for f in kept}
             yield pa.RecordBatch.from_pydict(columns | {"toxicity": pa.array(np.concatenate(out).astype(np.float64))})
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "toxicity double"]))
+    return docs.mapInArrow(lean(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "toxicity double"]))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     net = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, net, keep_text=False).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"),

@@ -12,7 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, components, hnsw, html_text, language_id, mixing, order_minhash, queries, simhash, substring_dedup, toxicity, url_filter
+from strandlake.llm import bpe, hnsw, html_text, language_id, mixing, order_minhash, queries, simhash, substring_dedup, toxicity, url_filter
+from strandlake.operators import components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -42,12 +43,12 @@ URLS = [
 @pytest.mark.parametrize("limit", [10, 0])
 def test_url_filters(spark, limit):
     rules = [*url_filter.RULES, ("example.com", "/en/7", "block"), ("org", "", "block")]
-    pages = spark.createDataFrame([(i, u, "kept") for i, u in enumerate(URLS + URLS)], "page_id long, url string, __best string")
+    pages = spark.createDataFrame([(i, u, "kept", "too") for i, u in enumerate(URLS + URLS)], "page_id long, url string, __best string, __URL string")
     table = spark.createDataFrame([*rules, (None, "/", "block")], "host string, path string, action string")
-    got = {r["page_id"]: (r["url_host"], r["url_path"], r["url_rule"], r["url_verdict"]) for r in url_filter.judge_urls(pages.drop("__best"), table, max_broadcast_rules=limit).collect()}
+    got = {r["page_id"]: (r["url_host"], r["url_path"], r["url_rule"], r["url_verdict"]) for r in url_filter.judge_urls(pages, table, max_broadcast_rules=limit).where("`__best` = 'kept' and `__URL` = 'too'").collect()}
     assert got == {i: judge(u, rules) for i, u in enumerate(URLS + URLS)}
-    assert url_filter.judge_urls(pages.where("false").drop("__best"), table).count() == 0
-    assert url_filter.judge_urls(pages.drop("__best"), table.where("false")).where("url_rule is not null").count() == 0
+    assert url_filter.judge_urls(pages.where("false"), table).count() == 0
+    assert url_filter.judge_urls(pages, table.where("false")).where("url_rule is not null").count() == 0
 
 
 # --- 2: Order MinHash
@@ -95,7 +96,7 @@ def test_order_minhash_signature(spark):
 @pytest.mark.parametrize("ids", [[3, 1, 2, 9, 7], [5], [], [1, 1, 2], [None, 4, 2], list(range(200))])
 def test_with_next(spark, ids):
     rows = [(i, f"t{k}") for k, i in enumerate(ids)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__home", F.lit(1))
     got = {r["text"]: r["next_text"] for r in order_minhash.with_next(df, "doc_id", ["text"]).collect()}
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     assert got == {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
@@ -175,7 +176,8 @@ def test_rake_meets_marginals():
     tokens = np.array([100.0, 300, 50, 50, 20, 480])
     codes = [np.array([0, 0, 1, 1, 2, 2]), np.array([0, 1, 0, 1, 0, 1])]
     goal = [np.array([0.2, 0.3, 0.5]), np.array([0.4, 0.6])]
-    w = mixing.rake(tokens, codes, goal)
+    w, off = mixing.rake(tokens, codes, goal)
+    assert off < 1e-9
     assert np.allclose(np.bincount(codes[0], w), goal[0]) and np.allclose(np.bincount(codes[1], w), goal[1])
     p = mixing.scale_to_budget(tokens, w * tokens.sum() / tokens, 500)
     assert (tokens * p).sum() == pytest.approx(500) and p.max() <= 1
@@ -189,15 +191,84 @@ def test_scale_to_budget(cells, share):
     assert (tokens * p).sum() == pytest.approx(share * tokens.sum(), rel=1e-6) and p.max() <= 1
 
 
+def plain_topic(text):
+    from strandlake.llm.textblocks import Words
+
+    counts = [0] * mixing.TOPICS
+    for w in WORDS.findall(text or ""):
+        if len(w.encode()) >= mixing.LONG_WORD:
+            data = np.frombuffer(w.encode(), np.uint8)
+            counts[int(Words(data, np.array([0, len(data)])).hashes(lower=True)[0] >> np.uint64(40)) % mixing.TOPICS] += 1
+    return f"words{counts.index(max(counts)):02d}" if any(counts) else "none"
+
+
+def plain_mixture(rows, budget=mixing.BUDGET):
+    """Cell weights and probabilities by dictionaries: many plain rounds, then the scale by bisection."""
+    cells = {}
+    for _, text, lang, source in rows:
+        cell = (source, lang, plain_topic(text))
+        cells[cell] = cells.get(cell, 0) + len(WORDS.findall(text or ""))
+    whole = sum(cells.values())
+    weight = {c: n / whole for c, n in cells.items()}
+    for _ in range(3000):
+        for k, d in enumerate(mixing.DIMENSIONS):
+            total, now = {}, {}
+            for c in cells:
+                total[c[k]] = total.get(c[k], 0) + cells[c]
+                now[c[k]] = now.get(c[k], 0) + weight[c]
+            goal = {x: n ** mixing.TEMPER[d] for x, n in total.items()}
+            scale = sum(goal.values())
+            weight = {c: w * goal[c[k]] / scale / now[c[k]] if now[c[k]] else 0.0 for c, w in weight.items()}
+    ratio = {c: weight[c] * whole / n if n else 0.0 for c, n in cells.items()}
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        s = (low + high) / 2
+        low, high = (s, high) if sum(n * min(1, s * ratio[c]) for c, n in cells.items()) < budget * whole else (low, s)
+    return {c: (weight[c], min(1.0, high * ratio[c])) for c in cells}
+
+
+def test_mixing_query_against_plain_raking(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    want = plain_mixture(rows)
+    got = {r["doc_id"]: r for r in queries.QUERIES["op4_mixing"](spark, SF).collect()}
+    assert len(got) == len(rows)
+    for d, text, lang, source in rows:
+        r, topic = got[d], plain_topic(text)
+        assert (r["source"], r["lang"], r["topic"], r["n_tokens"]) == (source, lang, topic, len(WORDS.findall(text or "")))
+        assert (r["cell_weight"], r["probability"]) == pytest.approx(want[source, lang, topic], abs=1e-5)
+
+
+def test_mixing_meets_given_targets(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), 7)) for _ in range(200)]
+    rows = [(i, " ".join(rng.choice(vocabulary, int(rng.integers(5, 40)))), ["en", "fr"][i % 5 // 3], f"s{i % 3}") for i in range(6000)]
+    targets = {"source": {"s0": 2, "s1": 1, "s2": 1, "gone": 9}, "lang": {"en": 0.5, "fr": 0.5}}
+    told = mixing.sample_mixture(documents(spark, rows), targets, budget=0.3, strict=True).collect()
+    taken = [r for r in told if r["mix_taken"]]
+    tokens = sum(r["mix_tokens"] for r in taken)
+    assert tokens == pytest.approx(0.3 * sum(r["mix_tokens"] for r in told), rel=0.05) and all(r["mix_gap"] < 1e-6 for r in told)
+    for name, shares in (("source", {"s0": 0.5, "s1": 0.25, "s2": 0.25}), ("lang", {"en": 0.5, "fr": 0.5})):
+        for value, share in shares.items():
+            assert sum(r["mix_tokens"] for r in taken if r[name] == value) / tokens == pytest.approx(share, abs=0.03)
+
+
+def test_mixing_of_contradicting_targets(spark):
+    docs = documents(spark, [(i, "some longer words here", ["en", "fr"][i % 2], f"s{i % 2}") for i in range(40)])
+    targets = {"source": {"s0": 0.9, "s1": 0.1}, "lang": {"en": 0.1, "fr": 0.9}}
+    for cells in (mixing.MAX_CELLS, 1):
+        assert mixing.sample_mixture(docs, targets, max_cells=cells).first()["mix_gap"] > 0.5
+        with pytest.raises(ValueError, match="off by"):
+            mixing.sample_mixture(docs, targets, max_cells=cells, strict=True)
+
+
 def test_mixing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("mix_taken", F.lit("old"))
     columns = ["doc_id", "mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_taken"]
+    docs = docs.where("source in ('src00', 'src01') or source is null or doc_id % 3 = 0").withColumn("source", F.lit("one"))
     small = {tuple(r)[:3]: tuple(r)[3:] for r in mixing.sample_mixture(docs).select(columns).collect()}
     large = {tuple(r)[:3]: tuple(r)[3:] for r in mixing.sample_mixture(docs, max_cells=2).select(columns).collect()}
     assert small.keys() == large.keys() and len(small) == docs.count()
     assert all(small[k][:2] == pytest.approx(large[k][:2], abs=1e-6) for k in small)
-    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
-    assert all(len(WORDS.findall(texts[k[0]])) == k[2] for k in small)
     odd = documents(spark, [(None, None, None, None), (1, "", None, "x"), (1, "a b", "en", "x")])
     assert mixing.sample_mixture(odd).count() == 3 and mixing.sample_mixture(odd.where("false")).count() == 0
 
@@ -300,7 +371,8 @@ def test_simhash(spark, most):
     prints = [plain_simhash(t) for _, t in rows]
     groups = plain_groups([d for d, _ in rows], prints)
     assert got == {d: (p, groups[d]) for (d, _), p in zip(rows, prints, strict=True)}
-    kept = sorted(r["doc_id"] for r in simhash.keep_one_of_each(docs.union(docs)).collect())
+    assert simhash.with_fingerprints(docs.withColumn("simhash", F.lit("old"))).columns.count("simhash") == 1
+    kept = sorted(r["doc_id"] for r in simhash.keep_one_of_each(docs.union(docs).withColumn("simhash", F.lit("old"))).collect())
     assert kept == sorted(set(groups.values()))
     assert simhash.near_duplicates(docs.where("false")).count() == 0
 
@@ -367,6 +439,19 @@ def test_bpe_matches_the_library(spark):
     assert bpe.encode(docs.where("false"), vocabulary).count() == 0
 
 
+def test_bpe_of_every_code_point():
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    known = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    codec = bpe.codec_of(bpe.vocabulary_file())
+    texts = [f"{c}'s{c}{c}1 {c}" for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff"]
+    for at in range(0, len(texts), 50_000):
+        part = texts[at : at + 50_000]
+        for text, told in zip(part, known.encode_batch(part, add_special_tokens=False), strict=True):
+            assert np.frombuffer(codec.encode_bytes(text), "<u4").tolist() == told.ids, hex(ord(text[0]))
+
+
 def test_bpe_decodes_broken_bytes(spark):
     codec = bpe.codec_of(bpe.vocabulary_file())
     ids = np.frombuffer(codec.encode_bytes("é"), "<u4")
@@ -406,8 +491,9 @@ def test_substring_dedup(spark, n):
     docs = spark.createDataFrame([(d, t, "h", 1) for d, t in rows], "doc_id long, text string, hashes string, n_words int").repartition(5)
     got = [tuple(r) for r in substring_dedup.remove_repeats(docs, n, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
     assert sorted(got, key=repr) == plain_removal(rows, n)
-    kept = substring_dedup.remove_repeats(docs, n)
-    assert kept.where("hashes = 'h'").count() == len(rows)
+    clashing = docs.withColumns({"__sd_key": F.lit("a"), "__SD_hashes": F.lit("b"), "__sd_match": F.lit("c")})
+    kept = substring_dedup.remove_repeats(clashing, n)
+    assert kept.where("hashes = 'h' and `__sd_key` = 'a' and `__SD_hashes` = 'b' and `__sd_match` = 'c'").count() == len(rows)
     for r in kept.select("doc_id", "text", "n_words", "n_removed").collect():
         assert (r["text"] is None) == (r["doc_id"] == 300)
         if r["text"] is not None:
@@ -457,6 +543,51 @@ def test_language_id(spark):
     assert language_id.identify(odd.where("false"), model).count() == 0
 
 
+def test_language_scripts_narrow(spark):
+    latin, cyrillic = "the quick brown fox over the lazy dog ", "быстрая лиса через ленивую собаку "
+    docs = documents(spark, [(i, latin * 3, "en", None) for i in range(40)] + [(100 + i, cyrillic * 3, "ru", None) for i in range(40)])
+    model = language_id.train(docs)
+    mixed = documents(spark, [(1, "the quick brown собаку fox over the lazy dog", None, None)])
+    spans = language_id.identify(mixed, model, spans=True).first()["lang_spans"]
+    assert [(s["first_word"], s["n_words"], s["lang"]) for s in spans] == [(0, 3, "en"), (3, 1, "ru"), (4, 5, "en")]
+
+
+def test_language_scores_against_plain_sums(spark):
+    """The query's rows by plain counting, scoring and best paths over the words of short texts."""
+    import itertools
+
+    from strandlake.llm.textblocks import mix64
+
+    train = [(i, t, y, None) for i, (t, y) in enumerate([("der Hund und die Katze", "de"), ("the dog and the cat", "en"), ("el perro y la gata", "es")] * 6)]
+    texts = ["the Hund", "y la dog and", "123 der 7", "ça perro"]
+    docs = documents(spark, train + [(1000 + i, t, None, None) for i, t in enumerate(texts)])
+    langs = ["de", "en", "es"]
+
+    def grams(word):
+        raw = b" " + bytes(b + 32 if 65 <= b < 91 else b for b in word.encode()) + b" "
+        for order in language_id.ORDERS:
+            for k in range(len(raw) - order + 1):
+                run = sum(b << (8 * (order - 1 - j)) for j, b in enumerate(raw[k : k + order]))
+                yield int(mix64(np.array([run + (order << 56)], np.uint64))[0]) & (language_id.FEATURES - 1)
+
+    counts = {y: np.full(language_id.FEATURES, 0.5) for y in langs}
+    for d, t, y, _ in train:
+        if zlib.crc32(str(d).encode()) % 5:
+            for w in WORDS.findall(t):
+                for g in grams(w):
+                    counts[y][g] += 1
+    log_p = {y: np.log(c / c.sum()) for y, c in counts.items()}
+    got = {r["doc_id"]: r for r in language_id.identify(docs, language_id.train(docs)).collect()}
+    for i, t in enumerate(texts):
+        words = [w for w in WORDS.findall(t) if any(c.isalpha() for c in w)]
+        scores = [[sum(log_p[y][g] for g in grams(w)) for y in langs] for w in words]
+        scores = [[max(x - max(row), -language_id.WORD_LIMIT) for x in row] for row in scores]
+        best = max(itertools.product(range(3), repeat=len(words)), key=lambda p: sum(s[k] for s, k in zip(scores, p, strict=True)) - language_id.SWITCH_PENALTY * sum(a != b for a, b in zip(p, p[1:], strict=False)))
+        size = [sum(len(w.encode()) for w, k in zip(words, best, strict=True) if k == j) for j in range(3)]
+        r = got[1000 + i]
+        assert (r["lang_pred"], r["lang_score"]) == (langs[size.index(max(size))], pytest.approx(max(size) / sum(size)))
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(0)
     scores = np.float32(-rng.random((9, 3)) * 4)
@@ -722,8 +853,10 @@ def test_pipeline(spark):
     whole = {r["doc_id"]: list(r["ids"]) for r in corpus_pipeline.run(spark, SF).collect()}
     assert whole == {r["doc_id"]: list(r["ids"]) for r in last}
     odd = documents(spark, [(None, None, None, None), (1, None, None, "s"), (1, "one two", "en", None), (2, "", "en", "s")]).withColumn("n_chars", F.lit(0).cast("long"))
-    for empty in (odd, odd.where("false")):
-        rows = empty
-        for _, stage in corpus_pipeline.STAGES:
+    for rows in (odd.where("false"), odd, odd.withColumns({"__url": F.lit(1), "ids": F.lit("x")})):
+        empty = rows.isEmpty()
+        for _, stage in corpus_pipeline.STAGES[:3]:
             rows = stage(spark, rows, SF)
-        assert rows.count() >= 0
+        assert {r["doc_id"] for r in rows.collect()} == (set() if empty else {1})  # nulls and empty texts have no language
+        rows = corpus_pipeline.STAGES[4][1](spark, rows, SF)
+        assert [(r["n_tokens"], r["round_trip"]) for r in rows.collect()] == [] if empty else [(2, True)]
