@@ -120,13 +120,13 @@ def soft_symmetric_similarity(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def score_pairs(pairs: DataFrame, kernel, a: str = "seq_a", b: str = "seq_b", out: str = "score") -> DataFrame:
-    """``pairs`` plus ``kernel(a, b)``; pairs are dealt over tasks as the table is."""
+    """``pairs`` plus ``kernel(a, b)``; pairs are dealt over tasks as the table is. A null is an empty row."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields if f.name != out), f"`{out}` double"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch.drop(columns=[out], errors="ignore")
-            batch[out] = [kernel(x or "", y or "") for x, y in zip(batch[a], batch[b], strict=True)]
+            batch[out] = [kernel("" if x is None else x, "" if y is None else y) for x, y in zip(batch[a], batch[b], strict=True)]
             yield batch
 
     return pairs.mapInPandas(run, schema)

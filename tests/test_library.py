@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strandlake import queries
+from strandlake import family_queries, queries  # noqa: F401
 from strandlake.operators import alignments, clusters, ordering, pairwise, trees
 from strandlake.sources import formats
 
