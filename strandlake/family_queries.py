@@ -6,8 +6,6 @@ so that the SQL can tell what must come out.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +15,7 @@ from strandlake.operators import alignments, clusters, kmers, ordering, pairwise
 from strandlake.operators.components import connected_components
 from strandlake.queries import _COUNTED, _ROWS, DIGITS, SEQ, VEC, _aligned, _composition, _residues, _table, _vectors, query, seed_vectors
 from strandlake.sources import formats
-from strandlake.storage import materialize, shared_dir, spread
-
-
-def _scratch(spark) -> str:
-    return f"{shared_dir(spark)}/strandlake-tables/{uuid.uuid4().hex}"
+from strandlake.storage import materialize, scratch, spread
 
 
 # --- formats ------------------------------------------------------------------
@@ -30,7 +24,7 @@ def _scratch(spark) -> str:
 @query(f"SELECT doc_id::VARCHAR AS name, source AS description, length(s)::BIGINT AS n, md5(s) AS digest FROM {_ROWS}")
 def fasta_round_trip(spark, sf_dir):
     """All texts written as wrapped FASTA records and read back."""
-    path, rows = _scratch(spark), spread(_residues(spark, sf_dir))
+    path, rows = scratch(spark), spread(_residues(spark, sf_dir))
     formats.write_fasta(rows.select(F.concat_ws(" ", "id", "source").alias("name"), "seq"), path)
     back = formats.read_fasta(spark, path)
     return back.select("name", "description", F.length("seq").cast("long").alias("n"), F.md5(F.col("seq").cast("binary")).alias("digest"))
@@ -71,7 +65,7 @@ def newick_leaves(spark, sf_dir):
 @query("SELECT name, len(dist)::BIGINT AS n, round(list_sum(dist), 6) AS total FROM (SELECT n_name AS name, list_transform(range(0, n_nationkey + 1), lambda x: (x * n_regionkey / 4.0)::DOUBLE) AS dist FROM nation)")
 def distance_matrix_rows(spark, sf_dir):
     """A triangular matrix file: a count, then a label and numbers on each line."""
-    path = _scratch(spark)
+    path = scratch(spark)
     rows = _table(spark, sf_dir, "nation").select(F.concat_ws(" ", F.col("n_name"), F.array_join(F.transform(F.sequence(F.lit(0), F.col("n_nationkey").cast("int")), lambda x: (x * F.col("n_regionkey") / 4.0).cast("string")), " ")).alias("value"))
     spark.createDataFrame([("25",)], "value string").unionByName(rows).write.text(path)
     told = formats.read_distances(spark, path)
@@ -81,7 +75,7 @@ def distance_matrix_rows(spark, sf_dir):
 @query("SELECT label AS cluster, vec_id::INT AS object, (vec_id * 2)::INT AS seq_index, 'v' || vec_id AS name, len(embedding)::INT AS length, CASE WHEN label % 2 = 0 THEN '0' ELSE '01' END AS split_path FROM embeddings WHERE label IS NOT NULL")
 def cluster_list_rows(spark, sf_dir):
     """A cluster list written line by line and read back."""
-    path = _scratch(spark)
+    path = scratch(spark)
     rows = _table(spark, sf_dir, "embeddings").where("label is not null")
     rows.select(F.format_string(
         "Cluster %d: object %d has index %d (=seq v%d %d~len)\t %s", "label", "vec_id", F.col("vec_id") * 2, "vec_id", F.size("embedding"), F.when(F.col("label") % 2 == 0, "0").otherwise("01")

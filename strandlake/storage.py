@@ -47,14 +47,36 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
+def scratch(spark: SparkSession) -> str:
+    """A path in the shared folder for files of one's own; deleted with the written tables."""
+    path = f"{shared_dir(spark)}/{_OWN}/{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def written() -> int:
+    """How many tables there are to delete; with :func:`drop_written` a mark to delete from."""
+    return len(_written)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
+def drop_written(since: int) -> None:
+    """Delete the tables written since a mark, but the last: for a step whose result is written and whose inputs are done with."""
+    for spark, path in _written[since:-1]:
+        _delete(spark, path)
+    del _written[since:-1]
+
+
 def drop_materialized() -> None:
     """Delete the tables :func:`materialize` wrote in this process."""
     while _written:
-        spark, path = _written.pop()
         try:
-            jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+            _delete(*_written.pop())
         except Exception:  # the session may have ended first
             return
 
