@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import bpe, language_id, mixing, simhash, substring_dedup
-from strandlake.storage import materialize, ship
+from strandlake.storage import drop_written, materialize, ship, spread, written
 
 #: A document stays if its main language holds at least this share of its lettered words.
 LEAST_SHARE = 0.5
@@ -63,9 +63,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written and read again."""
+    """All stages over ``documents``; each stage's result is written and read again.
+
+    Null or empty texts and texts without a letter go with the first stage; rows that
+    repeat a doc_id are one document from the second on; a null doc_id stays, as nothing
+    tells what it repeats; an empty table gives an empty table; columns beside those of
+    ``documents`` pass through to the last stage, which returns its own.
+    """
     ship(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, mark = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), written()
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
+        drop_written(mark)  # what the stage read and wrote on its way
     return STAGES[-1][1](spark, docs, sf_dir)
