@@ -7,12 +7,12 @@ its label by beam search.
 Beams are as wide as audits ask. When a graph is built, ``AUDIT_ROWS`` of its
 vectors are turned away until their cosine is just the threshold, and searched for:
 the hardest links there can be, in any number, and no query stands in the graph
-itself. The beam doubles from ``BEAM`` until ``AUDIT_RECALL`` of the true links of
-these queries are found. Where a block of vectors queries the shard, some of them are audited again
-by their own true links, themselves left out, with the same doubling. A query whose
-beam is filled by links alone goes on with twice the beam up to ``FULL_BEAM``; what is
-full then stands in a dense group, whose links alone are as many as a comparison with
-the shard, and is compared so: no number of links is a cap.
+itself. The beam doubles from ``BEAM`` until ``AUDIT_RECALL`` of these queries find
+the vector they were turned from. Where a block of vectors queries the shard, some of them are audited again
+by their own true links, themselves left out, with the same doubling. A query with links
+in a quarter of its beam (``FULL_SHARE``) may have more than it shows: it isn't judged
+and goes on with twice the beam up to ``FULL_BEAM``. What is full then stands in a dense
+group, and is compared with the shard: no number of links is a cap.
 :func:`near_vectors` can return the pooled audits. Links are verified by cosine in
 double precision, counted, and joined into components.
 
@@ -37,7 +37,7 @@ from strandlake.storage import materialize
 COSINE = 0.93
 #: A shard's graph is sent once for each block of queries, eight times as many as it has vectors.
 SHARD_ROWS, BLOCK_ROWS = 8192, 65536
-LINKS, BUILD_BEAM, BEAM, FULL_BEAM = 12, 48, 32, 128
+LINKS, BUILD_BEAM, BEAM, FULL_BEAM, FULL_SHARE = 12, 48, 32, 128, 4
 AUDIT_ROWS, AUDIT_RECALL = 256, 0.995
 _AT_ONCE = 512
 _OPEN_AT_ONCE = 4
@@ -218,15 +218,20 @@ def turned_away(x: np.ndarray, cosine: float, seed: int) -> np.ndarray:
 
 
 def audited_beam(graph: Graph, exact: np.ndarray, cosine: float, beam: int = BEAM, rows: int = AUDIT_ROWS, recall: float = AUDIT_RECALL) -> tuple[int, int, int]:
-    """The first beam, doubled from ``beam``, that finds ``recall`` of the links of vectors turned away; the links there are, and those it found."""
+    """The first beam, doubled from ``beam``, that finds ``recall`` of the vectors that were turned away; how many were judged, and found.
+
+    Queries whose beams are full of links aren't judged, as such go on to wider beams when the graph is queried.
+    """
     which = np.unique(np.linspace(0, len(exact) - 1, min(rows, len(exact))).astype(int))
     q = turned_away(exact[which], cosine, len(exact))
-    expected = sum(int((exact @ x >= cosine).sum()) for x in q)
     while True:
         beam = min(beam, len(exact))
-        i, _, _ = _links_of(graph, exact, q, cosine, beam)
-        if len(i) >= recall * expected or beam == len(exact):
-            return beam, expected, len(i)
+        i, v, full = _links_of(graph, exact, q, cosine, beam)
+        met = np.zeros(len(which), bool)
+        met[i[v == which[i]]] = True
+        true, found = int((~full).sum()), int(met[~full].sum())
+        if found >= recall * true or beam == len(exact):
+            return beam, true, found
         beam *= 2
 
 
@@ -249,14 +254,14 @@ def _build_shard(cosine: float):
 
 
 def _links_of(graph: Graph, exact: np.ndarray, q: np.ndarray, cosine: float, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector) pairs at or above ``cosine`` in double precision, and which beams hold links alone."""
+    """(query, vector) pairs at or above ``cosine`` in double precision, and which beams are full of links."""
     of_query, of_vector, full = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.zeros(len(q), bool)
     single = q.astype(np.float32)
     slack = np.float32(cosine - 1e-4)
     for at in range(0, len(q), _AT_ONCE):
         ids, sims = graph.search(single[at : at + _AT_ONCE], beam)
         near = (sims >= slack) & (ids >= 0)
-        full[at : at + _AT_ONCE] = near.all(axis=1) & (beam < len(graph.x))
+        full[at : at + _AT_ONCE] = (near.sum(axis=1) * FULL_SHARE >= beam) & (beam < len(graph.x))
         i, j = np.nonzero(near)
         v = ids[i, j]
         sure = np.einsum("id,id->i", q[at + i], exact[v]) >= cosine
