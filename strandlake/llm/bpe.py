@@ -150,9 +150,19 @@ class Codec:
                         heapq.heappush(queue, (found[0], a, symbol[a], symbol[b], found[1]))
         return [x for x in symbol if x >= 0]
 
+    def _is_odd(self, text: str) -> bool:
+        """Whether a text has a letter or number the pattern engine takes otherwise; none of these is in Latin-1."""
+        if self.odd is None or text.isascii():
+            return False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.odd.search(text) is not None
+        return False
+
     def _plain(self, text: str) -> bytes:
-        odd = self.odd is not None and not text.isascii() and self.odd.search(text)
-        return b"".join(map(self.kept.__getitem__, (self.exact if odd else self.pattern).findall(text)))
+        pattern = self.exact if self._is_odd(text) else self.pattern
+        return b"".join(map(self.kept.__getitem__, pattern.findall(text)))
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
