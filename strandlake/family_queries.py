@@ -42,12 +42,12 @@ _FAMILIES = f"""rows AS (SELECT (item_id // 10)::VARCHAR AS family, 'item' || it
 aligned AS (SELECT family, name, s, rpad(s, max(length(s)) OVER (PARTITION BY family)::INT, '-') AS aseq FROM rows)"""
 
 
-@query(f"""WITH {_FAMILIES} SELECT kind, family, name, length(aseq)::BIGINT AS n, md5(aseq) AS digest FROM aligned, (SELECT unnest(['clustal', 'stockholm', 'msf', 'phylip']) AS kind)""")
+@query(f"""WITH {_FAMILIES} SELECT kind, family, name, length(aseq)::BIGINT AS n, md5(aseq) AS digest FROM aligned, (SELECT unnest(['aln', 'stockholm', 'msf', 'phylip']) AS kind)""")
 def block_formats(spark, sf_dir):
     """Families written in four block formats and told apart by content when read back."""
     rows = materialize(_family_rows(spark, sf_dir))
     out = None
-    for kind in ("clustal", "stockholm", "msf", "phylip"):
+    for kind in ("aln", "stockholm", "msf", "phylip"):
         back = formats.alignment_blocks(formats.alignment_text(rows, kind))
         out = back if out is None else out.unionByName(back)
     return out.select("kind", "family", "name", F.length("aseq").cast("long").alias("n"), F.md5(F.col("aseq").cast("binary")).alias("digest"))

@@ -67,14 +67,14 @@ def read_newick(spark: SparkSession, path: str) -> DataFrame:
 
 
 def alignment_blocks(files: DataFrame) -> DataFrame:
-    """(family, name, aseq, kind) of alignment files as text (family, value): Stockholm, Clustal, MSF or interleaved PHYLIP, told by content.
+    """(family, name, aseq, kind) of alignment files as text (family, value): Stockholm, ALN, MSF or interleaved PHYLIP, told by content.
 
     A row's pieces are joined in the order of their blocks. Marks, headers, annotation
     and counts after a piece are left out; MSF rows start after ``//``.
     """
     text = F.regexp_replace("value", r"\r\n?", "\n")
     kind = (
-        F.when(text.rlike(r"^# STOCKHOLM"), "stockholm").when(text.rlike(r"^\s*CLUSTAL"), "clustal")
+        F.when(text.rlike(r"^# STOCKHOLM"), "stockholm").when(text.rlike(r"^\s*CLUSTAL"), "aln")
         .when(text.rlike(r"(?m)^//"), "msf").when(text.rlike(r"^\s*\d+\s+\d+"), "phylip")
     )
     body = F.when(kind == "msf", F.regexp_replace(text, r"(?s)^.*?\n//", "")).when(kind == "phylip", F.regexp_replace(text, r"^\s*\d+\s+\d+[^\n]*", "")).otherwise(
@@ -82,14 +82,14 @@ def alignment_blocks(files: DataFrame) -> DataFrame:
     )
     rows = F.regexp_extract(text, r"^\s*(\d+)\s+\d+", 1)
     lines = files.where(kind.isNotNull()).select("family", kind.alias("kind"), F.when(kind == "phylip", rows.cast("int")).alias("rows"), F.posexplode(F.split(body, "\n")).alias("at", "line"))
-    lines = lines.where(F.col("line").rlike(r"\S") & ~F.col("line").rlike(r"^\s*(#|//)") & ((F.col("kind") != "clustal") | ~F.col("line").rlike(r"^\s")))
+    lines = lines.where(F.col("line").rlike(r"\S") & ~F.col("line").rlike(r"^\s*(#|//)") & ((F.col("kind") != "aln") | ~F.col("line").rlike(r"^\s")))
     each = Window.partitionBy("family").orderBy("at")
     lines = lines.withColumn("k", F.row_number().over(each) - 1)
     words = F.split(F.trim("line"), r"\s+")
     named = (F.col("kind") != "phylip") | (F.col("k") < F.col("rows"))
     pieces = lines.select(
         "family", "kind", "at", F.when(named, F.get(words, F.lit(0))).alias("name"), F.when(F.col("kind") == "phylip", F.pmod("k", "rows")).alias("slot"),
-        F.when(F.col("kind") == "clustal", F.get(words, F.lit(1))).otherwise(F.array_join(F.when(named, F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))).otherwise(words), "")).alias("piece"),
+        F.when(F.col("kind") == "aln", F.get(words, F.lit(1))).otherwise(F.array_join(F.when(named, F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))).otherwise(words), "")).alias("piece"),
     )
     row = Window.partitionBy("family", "slot")
     pieces = pieces.withColumn("name", F.when(F.col("kind") == "phylip", F.max("name").over(row)).otherwise(F.col("name")))
@@ -103,8 +103,8 @@ def read_alignment_blocks(spark: SparkSession, path: str) -> DataFrame:
     return alignment_blocks(whole.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("family"), "value"))
 
 
-def alignment_text(rows: DataFrame, kind: str = "clustal", width: int = 60) -> DataFrame:
-    """(family, value): families (family, name, aseq) of equal row lengths as text in blocks of ``width`` columns; kind is clustal, stockholm, msf or phylip."""
+def alignment_text(rows: DataFrame, kind: str = "aln", width: int = 60) -> DataFrame:
+    """(family, value): families (family, name, aseq) of equal row lengths as text in blocks of ``width`` columns; kind is aln, stockholm, msf or phylip."""
     pieces = rows.select("family", "name", "aseq", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("aseq") / width) - 1, F.lit(0)).cast("int")), lambda i: F.substring(F.col("aseq"), i * width + 1, F.lit(width)))).alias("block", "piece"))
     bare = (F.col("block") > 0) if kind == "phylip" else F.lit(False)
     line = F.when(bare, F.col("piece")).otherwise(F.concat(F.rpad(F.col("name").cast("string"), F.greatest(F.length(F.col("name").cast("string")) + 1, F.lit(16)), F.lit(" ")), "piece"))
@@ -112,7 +112,7 @@ def alignment_text(rows: DataFrame, kind: str = "clustal", width: int = 60) -> D
     joined = F.array_join(F.transform(ordered, lambda x, i: F.concat(F.when((i > 0) & (x["block"] != F.get(ordered, i - 1)["block"]), "\n").otherwise(""), x["line"])), "\n")
     # How files of each kind start and end.
     head = {
-        "clustal": F.lit("CLUSTAL multiple sequence alignment\n\n"), "stockholm": F.lit("# STOCKHOLM 1.0\n\n"), "msf": F.lit("PileUp\n\n//\n\n"),
+        "aln": F.lit("CLUSTAL multiple sequence alignment\n\n"), "stockholm": F.lit("# STOCKHOLM 1.0\n\n"), "msf": F.lit("PileUp\n\n//\n\n"),
         "phylip": F.concat_ws(" ", F.lit(""), F.countDistinct("name"), F.max(F.length("aseq"))),
     }[kind]
     tail = {"stockholm": "\n//\n"}.get(kind, "\n")
