@@ -8,6 +8,7 @@ from strandlake.llm.html_text import op10_html_text
 from strandlake.llm.language_id import op8_language_id
 from strandlake.llm.mixing import op4_mixing
 from strandlake.llm.order_minhash import op2_order_minhash
+from strandlake.llm.quality_rules import OP11_SQL, op11_quality_rules
 from strandlake.llm.simhash import op5_simhash
 from strandlake.llm.substring_dedup import OP7_SQL, op7_substring_dedup
 from strandlake.llm.toxicity import op9_toxicity
@@ -24,5 +25,11 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_html_text": op10_html_text,
+    "op11_quality_rules": op11_quality_rules,
+}
+ORACLE_SQL = {
+    "op1_url_filters": OP1_SQL,
+    "op3_hnsw": OP3_SQL,
+    "op7_substring_dedup": OP7_SQL,
+    "op11_quality_rules": OP11_SQL,
 }
-ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op3_hnsw": OP3_SQL, "op7_substring_dedup": OP7_SQL}

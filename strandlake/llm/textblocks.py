@@ -99,9 +99,9 @@ class Words:
         before[1:] |= space[:-1]
         after = edge[1:].copy()
         after[:-1] |= space[1:]
-        solid = ~space
-        self.starts = np.flatnonzero(solid & before)
-        self.ends = np.flatnonzero(solid & after) + 1
+        self.solid = ~space
+        self.starts = np.flatnonzero(self.solid & before)
+        self.ends = np.flatnonzero(self.solid & after) + 1
         self.first = np.searchsorted(self.starts, offsets)
         self.count = np.diff(self.first)
 
@@ -113,6 +113,17 @@ class Words:
         np.cumsum(_BYTE_CODE[data] * powers(_BASE, n), out=summed[1:])
         return mix64((summed[self.ends] - summed[self.starts]) * powers(_INVERSE, n + 1)[self.starts])
 
+    def _encoded(self, lower: bool = False) -> pa.DictionaryArray:
+        """The words as a dictionary array."""
+        data = (LOWER[self.data] if lower else self.data)[self.solid]
+        offsets = np.r_[0, np.cumsum(self.ends - self.starts)].astype(np.int64)
+        packed = [None, pa.py_buffer(offsets), pa.py_buffer(data)]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.starts), packed).dictionary_encode()
+
+    def ids(self, lower: bool = False) -> np.ndarray:
+        """A number from 0 for each word; equal words alone have equal numbers."""
+        return self._encoded(lower).indices.to_numpy().astype(np.int64)
+
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
 
