@@ -13,6 +13,7 @@ from strandlake.llm.simhash import op5_simhash
 from strandlake.llm.substring_dedup import OP7_SQL, op7_substring_dedup
 from strandlake.llm.toxicity import op9_toxicity
 from strandlake.llm.url_filter import OP1_SQL, op1_url_filters
+from strandlake.llm.whitening import op12_whitening
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_html_text": op10_html_text,
     "op11_quality_rules": op11_quality_rules,
+    "op12_whitening": op12_whitening,
 }
 ORACLE_SQL = {
     "op1_url_filters": OP1_SQL,
