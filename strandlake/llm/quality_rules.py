@@ -96,7 +96,7 @@ def repeated_words(words: Words, n: int = WINDOW) -> np.ndarray:
     span = 1
     while span < n and len(rank):  # numbers of windows of 1, 2, 4, ... words
         step = min(span, n - span)
-        pair = rank[: len(rank) - step] * (int(rank.max()) + 1) + rank[step:]
+        pair = rank[: max(0, len(rank) - step)] * (int(rank.max()) + 1) + rank[step:]
         rank, span = np.unique(pair, return_inverse=True)[1], span + step
     counts = np.zeros(len(words.count), np.int64)
     if len(rank):

@@ -10,6 +10,7 @@ from strandlake.llm.mixing import op4_mixing
 from strandlake.llm.order_minhash import op2_order_minhash
 from strandlake.llm.quality_rules import OP11_SQL, op11_quality_rules
 from strandlake.llm.simhash import op5_simhash
+from strandlake.llm.spelling import OP13_SQL, op13_spelling_variants
 from strandlake.llm.substring_dedup import OP7_SQL, op7_substring_dedup
 from strandlake.llm.toxicity import op9_toxicity
 from strandlake.llm.url_filter import OP1_SQL, op1_url_filters
@@ -28,10 +29,12 @@ QUERIES = {
     "op10_html_text": op10_html_text,
     "op11_quality_rules": op11_quality_rules,
     "op12_whitening": op12_whitening,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLE_SQL = {
     "op1_url_filters": OP1_SQL,
     "op3_hnsw": OP3_SQL,
     "op7_substring_dedup": OP7_SQL,
     "op11_quality_rules": OP11_SQL,
+    "op13_spelling_variants": OP13_SQL,
 }
