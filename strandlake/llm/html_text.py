@@ -9,18 +9,24 @@ for each tag on it; the composite density itself grows with the size of a block,
 that small blocks would not reach that of the body around them. Each block at or above
 the threshold marks the block of greatest density sum within it, and the marked
 blocks are the page's content. Densities leave out elements that are no running text
-by HTML itself: menus, footers, sidebars, forms, scripts, headers of the page, ...
+by HTML itself: menus, footers, sidebars, forms, scripts, ...
 
 Two additions, as densities alone lose short blocks and keep long adverts:
 
 - Beside the path from a marked block to the body, blocks are taken too if they are
   text by name (headings, paragraphs, lists, quotes, ...) and not mostly links, if
-  they hold a heading, or if they stand in the page's ``article`` or ``main``. A
+  they hold a heading, if they end a sentence and share a parent below the body with
+  the marked block, or if they stand in the page's ``article`` or ``main``. A
   marked block apart from the densest is content only if it is or holds such text.
 - A block with a class or id made of words for adverts, notices, comments and the
   like alone is left out before densities are summed, unless it holds the page's
-  first heading, ``main`` or ``article`` (comments can be articles) or all its text.
-  Words for headers and notices don't count inside ``article`` and ``main``.
+  first heading, ``main`` or ``article`` (comments can be articles), all its text, or
+  the page's greatest density sum although such blocks count ``SUSPECT_PART`` of
+  theirs (and no ``article`` or ``main`` stands outside them). The last doesn't save
+  adverts and notices about cookies by name, and comments.
+  Words for headers and notices don't count inside ``article`` and ``main``. A
+  ``header`` outside these is left out unless it alone has the page's ``h1`` and is no
+  child of the body.
 
 Defined results: a null or empty page gives the empty string; a page without
 markup is its own text; unclosed and stray tags are repaired as browsers do for
@@ -76,6 +82,10 @@ NEUTRAL_WORDS = frozenset(
     "site page global main post posts list item items box block wrapper wrap container section area bar links link buttons button top bottom "
     "left right primary secondary inner outer content group unit slot thread form text message".split()
 )
+#: Words that name nothing but adverts and notices about cookies: such blocks stay out, however dense they are.
+NEVER_CONTENT = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent".split())
+#: What a block's density sum counts if its class or id says it is none of the content.
+SUSPECT_PART = 0.25
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 #: A quote delimits a value only right after "=".
 _TAG = re.compile(
@@ -85,6 +95,7 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"""(?i)(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=\s|/|$)""")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
+_SENTENCE, _RIGHTS = re.compile(r"\w[.!?…。！？][\"')\]»”]*$"), re.compile(r"(?i)©|\bcopyright\b|all rights reserved")
 
 
 #: What tells content: the name itself, "heading" or "text" for a block of that kind that is not mostly links.
@@ -103,11 +114,13 @@ class Node:
 
 
 def _by_class(value: str, inside_article: bool) -> str:
-    """``comments`` or ``other`` for a class or id with a token made of such words and neutral ones, else nothing."""
+    """``comments``, ``advert`` or ``other`` for a class or id with a token made of such words and neutral ones, else nothing."""
     for token in value.split():
         words = set(_WORD.findall(token))
         if words & COMMENT_WORDS and words <= COMMENT_WORDS | NEUTRAL_WORDS | BOILERPLATE_WORDS:
             return "comments"
+        if words & NEVER_CONTENT and words <= BOILERPLATE_WORDS | PLACE_WORDS | NEUTRAL_WORDS:
+            return "advert"
         known = BOILERPLATE_WORDS if inside_article else BOILERPLATE_WORDS | PLACE_WORDS
         if words & known and words <= known | NEUTRAL_WORDS:
             return "other"
@@ -116,8 +129,10 @@ def _by_class(value: str, inside_article: bool) -> str:
 
 def _judged(name: str, attributes: str, inside_article: bool) -> tuple[bool, str]:
     """Whether an element is no running text by HTML itself, and what its class or id makes it look like."""
-    if name in LEFT_OUT or (name == "header" and not inside_article):
+    if name in LEFT_OUT:
         return True, ""
+    if name == "header" and not inside_article:
+        return False, "header"
     if not attributes or name in ("html", "body", "article", "main"):
         return False, ""
     suspect = ""
@@ -125,7 +140,7 @@ def _judged(name: str, attributes: str, inside_article: bool) -> tuple[bool, str
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value in _ROLES):
             return True, ""
-        if key in ("class", "id") and suspect != "comments":
+        if key in ("class", "id") and suspect not in ("comments", "advert"):
             suspect = _by_class(value, inside_article) or suspect
     return False, suspect
 
@@ -268,14 +283,41 @@ def _children(node: Node) -> list[Node]:
     return [x for x in node.parts if isinstance(x, Node) and not x.left_out]
 
 
-def _leave_out_suspects(root: Node) -> bool:
-    """Leave out what looks like adverts, notices or comments by class, but never the page's content with it."""
+def _around(node: Node) -> Iterator[Node]:
+    """A node and what stands around it, outwards."""
+    while node is not None:
+        yield node
+        node = node.up
+
+
+def _strongest_suspect(blocks: list[Node]) -> tuple[float, set[Node]]:
+    """The part of the greatest density sum within suspects that counts, and the suspects around that block.
+
+    Nothing, if ``article`` or ``main`` stands outside all suspects, as it is the content then.
+    """
+    found: tuple[float, set[Node]] = (0.0, set())
+    for node in blocks:
+        around = {x for x in _around(node) if x.suspect not in ("", "header")}
+        if not around and node.name in ("article", "main"):
+            return 0.0, set()
+        if around and all(x.suspect == "other" for x in around) and node.total * SUSPECT_PART > found[0]:
+            found = node.total * SUSPECT_PART, around
+    return found
+
+
+def _leave_out_suspects(root: Node, blocks: list[Node]) -> bool:
+    """Leave out what looks like adverts, notices or comments by class, and headers of the page."""
     some = False
-    for kind, content in (("other", {"article", "main", "h1"}), ("comments", {"main", "h1"})):
+    heads = [x for x in blocks if x.suspect == "header"]
+    titled = sum(x.name == "h1" for x in blocks) > sum(x.name == "h1" and any(y in heads for y in _around(x)) for x in blocks)
+    for head in heads:
+        if titled or "h1" not in head.inside or head.up.name in ("body", "html", "#root"):
+            head.left_out = some = True
+    for kinds, content in ((("advert", "other"), {"article", "main", "h1"}), (("comments",), {"main", "h1"})):
         stack, left = [root], root.chars
         while stack:
             node = stack.pop()
-            if node.suspect == kind and not node.inside & content and node.chars < left:
+            if node.suspect in kinds and not node.inside & content and node.chars < left:
                 node.left_out = some = True
                 left -= node.chars
             else:
@@ -327,12 +369,22 @@ def _chosen(blocks: list[Node]) -> set[Node | tuple[Node, int]]:
                 if isinstance(x, str) or x.name not in BLOCK:
                     if (whole or (node is marked.up and node.name != "body" and node.up is not None)) and not (isinstance(x, Node) and x.name == "a"):
                         kept.add((node, i))
-                elif x is not under and not x.left_out and x.chars and not _linked(x) and (whole or x.name in TEXT_BLOCKS or "heading" in x.inside):
+                elif x is not under and not x.left_out and x.chars and not _linked(x) and (
+                    whole or x.name in TEXT_BLOCKS or "heading" in x.inside or (under is marked and node.name not in ("body", "#root") and _says_something(x))
+                ):
                     kept.add(x)
             under = node
     return kept
 
 
+def _says_something(block: Node) -> bool:
+    """Whether a block without inner blocks holds a sentence that is no notice of rights."""
+    if any(x.name in BLOCK for x in _children(block)):
+        return False
+    said = " ".join(_texts(block, {block}))
+    return bool(_SENTENCE.search(said)) and not _RIGHTS.search(said)
+
+
 def _texts(root: Node, kept: set) -> list[str]:
     """Texts of the kept blocks in page order, white space collapsed."""
     out, run = [], []
@@ -367,8 +419,13 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     blocks = _measure(root)
-    if _leave_out_suspects(root):
+    strength, around = _strongest_suspect(blocks)
+    if _leave_out_suspects(root, blocks):
         blocks = _measure(root)
+        if strength > max(x.total for x in blocks):  # what looked like none of the content is the page's
+            for node in around:
+                node.left_out = False
+            blocks = _measure(root)
     return " ".join(_texts(root, _chosen(blocks)))
 
 

@@ -788,6 +788,35 @@ def test_html_names_and_quotes(page, text):
     assert html_text.main_text(page) == text
 
 
+def sentence(prefix, n):
+    return " ".join(f"{prefix}{i}" for i in range(n)) + "."
+
+
+@pytest.mark.parametrize("tail", ["tail words", sentence("tail", 12)])
+@pytest.mark.parametrize("name", [
+    "related post", "widget post", "social feed-item", "share story", "newsletter", "subscription-content", "promo lead", "recommended reading",
+    "login page", "alert", "notice", "header-text",
+])
+def test_html_class_words_never_lose_the_article(name, tail):
+    one, two = sentence("a", 40), sentence("b", 40)
+    got = html_text.main_text(f'<body><div class="{name}"><p>{one}</p><p>{two}</p></div><div class=x><p>{tail}</p></div></body>')
+    assert got.startswith(f"{one} {two}")
+    small = f'<body><div><p>{one}</p><p>{two}</p></div><div class="{name.split()[0]}"><p>{sentence("c", 30)}</p></div></body>'
+    if html_text._by_class(name.split()[0], False):
+        assert html_text.main_text(small) == f"{one} {two}"
+
+
+def test_html_short_blocks_beside_the_article():
+    one, two = sentence("a", 60), sentence("b", 60)
+    assert html_text.main_text(f"<div><div><p>{one}</p><p>{two}</p></div><div>Short closing remark.</div></div>") == f"{one} {two} Short closing remark."
+    page = f"<body><div class=content><header><h1>Title</h1></header><p>{one}</p><p>{two}</p></div><div class=ad>Buy now.</div></body>"
+    assert html_text.main_text(page) == f"Title {one} {two}"
+    page = f"<body><header><h1>Site</h1></header><div><h1>Title</h1><p>{one}</p></div><div class=comments><p>{two}</p></div></body>"
+    assert html_text.main_text(page) == f"Title {one}"
+    page = f"<body><article><p>{one[:40]}</p></article><div class=promo><p>{one}</p><p>{two}</p></div></body>"
+    assert html_text.main_text(page) == one[:40]
+
+
 def test_html_time_is_linear():
     import time
 
@@ -858,5 +887,7 @@ def test_pipeline(spark):
         for _, stage in corpus_pipeline.STAGES[:3]:
             rows = stage(spark, rows, SF)
         assert {r["doc_id"] for r in rows.collect()} == (set() if empty else {1})  # nulls and empty texts have no language
+        mixed = corpus_pipeline.STAGES[3][1](spark, rows, SF)
+        assert mixed.columns == rows.columns and {r["doc_id"] for r in mixed.collect()} <= {1}
         rows = corpus_pipeline.STAGES[4][1](spark, rows, SF)
-        assert [(r["n_tokens"], r["round_trip"]) for r in rows.collect()] == [] if empty else [(2, True)]
+        assert [(r["n_tokens"], r["round_trip"]) for r in rows.collect()] == ([] if empty else [(2, True)])
