@@ -39,13 +39,18 @@ _KEY, _MATCH, _HASHES = "__sd_key", "__sd_match", "__sd_hashes"
 
 
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """The hash of the n words from each position on (the last n - 1 positions have none)."""
-    at = max(0, len(words) - n + 1)
-    out = np.zeros(at, np.uint64)
-    for j in range(n):
-        out *= _STEP
-        out += words[j : j + at]
-    return mix64(out)
+    """The hash of the n words from each position on (the last n - 1 positions have none).
+
+    A window is hashed from the hashes of its two halves, so no sequence of words collides
+    by its form alone, as sums of powers do.
+    """
+    out, span = mix64(words), 1
+    while span < n:
+        step = min(span, n - span)
+        at = max(0, len(out) - step)
+        out = mix64(out[:at] * _STEP + out[step : step + at])
+        span += step
+    return out
 
 
 def _anchors(h: np.ndarray, span: int) -> np.ndarray:
@@ -64,7 +69,7 @@ class _Slice:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, n: int):
         self.words = Words(data, offsets)
-        self.hashes = self.words.hashes()
+        self.hashes = self.words.digests()
         self.text = self.words.text_of_word()
         at = max(0, len(self.hashes) - n + 1)
         self.whole = self.text[:at] == self.text[n - 1 : n - 1 + at]  # by window start

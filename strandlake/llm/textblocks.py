@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Texts are processed in slices of about this many bytes (one text may be longer).
 SLICE_BYTES = 250_000
@@ -106,7 +107,7 @@ class Words:
         self.count = np.diff(self.first)
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+        """A 64-bit hash of each word's bytes for features: fast, but long words can be made to collide."""
         data = LOWER[self.data] if lower else self.data
         n = len(data)
         summed = np.zeros(n + 1, np.uint64)
@@ -124,6 +125,12 @@ class Words:
         """A number from 0 for each word; equal words alone have equal numbers."""
         return self._encoded(lower).indices.to_numpy().astype(np.int64)
 
+    def digests(self) -> np.ndarray:
+        """The XXH64 of each word's bytes, taken once for each distinct word."""
+        found = self._encoded()
+        known = np.fromiter((xxhash.xxh64_intdigest(w) for w in found.dictionary.to_pylist()), np.uint64, len(found.dictionary))
+        return known[found.indices.to_numpy()]
+
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
 

@@ -501,6 +501,20 @@ def test_substring_dedup(spark, n):
     assert substring_dedup.remove_repeats(docs.where("false"), n).count() == 0
 
 
+def test_substring_dedup_of_words_that_sums_of_powers_confuse(spark):
+    word = "a"
+    for _ in range(11):  # a Thue-Morse word and its complement: equal under any polynomial modulo 2**64
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rest = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join([word, *rest])), (2, " ".join([other, *rest])), (3, " ".join(word)), (4, " ".join(other)), (5, " ".join([word, *rest]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, substring_dedup.remove_repeats(docs, 13, keep_text=False).collect()))
+    assert got == plain_removal(rows, 13) and [r[2] for r in got][:2] == [0, 0] and got[4][2] == 13
+    long = substring_dedup.window_hashes(np.array([ord(c) for c in word + other], np.uint64), len(word))
+    assert long[0] != long[-1]
+
+
 def test_repeat_levels(spark):
     rng = np.random.default_rng(9)
     long, short = [" ".join(f"{x}{i}" for i in range(k)) for x, k in (("p", 60), ("q", 16))]
