@@ -20,7 +20,9 @@ results: nulls are categories of their own; a target for an absent category is
 ignored and the others are scaled to 1; targets that contradict each other, as cells
 are missing, have no solution: raking ends when a round no longer changes what is
 off, ``mix_gap`` says by how much the worst marginal of the weights misses its target
-(with ``strict`` it is an error); a document without tokens has weight and probability
+(with ``strict`` it is an error); a probability ends at 1, so a cell too small for its
+weight is taken whole and its share falls short: ``mix_missed`` says by how much the
+worst share of the expected tokens misses its target; a document without tokens has weight and probability
 like its cell; a null doc_id is hashed as 0; rows that repeat an id are taken or left
 together; an empty table gives an empty table. A text is read whole, in about a
 hundred bytes for each of its words.
@@ -111,8 +113,8 @@ def scale_to_budget(tokens: np.ndarray, ratio: np.ndarray, budget: float) -> np.
     return np.where(ratio > 0, 1.0, 0.0)
 
 
-def _rake_tables(cells: DataFrame, targets: dict[str, dict | None]) -> tuple[DataFrame, float]:
-    """The steps of :func:`rake` as joins, for more cells than the driver should hold."""
+def _rake_tables(cells: DataFrame, targets: dict[str, dict | None]) -> tuple[DataFrame, float, dict[str, DataFrame]]:
+    """The steps of :func:`rake` as joins, for more cells than the driver should hold; and the targets."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     weighted = cells.withColumn("weight", F.col("tokens") / F.lit(float(max(1, total))))
     wanted = {}
@@ -141,11 +143,12 @@ def _rake_tables(cells: DataFrame, targets: dict[str, dict | None]) -> tuple[Dat
         weighted = materialize(weighted)
         if _settled(off, before):
             break
-    return weighted, off
+    return weighted, off, wanted
 
 
-def mix_cells(cells: DataFrame, targets: dict[str, dict | None] | None = None, budget: float = BUDGET, max_cells: int = MAX_CELLS) -> tuple[DataFrame, bool, float]:
-    """(source, lang, topic, weight, probability) of each cell, whether it is small enough to broadcast, and how far the worst marginal is off."""
+def mix_cells(cells: DataFrame, targets: dict[str, dict | None] | None = None, budget: float = BUDGET, max_cells: int = MAX_CELLS) -> tuple[DataFrame, bool, float, float]:
+    """(source, lang, topic, weight, probability) of each cell, whether it is small enough to broadcast, how far the worst
+    marginal of the weights is off, and how far the worst share of the expected sample is: probabilities end at 1."""
     spark, targets = cells.sparkSession, targets or {}
     some = cells.limit(max_cells + 1).toPandas()
     fields = "source string, lang string, topic string, weight double, probability double"
@@ -159,8 +162,10 @@ def mix_cells(cells: DataFrame, targets: dict[str, dict | None] | None = None, b
         ratio = np.divide(weight * tokens.sum(), tokens, out=np.zeros_like(tokens), where=tokens > 0)
         probability = scale_to_budget(tokens, ratio, budget * tokens.sum())
         rows = [(*map(some[list(DIMENSIONS)].iloc[k].get, DIMENSIONS), float(weight[k]), float(probability[k])) for k in range(len(some))]
-        return spark.createDataFrame(rows, fields), True, off
-    weighted, off = _rake_tables(cells, targets)
+        expected = tokens * probability / max(1.0, (tokens * probability).sum())
+        missed = max((float(np.abs(np.bincount(c, expected, len(g)) - g).max(initial=0)) for c, g in zip(codes, goal, strict=True)), default=0.0)
+        return spark.createDataFrame(rows, fields), True, off, missed
+    weighted, off, wanted = _rake_tables(cells, targets)
     whole = weighted.agg(F.sum("tokens")).first()[0]
     ratio = F.when(F.col("tokens") > 0, F.col("weight") * whole / F.col("tokens")).otherwise(0.0)
     rated = materialize(weighted.withColumn("ratio", ratio))
@@ -171,7 +176,14 @@ def mix_cells(cells: DataFrame, targets: dict[str, dict | None] | None = None, b
     for _ in range(50):
         middle = (low + high) / 2
         low, high = (middle, high) if expected(middle) < budget * whole else (low, middle)
-    return rated.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), F.col("ratio") * high).alias("probability")), False, off
+    mixed = materialize(rated.select(*DIMENSIONS, "tokens", "weight", F.least(F.lit(1.0), F.col("ratio") * high).alias("probability")))
+    taken, missed = F.col("tokens") * F.col("probability"), 0.0
+    total = mixed.agg(F.sum(taken)).first()[0] or 1.0
+    for d, goal in wanted.items():
+        shares = mixed.groupBy(F.col(d).alias("have")).agg((F.sum(taken) / total).alias("share"))
+        both = shares.join(goal, shares["have"].eqNullSafe(goal["k"]))
+        missed = max(missed, both.agg(F.max(F.abs(F.col("share") - F.col("target")))).first()[0] or 0.0)
+    return mixed.drop("tokens"), False, off, missed
 
 
 def chance(doc_id: Column, seed: int = SEED) -> Column:
@@ -180,14 +192,14 @@ def chance(doc_id: Column, seed: int = SEED) -> Column:
 
 
 def sample_mixture(docs: DataFrame, targets: dict[str, dict | None] | None = None, budget: float = BUDGET, max_cells: int = MAX_CELLS, strict: bool = False) -> DataFrame:
-    """``docs`` (doc_id, text, lang, source) plus mix_topic, mix_tokens, mix_weight, mix_probability, mix_taken and mix_gap.
+    """``docs`` (doc_id, text, lang, source) plus mix_topic, mix_tokens, mix_weight, mix_probability, mix_taken, mix_gap and mix_missed.
 
     Columns of those names are replaced; all others pass through.
     """
-    docs = docs.drop("mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_taken", "mix_gap")
+    docs = docs.drop("mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_taken", "mix_gap", "mix_missed")
     told = with_topics(docs)
     cells = materialize(with_topics(docs.select("source", "lang", "text")).groupBy("source", "lang", F.col("mix_topic").alias("topic")).agg(F.sum("mix_tokens").alias("tokens")))
-    mixed, small, off = mix_cells(cells, targets, budget, max_cells)
+    mixed, small, off, missed = mix_cells(cells, targets, budget, max_cells)
     if strict and off > 1e-6:
         raise ValueError(f"no weights meet all targets: the worst is off by {off:.3g}")
     source, lang, topic = unlike(told.columns, "__source", "__lang", "__topic")
@@ -197,7 +209,10 @@ def sample_mixture(docs: DataFrame, targets: dict[str, dict | None] | None = Non
     )
     same = F.col("source").eqNullSafe(F.col(source)) & F.col("lang").eqNullSafe(F.col(lang)) & (F.col("mix_topic") == F.col(topic))
     joined = told.join(F.broadcast(mixed) if small else mixed, same, "left").drop(source, lang, topic)
-    return joined.withColumn("mix_taken", chance(F.col("doc_id")) < F.col("mix_probability")).withColumn("mix_gap", F.lit(float(off if np.isfinite(off) else 0.0)))
+    return joined.withColumns({
+        "mix_taken": chance(F.col("doc_id")) < F.col("mix_probability"),
+        "mix_gap": F.lit(float(off if np.isfinite(off) else 0.0)), "mix_missed": F.lit(float(missed)),
+    })
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,4 +220,5 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_mixture(docs).select(
         "doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"),
         F.col("mix_weight").alias("cell_weight"), F.col("mix_probability").alias("probability"), F.col("mix_taken").alias("taken"),
+        F.col("mix_gap").alias("weight_gap"), F.col("mix_missed").alias("share_gap"),
     )

@@ -230,12 +230,22 @@ def plain_mixture(rows, budget=mixing.BUDGET):
 def test_mixing_query_against_plain_raking(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
     want = plain_mixture(rows)
+    counted = {(d, source, lang, plain_topic(text)): len(WORDS.findall(text or "")) for d, text, lang, source in rows}
+    goals, shares, missed = [{}, {}, {}], [{}, {}, {}], 0
+    for (_, *cell), n in counted.items():
+        for k in range(3):
+            goals[k][cell[k]] = goals[k].get(cell[k], 0) + n
+            shares[k][cell[k]] = shares[k].get(cell[k], 0) + n * want[tuple(cell)][1]
+    for k, d in enumerate(mixing.DIMENSIONS):
+        raised = {x: n ** mixing.TEMPER[d] for x, n in goals[k].items()}
+        missed = max(missed, *(abs(shares[k][x] / sum(shares[k].values()) - r / sum(raised.values())) for x, r in raised.items()))
     got = {r["doc_id"]: r for r in queries.QUERIES["op4_mixing"](spark, SF).collect()}
     assert len(got) == len(rows)
     for d, text, lang, source in rows:
         r, topic = got[d], plain_topic(text)
         assert (r["source"], r["lang"], r["topic"], r["n_tokens"]) == (source, lang, topic, len(WORDS.findall(text or "")))
         assert (r["cell_weight"], r["probability"]) == pytest.approx(want[source, lang, topic], abs=1e-5)
+        assert r["share_gap"] == pytest.approx(missed, abs=1e-5) and r["weight_gap"] < 1e-6
 
 
 def test_mixing_meets_given_targets(spark):
@@ -269,6 +279,8 @@ def test_mixing(spark):
     large = {tuple(r)[:3]: tuple(r)[3:] for r in mixing.sample_mixture(docs, max_cells=2).select(columns).collect()}
     assert small.keys() == large.keys() and len(small) == docs.count()
     assert all(small[k][:2] == pytest.approx(large[k][:2], abs=1e-6) for k in small)
+    said = [mixing.sample_mixture(docs, max_cells=k).first()["mix_missed"] for k in (mixing.MAX_CELLS, 2)]
+    assert said[0] == pytest.approx(said[1], abs=1e-6) and said[0] >= 0
     odd = documents(spark, [(None, None, None, None), (1, "", None, "x"), (1, "a b", "en", "x")])
     assert mixing.sample_mixture(odd).count() == 3 and mixing.sample_mixture(odd.where("false")).count() == 0
 
