@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequences as S
-from strandlake.operators import redundancy
+from strandlake.operators import forests, redundancy
 from strandlake.queries import SEQ, _table, query
 from strandlake.storage import materialize, spread
 
@@ -28,3 +28,80 @@ def unlike_documents(spark, sf_dir):
     docs = spread(_table(spark, sf_dir, "documents").select("lang", "doc_id", "text"))
     rows = docs.select(F.col("lang").alias("family"), F.col("doc_id").alias("id"), S.letters(F.col("text")).alias("row"))
     return redundancy.keep_unlike(rows, UNLIKE).select(F.col("family").alias("lang"), F.col("id").alias("doc_id"))
+
+
+# --- trees of whole families
+
+
+def _profiles(spark, sf_dir):
+    """(family, id, v, n): shares of each residue in the texts of every source."""
+    rows = spread(_table(spark, sf_dir, "documents").select("source", "doc_id", "text")).select(F.col("source").alias("family"), F.col("doc_id").alias("id"), S.letters(F.col("text")).alias("seq"))
+    n = F.length("seq")
+    share = [(n - F.length(F.replace(F.col("seq"), F.lit(c)))) / F.greatest(n, F.lit(1)) for c in S.RESIDUES]
+    return rows.select("family", "id", F.array(*share).alias("v"), n.alias("n"))
+
+
+def _document_forest(spark, sf_dir):
+    """Trees of all documents of every source: distances to seeds, halved into parts, a tree for each part, grafted."""
+    profiles = materialize(_profiles(spark, sf_dir))
+    return forests.plant(forests.seed_distances(profiles, [F.col("n").desc(), F.col("id").asc()]), 32)
+
+
+@query("SELECT source, count(*) AS leaves, count(DISTINCT doc_id) AS documents, 1::BIGINT AS roots, 0::BIGINT AS falling, count(*) AS joined FROM documents GROUP BY source")
+def document_trees(spark, sf_dir):
+    """What must hold for the trees of all sources: one root each, every document a leaf that leads to it, heights that never fall."""
+    nodes = materialize(_document_forest(spark, sf_dir))
+    way = forests.above(nodes.withColumn("end", F.when(F.col("parent").isNull(), F.col("node"))), {"end": forests.GREATEST}).select(F.col("node").alias("n"), "end")
+    told = nodes.join(way, nodes["node"] == way["n"])
+    leaf = F.col("id").isNotNull()
+    return told.groupBy(F.col("family").alias("source")).agg(
+        F.count("id").alias("leaves"), F.countDistinct("id").alias("documents"), F.sum(F.when(F.col("parent").isNull(), 1).otherwise(0)).alias("roots"),
+        F.sum(F.when(F.col("length") < 0, 1).otherwise(0)).alias("falling"), F.sum(F.when(leaf & F.col("end").isNotNull(), 1).otherwise(0)).alias("joined"),
+    )
+
+
+#: A tree that SQL can make too: the n documents of a source are nodes n to 2n - 1, and node k stands under k / 2.
+_HEAP = """
+ranked AS (SELECT source, doc_id, length(text) AS len, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM documents),
+nodes AS (SELECT source, n + r AS node, doc_id, len, sqrt(len + 1) AS length FROM ranked
+  UNION ALL SELECT source, unnest(range(1, n)) AS node, NULL, NULL, NULL FROM (SELECT DISTINCT source, n FROM ranked)),
+tree AS (SELECT source, node, CASE WHEN node > 1 THEN node // 2 END AS parent, doc_id, len, CASE WHEN node > 1 THEN coalesce(length, (node % 7 + 1) / 3.0::DOUBLE) END AS length FROM nodes),
+ups AS (SELECT source, node, node AS top FROM tree UNION ALL SELECT u.source, u.node, t.parent FROM ups u JOIN tree t ON t.source = u.source AND t.node = u.top WHERE t.parent IS NOT NULL)
+"""
+_PER_FAMILY = 1 << 33
+
+
+def _heap_forest(spark, sf_dir):
+    """The nodes of :data:`_HEAP`, numbered apart for each source."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("source").alias("family"), F.col("doc_id").alias("id"), F.length("text").cast("long").alias("len"))
+    ranked = materialize(forests.rank_in_family(docs, [F.col("id").asc()]))
+    sizes = ranked.groupBy("family").agg(F.count("*").alias("n"))
+    apart = F.pmod(F.xxhash64("family"), F.lit(1 << 29)) * _PER_FAMILY
+    inner = sizes.where("n > 1").select("family", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") - 1)).alias("k"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("len"))
+    whole = ranked.select("family", (F.col("size") + F.col("rank")).alias("k"), "id", "len").unionByName(inner)
+    length = F.when(F.col("k") > 1, F.coalesce(F.sqrt(F.col("len") + 1), (F.col("k") % 7 + 1) / 3.0))
+    return materialize(whole.select("family", (apart + F.col("k")).alias("node"), F.when(F.col("k") > 1, apart + F.floor(F.col("k") / 2)).alias("parent"), "id", "len", length.alias("length")))
+
+
+@query(f"""
+WITH RECURSIVE {_HEAP}, held AS (SELECT u.source, u.top AS node, sum(coalesce(t.length, 0)) AS with_own, count(t.doc_id) AS leaves FROM ups u JOIN tree t ON t.source = u.source AND t.node = u.node GROUP BY ALL),
+ways AS (SELECT t.source, t.node, CASE WHEN p.node IS NULL THEN h.leaves::DOUBLE ELSE h.with_own / (p.with_own - coalesce(pt.length, 0)) END AS share, CASE WHEN p.node IS NULL THEN 0 ELSE t.length / h.leaves END AS part
+  FROM tree t JOIN held h USING (source, node) LEFT JOIN held p ON p.source = t.source AND p.node = t.parent LEFT JOIN tree pt ON pt.source = t.source AND pt.node = t.parent)
+SELECT t.doc_id, round(exp(sum(ln(w.share))), {DIGITS}) AS shared, round(sum(w.part), {DIGITS}) AS spread FROM ups u JOIN ways w ON w.source = u.source AND w.node = u.top JOIN tree t ON t.source = u.source AND t.node = u.node WHERE t.doc_id IS NOT NULL GROUP BY t.doc_id
+""")
+def branch_weights(spark, sf_dir):
+    """Weights of leaves by branch lengths, handed down in proportion and summed along the way, for a tree of each source."""
+    nodes = _heap_forest(spark, sf_dir)
+    told = forests.branch_weights(nodes).join(nodes.where("id is not null").select(F.col("node").alias("n"), "id"), F.col("node") == F.col("n"))
+    return told.select(F.col("id").alias("doc_id"), F.round("shared", DIGITS).alias("shared"), F.round("spread", DIGITS).alias("spread"))
+
+
+@query(f"""
+WITH RECURSIVE {_HEAP}, best AS (SELECT u.source, u.top AS side, arg_min(t.doc_id, {{'a': -t.len, 'b': t.doc_id}}) AS best FROM ups u JOIN tree t ON t.source = u.source AND t.node = u.node WHERE t.doc_id IS NOT NULL GROUP BY ALL)
+SELECT b.source, t.parent AS node, b.side, b.best FROM best b JOIN tree t ON t.source = b.source AND t.node = b.side WHERE t.parent IS NOT NULL
+""")
+def longest_of_sides(spark, sf_dir):
+    """The longest document on each side of every merge, in a tree of each source."""
+    k = lambda c: F.pmod(F.col(c), F.lit(_PER_FAMILY))
+    best = forests.best_of_sides(_heap_forest(spark, sf_dir), "len", "id")
+    return best.select(F.col("family").alias("source"), k("node").alias("node"), k("side").alias("side"), "best")

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strandlake.operators import redundancy
+from strandlake.operators import forests, redundancy
 
 # --- redundancy
 
@@ -51,3 +51,100 @@ def test_similar_rows_share_enough_segments(percent, m, data):
     n, width, kept = redundancy.segments_of(level, percent)
     broken = {p // width for p in places if p < n * width}
     assert n * width <= m and n - len(broken) >= n - kept + 1  # so the rarest ``kept`` of each share one
+
+
+# --- forests
+
+def random_tree(rng, n, kind):
+    """(node, parent, length) of a binary tree of n leaves: a ladder, or merges at random."""
+    free, nodes, up = list(range(n)), n, {}
+    while len(free) > 1:
+        a = free.pop(0 if kind == "ladder" else int(rng.integers(len(free))))
+        b = free.pop(0 if kind == "ladder" else int(rng.integers(len(free))))
+        up[a] = up[b] = nodes
+        free.insert(0, nodes)
+        nodes += 1
+    return [(k, up.get(k), (float(rng.random()) if rng.random() > 0.2 else 0.0) if k in up else None) for k in range(nodes)]
+
+
+def plain_weights(tree):
+    kids, length = {}, {k: x or 0.0 for k, _, x in tree}
+    for k, up, _ in tree:
+        if up is not None:
+            kids.setdefault(up, []).append(k)
+    root = next(k for k, up, _ in tree if up is None)
+    leaves, held, order, stack = {}, {}, [], [root]
+    while stack:
+        k = stack.pop()
+        order.append(k)
+        stack += kids.get(k, [])
+    for k in reversed(order):
+        leaves[k] = sum(leaves[c] for c in kids.get(k, [])) or 1
+        held[k] = sum(held[c] + length[c] for c in kids.get(k, []))
+    shared, spread = {root: float(leaves[root])}, {root: 0.0}
+    for k in order:
+        for c in kids.get(k, []):
+            shared[c] = shared[k] * ((held[c] + length[c]) / held[k] if held[k] > 0 else leaves[c] / leaves[k])
+            spread[c] = spread[k] + length[c] / leaves[c]
+    return {k: (shared[k], 1.0 if spread[k] < 1e-4 else spread[k]) for k in order if k not in kids}, kids, root
+
+
+def test_weights_and_best_leaves_of_random_trees(spark):
+    rng, rows, want, best = np.random.default_rng(4), [], {}, {}
+    for f, (n, kind) in enumerate([(1, "any"), (2, "any"), (9, "ladder"), (40, "ladder"), (33, "any"), (64, "any")]):
+        tree = random_tree(rng, n, kind)
+        told, kids, root = plain_weights(tree)
+        value = {k: int(rng.integers(0, 6)) for k in range(n)}
+        rows += [(f"f{f}", 1000 * f + k, None if up is None else 1000 * f + up, x, value.get(k), k if k < n else None) for k, up, x in tree]
+        want |= {1000 * f + k: w for k, w in told.items()}
+
+        def winner(k):
+            return k if k not in kids else max((winner(c) for c in kids[k]), key=lambda x: (value[x], -x))
+
+        best |= {(1000 * f + k, 1000 * f + c): winner(c) for k in kids for c in kids[k]}
+    nodes = spark.createDataFrame(rows, "family string, node long, parent long, length double, value long, name long").repartition(4)
+    got = {r["node"]: (r["shared"], r["spread"]) for r in forests.branch_weights(nodes).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-12) for k in want)
+    assert {(r["node"], r["side"]): r["best"] for r in forests.best_of_sides(nodes, "value", "name").collect()} == best
+    assert forests.branch_weights(nodes.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("limit", [4, 1000])
+def test_planted_trees(spark, limit):
+    rng = np.random.default_rng(limit)
+    rows = [("a", i, rng.normal(size=3).tolist()) for i in range(60)] + [("b", i, [1.0, 2.0]) for i in range(9)] + [("c", 5, [0.5])]
+    rows += [("a", 100 + i, rows[3][2]) for i in range(5)] + [("a", 200, None), ("a", 201, [1.0]), ("a", 202, [float("nan")] * 3), (None, 1, [1.0]), (None, 2, [3.0]), ("d", 1, None)]
+    nodes = forests.plant(spark.createDataFrame(rows, "family string, id long, v array<double>"), limit).collect()
+    assert len({r["node"] for r in nodes}) == len(nodes)
+    assert sorted((repr(r["family"]), r["id"]) for r in nodes if r["id"] is not None) == sorted((repr(f), i) for f, i, _ in rows)
+    by = {r["node"]: r for r in nodes}
+    assert sorted(repr(r["family"]) for r in nodes if r["parent"] is None) == sorted(map(repr, ["a", "b", "c", "d", None]))
+    parents = {r["parent"] for r in nodes}
+    for r in nodes:
+        assert (r["id"] is None) == (r["node"] in parents)
+        if r["parent"] is not None:
+            up = by[r["parent"]]
+            assert up["family"] == r["family"] and r["length"] == pytest.approx(up["height"] - r["height"]) and r["length"] >= 0
+    assert forests.plant(spark.createDataFrame(rows[:0], "family string, id long, v array<double>"), limit).count() == 0
+
+
+def test_a_planted_part_is_the_average_linkage_tree(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(12, 2))
+    nodes = {r["node"]: r for r in forests.plant(spark.createDataFrame([("a", i, x.tolist()) for i, x in enumerate(v)], "family string, id long, v array<double>")).collect()}
+    merged = {i: frozenset([i]) for i in range(12)}
+    want = set()
+    while len(merged) > 1:
+        apart = lambda a, b: np.mean([np.linalg.norm(v[i] - v[j]) for i in merged[a] for j in merged[b]])  # noqa: B023, E731
+        a, b = min(((a, b) for a in merged for b in merged if a < b), key=lambda p: apart(*p))
+        h = apart(a, b) / 2
+        merged[a] = merged[a] | merged.pop(b)
+        want.add((merged[a], round(h, 9)))
+    under = {k: set() for k in nodes}
+    for r in nodes.values():
+        if r["id"] is not None:
+            k = r["node"]
+            while k is not None:
+                under[k].add(r["id"])
+                k = nodes[k]["parent"]
+    assert {(frozenset(under[k]), round(r["height"], 9)) for k, r in nodes.items() if r["id"] is None} == want
