@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.functions.vectors import squared_distance
 from strandlake.storage import materialize
 
 #: Centers are sent to every task, so their number is bounded (a few MB at most).
@@ -92,6 +93,58 @@ def lloyd(df: DataFrame, id_col: str, vector: str, start: list[tuple[int, list[f
     return nearest(df.select(id_col, vector), vector, at).drop(vector), at
 
 
+def _chance(id_col: str, seed: int, start: int, draw: int):
+    """A number in (0, 1) that id, seed, start and draw fix: the first 32 bits of an MD5."""
+    digest = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(f"{seed}:{start}:{draw}")).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+
+
+def plus_plus(df: DataFrame, id_col: str, vector: str, clusters: int, starts: int = 1, seed: int = 1) -> tuple[list[list[tuple[int, list[float]]]], list[list[float]]]:
+    """For each start ``clusters`` rows (id, vector) drawn in proportion to squared distance from those before, and the cost after each draw.
+
+    Each draw is a race of exponential clocks, the least -ln(chance) / weight, so it is one
+    aggregate, and all starts share each pass. Null vectors and ids are not drawn, nor are
+    rows at distance zero: with fewer distinct vectors there are fewer centers.
+    """
+    state = materialize(df.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.array(*[F.lit(1.0)] * starts).alias("w")))
+    drawn: list[list[tuple[int, list[float]]]] = [[] for _ in range(starts)]
+    costs: list[list[float]] = [[] for _ in range(starts)]
+    for draw in range(clusters):
+        race = [
+            F.min(F.when(F.get("w", F.lit(s)) > 0, F.struct((-F.ln(_chance("id", seed, s, draw)) / F.get("w", F.lit(s))).alias("key"), "id", "v"))).alias(f"s{s}")
+            for s in range(starts)
+        ]
+        first = state.agg(*race).first()
+        won = [first[f"s{s}"] for s in range(starts)]
+        if not any(won):
+            break
+        for s, one in enumerate(won):
+            if one is not None:
+                drawn[s].append((one["id"], list(one["v"])))
+        near = [
+            F.get("w", F.lit(s)) if one is None else (lambda d, s: d if draw == 0 else F.least(d, F.get("w", F.lit(s))))(squared_distance(F.col("v"), F.array(*map(F.lit, one["v"]))), s)
+            for s, one in enumerate(won)
+        ]
+        state = materialize(state.select("id", "v", F.array(*near).alias("w")))
+        total = state.agg(*[F.sum(F.get("w", F.lit(s))).alias(f"s{s}") for s in range(starts)]).first()
+        for s, one in enumerate(won):
+            if one is not None:
+                costs[s].append(total[f"s{s}"])
+    return drawn, costs
+
+
+def best_of_starts(df: DataFrame, id_col: str, vector: str, clusters: int, starts: int = 3, seed: int = 1, steps: int = 10, given: list[list[tuple[int, list[float]]]] = ()):
+    """As :func:`lloyd`, from the start of least cost after its steps among ``starts`` drawn ones and ``given`` ones; and that cost."""
+    drawn, _ = plus_plus(df, id_col, vector, clusters, starts, seed)
+    best = None
+    for start in [*given, *([(k, v) for k, (_, v) in enumerate(one)] for one in drawn if one)]:
+        told, at = lloyd(df, id_col, vector, start, steps)
+        cost = told.agg(F.sum("distance")).first()[0]
+        if best is None or (cost is not None and cost < best[2]):
+            best = told, at, cost
+    return best if best is not None else (nearest(df.select(id_col, vector), vector, []).drop(vector), [], None)
+
+
 def bisecting(df: DataFrame, id_col: str, vector: str, clusters: int, steps: int = 8) -> DataFrame:
     """(id, cluster) by always splitting the largest cluster in two; halves start at its extreme members along a coordinate."""
     told = materialize(df.select(id_col, vector, F.lit(0).cast("long").alias("cluster")))

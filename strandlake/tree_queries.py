@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequences as S
-from strandlake.operators import forests, redundancy
-from strandlake.queries import SEQ, _table, query
+from strandlake.operators import batches, clusters, forests, redundancy
+from strandlake.queries import SEQ, VEC, _table, _vectors, query
 from strandlake.storage import materialize, spread
 
 DIGITS = 6
@@ -105,3 +105,51 @@ def longest_of_sides(spark, sf_dir):
     k = lambda c: F.pmod(F.col(c), F.lit(_PER_FAMILY))
     best = forests.best_of_sides(_heap_forest(spark, sf_dir), "len", "id")
     return best.select(F.col("family").alias("source"), k("node").alias("node"), k("side").alias("side"), "best")
+
+
+# --- batches and starts
+
+BUDGET = 8192
+
+
+@query(f"""
+WITH RECURSIVE sized AS (SELECT doc_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n FROM documents),
+ranked AS (SELECT doc_id, n, row_number() OVER (ORDER BY n, doc_id) AS r FROM sized),
+walk AS (SELECT doc_id, n, r, 0::BIGINT AS batch, 0::BIGINT AS place FROM ranked WHERE r = 1
+  UNION ALL SELECT x.doc_id, x.n, x.r, CASE WHEN x.n * (w.place + 2) > {BUDGET} THEN w.batch + 1 ELSE w.batch END, CASE WHEN x.n * (w.place + 2) > {BUDGET} THEN 0 ELSE w.place + 1 END FROM walk w JOIN ranked x ON x.r = w.r + 1)
+SELECT doc_id, n AS n_tokens, batch, place FROM walk
+""".replace("\\\\", "\\"))
+def token_batches(spark, sf_dir):
+    """Documents in batches whose padded size stays within a budget of words, filled in order of size."""
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sized = docs.select("doc_id", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"))
+    return batches.token_batches(sized, "doc_id", "n_tokens", BUDGET)
+
+
+DRAWS, STARTS, STEPS = 4, 3, 2
+
+
+def _starts_sql() -> str:
+    """Draws, Lloyd steps and the choice of the best start, unrolled."""
+    chance = "(('0x' || md5(vec_id || ':1:' || s || ':{k}')[:8])::BIGINT + 0.5::DOUBLE) / 4294967296"
+    apart = "list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) ** 2))"
+    parts = [f"v AS (SELECT vec_id, {VEC} AS v FROM embeddings WHERE embedding IS NOT NULL), w0 AS (SELECT vec_id, v, s, 1.0::DOUBLE AS w FROM v, range({STARTS}) t(s))"]
+    for k in range(DRAWS):
+        parts.append(f"d{k} AS (SELECT s, arg_min(vec_id, {{'a': -ln({chance.format(k=k)}) / w, 'b': vec_id}}) AS id FROM w{k} WHERE w > 0 GROUP BY s)")
+        new = apart.format(a="x.v", b="c.v")
+        parts.append(f"w{k + 1} AS (SELECT x.vec_id, x.v, x.s, {new if k == 0 else f'least(x.w, {new})'} AS w FROM w{k} x JOIN d{k} USING (s) JOIN v c ON c.vec_id = d{k}.id)")
+    parts.append("c0 AS (" + " UNION ALL ".join(f"SELECT s, {k} AS k, v.v AS c FROM d{k} JOIN v ON v.vec_id = d{k}.id" for k in range(DRAWS)) + ")")
+    for t in range(STEPS + 1):
+        parts.append(f"a{t} AS (SELECT s, vec_id, v, k, d FROM (SELECT s, vec_id, v, k, {apart.format(a='v', b='c')} AS d, row_number() OVER (PARTITION BY s, vec_id ORDER BY round({apart.format(a='v', b='c')}, 9), k) AS r FROM v, c{t}) WHERE r = 1)")
+        parts.append(f"m{t} AS (SELECT s, k, list(m ORDER BY i) AS c FROM (SELECT s, k, i, avg(x) AS m FROM (SELECT s, k, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM a{t}) GROUP BY ALL) GROUP BY s, k)")
+        parts.append(f"c{t + 1} AS (SELECT c{t}.s, c{t}.k, coalesce(m{t}.c, c{t}.c) AS c FROM c{t} LEFT JOIN m{t} USING (s, k))")
+    best = f"best AS (SELECT arg_min(s, {{'a': cost, 'b': s}}) AS s FROM (SELECT s, sum(d) AS cost FROM a{STEPS} GROUP BY s))"
+    return "WITH " + ",\n".join([*parts, best]) + f"\nSELECT vec_id, k::BIGINT AS cluster, round(round(d, 9), {DIGITS}) AS distance FROM a{STEPS} JOIN best USING (s)"
+
+
+@query(_starts_sql())
+def kmeans_best_of_starts(spark, sf_dir):
+    """Clusters after Lloyd steps from the best of several k-means++ starts."""
+    vectors = materialize(_vectors(spark, sf_dir))
+    told, _, _ = clusters.best_of_starts(vectors, "vec_id", "v", DRAWS, STARTS, 1, STEPS)
+    return told.select("vec_id", "cluster", F.round("distance", DIGITS).alias("distance"))

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strandlake.operators import forests, redundancy
+from strandlake.operators import batches, clusters, forests, redundancy
 
 # --- redundancy
 
@@ -148,3 +148,59 @@ def test_a_planted_part_is_the_average_linkage_tree(spark):
                 under[k].add(r["id"])
                 k = nodes[k]["parent"]
     assert {(frozenset(under[k]), round(r["height"], 9)) for k, r in nodes.items() if r["id"] is None} == want
+
+
+# --- batches and starts
+
+
+def plain_batches(sizes, budget):
+    out, batch, held = {}, -1, []
+    for size, i in sorted(sizes):
+        if max([size, *held]) * (len(held) + 1) > budget or batch < 0:
+            batch, held = batch + 1 if held or batch < 0 else batch, []
+        held.append(size)
+        out[i] = batch, len(held) - 1
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 30), min_size=1, max_size=60), st.integers(1, 60))
+def test_batches_of_sizes_are_the_greedy_walk(sizes, budget):
+    counted = sorted({s: sizes.count(s) for s in sizes}.items())
+    want = plain_batches([(s, i) for i, s in enumerate(sizes)], budget)
+    got = {}
+    ranked = sorted((s, i) for i, s in enumerate(sizes))
+    found = {x[0]: x[1:] for x in batches.fill(counted, budget)}
+    for rank, (s, i) in enumerate(ranked):
+        first, open_, held, joins, each = found[s]
+        r = rank - first
+        got[i] = (open_, held + r) if r < joins else (open_ + 1 + (r - joins) // each, (r - joins) % each)
+    assert got == want
+
+
+def test_token_batches(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, int(x), "b") for i, x in enumerate(rng.integers(0, 50, 300))] + [(400, None, "b"), (401, 5000, "b"), (402, 5000, "b")]
+    df = spark.createDataFrame(rows, "id long, n long, batch string").repartition(6)
+    got = {r["id"]: (r["batch"], r["place"]) for r in batches.token_batches(df, "id", "n", 256, 2).collect()}
+    assert got == plain_batches([((n or 0) + 2, i) for i, n, _ in rows], 256)
+    assert batches.token_batches(df.where("false"), "id", "n", 10).count() == 0
+
+
+def test_kmeans_starts(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, (rng.normal(size=3) + 20 * (i % 4)).tolist()) for i in range(80)] + [(200, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    drawn, costs = clusters.plus_plus(df, "id", "v", 4, 3)
+    for start, cost in zip(drawn, costs, strict=True):
+        near = np.full(80, np.inf)
+        for (_, c), total in zip(start, cost, strict=True):
+            near = np.minimum(near, ((np.array([v for _, v in rows[:80]]) - c) ** 2).sum(axis=1))
+            assert total == pytest.approx(near.sum())
+        assert len({i % 4 for i, _ in start}) == 4  # far groups each get a center
+    bad = [(k, rows[4 * k][1]) for k in range(4)]  # all in one group
+    told, at, cost = clusters.best_of_starts(df, "id", "v", 4, given=[bad])
+    assert cost <= clusters.lloyd(df, "id", "v", bad)[0].agg({"distance": "sum"}).first()[0] and cost < 80 * 3 * 3
+    same = spark.createDataFrame([(i, [1.0]) for i in range(5)], "id long, v array<double>")
+    assert [len(x) for x in clusters.plus_plus(same, "id", "v", 3, 2)[0]] == [1, 1]
+    assert clusters.plus_plus(same.where("false"), "id", "v", 3, 2)[0] == [[], []]
