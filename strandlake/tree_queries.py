@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequences as S
-from strandlake.operators import batches, clusters, forests, redundancy
+from strandlake.operators import anchors, batches, clusters, forests, gapmaps, redundancy
 from strandlake.queries import SEQ, VEC, _table, _vectors, query
 from strandlake.storage import materialize, spread
 
@@ -153,3 +153,80 @@ def kmeans_best_of_starts(spark, sf_dir):
     vectors = materialize(_vectors(spark, sf_dir))
     told, _, _ = clusters.best_of_starts(vectors, "vec_id", "v", DRAWS, STARTS, 1, STEPS)
     return told.select("vec_id", "cluster", F.round("distance", DIGITS).alias("distance"))
+
+
+# --- anchors
+
+_WORDS = "regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')"
+ANCHOR_WORDS = 2
+
+
+@query(f"""
+WITH RECURSIVE a AS (SELECT doc_id, i, array_to_string(w[i + 1:i + {ANCHOR_WORDS}], ' ') AS run FROM (SELECT doc_id, w, unnest(range(len(w) - {ANCHOR_WORDS - 1})) AS i FROM (SELECT doc_id, {_WORDS} AS w FROM documents))),
+b AS (SELECT item_id, i, array_to_string(w[i + 1:i + {ANCHOR_WORDS}], ' ') AS run FROM (SELECT item_id, w, unnest(range(len(w) - {ANCHOR_WORDS - 1})) AS i FROM (SELECT item_id, {_WORDS} AS w FROM benchmark))),
+met AS (SELECT doc_id, item_id, a.i AS sa, a.i + {ANCHOR_WORDS - 1} AS ea, b.i AS sb, b.i + {ANCHOR_WORDS - 1} AS eb, length(replace(run, ' ', '')) AS score FROM a JOIN b USING (run)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, md5(sa || ':' || ea || ':' || sb || ':' || eb) DESC) AS r FROM met),
+walk AS (SELECT doc_id, item_id, r, [{{'sa': sa, 'ea': ea, 'sb': sb, 'eb': eb}}] AS kept FROM ranked WHERE r = 1
+  UNION ALL SELECT n.doc_id, n.item_id, n.r,
+    CASE WHEN len(list_filter(w.kept, lambda k: NOT ((k.ea < n.sa AND k.eb < n.sb) OR (k.sa > n.ea AND k.sb > n.eb)))) > 0 THEN w.kept ELSE list_append(w.kept, {{'sa': n.sa, 'ea': n.ea, 'sb': n.sb, 'eb': n.eb}}) END
+  FROM walk w JOIN ranked n ON n.doc_id = w.doc_id AND n.item_id = w.item_id AND n.r = w.r + 1),
+told AS (SELECT doc_id, item_id, unnest(kept) AS k FROM (SELECT doc_id, item_id, max_by(kept, r) AS kept FROM walk GROUP BY ALL))
+SELECT doc_id, item_id, k.sa::INT AS start_a, k.sb::INT AS start_b FROM told
+""")
+def consistent_anchors(spark, sf_dir):
+    """Word pairs that documents share with benchmark items, as anchors: those that the strongest-first rule keeps for each pair."""
+    docs = spread(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    kept = anchors.consistent(materialize(anchors.word_anchors(docs, items, ANCHOR_WORDS)), ["a_id", "b_id"])
+    return kept.select(F.col("a_id").alias("doc_id"), F.col("b_id").alias("item_id"), "start_a", "start_b")
+
+
+# --- gap maps
+
+_FRAMES = f"""
+docs AS (SELECT source, doc_id, {SEQ} AS s FROM documents),
+shared AS (SELECT source, arg_max(s, {{'a': length(s), 'b': -doc_id}}) AS s, arg_max(doc_id, {{'a': length(s), 'b': -doc_id}}) AS shared FROM docs GROUP BY source),
+frames AS (SELECT source, s, shared, regexp_replace(s, '(U)', '\\1-', 'g') AS a, regexp_replace(s, '(W)', '--\\1', 'g') AS b FROM shared)
+"""
+
+
+def _frames(spark, sf_dir):
+    """Two alignments for each source that share its longest document: with a gap after every U and the even documents, with two before every W and the odd ones."""
+    docs = spread(_table(spark, sf_dir, "documents").select("source", "doc_id", "text")).select(F.col("source").alias("family"), F.col("doc_id").alias("name"), S.letters(F.col("text")).alias("row"))
+    docs = materialize(docs)
+    longest = docs.groupBy("family").agg(F.max_by(F.struct("row", "name"), F.struct(F.length("row"), -F.col("name"))).alias("s"))
+    shared = materialize(longest.select("family", F.col("s.name").alias("shared"), F.regexp_replace("s.row", "(U)", "$1-").alias("a"), F.regexp_replace("s.row", "(W)", "--$1").alias("b")))
+    out = []
+    for k, side in enumerate("ab"):
+        own = shared.select(F.col("family").alias("f"), "shared", F.col(side).alias("frame"))
+        rows = docs.join(own, F.col("family").eqNullSafe(F.col("f")))
+        row = F.when(F.col("name") == F.col("shared"), F.col("frame")).otherwise(F.rpad("row", F.length("frame"), "-"))
+        out.append(rows.where((F.col("name") == F.col("shared")) | (F.col("name") % 2 == k)).select("family", "name", row.alias("row")))
+    return (*out, *(shared.select("family", F.col(x).alias("row")) for x in "ab"))
+
+
+@query(f"""
+WITH {_FRAMES},
+places AS (SELECT source, generate_subscripts(string_split(a || '!', ''), 1) - 1 AS col, unnest(string_split(a || '!', '')) AS c FROM frames),
+a AS (SELECT source, col, row_number() OVER w AS k, col - lag(col, 1, -1) OVER w - 1 AS gaps FROM places WHERE c <> '-' WINDOW w AS (PARTITION BY source ORDER BY col)),
+places_b AS (SELECT source, generate_subscripts(string_split(b || '!', ''), 1) - 1 AS col, unnest(string_split(b || '!', '')) AS c FROM frames),
+b AS (SELECT source, col, row_number() OVER w AS k, col - lag(col, 1, -1) OVER w - 1 AS gaps FROM places_b WHERE c <> '-' WINDOW w AS (PARTITION BY source ORDER BY col)),
+inserts AS (SELECT a.source, 'a' AS side, a.col, b.gaps AS n FROM a JOIN b USING (source, k) WHERE b.gaps > 0 UNION ALL SELECT b.source, 'b', b.col - b.gaps, a.gaps FROM a JOIN b USING (source, k) WHERE a.gaps > 0),
+pieces AS (SELECT source, side, list({{'from': from_, 'col': col, 'n': n}} ORDER BY col) AS p FROM (SELECT *, lag(col, 1, 0) OVER (PARTITION BY source, side ORDER BY col) AS from_ FROM inserts) GROUP BY ALL),
+rows AS (SELECT d.source, doc_id, 'a' AS side, CASE WHEN doc_id = shared THEN a ELSE rpad(d.s, length(a)::INT, '-') END AS row FROM docs d JOIN frames f ON f.source = d.source WHERE doc_id = shared OR doc_id % 2 = 0
+  UNION ALL SELECT d.source, doc_id, 'b', CASE WHEN doc_id = shared THEN b ELSE rpad(d.s, length(b)::INT, '-') END FROM docs d JOIN frames f ON f.source = d.source WHERE doc_id = shared OR doc_id % 2 = 1),
+merged AS (SELECT rows.source, doc_id, rows.side, CASE WHEN p IS NULL THEN row ELSE array_to_string(list_transform(p, lambda e: row[e['from'] + 1:e.col] || repeat('-', e.n::INT)), '') || row[list_last(p).col + 1:] END AS row
+  FROM rows LEFT JOIN pieces ON pieces.source = rows.source AND pieces.side = rows.side)
+SELECT source, doc_id, side, length(row)::INT AS width, md5(row) AS merged, md5(replace(row, '-', '')) AS dealigned FROM merged
+""")
+def merged_alignments(spark, sf_dir):
+    """Two alignments of every source brought into one frame by the row they share: widths, rows, and rows without gaps."""
+    a, b, shared_a, shared_b = _frames(spark, sf_dir)
+    out = None
+    for side, rows, gaps in zip("ab", (a, b), gapmaps.merge_maps(shared_a, shared_b), strict=True):
+        told = gapmaps.apply(rows, gaps).withColumn("side", F.lit(side))
+        out = told if out is None else out.unionByName(told)
+    return out.select(
+        F.col("family").alias("source"), F.col("name").alias("doc_id"), "side", F.length("row").alias("width"), F.md5(F.col("row").cast("binary")).alias("merged"),
+        F.md5(F.replace("row", F.lit("-"), F.lit("")).cast("binary")).alias("dealigned"),
+    )

@@ -1,11 +1,13 @@
 """Whole families: redundancy, batches, forests, gap maps and anchors against plain versions."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strandlake.operators import batches, clusters, forests, redundancy
+from strandlake.operators import anchors, batches, clusters, forests, gapmaps, redundancy
 
 # --- redundancy
 
@@ -204,3 +206,92 @@ def test_kmeans_starts(spark):
     same = spark.createDataFrame([(i, [1.0]) for i in range(5)], "id long, v array<double>")
     assert [len(x) for x in clusters.plus_plus(same, "id", "v", 3, 2)[0]] == [1, 1]
     assert clusters.plus_plus(same.where("false"), "id", "v", 3, 2)[0] == [[], []]
+
+
+# --- anchors
+
+
+def test_anchors_are_the_sequential_rule(spark):
+    rng, rows, want = np.random.default_rng(3), [], set()
+    for pair in range(4):
+        own = []
+        for _ in range([0, 1, 60, 90][pair]):
+            (sa, sb), n = rng.integers(0, 120, 2).tolist(), int(rng.integers(1, 9))
+            own.append((sa, sa + n - 1, sb, sb + n - 1, int(rng.integers(0, 4))))
+        own += own[:3]
+        rows += [(pair, *x) for x in own]
+        best = {}
+        for *place, score in own:
+            best[tuple(place)] = max(score, best.get(tuple(place), -1))
+        kept = []
+        for place in sorted(best, key=lambda p: (best[p], hashlib.md5(":".join(map(str, p)).encode()).hexdigest(), p), reverse=True):
+            sa, ea, sb, eb = place
+            if all((e < sa and f < sb) or (s > ea and t > eb) for s, e, t, f in kept):
+                kept.append(place)
+        want |= {(pair, *p, best[p]) for p in kept}
+    rows += [(2, 5, 4, 1, 1, 9), (2, None, 4, 1, 1, 9), (9, 1, 1, 1, 1, None)]
+    df = spark.createDataFrame(rows, "pair int, start_a int, end_a int, start_b int, end_b int, score int").repartition(3)
+    got = [tuple(r) for r in anchors.consistent(df, ["pair"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert anchors.consistent(df.where("false"), ["pair"]).count() == 0
+
+
+def test_word_anchors(spark):
+    a = spark.createDataFrame([(1, "x one two three"), (2, None), (3, "two")], "id long, text string")
+    b = spark.createDataFrame([(7, "one two  one\ntwo")], "id long, text string")
+    got = sorted(tuple(r) for r in anchors.word_anchors(a, b, 2).collect())
+    assert got == [(1, 7, 1, 2, 0, 1, 6), (1, 7, 1, 2, 2, 3, 6)]
+
+
+# --- gap maps
+
+
+def gapped(rng, row, most=3):
+    return "".join("-" * int(rng.integers(0, most)) + c for c in row) + "-" * int(rng.integers(0, most))
+
+
+def test_gap_maps_bring_alignments_into_one_frame(spark):
+    rng = np.random.default_rng(6)
+    a, b, shared_a, shared_b = [], [], [], []
+    for f in ("x", "y", None):
+        row = "".join(rng.choice(list("ACDEé"), 12))
+        for rows, shared in ((a, shared_a), (b, shared_b)):
+            frame = gapped(rng, row)
+            shared.append((f, frame))
+            rows.append((f, "shared", frame))
+            for k in range(3):
+                rows.append((f, f"{len(rows)}", "".join(rng.choice(list("AC-"), len(frame) if k else len(frame) // 2))))
+    table = lambda rows: spark.createDataFrame(rows, "family string, name string, row string")
+    one = lambda rows: spark.createDataFrame(rows, "family string, row string")
+    merged = {}
+    for rows, gaps in zip((a, b), gapmaps.merge_maps(one(shared_a), one(shared_b)), strict=True):
+        got = gapmaps.apply(table(rows), gaps).collect()
+        assert sorted(repr((r["family"], r["name"], r["row"].rstrip("-").replace("-", ""))) for r in got) == sorted(repr((f, n, r.replace("-", ""))) for f, n, r in rows)
+        for r in got:
+            if r["name"] == "shared":
+                merged.setdefault(r["family"], []).append(r["row"])
+    assert all(len(x) == 2 and x[0] == x[1] for x in merged.values())  # the shared row stands the same in both
+    assert gapmaps.apply(table(a[:1] + [("q", "z", None)]), one(shared_a[:0]).selectExpr("family", "1 as col", "1 as n")).count() == 2
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.data())
+def test_gap_maps_compose(spark, data):
+    row = "ABCDEFGH"
+    draw = lambda width: data.draw(st.lists(st.tuples(st.integers(0, width), st.integers(1, 3)), max_size=5, unique_by=lambda e: e[0]))
+    inner = sorted(draw(len(row)))
+    outer = sorted(draw(len(row) + sum(n for _, n in inner)))
+    table = lambda m: spark.createDataFrame([("f", c, n) for c, n in m], "family string, col int, n long")
+    rows = spark.createDataFrame([("f", "r", row)], "family string, name string, row string")
+    step = gapmaps.apply(gapmaps.apply(rows, table(inner)), table(outer)).first()["row"]
+    assert gapmaps.apply(rows, gapmaps.compose(table(inner), table(outer))).first()["row"] == step
+
+
+def test_common_gaps_come_back(spark):
+    rows = [("a", "1", "--A-C--"), ("a", "2", "--AG---"), ("a", "3", None), ("b", "1", "AC"), ("c", "1", "----"), (None, "1", "-A")]
+    df = spark.createDataFrame(rows, "family string, name string, row string").repartition(3)
+    cut, taken = gapmaps.common_gaps(df)
+    got = {(r["family"], r["name"]): r["row"] for r in cut.collect()}
+    assert got == {("a", "1"): "A-C", ("a", "2"): "AG-", ("a", "3"): None, ("b", "1"): "AC", ("c", "1"): "", (None, "1"): "A"}
+    assert sorted(map(repr, gapmaps.apply(cut, taken).collect())) == sorted(map(repr, df.collect()))
+    assert gapmaps.common_gaps(df.where("false"))[0].count() == 0
