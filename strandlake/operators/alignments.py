@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.storage import materialize
+
 GAPS = r"[-._~ ]"
 
 # Groups of similar residues behind the conservation marks.
@@ -35,13 +38,104 @@ def composition(cells: DataFrame) -> DataFrame:
     return cells.groupBy("family", "pos", "residue").agg(F.count("*").alias("n"))
 
 
+def _letters(seq: str | None) -> np.ndarray:
+    return np.frombuffer((seq or "").encode("utf-32-le"), np.uint32)
+
+
+_GAP_CODES = np.array([ord(c) for c in "-._~ "], np.uint32)
+#: A task's cells are counted and sent whenever it holds this many.
+_HOLD = 4_000_000
+#: Columns of a block, and rows that meet a block's values in one group.
+BLOCK, GROUP_ROWS = 2048, 4000
+_CODE = 21  # bits of a code point
+
+
+def _packed_rows(family: list, block: list, keys: list[np.ndarray], counts: list[np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame({
+        "family": pd.Series(family, dtype=object), "block": np.array(block, np.int32),
+        "keys": [k.astype(np.int64).tobytes() for k in keys], "counts": [c.astype(np.int64).tobytes() for c in counts],
+    })
+
+
+def block_counts(rows: DataFrame, gaps: bool = True) -> DataFrame:
+    """(family, block, keys, counts): how often each residue stands in each column, packed by blocks of ``BLOCK`` columns.
+
+    A key is the column and the residue's code point. Counted in tasks, then merged twice,
+    first in as many groups as tasks have a root of, so that no group holds more than that
+    many packed blocks.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        n = 0
+
+        def flush() -> pd.DataFrame:
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for family, parts in held.items():
+                key, count = np.unique(np.concatenate(parts), return_counts=True)
+                block = (key >> _CODE) // BLOCK
+                cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+                for at, to in zip(cuts, np.r_[cuts[1:], len(key)], strict=True):
+                    for held_by, x in zip(out, (family, int(block[at]), key[at:to], count[at:to]), strict=True):
+                        held_by.append(x)
+            return _packed_rows(*out)
+
+        for batch in batches:
+            for family, seq in zip(batch["family"], batch["aseq"], strict=True):
+                points = _letters(seq)
+                pos = np.arange(len(points)) if gaps else np.flatnonzero(~np.isin(points, _GAP_CODES))
+                if len(pos):
+                    held.setdefault(family, []).append((pos << _CODE) | points[pos])
+                n += len(pos)
+                if n > _HOLD:
+                    yield flush()
+                    held.clear()
+                    n = 0
+        if held:
+            yield flush()
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        key, inverse = np.unique(np.frombuffer(b"".join(group["keys"]), np.int64), return_inverse=True)
+        total = np.zeros(len(key), np.int64)
+        np.add.at(total, inverse, np.frombuffer(b"".join(group["counts"]), np.int64))
+        return _packed_rows([group["family"].iloc[0]], [group["block"].iloc[0]], [key], [total])
+
+    kind = rows.schema["family"].dataType.simpleString()
+    schema = f"family {kind}, block int, keys binary, counts binary"
+    each = rows.select("family", "aseq").mapInPandas(run, schema)
+    groups = max(1, int(rows.rdd.getNumPartitions() ** 0.5))
+    if groups > 4:
+        each = each.withColumn("part", F.spark_partition_id() % groups).groupBy("family", "block", "part").applyInPandas(merge, schema)
+    return each.groupBy("family", "block").applyInPandas(merge, schema)
+
+
+def _cells_of(packed: DataFrame) -> DataFrame:
+    """(family, pos, residue, n) of packed blocks; with a column ``rows``, what a column lacks of so many counts as gaps."""
+    ended = "rows" in packed.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                key, n = np.frombuffer(r.keys, np.int64), np.frombuffer(r.counts, np.int64)
+                if ended:
+                    pos = key >> _CODE
+                    cuts = np.flatnonzero(np.r_[True, pos[1:] != pos[:-1]])
+                    lacks = r.rows - np.add.reduceat(n, cuts)
+                    key, inverse = np.unique(np.r_[key, (pos[cuts][lacks > 0] << _CODE) | ord("-")], return_inverse=True)
+                    total = np.zeros(len(key), np.int64)
+                    np.add.at(total, inverse, np.r_[n, lacks[lacks > 0]])
+                    n = total
+                residue = (key & ((1 << _CODE) - 1)).astype("<u4").tobytes().decode("utf-32-le")
+                yield pd.DataFrame({"family": pd.Series([r.family] * len(key), dtype=object), "pos": (key >> _CODE).astype(np.int32), "residue": pd.Series(list(residue), dtype=object), "n": n})
+
+    return packed.mapInPandas(run, f"family {packed.schema['family'].dataType.simpleString()}, pos int, residue string, n long")
+
+
 def ragged_composition(rows: DataFrame) -> DataFrame:
     """(family, pos, residue, n) of rows of any lengths; rows that have ended are gaps."""
-    counted = composition(columns(rows))
-    sizes = rows.groupBy("family").agg(F.count("*").alias("rows"))
-    have = counted.groupBy("family", "pos").agg(F.sum("n").alias("have"))
-    ended = have.join(sizes, "family").where("rows > have").select("family", "pos", F.lit("-").alias("residue"), (F.col("rows") - F.col("have")).alias("n"))
-    return counted.unionByName(ended).groupBy("family", "pos", "residue").agg(F.sum("n").alias("n"))
+    sizes = rows.groupBy(F.col("family").alias("__f")).agg(F.count("*").alias("rows"))
+    packed = block_counts(rows)
+    return _cells_of(packed.join(sizes, packed["family"].eqNullSafe(F.col("__f"))).drop("__f"))
 
 
 def consensus(counted: DataFrame) -> DataFrame:
@@ -87,57 +181,84 @@ def gap_runs(rows: DataFrame) -> DataFrame:
     return inner.unionByName(last.select("family", "name", "start", (F.col("longest") - F.col("start")).cast("long").alias("length")))
 
 
-#: Values by column and residue (24 bytes each) up to this number are sent to every task; more meet the rows in a join.
-MAX_BROADCAST_VALUES = 4_000_000
+def _pack_values(values: DataFrame) -> DataFrame:
+    """(family, block, keys, values) of (family, pos, residue, value), packed like :func:`block_counts`."""
+    key = F.col("pos").cast("long") * (1 << _CODE) + F.ascii("residue")
+    held = values.where(~F.col("residue").rlike(GAPS)).groupBy("family", F.floor(F.col("pos") / BLOCK).cast("int").alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct(key.alias("key"), F.col("value").cast("double").alias("value")))).alias("held")  # a block's columns x the alphabet
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({
+                "family": batch["family"], "block": batch["block"], "keys": [np.array([h["key"] for h in x], np.int64).tobytes() for x in batch["held"]],
+                "values": [np.array([h["value"] for h in x], np.float64).tobytes() for x in batch["held"]],
+            })
+
+    return held.mapInPandas(run, f"family {values.schema['family'].dataType.simpleString()}, block int, keys binary, values binary")
 
 
 def row_means(rows: DataFrame, values: DataFrame) -> DataFrame:
-    """(family, name, mean): over the residues (not gaps) of each row, the mean of ``values`` (family, pos, residue, value), 0 where there is none.
+    """(family, name, mean): over the residues (not gaps) of each row, the mean of ``values`` (family, pos, residue, value), 0 where there is none."""
+    return packed_means(rows, _pack_values(values))
 
-    Rows without a residue are left out.
-    """
-    values = values.where(~F.col("residue").rlike(GAPS)).select("family", "pos", F.ascii("residue").alias("code"), F.col("value").cast("double").alias("value"))
-    if values.count() > MAX_BROADCAST_VALUES:
-        solid = columns(rows).where(~F.col("residue").rlike(GAPS)).withColumn("code", F.ascii("residue"))
-        return solid.join(values, ["family", "pos", "code"], "left").groupBy("family", "name").agg((F.sum(F.coalesce("value", F.lit(0.0))) / F.count("*")).alias("mean"))
-    table = values.toArrow()
-    key = (table["pos"].to_numpy().astype(np.int64) << 21) | table["code"].to_numpy()
-    family = table["family"].combine_chunks().dictionary_encode()
-    index, value = family.indices.to_numpy(zero_copy_only=False), table["value"].to_numpy()
-    order = np.lexsort((key, index))
-    index, key, value = index[order], key[order], value[order]
-    cuts = np.searchsorted(index, np.arange(len(family.dictionary) + 1))
-    shared = rows.sparkSession.sparkContext.broadcast({f: (key[a:b], value[a:b]) for f, a, b in zip(family.dictionary.to_pylist(), cuts, cuts[1:], strict=False)})
-    gaps = np.array([ord(c) for c in "-._~ "], np.uint32)
-
-    def mean(f, seq: str | None) -> float | None:
-        points = np.frombuffer((seq or "").encode("utf-32-le"), np.uint32)
-        pos = np.flatnonzero(~np.isin(points, gaps))
-        if not len(pos):
-            return None
-        own, of = shared.value.get(f, (np.empty(0, np.int64), np.empty(0)))
-        wanted = (pos << 21) | points[pos]
-        at = np.searchsorted(own, wanted)
-        hit = at < len(own)
-        hit[hit] = own[at[hit]] == wanted[hit]
-        return float(of[at[hit]].sum() / len(pos))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            means = [mean(f, s) for f, s in zip(batch.column("family").to_pylist(), batch.column("aseq").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"family": batch.column("family"), "name": batch.column("name"), "mean": pa.array(means, pa.float64())})
 
+def packed_means(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """As :func:`row_means`, of packed values (family, block, keys, values).
+
+    Rows without a residue are left out; rows of one name in a family count as one. Rows are
+    cut into blocks of ``BLOCK`` columns and meet the values by (family, block), large
+    families in several groups of rows with a copy of the values each: one row moves for
+    each block, none for each letter, and nothing goes to the driver.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    told = rows.select("family", "name", "aseq").mapInArrow(run, f"family {kinds['family']}, name {kinds['name']}, mean double")
-    return told.where("mean is not null")
+    sizes = rows.groupBy(F.col("family").alias("__f")).agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("groups"))
+    sized = rows.join(sizes, rows["family"].eqNullSafe(sizes["__f"])).where(F.length("aseq") > 0)
+    cut = sized.select(
+        "family", "name", F.pmod(F.xxhash64("name"), F.col("groups")).cast("int").alias("part"), "aseq",
+        F.explode(F.sequence(F.lit(0), F.floor((F.length("aseq") - 1) / BLOCK).cast("int"))).alias("block"),
+    )
+    pieces = cut.select("family", "block", "part", "name", F.substring("aseq", F.col("block") * BLOCK + 1, F.lit(BLOCK)).alias("piece"))
+    copies = values.join(sizes, values["family"].eqNullSafe(sizes["__f"])).select("family", "block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), "keys", "values")
+
+    def run(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame({"family": pd.Series([], dtype=object), "name": pd.Series([], dtype=object), "total": [], "n": []})
+        keys = np.frombuffer(held["keys"].iloc[0], np.int64) if len(held) else np.empty(0, np.int64)
+        of = np.frombuffer(held["values"].iloc[0], np.float64) if len(held) else np.empty(0)
+        first = int(own["block"].iloc[0]) * BLOCK
+        sums, counts = [], []
+        for piece in own["piece"]:
+            points = _letters(piece)
+            pos = np.flatnonzero(~np.isin(points, _GAP_CODES))
+            wanted = ((pos + first) << _CODE) | points[pos]
+            at = np.searchsorted(keys, wanted)
+            hit = at < len(keys)
+            hit[hit] = keys[at[hit]] == wanted[hit]
+            sums.append(float(of[at[hit]].sum()))
+            counts.append(len(pos))
+        return pd.DataFrame({"family": own["family"], "name": own["name"], "total": sums, "n": counts})
+
+    by = ["family", "block", "part"]
+    told = pieces.groupBy(*by).cogroup(copies.groupBy(*by)).applyInPandas(run, f"family {kinds['family']}, name {kinds['name']}, total double, n long")
+    return told.groupBy("family", "name").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).where("n > 0").select("family", "name", (F.col("total") / F.col("n")).alias("mean"))
+
+
+def _column_shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """1 / (distinct residues of a column x rows with this one), for packed counts."""
+    for batch in batches:
+        out = []
+        for keys, counts in zip(batch["keys"], batch["counts"], strict=True):
+            pos = np.frombuffer(keys, np.int64) >> _CODE
+            _, inverse, kinds = np.unique(pos, return_inverse=True, return_counts=True)
+            out.append((1.0 / (kinds[inverse] * np.frombuffer(counts, np.int64))).tobytes())
+        yield pd.DataFrame({"family": batch["family"], "block": batch["block"], "keys": batch["keys"], "values": out})
 
 
 def position_weights(rows: DataFrame) -> DataFrame:
     """(family, name, weight): the mean over a row's residues of 1 / (distinct residues x rows with this one) of their columns, scaled to the number of rows."""
-    counted = composition(columns(rows).where(~F.col("residue").rlike(GAPS)))
-    kinds = counted.groupBy("family", "pos").agg(F.count("*").alias("kinds"))
-    share = counted.join(kinds, ["family", "pos"]).select("family", "pos", "residue", (1.0 / (F.col("kinds") * F.col("n"))).alias("value"))
-    raw = row_means(rows, share)
+    shares = block_counts(rows, gaps=False).mapInPandas(_column_shares, f"family {rows.schema['family'].dataType.simpleString()}, block int, keys binary, values binary")
+    raw = materialize(packed_means(rows, shares))
     total = raw.groupBy("family").agg(F.sum("mean").alias("total"), F.count("*").alias("rows"))
     return raw.join(total, "family").select("family", "name", (F.col("mean") / F.col("total") * F.col("rows")).alias("weight"))
 

@@ -10,7 +10,7 @@ from strandlake.queries import SEQ, VEC, _table, _vectors, query
 from strandlake.storage import materialize, spread
 
 DIGITS = 6
-UNLIKE = 95
+UNLIKE = 98
 
 
 @query(f"""
