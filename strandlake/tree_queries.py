@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import sequences as S
 from strandlake.operators import anchors, batches, clusters, forests, gapmaps, redundancy
-from strandlake.queries import SEQ, VEC, _table, _vectors, query
-from strandlake.storage import materialize, spread
+from strandlake.queries import SEQ, VEC, _residues, _table, _vectors, query
+from strandlake.sources import flatfiles
+from strandlake.storage import materialize, scratch, spread
 
 DIGITS = 6
 UNLIKE = 98
@@ -230,3 +231,22 @@ def merged_alignments(spark, sf_dir):
         F.col("family").alias("source"), F.col("name").alias("doc_id"), "side", F.length("row").alias("width"), F.md5(F.col("row").cast("binary")).alias("merged"),
         F.md5(F.replace("row", F.lit("-"), F.lit("")).cast("binary")).alias("dealigned"),
     )
+
+
+# --- records
+
+
+@query(f"""SELECT form, doc_id::VARCHAR AS name, 'AC' || doc_id AS accession, source || ' of ' || source AS description, length(s)::BIGINT AS n, md5(s) AS digest
+FROM (SELECT source, doc_id, {SEQ} AS s FROM documents), (SELECT unnest(['embl', 'genbank', 'pir']) AS form)""")
+def annotated_records(spark, sf_dir):
+    """All texts written as annotated records of three formats and read back."""
+    rows = materialize(spread(_residues(spark, sf_dir)).select(
+        F.col("id").cast("string").alias("name"), F.concat(F.lit("AC"), "id").alias("accession"), F.concat_ws(" of ", "source", "source").alias("description"), "seq"
+    ))
+    out = None
+    for form in flatfiles.START:
+        path = scratch(spark)
+        flatfiles.write_records(rows, path, form)
+        back = flatfiles.read_records(spark, path, form).withColumn("form", F.lit(form))
+        out = back if out is None else out.unionByName(back)
+    return out.select("form", "name", "accession", "description", F.length("seq").cast("long").alias("n"), F.md5(F.col("seq").cast("binary")).alias("digest"))
