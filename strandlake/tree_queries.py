@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequences as S
-from strandlake.operators import anchors, batches, clusters, forests, gapmaps, redundancy
-from strandlake.queries import SEQ, VEC, _residues, _table, _vectors, query
+from strandlake.operators import anchors, batches, clusters, forests, gapmaps, redundancy, shuffles
+from strandlake.queries import SEQ, VEC, _aligned, _residues, _table, _vectors, query
 from strandlake.sources import flatfiles
 from strandlake.storage import materialize, scratch, spread
 
@@ -250,3 +250,32 @@ def annotated_records(spark, sf_dir):
         back = flatfiles.read_records(spark, path, form).withColumn("form", F.lit(form))
         out = back if out is None else out.unionByName(back)
     return out.select("form", "name", "accession", "description", F.length("seq").cast("long").alias("n"), F.md5(F.col("seq").cast("binary")).alias("digest"))
+
+
+# --- shuffles
+
+
+@query(f"""WITH texts AS (SELECT doc_id, {SEQ} AS s FROM documents),
+pairs AS (SELECT doc_id, pair, count(*) AS n FROM (SELECT doc_id, unnest([s[i:i + 1] for i in range(1, length(s))]) AS pair FROM texts) GROUP BY ALL),
+told AS (SELECT doc_id, md5(string_agg(pair || n, ',' ORDER BY pair)) AS pairs FROM pairs GROUP BY doc_id)
+SELECT doc_id, length(s)::BIGINT AS n, s[1] AS first, s[-1] AS last, pairs FROM texts JOIN told USING (doc_id)""")
+def pair_keeping_shuffles(spark, sf_dir):
+    """What must stay in random walks over the letter pairs of every text: pair counts, ends and length."""
+    rows = shuffles.keep_pairs(spread(_residues(spark, sf_dir)).select("id", "seq"), "id", "seq").where(F.length("seq") > 1)
+    rows = materialize(rows)
+    pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - 1), lambda i: F.substring("seq", i, F.lit(2)))).alias("pair")
+    counts = rows.select("id", pair).groupBy("id", "pair").agg(F.count("*").alias("n"))
+    told = counts.groupBy("id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pair", "n"))), lambda x: F.concat(x["pair"], x["n"].cast("string"))), ",").cast("binary")).alias("pairs"))
+    ends = rows.select("id", F.length("seq").cast("long").alias("n"), F.substring("seq", 1, 1).alias("first"), F.substring("seq", -1, 1).alias("last"))
+    return ends.join(told, "id").withColumnRenamed("id", "doc_id")
+
+
+@query(f"""WITH texts AS (SELECT source, doc_id, {SEQ} AS s FROM documents), widths AS (SELECT source, max(length(s)) AS w, ('0x' || md5(source || ':1')[:8])::BIGINT AS h FROM texts GROUP BY source),
+keys AS (SELECT source, w, i, (h + i * 2654435761) % 4294967296 AS h FROM (SELECT *, unnest(range(w)) AS i FROM widths)),
+once AS (SELECT source, w, i, (xor(h, h >> 16) * 73244475) % 4294967296 AS h FROM keys), again AS (SELECT source, w, i, (xor(h, h >> 16) * 73244475) % 4294967296 AS h FROM once),
+draws AS (SELECT source, list(xor(h, h >> 16) % w + 1 ORDER BY i) AS drawn FROM again GROUP BY source)
+SELECT source AS family, doc_id AS name, md5(array_to_string(list_select(string_split(s, ''), drawn), '')) AS letters FROM texts JOIN draws USING (source) WHERE length(s) > 0""")
+def resampled_columns(spark, sf_dir):
+    """Columns of every source drawn with replacement, the same for all its rows; gaps at the rows' ends are left out here."""
+    drawn = shuffles.resampled_columns(_aligned(spark, sf_dir).where("aseq <> ''"))
+    return drawn.select("family", "name", F.md5(F.replace("aseq", F.lit("-"), F.lit("")).cast("binary")).alias("letters"))

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strandlake.operators import anchors, batches, clusters, forests, gapmaps, redundancy
+from strandlake.operators import anchors, batches, clusters, forests, gapmaps, redundancy, shuffles
 
 # --- redundancy
 
@@ -295,3 +295,39 @@ def test_common_gaps_come_back(spark):
     assert got == {("a", "1"): "A-C", ("a", "2"): "AG-", ("a", "3"): None, ("b", "1"): "AC", ("c", "1"): "", (None, "1"): "A"}
     assert sorted(map(repr, gapmaps.apply(cut, taken).collect())) == sorted(map(repr, df.collect()))
     assert gapmaps.common_gaps(df.where("false"))[0].count() == 0
+
+
+# --- shuffles
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("abcé", max_size=40), st.integers(0, 99))
+def test_walks_keep_pairs_and_ends(row, seed):
+    got = shuffles.walk_of_pairs(row, np.random.default_rng(seed))
+    assert sorted(zip(got, got[1:], strict=False)) == sorted(zip(row, row[1:], strict=False)) and (got[:1], got[-1:]) == (row[:1], row[-1:])
+    for order in (0, 1):
+        drawn = shuffles.sampled_row(row, np.random.default_rng(seed), order)
+        assert len(drawn) == len(row) and set(drawn) <= set(row)
+        if order and len(row) > 1:
+            pairs, open_ = set(zip(row, row[1:], strict=False)), {row[-1]} - set(row[:-1])
+            assert all(p in pairs or p[0] in open_ for p in zip(drawn, drawn[1:], strict=False))
+
+
+def test_walks_reach_every_order(spark):
+    seen = {shuffles.walk_of_pairs("abacada", np.random.default_rng(k)) for k in range(200)}
+    assert len(seen) == 6  # the three ways round a, in any order
+
+
+def test_shuffled_rows_and_columns(spark):
+    rows = [("x", 1, "ACGTAC"), ("x", 2, "TTGGCC"), ("x", 3, "A"), ("y", 4, "GATTACA" * 9), (None, 5, "AC"), ("x", 6, None), ("x", 7, "")]
+    df = spark.createDataFrame(rows, "family string, name long, aseq string").repartition(3)
+    kept = {r["name"]: r["aseq"] for r in shuffles.keep_pairs(df, "name", "aseq").collect()}
+    assert kept == {r["name"]: r["aseq"] for r in shuffles.keep_pairs(df.repartition(1), "name", "aseq").collect()}  # ids fix the draw
+    assert kept[6] is None and kept[7] == "" and kept[4] != rows[3][2] and sorted(kept[4]) == sorted(rows[3][2])
+    cells = {"x": [tuple(c) for c in zip("ACGTAC", "TTGGCC", "A-----", "------", strict=True)]}
+    for draw, same in ((shuffles.resampled_columns, False), (shuffles.shuffled_columns, True)):
+        got = {r["name"]: r["aseq"] for r in draw(df).collect()}
+        columns = [tuple(c) for c in zip(got[1], got[2], got[3], got[7], strict=True)]
+        assert set(columns) <= set(cells["x"]) and len(columns) == 6 and got[6] is None  # rows stay aligned
+        assert not same or sorted(columns) == sorted(cells["x"])
+    assert shuffles.sampled(df.where("false"), "name", "aseq").count() == 0
