@@ -130,3 +130,10 @@ def shuffled(seq: Column, seed: int = 0) -> Column:
 
 def lengths_without_gaps(seq: Column) -> Column:
     return F.length(dealign(seq))
+
+
+def restored(aligned: Column, original: Column) -> Column:
+    """``aligned`` with its residues, in order, replaced by the letters of ``original``; null unless there are as many."""
+    gaps = F.split(aligned, r"[^-._~ ]")
+    letters = F.concat(F.filter(F.split(original, ""), lambda c: c != ""), F.array(F.lit("")))
+    return F.when(F.size(gaps) == F.size(letters), F.array_join(F.zip_with(gaps, letters, lambda g, c: F.concat(g, c)), ""))

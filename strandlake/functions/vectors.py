@@ -50,3 +50,9 @@ def kimura(p: Column) -> Column:
     return F.when(p < 0.75, close).when(p > 0.93, F.lit(10.0)).otherwise(
         -F.log(F.lit(1.0 - 0.75 - 0.75 * 0.75 / 5.0)) + (p - 0.75) / 0.18 * (10.0 + F.log(F.lit(1.0 - 0.75 - 0.75 * 0.75 / 5.0)))
     )
+
+
+def score_distance(score: Column, self_a: Column, self_b: Column) -> Column:
+    """Distance from a score of two rows and the scores of each with itself: 2 (1 - score / the lesser), from 0 to 2; 2 where that is 0."""
+    least = F.least(self_a, self_b)
+    return F.when(least == 0, F.lit(2.0)).when(least < score, F.lit(0.0)).otherwise(2.0 * (1.0 - score / least))

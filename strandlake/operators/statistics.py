@@ -33,3 +33,13 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 def log_sum_exp(x: Column, most: Column) -> Column:
     """An aggregate: log of the sum of exponentials, given the largest value."""
     return most + F.log(F.sum(F.exp(x - most)))
+
+
+def weighted_line(x: Column, y: Column, w: Column) -> Column:
+    """An aggregate: (slope, intercept) of the line of least weighted squares; rows with a null don't count, and without two places there is no slope."""
+    known = x.isNotNull() & y.isNotNull() & w.isNotNull()
+    total = lambda c: F.sum(F.when(known, c))
+    n, a, b, ab, aa = total(w), total(w * x), total(w * y), total(w * x * y), total(w * x * x)
+    low = n * aa - a * a
+    slope = F.when(low > 0, (n * ab - a * b) / low)
+    return F.struct(slope.alias("slope"), ((b - slope * a) / n).alias("intercept"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequences as S
-from strandlake.operators import anchors, batches, clusters, forests, gapmaps, redundancy, shuffles
-from strandlake.queries import SEQ, VEC, _aligned, _residues, _table, _vectors, query
+from strandlake.functions import vectors as V
+from strandlake.operators import anchors, batches, clusters, forests, gapmaps, redundancy, shuffles, statistics
+from strandlake.queries import _DISTANCE, SEQ, VEC, _aligned, _nearest_references, _residues, _table, _vectors, query
 from strandlake.sources import flatfiles
 from strandlake.storage import materialize, scratch, spread
 
@@ -279,3 +280,47 @@ def resampled_columns(spark, sf_dir):
     """Columns of every source drawn with replacement, the same for all its rows; gaps at the rows' ends are left out here."""
     drawn = shuffles.resampled_columns(_aligned(spark, sf_dir).where("aseq <> ''"))
     return drawn.select("family", "name", F.md5(F.replace("aseq", F.lit("-"), F.lit("")).cast("binary")).alias("letters"))
+
+
+# --- rows and scores
+
+
+@query(f"""SELECT doc_id, md5(regexp_replace({SEQ}, '(U)', '\\1-', 'g')) AS restored FROM documents""")
+def restored_rows(spark, sf_dir):
+    """Gapped rows whose unusual letters were masked get their own letters back."""
+    rows = _residues(spark, sf_dir)
+    gapped = S.sanitize(F.regexp_replace("seq", "(U)", "$1-"))
+    return rows.select(F.col("id").alias("doc_id"), F.md5(S.restored(gapped, F.col("seq")).cast("binary")).alias("restored"))
+
+
+@query(f"""SELECT source, arg_max(kind, {{'rows': n, 'kind': kind}}) AS kind, round(sum(letters) / sum(n)::DOUBLE, {DIGITS}) AS mean_length FROM (SELECT source, kind, count(*) AS n, sum(n) AS letters FROM (SELECT source, length(s) AS n, CASE WHEN length(s) = 0 THEN 'other'
+  WHEN (length(s) - length(regexp_replace(s, '[ACGTUN]', '', 'g'))) / length(s)::DOUBLE < 0.95 THEN 'protein' WHEN length(s) - length(regexp_replace(s, 'U', '', 'g')) > length(s) - length(regexp_replace(s, 'T', '', 'g')) THEN 'rna' ELSE 'dna' END AS kind
+  FROM (SELECT source, {SEQ} AS s FROM documents)) GROUP BY source, kind) GROUP BY source""")
+def family_kinds(spark, sf_dir):
+    """What most rows of each family are, and their mean length."""
+    told = _residues(spark, sf_dir).select("source", F.length("seq").alias("n"), S.residue_kind(F.col("seq")).alias("kind"))
+    each = told.groupBy("source", "kind").agg(F.count("*").alias("rows"), F.sum("n").alias("letters"))
+    return each.groupBy("source").agg(F.max_by("kind", F.struct("rows", "kind")).alias("kind"), F.round(F.sum("letters") / F.sum("rows"), DIGITS).alias("mean_length"))
+
+
+@query(f"""SELECT o_orderpriority AS priority, round((n * ab - a * b) / (n * aa - a * a), {DIGITS}) AS slope, round((b - (n * ab - a * b) / (n * aa - a * a) * a) / n, 4) AS intercept
+FROM (SELECT o_orderpriority, sum(w) AS n, sum(w * x) AS a, sum(w * y) AS b, sum(w * x * y) AS ab, sum(w * x * x) AS aa
+  FROM (SELECT o_orderpriority, o_totalprice::DOUBLE AS y, (o_orderkey % 1000)::DOUBLE AS x, (o_custkey % 10 + 1)::DOUBLE AS w FROM orders) GROUP BY o_orderpriority)""")
+def weighted_line_fits(spark, sf_dir):
+    """Lines through order prices, weighted by a rule on the customer."""
+    orders = _table(spark, sf_dir, "orders")
+    x, y, w = (F.col("o_orderkey") % 1000).cast("double"), F.col("o_totalprice").cast("double"), (F.col("o_custkey") % 10 + 1).cast("double")
+    told = orders.groupBy(F.col("o_orderpriority").alias("priority")).agg(statistics.weighted_line(x, y, w).alias("line"))
+    return told.select("priority", F.round("line.slope", DIGITS).alias("slope"), F.round("line.intercept", 4).alias("intercept"))
+
+
+@query(f"""WITH {_DISTANCE}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(distance, 9), ref_id) AS r FROM told) WHERE r = 1)
+SELECT b.id AS doc_id, b.ref_id, round(CASE WHEN least(length(d.seq), length(r.seq)) - 5 < b.common THEN 0 ELSE 2 * (1 - b.common / (least(length(d.seq), length(r.seq)) - 5)::DOUBLE) END, {DIGITS}) AS distance
+FROM best b JOIN docs d ON d.id = b.id JOIN refs r ON r.id = b.ref_id""")
+def score_distances(spark, sf_dir):
+    """Distances from scores: the k-mers a document shares with its nearest reference against those each has."""
+    near = _nearest_references(spark, sf_dir).select("id", "ref_id", "common")
+    own = _residues(spark, sf_dir).select("id", (F.length("seq") - 5).alias("own"))
+    refs = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref_id"), (F.length(S.letters(F.col("text"))) - 5).alias("of_ref"))
+    told = near.join(own, "id").join(refs, "ref_id")
+    return told.select(F.col("id").alias("doc_id"), "ref_id", F.round(V.score_distance(F.col("common"), F.col("own"), F.col("of_ref")), DIGITS).alias("distance"))

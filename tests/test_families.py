@@ -331,3 +331,25 @@ def test_shuffled_rows_and_columns(spark):
         assert set(columns) <= set(cells["x"]) and len(columns) == 6 and got[6] is None  # rows stay aligned
         assert not same or sorted(columns) == sorted(cells["x"])
     assert shuffles.sampled(df.where("false"), "name", "aseq").count() == 0
+
+
+# --- small functions
+
+
+def test_rows_and_scores(spark):
+    from pyspark.sql import functions as F
+
+    from strandlake.functions import sequences as S
+    from strandlake.functions import vectors as V
+    from strandlake.operators import statistics
+
+    rows = [("A-X..X-", "ABC"), ("--", ""), ("", ""), ("AX", "A"), (None, "A"), ("É-é", "xy")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert [r[0] for r in df.select(S.restored(F.col("a"), F.col("b"))).collect()] == ["A-B..C-", "--", "", None, None, "x-y"]
+    told = spark.range(1).select(V.score_distance(F.lit(3), F.lit(6), F.lit(4)), V.score_distance(F.lit(0), F.lit(0), F.lit(4)), V.score_distance(F.lit(9), F.lit(6), F.lit(4))).first()
+    assert tuple(told) == (0.5, 2.0, 0.0)
+    points = [(1.0, 2.0, 1.0), (2.0, 4.5, 2.0), (4.0, 7.0, 0.5), (None, 1.0, 1.0)]
+    line = spark.createDataFrame(points, "x double, y double, w double").select(statistics.weighted_line(F.col("x"), F.col("y"), F.col("w")).alias("l")).first()["l"]
+    slope, intercept = np.polyfit([p[0] for p in points[:3]], [p[1] for p in points[:3]], 1, w=np.sqrt([p[2] for p in points[:3]]))
+    assert (line["slope"], line["intercept"]) == pytest.approx((slope, intercept))
+    assert spark.createDataFrame(points[:1], "x double, y double, w double").select(statistics.weighted_line(F.col("x"), F.col("y"), F.col("w")).alias("l")).first()["l"]["slope"] is None
