@@ -137,3 +137,10 @@ def restored(aligned: Column, original: Column) -> Column:
     gaps = F.split(aligned, r"[^-._~ ]")
     letters = F.concat(F.filter(F.split(original, ""), lambda c: c != ""), F.array(F.lit("")))
     return F.when(F.size(gaps) == F.size(letters), F.array_join(F.zip_with(gaps, letters, lambda g, c: F.concat(g, c)), ""))
+
+
+def residue_span(aligned: Column, first: Column, last: Column) -> Column:
+    """(start, end) of the residues, counted from 1, in columns ``first`` to ``last`` (from 1); nulls where there is none."""
+    before = lengths_without_gaps(F.substring(aligned, F.lit(1), first - 1))
+    inside = lengths_without_gaps(F.substring(aligned, first, last - first + 1))
+    return F.struct(F.when(inside > 0, before + 1).alias("start"), F.when(inside > 0, before + inside).alias("end"))

@@ -310,6 +310,40 @@ def row_identity(rows: DataFrame, references: DataFrame) -> DataFrame:
     return both.select("family", "name", F.when(least > 0, same / least).otherwise(0.0).alias("identity"))
 
 
+def drawn_pairs(rows: DataFrame, draws: int, seed: int = 1) -> DataFrame:
+    """(family, draw, a, b): for each family, ``draws`` pairs of its rows (by rank of name from 0) that a hash of family, seed and draw picks; never a row with itself.
+
+    Families of one row have none.
+    """
+    sizes = rows.groupBy("family").agg(F.count("*").alias("size")).where("size > 1")
+    each = sizes.select("family", "size", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    digest = F.md5(F.concat_ws(":", F.coalesce(F.col("family").cast("string"), F.lit("")), F.lit(seed), "draw").cast("binary"))
+    pick = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+    a = pick(1) % F.col("size")
+    return each.select("family", "draw", a.alias("a"), ((a + 1 + pick(9) % (F.col("size") - 1)) % F.col("size")).alias("b"))
+
+
+def sampled_identity(ranked: DataFrame, draws: int, seed: int = 1) -> DataFrame:
+    """(family, identity): the mean identity of drawn pairs of rows (family, rank, aseq), each over the shorter ungapped length."""
+    pairs = drawn_pairs(ranked, draws, seed)
+    for side in ("a", "b"):
+        row = ranked.select(F.col("family").alias("__f"), F.col("rank").alias("__r"), F.col("aseq").alias(f"row_{side}"))
+        pairs = pairs.join(row, F.col("family").eqNullSafe(F.col("__f")) & (F.col(side) == F.col("__r"))).drop("__f", "__r")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for x, y in zip(batch["row_a"], batch["row_b"], strict=True):
+                x, y = _letters(x), _letters(y)
+                m, least = min(len(x), len(y)), min((~np.isin(x, _GAP_CODES)).sum(), (~np.isin(y, _GAP_CODES)).sum())
+                same = ((x[:m] == y[:m]) & ~np.isin(x[:m], _GAP_CODES)).sum()
+                out.append(float(same / least) if least else 0.0)
+            yield batch[["family"]].assign(identity=out)
+
+    kind = ranked.schema["family"].dataType.simpleString()
+    return pairs.select("family", "row_a", "row_b").mapInPandas(run, f"family {kind}, identity double").groupBy("family").agg(F.avg("identity").alias("identity"))
+
+
 def sum_of_pairs(counted: DataFrame, match: float = 1.0, mismatch: float = -0.5, gap: float = -1.0) -> DataFrame:
     """(family, matches, mismatches, gap_pairs, score) over all pairs of rows and columns, from column counts (family, pos, residue, n); no pair is made."""
     is_gap = F.col("residue").rlike(GAPS)

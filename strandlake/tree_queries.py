@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import sequences as S
 from strandlake.functions import vectors as V
-from strandlake.operators import anchors, batches, clusters, forests, gapmaps, redundancy, shuffles, statistics
+from strandlake.operators import alignments, anchors, batches, clusters, forests, gapmaps, redundancy, shuffles, statistics
 from strandlake.queries import _DISTANCE, SEQ, VEC, _aligned, _nearest_references, _residues, _table, _vectors, query
 from strandlake.sources import flatfiles
 from strandlake.storage import materialize, scratch, spread
@@ -324,3 +324,34 @@ def score_distances(spark, sf_dir):
     refs = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref_id"), (F.length(S.letters(F.col("text"))) - 5).alias("of_ref"))
     told = near.join(own, "id").join(refs, "ref_id")
     return told.select(F.col("id").alias("doc_id"), "ref_id", F.round(V.score_distance(F.col("common"), F.col("own"), F.col("of_ref")), DIGITS).alias("distance"))
+
+
+DRAWN = 40
+
+
+@query(f"""WITH texts AS (SELECT source, doc_id, {SEQ} AS s FROM documents), ranked AS (SELECT source, s, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM texts),
+draws AS (SELECT source, n, ('0x' || x[1:8])::BIGINT AS u, ('0x' || x[9:16])::BIGINT AS v FROM (SELECT source, n, md5(source || ':1:' || draw) AS x FROM (SELECT DISTINCT source, n FROM ranked WHERE n > 1), range({DRAWN}) t(draw))),
+pairs AS (SELECT d.source, a.s AS a, b.s AS b, least(length(a.s), length(b.s)) AS m FROM draws d JOIN ranked a ON a.source = d.source AND a.r = d.u % d.n JOIN ranked b ON b.source = d.source AND b.r = (d.u % d.n + 1 + d.v % (d.n - 1)) % d.n)
+SELECT source, round(avg(CASE WHEN m > 0 THEN (m - hamming(left(a, m), left(b, m))) / m::DOUBLE ELSE 0 END), {DIGITS}) AS identity FROM pairs GROUP BY source""")
+def sampled_identities(spark, sf_dir):
+    """The mean identity of pairs of rows that a hash draws from every source."""
+    rows = _aligned(spark, sf_dir).select("family", "name", "aseq")
+    ranked = materialize(forests.rank_in_family(rows, [F.col("name").asc()]))
+    return alignments.sampled_identity(ranked, DRAWN).select(F.col("family").alias("source"), F.round("identity", DIGITS).alias("identity"))
+
+
+_REGIONS = [(11, 60), (101, 200)]
+
+
+@query(f"""WITH gapped AS (SELECT doc_id, {SEQ} AS s, regexp_replace({SEQ}, '(U)', '\\1-', 'g') AS a FROM documents),
+told AS (SELECT doc_id, f AS first_col, t AS last_col, s, length(replace(substring(a, 1, f - 1), '-', '')) AS before, length(replace(substring(a, f, t - f + 1), '-', '')) AS n FROM gapped, (VALUES {", ".join(map(str, _REGIONS))}) r(f, t))
+SELECT doc_id, first_col, last_col, (before + 1)::INT AS start, (before + n)::INT AS "end", md5(substring(s, before + 1, n)) AS piece FROM told WHERE n > 0""")
+def region_table(spark, sf_dir):
+    """Column regions of gapped rows as residue numbers, and the pieces of the rows that these give back."""
+    rows = _residues(spark, sf_dir).withColumn("aseq", F.regexp_replace("seq", "(U)", "$1-"))
+    regions = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(t).alias("t")) for f, t in _REGIONS])
+    told = rows.withColumn("r", F.explode(regions)).withColumn("span", S.residue_span(F.col("aseq"), F.col("r.f"), F.col("r.t")))
+    piece = F.substring("seq", F.col("span.start"), F.col("span.end") - F.col("span.start") + 1)
+    return told.where("span.start is not null").select(
+        F.col("id").alias("doc_id"), F.col("r.f").alias("first_col"), F.col("r.t").alias("last_col"), "span.start", "span.end", F.md5(piece.cast("binary")).alias("piece")
+    )

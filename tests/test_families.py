@@ -353,3 +353,26 @@ def test_rows_and_scores(spark):
     slope, intercept = np.polyfit([p[0] for p in points[:3]], [p[1] for p in points[:3]], 1, w=np.sqrt([p[2] for p in points[:3]]))
     assert (line["slope"], line["intercept"]) == pytest.approx((slope, intercept))
     assert spark.createDataFrame(points[:1], "x double, y double, w double").select(statistics.weighted_line(F.col("x"), F.col("y"), F.col("w")).alias("l")).first()["l"]["slope"] is None
+
+
+def test_sampled_identity_and_spans(spark):
+    from pyspark.sql import functions as F
+
+    from strandlake.functions import sequences as S
+    from strandlake.operators import alignments
+
+    rows = [("x", i, s) for i, s in enumerate(["AC-GT", "ACTG", "A", "----", None])] + [("y", 0, "AC"), (None, 0, "AA"), (None, 1, "AC")]
+    ranked = spark.createDataFrame(rows, "family string, rank long, aseq string").repartition(3)
+    pairs = alignments.drawn_pairs(ranked, 30).collect()
+    assert {r["family"] for r in pairs} == {"x", None} and all(r["a"] != r["b"] and 0 <= r["b"] < (5 if r["family"] == "x" else 2) for r in pairs)
+    text = {(f, i): s or "" for f, i, s in rows}
+
+    def plain(f, a, b):
+        x, y = text[f, a], text[f, b]
+        least = min(len(x.replace("-", "")), len(y.replace("-", "")))
+        return sum(p == q != "-" for p, q in zip(x, y, strict=False)) / least if least else 0.0
+
+    got = {r["family"]: r["identity"] for r in alignments.sampled_identity(ranked, 30).collect()}
+    assert got == {f: pytest.approx(np.mean([plain(r["family"], r["a"], r["b"]) for r in pairs if r["family"] == f])) for f in ("x", None)}
+    spans = spark.range(1).select(S.residue_span(F.lit("-A-CG-"), F.lit(2), F.lit(4)).alias("a"), S.residue_span(F.lit("-A-CG-"), F.lit(6), F.lit(9)).alias("b")).first()
+    assert tuple(spans["a"]) == (1, 2) and tuple(spans["b"]) == (None, None)
