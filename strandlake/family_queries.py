@@ -226,7 +226,7 @@ def row_identities(spark, sf_dir):
 
 
 @query(f"""WITH {_IDENTITY}, p AS (SELECT family, name, 1 - identity AS p FROM told)
-SELECT family, name, round(CASE WHEN p < 0.75 THEN -ln(1 - p - p * p / 5) WHEN p > 0.93 THEN 10 ELSE -ln(1 - 0.75 - 0.75 * 0.75 / 5) + (p - 0.75) / 0.18 * (10 + ln(1 - 0.75 - 0.75 * 0.75 / 5)) END, {DIGITS}) AS distance FROM p""")
+SELECT family, name, round(CASE WHEN p < 0.75 THEN -ln(1 - p - p * p / 5) WHEN p > 0.93 THEN 10 ELSE {V.FAR_DISTANCES}[floor((p - 0.75) * 1000 + 0.5)::INT + 1] / 100.0::DOUBLE END, {DIGITS}) AS distance FROM p""")
 def corrected_distances(spark, sf_dir):
     """Corrected distances from the share of differing columns."""
     return _identities(spark, sf_dir).select("family", "name", F.round(V.kimura(1.0 - F.col("identity")), DIGITS).alias("distance"))

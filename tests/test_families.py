@@ -376,3 +376,14 @@ def test_sampled_identity_and_spans(spark):
     assert got == {f: pytest.approx(np.mean([plain(r["family"], r["a"], r["b"]) for r in pairs if r["family"] == f])) for f in ("x", None)}
     spans = spark.range(1).select(S.residue_span(F.lit("-A-CG-"), F.lit(2), F.lit(4)).alias("a"), S.residue_span(F.lit("-A-CG-"), F.lit(6), F.lit(9)).alias("b")).first()
     assert tuple(spans["a"]) == (1, 2) and tuple(spans["b"]) == (None, None)
+
+
+def test_corrected_distances_take_the_table(spark):
+    from pyspark.sql import functions as F
+
+    from strandlake.functions import vectors as V
+
+    shares = [0.0, 0.5, 0.7499, 0.75, 0.7506, 0.803, 0.93, 0.9301, 1.0]
+    got = [r[0] for r in spark.createDataFrame([(p,) for p in shares], "p double").select(V.kimura(F.col("p"))).collect()]
+    assert got[3:] == [1.95, 1.96, 2.50, 9.88, 10.0, 10.0] and got[:3] == pytest.approx([-np.log(1 - p - p * p / 5) for p in shares[:3]])
+    assert len(V.FAR_DISTANCES) == 181 and V.FAR_DISTANCES == sorted(V.FAR_DISTANCES)
