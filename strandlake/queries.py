@@ -262,7 +262,18 @@ def seed_vectors(spark, sf_dir):
     return dealt.join(asked, "block").select("vec_id", "seed", F.round(V.squared_distance(F.col("v"), F.col("c")), DIGITS).alias("distance"))
 
 
-@query()
+def _lloyd_sql(steps: int) -> str:
+    """Lloyd steps from the first vector of each label, unrolled; steps after the centers rest change nothing."""
+    apart = "list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) ** 2))"
+    parts = [f"v AS (SELECT vec_id, label, {VEC} AS v FROM embeddings), c0 AS (SELECT label AS k, arg_min(v, vec_id) AS c FROM v WHERE label IS NOT NULL GROUP BY label)"]
+    for t in range(steps + 1):
+        parts.append(f"a{t} AS (SELECT vec_id, v, k, d FROM (SELECT vec_id, v, k, {apart} AS d, row_number() OVER (PARTITION BY vec_id ORDER BY round({apart}, 9), k) AS r FROM v, c{t}) WHERE r = 1)")
+        parts.append(f"m{t} AS (SELECT k, list(m ORDER BY i) AS c FROM (SELECT k, i, avg(x) AS m FROM (SELECT k, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM a{t}) GROUP BY ALL) GROUP BY k)")
+        parts.append(f"c{t + 1} AS (SELECT k, coalesce(m{t}.c, c{t}.c) AS c FROM c{t} LEFT JOIN m{t} USING (k))")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT vec_id, k::BIGINT AS cluster, round(round(d, 9), {DIGITS}) AS distance FROM a{steps}"
+
+
+@query(_lloyd_sql(10))
 def kmeans_lloyd(spark, sf_dir):
     """Ten Lloyd steps from the first vector of each label."""
     vectors = materialize(_vectors(spark, sf_dir))
