@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import sequences as S
 from strandlake.functions import vectors as V
-from strandlake.operators import alignments, anchors, batches, clusters, forests, gapmaps, redundancy, shuffles, statistics
+from strandlake.operators import alignments, anchors, batches, clusters, forests, gapmaps, profiles, redundancy, shuffles, statistics
 from strandlake.queries import _DISTANCE, SEQ, VEC, _aligned, _nearest_references, _residues, _table, _vectors, query
 from strandlake.sources import flatfiles
 from strandlake.storage import materialize, scratch, spread
@@ -355,3 +355,37 @@ def region_table(spark, sf_dir):
     return told.where("span.start is not null").select(
         F.col("id").alias("doc_id"), F.col("r.f").alias("first_col"), F.col("r.t").alias("last_col"), "span.start", "span.end", F.md5(piece.cast("binary")).alias("piece")
     )
+
+
+# --- profiles
+
+_GAPPED = f"SELECT source, doc_id, 1.0::DOUBLE / (doc_id % 3 + 1) AS w, regexp_replace({SEQ}, '(U)', '\\1-', 'g') AS a FROM documents"
+
+
+def _gapped(spark, sf_dir):
+    rows = spread(_residues(spark, sf_dir))
+    return materialize(rows.select(F.col("source").alias("family"), F.col("id").alias("name"), (1.0 / (F.col("id") % 3 + 1)).alias("weight"), F.regexp_replace("seq", "(U)", "$1-").alias("aseq")))
+
+
+@query(f"""WITH rows AS ({_GAPPED}), cells AS (SELECT * FROM (SELECT source, doc_id, generate_subscripts(string_split(a, ''), 1) AS col, unnest(string_split(a, '')) AS c FROM rows) WHERE c NOT IN ('-', '')),
+sizes AS (SELECT source, count(*) AS n_rows FROM rows GROUP BY source),
+matched AS (SELECT source, col, row_number() OVER (PARTITION BY source ORDER BY col) - 1 AS j FROM (SELECT source, col, count(*) AS n FROM cells GROUP BY ALL) JOIN sizes USING (source) WHERE 2 * n > n_rows),
+grid AS (SELECT r.source, r.doc_id, r.w, m.j, CASE WHEN c.c IS NULL THEN 'D' ELSE 'M' END AS s FROM rows r JOIN matched m ON m.source = r.source LEFT JOIN cells c ON c.source = r.source AND c.doc_id = r.doc_id AND c.col = m.col),
+loose AS (SELECT c.source, c.doc_id, c.col FROM cells c ANTI JOIN matched m ON m.source = c.source AND m.col = c.col),
+placed AS (SELECT l.source, l.doc_id, m.j, count(*) AS k FROM loose l ASOF JOIN matched m ON m.source = l.source AND m.col < l.col GROUP BY ALL),
+walk AS (SELECT g.source, g.j, g.w, g.s, lead(g.s) OVER (PARTITION BY g.source, g.doc_id ORDER BY g.j) AS t, coalesce(p.k, 0) AS k FROM grid g LEFT JOIN placed p ON p.source = g.source AND p.doc_id = g.doc_id AND p.j = g.j),
+steps AS (SELECT source, j, s || t AS step, w FROM walk WHERE k = 0 AND t IS NOT NULL UNION ALL SELECT source, j, s || 'I', w FROM walk WHERE k > 0
+  UNION ALL SELECT source, j, 'II', w * (k - 1) FROM walk WHERE k > 1 UNION ALL SELECT source, j, 'I' || t, w FROM walk WHERE k > 0 AND t IS NOT NULL)
+SELECT source, j::INT AS "column", step, round(sum(w), {DIGITS}) AS weight FROM steps GROUP BY ALL""")
+def profile_transitions(spark, sf_dir):
+    """Weighted steps between match, insert and delete states in the columns of every source."""
+    told = profiles.transitions(_gapped(spark, sf_dir))
+    return told.select(F.col("family").alias("source"), "column", "step", F.round("weight", DIGITS).alias("weight"))
+
+
+@query(f"""WITH rows AS ({_GAPPED}), cells AS (SELECT source, generate_subscripts(string_split(a, ''), 1) - 1 AS pos, unnest(string_split(a, '')) AS c FROM rows), counted AS (SELECT source, pos, c, count(*) AS n FROM cells WHERE c NOT IN ('-', '') GROUP BY ALL)
+SELECT source, pos::INT AS pos, round(exp(ln(sum(n)) - sum(n * ln(n)) / sum(n)), {DIGITS}) AS effective FROM counted GROUP BY source, pos""")
+def effective_numbers(spark, sf_dir):
+    """The effective number of residues in each column of every source."""
+    told = profiles.effective_numbers(alignments.ragged_composition(_gapped(spark, sf_dir)))
+    return told.select(F.col("family").alias("source"), "pos", F.round("effective", DIGITS).alias("effective"))

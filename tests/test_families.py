@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strandlake.operators import anchors, batches, clusters, forests, gapmaps, redundancy, shuffles
+from strandlake.operators import anchors, batches, clusters, forests, gapmaps, profiles, redundancy, shuffles
 
 # --- redundancy
 
@@ -387,3 +387,33 @@ def test_corrected_distances_take_the_table(spark):
     got = [r[0] for r in spark.createDataFrame([(p,) for p in shares], "p double").select(V.kimura(F.col("p"))).collect()]
     assert got[3:] == [1.95, 1.96, 2.50, 9.88, 10.0, 10.0] and got[:3] == pytest.approx([-np.log(1 - p - p * p / 5) for p in shares[:3]])
     assert len(V.FAR_DISTANCES) == 181 and V.FAR_DISTANCES == sorted(V.FAR_DISTANCES)
+
+
+# --- profiles
+
+
+def plain_transitions(rows):
+    out = {}
+    for family in {r[0] for r in rows}:
+        own = [(w if w is not None else 1.0, s or "") for f, w, s in rows if f == family]
+        width = max(len(s) for _, s in own)
+        cols = [c for c in range(width) if 2 * sum(len(s) > c and s[c] != "-" for _, s in own) > len(own)]
+        for w, s in own:
+            s = s.ljust(width, "-")
+            for j, c in enumerate(cols):
+                end = cols[j + 1] if j + 1 < len(cols) else width
+                way = ["M" if s[c] != "-" else "D"] + ["I" for x in s[c + 1 : end] if x != "-"] + (["M" if s[end] != "-" else "D"] if j + 1 < len(cols) else [])
+                for a, b in zip(way, way[1:], strict=False):
+                    out[family, j, a + b] = out.get((family, j, a + b), 0.0) + w
+    return out
+
+
+def test_profile_transitions_against_a_plain_walk(spark):
+    rng = np.random.default_rng(12)
+    rows = [(f, float(rng.integers(1, 5)) / 2, "".join(rng.choice(list("AC-"), int(rng.integers(0, 25))))) for f in ("x", "y", None) for _ in range(9)]
+    rows += [("x", None, "ACAC-A"), ("x", 1.0, None), ("z", 1.0, "---"), ("z", 1.0, "A--")]
+    df = spark.createDataFrame(rows, "family string, weight double, aseq string").repartition(3)
+    got = {(r["family"], r["column"], r["step"]): r["weight"] for r in profiles.transitions(df).collect()}
+    assert got == pytest.approx(plain_transitions(rows)) and profiles.transitions(df.where("false")).count() == 0
+    counts = spark.createDataFrame([("x", 0, "A", 2), ("x", 0, "C", 2), ("x", 0, "-", 9), ("x", 1, "A", 3)], "family string, pos int, residue string, n long")
+    assert {r["pos"]: r["effective"] for r in profiles.effective_numbers(counts).collect()} == pytest.approx({0: 2.0, 1: 1.0})
