@@ -138,7 +138,7 @@ def seed_distances(rows: DataFrame, order: list[Column]) -> DataFrame:
     return ranked.join(seeds, F.col("family").eqNullSafe(F.col("f"))).select("family", "id", F.transform("seeds", apart).alias("v"))
 
 
-def _halved(rows: DataFrame, limit: int) -> DataFrame:
+def halved(rows: DataFrame, limit: int) -> DataFrame:
     """``rows`` (family, id, v, part) with parts split until none has more than ``limit`` rows; vectors of a family are distinct."""
     done = None
     key = ["family", "part"]
@@ -178,7 +178,7 @@ def _part_tree(group: pd.DataFrame) -> pd.DataFrame:
 
 def _planted(vectors: DataFrame, limit: int) -> DataFrame:
     """(family, node, parent, id, height) over distinct vectors (family, id, v) of one length in a family."""
-    parted = materialize(_halved(vectors.withColumn("part", F.lit("")), limit))
+    parted = materialize(halved(vectors.withColumn("part", F.lit("")), limit))
     sizes = parted.groupBy("family", "part").agg(F.count("*").alias("n"), F.min("id").alias("least"))
     placed = running_total(sizes.withColumn("nodes", 2 * F.col("n") - 1), [F.col("family"), F.col("part")], "nodes", "start")
     starts = materialize(placed.select(F.col("family").alias("_family"), F.col("part").alias("_part"), F.col("start").cast("long").alias("start"), "n"))

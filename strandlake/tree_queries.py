@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import sequences as S
 from strandlake.functions import vectors as V
-from strandlake.operators import alignments, anchors, batches, clusters, forests, gapmaps, profiles, redundancy, shuffles, statistics
+from strandlake.operators import alignments, anchors, batches, clusters, forests, gapmaps, profiles, redundancy, shuffles, statistics, whole_alignment
 from strandlake.queries import _DISTANCE, SEQ, VEC, _aligned, _nearest_references, _residues, _table, _vectors, query
 from strandlake.sources import flatfiles
 from strandlake.storage import materialize, scratch, spread
@@ -389,3 +389,49 @@ def effective_numbers(spark, sf_dir):
     """The effective number of residues in each column of every source."""
     told = profiles.effective_numbers(alignments.ragged_composition(_gapped(spark, sf_dir)))
     return told.select(F.col("family").alias("source"), "pos", F.round("effective", DIGITS).alias("effective"))
+
+
+# --- whole families, aligned
+
+#: A customer's history: a letter for each month with orders, from A for the most urgent priority of the month.
+_HISTORIES = """
+months AS (SELECT o_custkey, date_trunc('month', o_orderdate) AS month, min(o_orderpriority) AS priority FROM orders WHERE o_custkey IS NOT NULL GROUP BY ALL),
+histories AS (SELECT o_custkey, string_agg(chr(64 + substr(priority, 1, 1)::INT), '' ORDER BY month) AS history FROM months GROUP BY o_custkey)
+"""
+
+
+def _histories(spark, sf_dir):
+    """(family, name, seq): order histories of the customers of each nation, letters counted by month before they meet, so none is longer than there are months."""
+    orders = _table(spark, sf_dir, "orders").where("o_custkey is not null")
+    months = orders.groupBy("o_custkey", F.date_trunc("month", "o_orderdate").alias("month")).agg(F.min("o_orderpriority").alias("priority"))
+    letter = F.char(F.lit(64) + F.substring("priority", 1, 1).cast("int"))
+    told = months.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("month", letter.alias("letter")))), lambda s: s["letter"]), "").alias("seq"))
+    customers = _table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("family"))
+    return customers.join(told, F.col("c_custkey") == F.col("o_custkey"), "left").select("family", F.col("c_custkey").alias("name"), "seq")
+
+
+@query()
+def history_alignment(spark, sf_dir):
+    """The order histories of all customers, one alignment for each nation."""
+    return whole_alignment.align_whole(_histories(spark, sf_dir))
+
+
+@query(f"""
+WITH {_HISTORIES}
+SELECT c_nationkey AS family, count(*) AS rows, 1::BIGINT AS widths, count(*) AS unchanged, coalesce(sum(length(history)), 0)::BIGINT AS letters, 0::BIGINT AS empty_columns
+FROM customer LEFT JOIN histories ON o_custkey = c_custkey GROUP BY c_nationkey
+""")
+def history_alignment_holds(spark, sf_dir):
+    """What must hold for the alignment of each nation: one width, rows that are the histories without their gaps, no column of gaps alone."""
+    histories = materialize(_histories(spark, sf_dir))
+    aligned = materialize(whole_alignment.align_whole(histories))
+    was = histories.select(F.col("name").alias("n"), F.coalesce("seq", F.lit("")).alias("seq"))
+    bare = F.replace("aseq", F.lit("-"), F.lit(""))
+    rows = aligned.join(was, F.col("name") == F.col("n")).groupBy("family").agg(
+        F.count("*").alias("rows"), F.countDistinct(F.length("aseq")).alias("widths"), F.sum(F.when(bare == F.col("seq"), 1).otherwise(0)).alias("unchanged"),
+        F.sum(F.length(bare).cast("long")).alias("letters"), F.max(F.length("aseq")).alias("width"),
+    )
+    cells = aligned.select(F.col("family").alias("f"), F.posexplode(F.split("aseq", "")).alias("col", "c")).where("c not in ('-', '')")
+    held = cells.groupBy("f", "col").count().groupBy("f").agg(F.count("*").alias("held"))
+    empty = F.col("width") - F.coalesce("held", F.lit(0))
+    return rows.join(held, F.col("family").eqNullSafe(F.col("f")), "left").select("family", "rows", "widths", "unchanged", "letters", empty.cast("long").alias("empty_columns"))
