@@ -37,6 +37,8 @@ from strandlake.storage import materialize, spread
 GAP = "-"
 #: Rows or profiles in one task: their distances are a matrix of this many rows.
 PART = 128
+#: Parts that one task aligns, one after the other.
+PARTS_A_TASK = 64
 #: Pairs of columns in one match, a byte each.
 MAX_CELLS = 400_000_000
 GAP_OPEN, GAP_EXTEND, MATCH, MISMATCH = 1.53, 0.123, 1.0, -0.5
@@ -208,9 +210,12 @@ def align_whole(rows: DataFrame, part: int = PART) -> DataFrame:
     while True:
         parted = _parted(vectors, part)
         members = parted.join(payload, F.col("id") == F.col("_id"))
-        done = materialize(members.select("part", "id", "v", *[c for c in payload.columns if c != "_id"]).groupBy("part").applyInPandas(_align_rows if not levels else _align_profiles, _ALIGNED))
+        parts = materialize(parted.select("family", "part").distinct())
+        # Parts are small in bytes and heavy in work: partitions follow their number, as AQE would join them by size.
+        tasks = max(parted.sparkSession.sparkContext.defaultParallelism, parts.count() // PARTS_A_TASK)
+        spaced = members.select("part", "id", "v", *[c for c in payload.columns if c != "_id"]).repartition(tasks, "part")
+        done = materialize(spaced.groupBy("part").applyInPandas(_align_profiles if levels else _align_rows, _ALIGNED))
         levels.append(done)
-        parts = materialize(parted.groupBy("family", "part").agg(F.count("*").alias("n")))
         if parts.groupBy("family").count().where("count > 1").isEmpty():
             break
         held = parted.select("part", F.col("id").alias("_id"))
