@@ -244,6 +244,19 @@ def alignment_agreement(spark, sf_dir):
     return told.select("family", F.round("sp", DIGITS).alias("sp"), F.round("tc", DIGITS).alias("tc"))
 
 
+@query(f"""WITH {_FAMILIES}, ends AS (SELECT family, max(length(s)) AS n, min(length(s)) AS least FROM rows GROUP BY family),
+k AS (SELECT family, unnest(range(length(s))) AS k, n - length(s) AS shift, least FROM rows JOIN ends USING (family) WHERE length(s) > 0),
+groups AS (SELECT family, k AS r, k + shift AS p, count(*) AS c FROM k WHERE k < least GROUP BY ALL), cols AS (SELECT family, r, sum(c * (c - 1) / 2.0::DOUBLE) AS found, sum(c) AS size, max(c) AS most FROM groups GROUP BY family, r HAVING sum(c) > 1)
+SELECT family, round(sum(found) / sum(size * (size - 1) / 2.0::DOUBLE), {DIGITS}) AS sp, round(avg(CASE WHEN most = size THEN 1.0::DOUBLE ELSE 0 END), {DIGITS}) AS tc FROM cols GROUP BY family""")
+def marked_agreement(spark, sf_dir):
+    """As :func:`alignment_agreement`, judged on the reference columns without a gap alone."""
+    reference = materialize(_family_rows(spark, sf_dir))
+    predicted = reference.withColumn("aseq", F.expr("lpad(regexp_replace(aseq, '-', ''), length(aseq), '-')"))
+    marked = alignments.columns(reference).groupBy("family", "pos").agg(F.bool_or(F.col("residue").rlike(alignments.GAPS)).alias("some")).where("not some")
+    told = alignments.agreement(predicted, reference, marked)
+    return told.select("family", F.round("sp", DIGITS).alias("sp"), F.round("tc", DIGITS).alias("tc"))
+
+
 @query(f"""WITH {_COUNTED}, cols AS (SELECT family, pos, sum(CASE WHEN residue = '-' THEN 0 ELSE n END) AS s, sum(CASE WHEN residue = '-' THEN n ELSE 0 END) AS g, sum(CASE WHEN residue = '-' THEN 0 ELSE n * (n - 1) // 2 END) AS m FROM counted GROUP BY family, pos),
 t AS (SELECT family, sum(m)::BIGINT AS matches, sum(s * (s - 1) // 2 - m)::BIGINT AS mismatches, sum(s * g)::BIGINT AS gap_pairs FROM cols GROUP BY family)
 SELECT *, matches * 1.0::DOUBLE + mismatches * -0.5::DOUBLE + gap_pairs * -1.0::DOUBLE AS score FROM t""")

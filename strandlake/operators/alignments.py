@@ -275,14 +275,19 @@ def residue_columns(rows: DataFrame) -> DataFrame:
     return solid.select("family", "name", (F.row_number().over(each) - 1).alias("k"), "pos")
 
 
-def agreement(predicted: DataFrame, reference: DataFrame) -> DataFrame:
+def agreement(predicted: DataFrame, reference: DataFrame, marked: DataFrame | None = None) -> DataFrame:
     """(family, sp, tc): the share of reference residue pairs that share a predicted column, and of reference columns found whole.
 
     Pairs are counted, not made: residues of a reference column that fall into one
-    predicted column in groups of c give c (c - 1) / 2 of its pairs.
+    predicted column in groups of c give c (c - 1) / 2 of its pairs. With ``marked``
+    (family, pos) only these reference columns are judged; a family without one that
+    two rows share is left out.
     """
     p = residue_columns(predicted).withColumnRenamed("pos", "p_pos")
-    r = residue_columns(reference).withColumnRenamed("pos", "r_pos")
+    r = residue_columns(reference)
+    if marked is not None:
+        r = r.join(marked.select("family", "pos"), ["family", "pos"], "left_semi")
+    r = r.withColumnRenamed("pos", "r_pos")
     met = r.join(p, ["family", "name", "k"], "left")
     groups = met.groupBy("family", "r_pos", "p_pos").agg(F.count("*").alias("c"))
     pairs = lambda n: n * (n - 1) / 2

@@ -109,6 +109,11 @@ def test_agreement(spark):
     assert tuple(alignments.agreement(reference, reference).first()) == ("f", 1.0, 1.0)
     other = alignments.agreement(rows(("a", "ACG-"), ("b", "ACTG")), reference).first()
     assert other["sp"] == pytest.approx(2 / 3) and other["tc"] == pytest.approx(2 / 3)
+    marked = lambda *at: spark.createDataFrame([("f", p) for p in at], "family string, pos int")
+    predicted = rows(("a", "ACG-"), ("b", "ACTG"))
+    assert tuple(alignments.agreement(predicted, reference, marked(0, 1)).first()) == ("f", 1.0, 1.0)
+    assert tuple(alignments.agreement(predicted, reference, marked(1, 3)).first()) == ("f", 0.5, 0.5)
+    assert alignments.agreement(predicted, reference, marked(2)).count() == 0  # one row alone has no pair
 
 
 def test_ranks_and_seeds(spark):
