@@ -43,8 +43,8 @@ def _letters(seq: str | None) -> np.ndarray:
 
 
 _GAP_CODES = np.array([ord(c) for c in "-._~ "], np.uint32)
-#: A task's cells are counted and sent whenever it holds this many.
-_HOLD = 4_000_000
+#: Letters of a group that are counted at once, and packed counts of a block that are merged at once.
+_HOLD, MERGED = 1_000_000, 32
 #: Columns of a block, and rows that meet a block's values in one group.
 BLOCK, GROUP_ROWS = 2048, 4000
 _CODE = 21  # bits of a code point
@@ -57,78 +57,92 @@ def _packed_rows(family: list, block: list, keys: list[np.ndarray], counts: list
     })
 
 
+def _sizes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(F.col("family").alias("__f")).agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("groups"))
+
+
+def _pieces(rows: DataFrame, sizes: DataFrame, kept: list[str], dealt: list[str]) -> DataFrame:
+    """(family, block, part, *kept, piece): rows cut into blocks of columns, large families in parts by a hash of ``dealt``; rows without a letter have none."""
+    sized = rows.join(sizes, rows["family"].eqNullSafe(sizes["__f"])).where(F.length("aseq") > 0)
+    cut = sized.select(
+        "family", *kept, F.pmod(F.xxhash64(*dealt), F.col("groups")).cast("int").alias("part"), "aseq",
+        F.explode(F.sequence(F.lit(0), F.floor((F.length("aseq") - 1) / BLOCK).cast("int"))).alias("block"),
+    )
+    return cut.select("family", "block", "part", *kept, F.substring("aseq", F.col("block") * BLOCK + 1, F.lit(BLOCK)).alias("piece"))
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(inverse, np.concatenate(counts), len(key)).astype(np.int64)
+
+
+def _counted(pieces: list[str], first: int, gaps: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of the letters of one block's pieces, whose first column is ``first``."""
+    dense, keys, counts = np.zeros(BLOCK * 128, np.int64), [], []
+    step = max(1, _HOLD // BLOCK)
+    for at in range(0, len(pieces), step):
+        some = pieces[at : at + step]
+        sizes = np.array([len(p) for p in some])
+        pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        points = _letters("".join(some))
+        plain = points < 128
+        dense += np.bincount(pos[plain] * 128 + points[plain], minlength=len(dense))
+        if not plain.all():
+            key, n = np.unique(((pos[~plain] + first) << _CODE) | points[~plain], return_counts=True)
+            keys.append(key)
+            counts.append(n)
+    if not gaps:
+        dense.reshape(BLOCK, 128)[:, _GAP_CODES] = 0
+    hit = np.flatnonzero(dense)
+    return _summed([((hit // 128 + first) << _CODE) | (hit % 128), *keys], [dense[hit], *counts])
+
+
 def block_counts(rows: DataFrame, gaps: bool = True) -> DataFrame:
     """(family, block, keys, counts): how often each residue stands in each column, packed by blocks of ``BLOCK`` columns.
 
-    A key is the column and the residue's code point. Counted in tasks, then merged twice,
-    first in as many groups as tasks have a root of, so that no group holds more than that
-    many packed blocks.
+    A key is the column and the residue's code point. Rows are cut into blocks and counted in
+    groups of about ``GROUP_ROWS`` pieces, then packed counts are merged ``MERGED`` at a time,
+    level over level, so no group grows with the table.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict = {}
-        n = 0
-
-        def flush() -> pd.DataFrame:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for family, parts in held.items():
-                key, count = np.unique(np.concatenate(parts), return_counts=True)
-                block = (key >> _CODE) // BLOCK
-                cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-                for at, to in zip(cuts, np.r_[cuts[1:], len(key)], strict=True):
-                    for held_by, x in zip(out, (family, int(block[at]), key[at:to], count[at:to]), strict=True):
-                        held_by.append(x)
-            return _packed_rows(*out)
-
-        for batch in batches:
-            for family, seq in zip(batch["family"], batch["aseq"], strict=True):
-                points = _letters(seq)
-                pos = np.arange(len(points)) if gaps else np.flatnonzero(~np.isin(points, _GAP_CODES))
-                if len(pos):
-                    held.setdefault(family, []).append((pos << _CODE) | points[pos])
-                n += len(pos)
-                if n > _HOLD:
-                    yield flush()
-                    held.clear()
-                    n = 0
-        if held:
-            yield flush()
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        block = int(group["block"].iloc[0])
+        key, n = _counted(group["piece"].tolist(), block * BLOCK, gaps)
+        return _packed_rows([group["family"].iloc[0]], [block], [key], [n]).assign(part=group["part"].iloc[0])
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        key, inverse = np.unique(np.frombuffer(b"".join(group["keys"]), np.int64), return_inverse=True)
-        total = np.zeros(len(key), np.int64)
-        np.add.at(total, inverse, np.frombuffer(b"".join(group["counts"]), np.int64))
-        return _packed_rows([group["family"].iloc[0]], [group["block"].iloc[0]], [key], [total])
+        held = [[np.frombuffer(x, np.int64) for x in group[c]] for c in ("keys", "counts")]
+        key, n = _summed(*held)
+        return _packed_rows([group["family"].iloc[0]], [group["block"].iloc[0]], [key], [n]).assign(part=group["part"].iloc[0])
 
     kind = rows.schema["family"].dataType.simpleString()
-    schema = f"family {kind}, block int, keys binary, counts binary"
-    each = rows.select("family", "aseq").mapInPandas(run, schema)
-    groups = max(1, int(rows.rdd.getNumPartitions() ** 0.5))
-    if groups > 4:
-        each = each.withColumn("part", F.spark_partition_id() % groups).groupBy("family", "block", "part").applyInPandas(merge, schema)
-    return each.groupBy("family", "block").applyInPandas(merge, schema)
+    schema = f"family {kind}, block int, keys binary, counts binary, part int"
+    sizes = _sizes(rows)
+    by = ["family", "block", "part"]
+    packed = _pieces(rows, sizes, [], rows.columns).groupBy(*by).applyInPandas(count, schema)
+    most = sizes.agg(F.max("groups")).first()[0] or 1
+    while most > 1:
+        packed = packed.withColumn("part", F.floor(F.col("part") / MERGED).cast("int")).groupBy(*by).applyInPandas(merge, schema)
+        most = -(-most // MERGED)
+    return packed.drop("part")
 
 
 def _cells_of(packed: DataFrame) -> DataFrame:
     """(family, pos, residue, n) of packed blocks; with a column ``rows``, what a column lacks of so many counts as gaps."""
     ended = "rows" in packed.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                key, n = np.frombuffer(r.keys, np.int64), np.frombuffer(r.counts, np.int64)
-                if ended:
-                    pos = key >> _CODE
-                    cuts = np.flatnonzero(np.r_[True, pos[1:] != pos[:-1]])
-                    lacks = r.rows - np.add.reduceat(n, cuts)
-                    key, inverse = np.unique(np.r_[key, (pos[cuts][lacks > 0] << _CODE) | ord("-")], return_inverse=True)
-                    total = np.zeros(len(key), np.int64)
-                    np.add.at(total, inverse, np.r_[n, lacks[lacks > 0]])
-                    n = total
-                residue = (key & ((1 << _CODE) - 1)).astype("<u4").tobytes().decode("utf-32-le")
-                yield pd.DataFrame({"family": pd.Series([r.family] * len(key), dtype=object), "pos": (key >> _CODE).astype(np.int32), "residue": pd.Series(list(residue), dtype=object), "n": n})
-
-    return packed.mapInPandas(run, f"family {packed.schema['family'].dataType.simpleString()}, pos int, residue string, n long")
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        r = group.iloc[0]  # a block is one row
+        key, n = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["counts"], np.int64)
+        if ended and len(key):
+            pos = key >> _CODE
+            cuts = np.flatnonzero(np.r_[True, pos[1:] != pos[:-1]])
+            lacks = r["rows"] - np.add.reduceat(n, cuts)
+            key, n = _summed([key, (pos[cuts][lacks > 0] << _CODE) | ord("-")], [n, lacks[lacks > 0]])
+        residue = (key & ((1 << _CODE) - 1)).astype("<u4").tobytes().decode("utf-32-le")
+        return pd.DataFrame({"family": pd.Series([r["family"]] * len(key), dtype=object), "pos": (key >> _CODE).astype(np.int32), "residue": pd.Series(list(residue), dtype=object), "n": n})
+
+    return packed.groupBy("family", "block").applyInPandas(run, f"family {packed.schema['family'].dataType.simpleString()}, pos int, residue string, n long")
 
 
 def ragged_composition(rows: DataFrame) -> DataFrame:
@@ -184,18 +198,15 @@ def gap_runs(rows: DataFrame) -> DataFrame:
 def _pack_values(values: DataFrame) -> DataFrame:
     """(family, block, keys, values) of (family, pos, residue, value), packed like :func:`block_counts`."""
     key = F.col("pos").cast("long") * (1 << _CODE) + F.ascii("residue")
-    held = values.where(~F.col("residue").rlike(GAPS)).groupBy("family", F.floor(F.col("pos") / BLOCK).cast("int").alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct(key.alias("key"), F.col("value").cast("double").alias("value")))).alias("held")  # a block's columns x the alphabet
-    )
+    solid = values.where(~F.col("residue").rlike(GAPS)).select("family", F.floor(F.col("pos") / BLOCK).cast("int").alias("block"), key.alias("key"), F.col("value").cast("double").alias("value"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({
-                "family": batch["family"], "block": batch["block"], "keys": [np.array([h["key"] for h in x], np.int64).tobytes() for x in batch["held"]],
-                "values": [np.array([h["value"] for h in x], np.float64).tobytes() for x in batch["held"]],
-            })
+    def run(group: pd.DataFrame) -> pd.DataFrame:  # a block's columns x the alphabet
+        held = group.sort_values("key", kind="stable")
+        return pd.DataFrame({
+            "family": pd.Series([group["family"].iloc[0]], dtype=object), "block": group["block"].iloc[:1].to_numpy(), "keys": [held["key"].to_numpy(np.int64).tobytes()], "values": [held["value"].to_numpy(np.float64).tobytes()],
+        })
 
-    return held.mapInPandas(run, f"family {values.schema['family'].dataType.simpleString()}, block int, keys binary, values binary")
+    return solid.groupBy("family", "block").applyInPandas(run, f"family {values.schema['family'].dataType.simpleString()}, block int, keys binary, values binary")
 
 
 def row_means(rows: DataFrame, values: DataFrame) -> DataFrame:
@@ -212,13 +223,8 @@ def packed_means(rows: DataFrame, values: DataFrame) -> DataFrame:
     each block, none for each letter, and nothing goes to the driver.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    sizes = rows.groupBy(F.col("family").alias("__f")).agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("groups"))
-    sized = rows.join(sizes, rows["family"].eqNullSafe(sizes["__f"])).where(F.length("aseq") > 0)
-    cut = sized.select(
-        "family", "name", F.pmod(F.xxhash64("name"), F.col("groups")).cast("int").alias("part"), "aseq",
-        F.explode(F.sequence(F.lit(0), F.floor((F.length("aseq") - 1) / BLOCK).cast("int"))).alias("block"),
-    )
-    pieces = cut.select("family", "block", "part", "name", F.substring("aseq", F.col("block") * BLOCK + 1, F.lit(BLOCK)).alias("piece"))
+    sizes = _sizes(rows)
+    pieces = _pieces(rows, sizes, ["name"], ["name"])
     copies = values.join(sizes, values["family"].eqNullSafe(sizes["__f"])).select("family", "block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), "keys", "values")
 
     def run(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -244,20 +250,20 @@ def packed_means(rows: DataFrame, values: DataFrame) -> DataFrame:
     return told.groupBy("family", "name").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).where("n > 0").select("family", "name", (F.col("total") / F.col("n")).alias("mean"))
 
 
-def _column_shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _column_shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """1 / (distinct residues of a column x rows with this one), for packed counts."""
     for batch in batches:
-        out = []
-        for keys, counts in zip(batch["keys"], batch["counts"], strict=True):
-            pos = np.frombuffer(keys, np.int64) >> _CODE
+        family, block, keys, counts = (batch.column(c) for c in ("family", "block", "keys", "counts"))
+        for i in range(len(batch)):
+            pos = np.frombuffer(keys[i].as_buffer(), np.int64) >> _CODE
             _, inverse, kinds = np.unique(pos, return_inverse=True, return_counts=True)
-            out.append((1.0 / (kinds[inverse] * np.frombuffer(counts, np.int64))).tobytes())
-        yield pd.DataFrame({"family": batch["family"], "block": batch["block"], "keys": batch["keys"], "values": out})
+            share = 1.0 / (kinds[inverse] * np.frombuffer(counts[i].as_buffer(), np.int64))
+            yield pa.RecordBatch.from_arrays([family.slice(i, 1), block.slice(i, 1), keys.slice(i, 1), pa.array([share.tobytes()], pa.binary())], ["family", "block", "keys", "values"])
 
 
 def position_weights(rows: DataFrame) -> DataFrame:
     """(family, name, weight): the mean over a row's residues of 1 / (distinct residues x rows with this one) of their columns, scaled to the number of rows."""
-    shares = block_counts(rows, gaps=False).mapInPandas(_column_shares, f"family {rows.schema['family'].dataType.simpleString()}, block int, keys binary, values binary")
+    shares = block_counts(rows, gaps=False).mapInArrow(_column_shares, f"family {rows.schema['family'].dataType.simpleString()}, block int, keys binary, values binary")
     raw = materialize(packed_means(rows, shares))
     total = raw.groupBy("family").agg(F.sum("mean").alias("total"), F.count("*").alias("rows"))
     return raw.join(total, "family").select("family", "name", (F.col("mean") / F.col("total") * F.col("rows")).alias("weight"))
