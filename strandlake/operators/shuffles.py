@@ -25,16 +25,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Letters of widened rows that are sent at once.
+_SEND = 4_000_000
+#: Rows whose pairs are counted and sent at once.
+_AT_ONCE = 500
+
+
 def _letters(row: str) -> np.ndarray:
-    return np.frombuffer(row.encode("utf-32-le"), np.uint32)
+    return np.frombuffer(row.encode(), np.uint8) if row.isascii() else np.frombuffer(row.encode("utf-32-le"), np.uint32)
 
 
 def _text(letters: np.ndarray) -> str:
-    return np.asarray(letters, "<u4").tobytes().decode("utf-32-le")
+    return letters.tobytes().decode("ascii") if letters.dtype == np.uint8 else np.asarray(letters, "<u4").tobytes().decode("utf-32-le")
 
 
 def walk_of_pairs(row: str, rng: np.random.Generator) -> str:
@@ -45,22 +52,22 @@ def walk_of_pairs(row: str, rng: np.random.Generator) -> str:
     order = np.argsort(code[:-1], kind="stable")
     after, counts = code[1:][order], np.bincount(code[:-1], minlength=len(kinds))
     first = np.cumsum(counts) - counts
-    following = [after[first[v] : first[v] + counts[v]].tolist() for v in range(len(kinds))]
+    following = [after[first[v] : first[v] + counts[v]] for v in range(len(kinds))]
     end, leads = int(code[-1]), {int(code[-1])}
     last: dict[int, int] = {}
     for v in range(len(kinds)):  # each letter's way to the end, loops erased
         at = v
         while at not in leads:
             last[at] = int(rng.integers(len(following[at])))
-            at = following[at][last[at]]
+            at = int(following[at][last[at]])
         at = v
         while at not in leads:
             leads.add(at)
-            at = following[at][last[at]]
+            at = int(following[at][last[at]])
     for v, own in enumerate(following):
-        final = [own.pop(last[v])] if v != end else []
-        rng.shuffle(own)
-        following[v] = final + own  # used from the back
+        final = [int(own[last[v]])] if v != end else []
+        rest = rng.permutation(np.delete(own, last[v]) if v != end else own)
+        following[v] = final + rest.tolist()  # used from the back
     out, at = [int(code[0])], int(code[0])
     for _ in range(len(row) - 1):
         at = following[at].pop()
@@ -97,6 +104,30 @@ def _each_row(rows: DataFrame, id_col: str, seq_col: str, seed: int, change: Cal
     return rows.mapInPandas(run, rows.schema)
 
 
+def pair_counts(rows: DataFrame, id_col: str, seq_col: str) -> DataFrame:
+    """(id_col, pairs) of rows: how often each pair of neighbouring letters stands in a row, as structs (pair, n) in order of letters.
+
+    A row's own pairs are counted where the row is, so nothing is shuffled. Null and shorter rows have none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), _AT_ONCE):
+                part = batch.slice(at, _AT_ONCE)
+                found = []
+                for row in part.column(1).to_pylist():
+                    x = _letters(row or "").astype(np.int64)
+                    found.append(np.unique((x[:-1] << 21) | x[1:], return_counts=True))
+                key, n = (np.concatenate(side) for side in zip(*found, strict=True))
+                spelled = np.stack([key >> 21, key & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le")
+                pairs = pa.StructArray.from_arrays([pa.array([spelled[i : i + 2] for i in range(0, len(spelled), 2)], pa.string()), pa.array(n.astype(np.int64))], ["pair", "n"])
+                ends = np.r_[0, np.cumsum([len(k) for k, _ in found])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], [id_col, "pairs"])
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    return rows.select(id_col, seq_col).mapInArrow(run, f"`{id_col}` {kind}, pairs array<struct<pair: string, n: long>>")
+
+
 def keep_pairs(rows: DataFrame, id_col: str, seq_col: str, seed: int = 1) -> DataFrame:
     """``rows`` with each row in a random order that keeps its pair counts and its ends."""
     return _each_row(rows, id_col, seq_col, seed, walk_of_pairs)
@@ -124,17 +155,23 @@ def _columns(rows: DataFrame, seed: int, places: Callable[[np.ndarray], np.ndarr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: tuple = (None, None)
         for batch in batches:
-            out = []
+            out, sent, held = [], 0, 0
             for family, width, row in zip(batch["family"], batch["__w"], batch["aseq"], strict=True):
-                if row is None:
-                    out.append(None)
-                    continue
-                if known[0] != (family, width):
-                    known = (family, width), places(column_keys(family, seed, int(width)))
-                x = _letters(row)
-                filled = np.r_[x, np.full(int(width) - len(x), ord("-"), np.uint32)]
-                out.append(_text(filled[known[1]]))
-            yield batch.drop(columns="__w").assign(aseq=pd.Series(out, dtype=object, index=batch.index))
+                if row is not None:
+                    if known[0] != (family, width):
+                        known = (family, width), places(column_keys(family, seed, int(width)))
+                    x = _letters(row)
+                    filled = np.full(int(width), ord("-"), x.dtype)
+                    filled[: len(x)] = x
+                    row = _text(filled[known[1]])
+                    held += int(width)
+                out.append(row)
+                if held > _SEND:  # rows are as wide as their family's widest: a batch of them has no bound
+                    part = batch.iloc[sent : sent + len(out)].drop(columns="__w")
+                    yield part.assign(aseq=pd.Series(out, dtype=object, index=part.index))
+                    out, sent, held = [], sent + len(out), 0
+            part = batch.iloc[sent:].drop(columns="__w")
+            yield part.assign(aseq=pd.Series(out, dtype=object, index=part.index))
 
     return wide.mapInPandas(run, rows.schema)
 

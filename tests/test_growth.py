@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections import Counter
+from unittest.mock import MagicMock
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from strandlake.operators import alignments
+from strandlake.operators import alignments, shuffles
 
 
 @pytest.mark.parametrize("gaps", [True, False])
@@ -21,3 +24,35 @@ def test_block_counts_merge_in_levels(spark, monkeypatch, gaps):
     assert packed.groupBy("family", "block").count().where("count > 1").isEmpty()
     got = {(r["family"], r["pos"], r["residue"]): r["n"] for r in alignments._cells_of(packed).collect()}
     assert got == Counter((f, i, c) for f, _, row in rows for i, c in enumerate(row or "") if gaps or c != "-")
+
+
+def test_pairs_are_counted_where_the_row_is(spark):
+    rows = [(1, "ACCA-\U0001F600é\U0001F600é"), (2, "A"), (3, ""), (4, None), (5, "AB" * 60_000)]
+    told = shuffles.pair_counts(spark.createDataFrame(rows, "id long, seq string"), "id", "seq")
+    assert "Exchange" not in told._jdf.queryExecution().executedPlan().toString()
+    for i, row in rows:
+        want = Counter(a + b for a, b in zip(row or "", (row or "")[1:]))  # noqa: B905
+        assert [tuple(p) for p in told.where(f"id = {i}").first()["pairs"]] == sorted(want.items())
+
+
+def test_widened_rows_are_sent_in_parts(monkeypatch):
+    sent = []
+
+    class Rows:  # takes the place of a DataFrame: the map is run here, on one batch of narrow rows of a wide family
+        columns, schema = ["family", "name", "aseq"], None
+
+        def __getitem__(self, name):
+            return F.col(name)
+
+        groupBy = agg = join = drop = lambda self, *a, **k: self
+
+        def mapInPandas(self, run, schema):
+            batch = pd.DataFrame({"family": "f", "name": range(40), "__w": 500_000, "aseq": ["AC", None, "é", ""] * 10})
+            sent.extend(run(iter([batch])))
+            return self
+
+    monkeypatch.setattr(shuffles, "F", MagicMock())
+    shuffles.resampled_columns(Rows())
+    assert max(part["aseq"].str.len().sum() for part in sent) <= 4_500_000
+    assert [n for part in sent for n in part["name"]] == list(range(40))
+    assert {None if s is None else len(s) for part in sent for s in part["aseq"]} == {None, 500_000}
