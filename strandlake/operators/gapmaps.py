@@ -67,11 +67,11 @@ def compose(inner: DataFrame, outer: DataFrame) -> DataFrame:
 
 
 def _letters(row: str) -> np.ndarray:
-    return np.frombuffer(row.encode("utf-32-le"), np.uint32)
+    return np.frombuffer(row.encode(), np.uint8) if row.isascii() else np.frombuffer(row.encode("utf-32-le"), np.uint32)
 
 
 def _text(letters: np.ndarray) -> str:
-    return letters.astype("<u4").tobytes().decode("utf-32-le")
+    return letters.tobytes().decode("ascii") if letters.dtype == np.uint8 else letters.astype("<u4").tobytes().decode("utf-32-le")
 
 
 _GAP = _letters(GAP)[0]
@@ -81,25 +81,49 @@ def inserted(row: str, cols: np.ndarray, counts: np.ndarray) -> str:
     """``row`` with ``counts`` gaps before each of ``cols``, in rising order; a row that ends earlier is filled up to the last."""
     x = _letters(row)
     if len(cols) and len(x) < cols[-1]:
-        x = np.r_[x, np.full(cols[-1] - len(x), _GAP, np.uint32)]
+        x = np.r_[x, np.full(cols[-1] - len(x), _GAP, x.dtype)]
     return _text(np.insert(x, np.repeat(cols, counts), _GAP))
 
 
-def apply(rows: DataFrame, gap_map: DataFrame) -> DataFrame:
-    """``rows`` with the gaps of a map in."""
-    whole = gap_map.groupBy(F.col("family").alias("__f")).agg(F.array_sort(F.collect_list(F.struct(F.col("col").cast("int").alias("col"), F.col("n").cast("int").alias("n")))).alias("__m"))
-    joined = rows.join(whole, rows["family"].eqNullSafe(whole["__f"]), "left").drop("__f")
+def _packed_map(gap_map: DataFrame) -> DataFrame:
+    """(family, cols, counts): each family's map as 64-bit numbers in rising order of column."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        held = group.sort_values("col", kind="stable")
+        return pd.DataFrame({
+            "__f": pd.Series([held["family"].iloc[0]], dtype=object), "__cols": [held["col"].to_numpy(np.int64).tobytes()], "__counts": [held["n"].to_numpy(np.int64).tobytes()],
+        })
+
+    kind = gap_map.schema["family"].dataType.simpleString()
+    return gap_map.select("family", "col", "n").groupBy("family").applyInPandas(run, f"__f {kind}, __cols binary, __counts binary")
+
+
+def apply(rows: DataFrame, gap_map: DataFrame, width_col: str | None = None) -> DataFrame:
+    """``rows`` with the gaps of a map in; with ``width_col``, the width of a row's family, filled up to that and what is inserted.
+
+    Entries beyond a row's end only move its width: tasks insert the others, and the end is
+    filled afterwards, so that a task handles no more of a row than there is.
+    """
+    whole = _packed_map(gap_map)
+    joined = rows.join(whole, rows["family"].eqNullSafe(whole["__f"]), "left").drop("__f").withColumn("__w", (F.col(width_col) if width_col else F.lit(None)).cast("int"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for row, entries in zip(batch["row"], batch["__m"], strict=True):
-                if row is not None and entries is not None:
-                    row = inserted(row, np.array([e["col"] for e in entries]), np.array([e["n"] for e in entries]))
+            out, widths = [], []
+            for row, cols, counts, given in zip(batch["row"], batch["__cols"], batch["__counts"], batch["__w"], strict=True):
+                width = 0 if pd.isna(given) else int(given)
+                if row is not None and cols is not None:
+                    cols, counts = np.frombuffer(cols, np.int64), np.frombuffer(counts, np.int64)
+                    width = max(len(row), width, int(cols[-1]) if len(cols) else 0) + int(counts.sum())
+                    own = np.searchsorted(cols, len(row), side="left")
+                    row = inserted(row, cols[:own], counts[:own])
                 out.append(row)
-            yield batch.drop(columns="__m").assign(row=pd.Series(out, dtype=object, index=batch.index))
+                widths.append(width)
+            yield batch.drop(columns=["__cols", "__counts"]).assign(row=pd.Series(out, dtype=object, index=batch.index), __w=pd.array(widths, "Int32"))
 
-    return joined.mapInPandas(run, rows.schema)
+    kept = joined.drop("__cols", "__counts")
+    told = joined.select(*kept.columns[:-1], "__cols", "__counts", "__w").mapInPandas(run, kept.schema)
+    return told.select(*[F.when(F.col("__w") > F.length("row"), F.rpad("row", F.col("__w"), GAP)).otherwise(F.col("row")).alias("row") if c == "row" else F.col(f"`{c}`") for c in rows.columns])
 
 
 def common_gaps(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
