@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
+from operator import add
 from unittest.mock import MagicMock
 
 import numpy as np
@@ -10,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.operators import alignments, shuffles
+from strandlake.operators import alignments, clusters, gapmaps, shuffles
 
 
 @pytest.mark.parametrize("gaps", [True, False])
@@ -35,7 +37,7 @@ def test_pairs_are_counted_where_the_row_is(spark):
         assert [tuple(p) for p in told.where(f"id = {i}").first()["pairs"]] == sorted(want.items())
 
 
-def test_widened_rows_are_sent_in_parts(monkeypatch):
+def test_widened_rows_are_sent_in_parts(spark, monkeypatch):
     sent = []
 
     class Rows:  # takes the place of a DataFrame: the map is run here, on one batch of narrow rows of a wide family
@@ -56,3 +58,36 @@ def test_widened_rows_are_sent_in_parts(monkeypatch):
     assert max(part["aseq"].str.len().sum() for part in sent) <= 4_500_000
     assert [n for part in sent for n in part["name"]] == list(range(40))
     assert {None if s is None else len(s) for part in sent for s in part["aseq"]} == {None, 500_000}
+
+
+@pytest.mark.parametrize("size", [3, 1000])
+def test_block_distances_and_joining_links(spark, monkeypatch, size):
+    monkeypatch.setattr(clusters, "VECTORS_AT_ONCE", size)
+    monkeypatch.setattr(clusters, "SEEDS_AT_ONCE", size)
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(40)] + [(40, None), (41, [1.0, None, 2.0]), (42, [1.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    seeds = vectors.where("vec_id % 4 = 0 or vec_id = 42").toDF("seed", "c")
+    apart = lambda a, b: reduce(add, [(x - y) * (x - y) for x, y in zip(a, b)]) if a and b and len(a) == len(b) and None not in a + b else None  # noqa: B905, E731
+    want = {(i, j): apart(a, b) for i, a in rows for j, b in rows if j % 4 == 0 or j == 42}
+    assert {(r[0], r[1]): r[2] for r in clusters.block_distances(vectors, seeds).collect()} == want
+    near = {k for k, d in want.items() if d is not None and d <= 4}
+    assert {(r[0], r[1]) for r in clusters.block_distances(vectors, seeds, 4.0).collect()} == near
+    links = [(r[0], r[1]) for r in clusters.block_distances(vectors, seeds, 4.0, joins=True).collect()]
+
+    def parts(pairs):
+        up = {i: i for i, _ in rows}
+        for _ in rows:
+            for a, b in pairs:
+                up[a] = up[b] = min(up[a], up[b])
+        return up
+
+    assert set(links) <= near and parts(links) == parts(near)
+    assert size == 3 or len(links) < len(rows) + 12
+
+
+def test_gap_maps_leave_ended_rows_to_be_filled(spark):
+    rows = spark.createDataFrame([("f", 1, "AB", 6), ("f", 2, "ABCDEF", 6), ("f", 3, None, 6), ("g", 4, "É", 3)], "family string, name long, row string, width int")
+    gaps = spark.createDataFrame([("f", 1, 2), ("f", 5, 1), ("f", 2, 1)], "family string, col int, n long")
+    got = {r["name"]: r["row"] for r in gapmaps.apply(rows, gaps, "width").collect()}
+    assert got == {1: "A--B------", 2: "A--B-CDE-F", 3: None, 4: "É--"}
