@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -122,10 +127,60 @@ def is_real(text: Column) -> Column:
     return text.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$")
 
 
+@functools.lru_cache(maxsize=24)
+def _order_of_places(seed: int, size: int) -> np.ndarray:
+    """Places 0 to ``size`` - 1 in the order of their digests; kept for each power of two."""
+    return np.argsort(np.array([hashlib.md5(f"{seed}:{i}".encode()).hexdigest() for i in range(size)], "S32"), kind="stable")
+
+
+def _in_order_of(seed: int, row: str) -> str:
+    order = _order_of_places(seed, 1 << max(0, len(row) - 1).bit_length())
+    order = order[order < len(row)]
+    if row.isascii():
+        return np.frombuffer(row.encode(), np.uint8)[order].tobytes().decode()
+    return np.frombuffer(row.encode("utf-32-le"), "<u4")[order].tobytes().decode("utf-32-le")
+
+
 def shuffled(seq: Column, seed: int = 0) -> Column:
-    """The residues of a row in an order that the seed and their places fix."""
-    keyed = F.transform(F.filter(F.split(seq, ""), lambda c: c != ""), lambda c, i: F.struct(F.md5(F.concat_ws(":", F.lit(seed), i).cast("binary")).alias("k"), c.alias("c")))
-    return F.array_join(F.transform(F.array_sort(keyed), lambda x: x["c"]), "")
+    """The residues of a row in an order that the seed and their places fix.
+
+    The order of a row's places is that of all places without those beyond its end, so digests are made once for a worker, not for each letter.
+    """
+
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None else _in_order_of(seed, s) for s in rows], dtype=object, index=rows.index)
+
+    return F.pandas_udf(run, "string")(seq)
+
+
+def edit_distance(a: str, b: str) -> int:
+    """The edit distance of two rows, a column of the table at a time: its rises and falls are the bits of whole numbers."""
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    x = np.frombuffer(a.encode("utf-32-le"), "<u4")
+    at = {c: int.from_bytes(np.packbits(x == ord(c), bitorder="little").tobytes(), "little") for c in set(b)}
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = full, 0, len(a)
+    for c in b:
+        same = at[c]
+        rest = same | down
+        level = (((same & up) + up) ^ up) | same
+        rise, fall = down | (full & ~(level | up)), up & level
+        score += 1 if rise & top else -1 if fall & top else 0
+        rise, fall = ((rise << 1) | 1) & full, (fall << 1) & full
+        up, down = fall | (full & ~(rest | rise)), rise & rest
+    return score
+
+
+def edits(a: Column, b: Column) -> Column:
+    """The edit distance of two rows; null if one is."""
+
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None or t is None else edit_distance(s, t) for s, t in zip(x, y, strict=True)], dtype="Int64", index=x.index)
+
+    return F.pandas_udf(run, "long")(a, b)
 
 
 def lengths_without_gaps(seq: Column) -> Column:

@@ -12,6 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from strandlake.functions import sequences
 from strandlake.operators import alignments, clusters, gapmaps, shuffles
 
 
@@ -91,3 +92,17 @@ def test_gap_maps_leave_ended_rows_to_be_filled(spark):
     gaps = spark.createDataFrame([("f", 1, 2), ("f", 5, 1), ("f", 2, 1)], "family string, col int, n long")
     got = {r["name"]: r["row"] for r in gapmaps.apply(rows, gaps, "width").collect()}
     assert got == {1: "A--B------", 2: "A--B-CDE-F", 3: None, 4: "É--"}
+
+
+def test_edits_and_shuffled_rows_against_spark(spark):
+    rng = np.random.default_rng(4)
+    rows = ["".join(rng.choice(list("ABC\U0001F600é"), n)) for n in (0, 1, 2, 3, 63, 64, 65, 130)] + [None]
+    both = spark.createDataFrame([(a, b) for a in rows for b in rows], "a string, b string")
+    told = both.select(F.levenshtein("a", "b").cast("long").alias("want"), sequences.edits(F.col("a"), F.col("b")).alias("got"))
+    assert "levenshtein" not in told.select("got")._jdf.queryExecution().executedPlan().toString().lower()
+    assert told.where("not want <=> got").isEmpty()
+    keyed = F.transform(F.filter(F.split("a", ""), lambda c: c != ""), lambda c, i: F.struct(F.md5(F.concat_ws(":", F.lit(7), i).cast("binary")).alias("k"), c.alias("c")))
+    plain = F.array_join(F.transform(F.array_sort(keyed), lambda x: x["c"]), "")
+    told = both.select(plain.alias("want"), sequences.shuffled(F.col("a"), 7).alias("got"))
+    assert "md5" not in told.select("got")._jdf.queryExecution().executedPlan().toString().lower()
+    assert told.where("not want <=> got").isEmpty()
