@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequences
-from strandlake.operators import alignments, clusters, gapmaps, shuffles
+from strandlake.operators import alignments, clusters, gapmaps, redundancy, shuffles
 
 
 @pytest.mark.parametrize("gaps", [True, False])
@@ -106,3 +106,16 @@ def test_edits_and_shuffled_rows_against_spark(spark):
     told = both.select(plain.alias("want"), sequences.shuffled(F.col("a"), 7).alias("got"))
     assert "md5" not in told.select("got")._jdf.queryExecution().executedPlan().toString().lower()
     assert told.where("not want <=> got").isEmpty()
+
+
+def test_unlike_rows_with_common_segments_are_decided_in_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(redundancy, "materialize", lambda df, put=redundancy.materialize: rounds.append(1) or put(df))
+    monkeypatch.setattr(redundancy, "CHUNK", 4, raising=False)
+    rng = np.random.default_rng(6)
+    piece = ["".join(rng.choice(list("ACDEFGH"), 20)) for _ in range(12)]
+    rows = [("f", i, "".join(piece[2 * k + (i >> k & 1)] for k in range(6))) for i in range(64)]  # each segment stands in half the rows
+    rows += [("f", 100 + i, row[:60] + "X" + row[61:]) for _, i, row in rows[:8]] + [("f", 200, rows[5][2][:40]), ("f", 201, rows[5][2][:39] + "X")]
+    got = {r["id"] for r in redundancy.keep_unlike(spark.createDataFrame(rows, "family string, id long, row string")).collect()}
+    assert got == {*range(64), 201}
+    assert len(rounds) < 40
