@@ -21,6 +21,8 @@ DESCRIPTION = {"genbank": "DEFINITION", "embl": "DE   ", "pir": "TITLE"}
 ACCESSION = {"genbank": "ACCESSION", "embl": "AC   ", "pir": "ACCESSION"}
 SEQUENCE = {"genbank": "ORIGIN", "embl": "SQ   ", "pir": "SEQUENCE"}
 END = {"genbank": "//", "embl": "//", "pir": "///"}
+#: Lines of a sequence that are cut at once.
+LINES = 32
 
 
 def kind(text: Column) -> Column:
@@ -67,13 +69,17 @@ def read_records(spark: SparkSession, path: str, form: str) -> DataFrame:
 def record_text(form: str, name: Column, accession: Column, description: Column, seq: Column, width: int = 60) -> Column:
     """One record of ``form`` with its sequence in lines of ``width``."""
     n = F.length(seq)
-    starts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(width))).otherwise(F.array().cast("array<int>"))
     line = {
-        "genbank": lambda i: F.concat(F.lpad(i.cast("string"), 9, " "), F.lit(" "), F.substring(seq, i, F.lit(width))),
-        "embl": lambda i: F.concat(F.lit("     "), F.substring(seq, i, F.lit(width)), F.lit(" "), F.lpad(F.least(n, i + width - 1).cast("string"), 9, " ")),
-        "pir": lambda i: F.concat(F.lpad(i.cast("string"), 7, " "), F.lit(" "), F.substring(seq, i, F.lit(width))),
+        "genbank": lambda i, part, end: F.concat(F.lpad(i.cast("string"), 9, " "), F.lit(" "), part),
+        "embl": lambda i, part, end: F.concat(F.lit("     "), part, F.lit(" "), F.lpad(F.least(end, i + width - 1).cast("string"), 9, " ")),
+        "pir": lambda i, part, end: F.concat(F.lpad(i.cast("string"), 7, " "), F.lit(" "), part),
     }[form]
-    body = F.array_join(F.transform(starts, line), "\n")
+    # Letters are found and counted by walking from a string's start, so that is done for blocks of lines and not for each line.
+    block = width * LINES
+    firsts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(block))).otherwise(F.array().cast("array<int>"))
+    blocks = F.transform(firsts, lambda at: F.struct(at.alias("at"), F.substring(seq, at + 1, F.lit(block)).alias("letters"), F.least(n, at + block).alias("end")))
+    inner = lambda b: F.transform(F.sequence(F.lit(1), F.length(b["letters"]), F.lit(width)), lambda i: line(b["at"] + i, F.substring(b["letters"], i, F.lit(width)), b["end"]))
+    body = F.array_join(F.transform(blocks, lambda b: F.array_join(inner(b), "\n")), "\n")
     head = {
         "genbank": F.concat(F.lit("LOCUS       "), name, F.lit("  "), n.cast("string"), F.lit(" bp\nDEFINITION  "), description, F.lit("\nACCESSION   "), accession, F.lit("\nORIGIN\n")),
         "embl": F.concat(F.lit("ID   "), name, F.lit(";\nAC   "), accession, F.lit(";\nDE   "), description, F.lit("\nSQ   Sequence "), n.cast("string"), F.lit(";\n")),

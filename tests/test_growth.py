@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections import Counter
 from functools import reduce
 from operator import add
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import sequences
 from strandlake.operators import alignments, clusters, forests, gapmaps, redundancy, shuffles
+from strandlake.sources import flatfiles
 
 
 @pytest.mark.parametrize("gaps", [True, False])
@@ -153,3 +155,21 @@ def test_halving_writes_the_vectors_once(spark, monkeypatch):
         return plain([r for r, y in zip(rows, right, strict=True) if not y], part + "0") | plain([r for r, y in zip(rows, right, strict=True) if y], part + "1")
 
     assert {r["id"]: r["part"] for r in got if r["family"] == "a"} == plain([(i, v) for f, i, v in rows if f == "a"])
+
+
+@pytest.mark.parametrize("form", list(flatfiles.START))
+def test_long_records_are_written_in_blocks_of_lines(spark, form):
+    rows = [(str(n), "".join("ACGTÉ\U0001F600"[(k * k + k // 7) % 6] for k in range(n))) for n in (0, 1, 59, 60, 61, 1919, 1920, 1921, 4000)]
+    lit = flatfiles.record_text(form, *(flatfiles.F.col(c) for c in ("name", "name", "name", "seq")))
+    for name, text in spark.createDataFrame(rows, "name string, seq string").select("name", lit).collect():
+        seq = dict(rows)[name]
+        lines = []
+        for i in range(0, len(seq), 60):
+            part, last = seq[i : i + 60], min(len(seq), i + 60)
+            lines.append({"genbank": f"{i + 1:>9} {part}", "embl": f"     {part} {last:>9}", "pir": f"{i + 1:>7} {part}"}[form])
+        assert text.endswith("\n".join(["", *lines, flatfiles.END[form]]))
+    # The whole sequence is cut once a block: a million letters take seconds, not minutes.
+    began = time.time()
+    many = spark.range(8).select(flatfiles.F.repeat(flatfiles.F.lit("ACGTÉ"), 200_000).alias("seq"), flatfiles.F.lit("a").alias("name"))
+    assert many.select(flatfiles.F.length(lit).alias("n")).where("n > 1000000").count() == 8
+    assert time.time() - began < 60
