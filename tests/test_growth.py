@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequences
-from strandlake.operators import alignments, clusters, forests, gapmaps, redundancy, shuffles
+from strandlake.operators import alignments, clusters, forests, gapmaps, redundancy, shuffles, whole_alignment
 from strandlake.sources import flatfiles
 
 
@@ -173,3 +173,13 @@ def test_long_records_are_written_in_blocks_of_lines(spark, form):
     many = spark.range(8).select(flatfiles.F.repeat(flatfiles.F.lit("ACGTÉ"), 200_000).alias("seq"), flatfiles.F.lit("a").alias("name"))
     assert many.select(flatfiles.F.length(lit).alias("n")).where("n > 1000000").count() == 8
     assert time.time() - began < 60
+
+
+def test_rows_to_align_are_parted_in_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(forests, "materialize", lambda df, put=forests.materialize: written.append(df.columns) or put(df))
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([("f", i, rng.normal(size=3).tolist()) for i in range(100)], "family string, id long, v array<double>")
+    sizes = whole_alignment._parted(rows, 4).groupBy("part").count().collect()
+    assert sum(r["count"] for r in sizes) == 100 and max(r["count"] for r in sizes) <= 4
+    assert len(written) <= 2
