@@ -88,7 +88,7 @@ def _padded(profiles: list[np.ndarray]) -> np.ndarray:
 def _match_chunk(pairs: list[tuple[np.ndarray, np.ndarray]], chunk: list[int], out: list) -> None:
     a, b = _padded([pairs[k][0] for k in chunk]), _padded([pairs[k][1] for k in chunk])
     size, n, m = len(chunk), a.shape[1], b.shape[1]
-    less, fill_b, letters_b = MISMATCH * a.sum(axis=2), b.sum(axis=2), b.transpose(0, 2, 1)
+    less, fill_b = MISMATCH * a.sum(axis=2), b.sum(axis=2)
     steps = GAP_EXTEND * np.arange(m + 1)
     # Bits of a cell: 1 it comes by a gap in b, 2 a gap in a that ends here is better, 4 that gap in b was open before, 8 a later gap in a starts here.
     way = np.zeros((n + 1, size, m + 1), np.uint8)
@@ -96,18 +96,14 @@ def _match_chunk(pairs: list[tuple[np.ndarray, np.ndarray]], chunk: list[int], o
     h[:, 1:] = -(GAP_OPEN + steps[1:])
     way[0, :, 1:], way[0, :, 0] = 2, 8
     f = np.full((size, m + 1), -np.inf)
-    block = max(1, CELLS_AT_ONCE // (size * (m + 1)))
     for i in range(1, n + 1):
-        if (i - 1) % block == 0:
-            same = np.matmul(a[:, i - 1 : i - 1 + block], letters_b)
-            same *= MATCH - MISMATCH
         cell = way[i]
         opened = h - GAP_OPEN
         np.multiply(f > opened, np.uint8(4), out=cell)
         np.maximum(opened, f, out=f)
         f -= GAP_EXTEND
         diagonal = h[:, :-1] + less[:, i - 1, None] * fill_b
-        diagonal += same[:, (i - 1) % block]
+        diagonal += (MATCH - MISMATCH) * np.matmul(b, a[:, i - 1, :, None])[:, :, 0]  # column by column, so that rounding and ties are those of a pair by itself
         base = f.copy()
         cell[:, 1:] += f[:, 1:] > diagonal
         np.maximum(f[:, 1:], diagonal, out=base[:, 1:])
